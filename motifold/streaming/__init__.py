@@ -1,0 +1 @@
+"""Deliberately empty: every input of this library is a batch of triples or tables."""
