@@ -62,12 +62,12 @@ def map_triples(spark, directory):
 
 
 def classify(spark, directory):
-    t = mf.classify_triples(triples_from_tables(spark, directory).all())
+    t = mf.classify_triples(triples_from_tables(spark, directory))
     return t.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def predicate_catalog(spark, directory):
-    return mf.predicate_catalog(triples_from_tables(spark, directory).all())
+    return mf.predicate_catalog(triples_from_tables(spark, directory))
 
 
 def pattern_scan(spark, directory):
@@ -149,28 +149,28 @@ def expand_edge_backward(spark, directory):
 
 
 def attach_props(spark, directory):
-    t = triples_from_tables(spark, directory).all()
+    t = triples_from_tables(spark, directory)
     vertices = mf.assign_ids(mf.node_set(t))
     return mf.attach_props(t, vertices).select(F.col("uri").alias("s"), "prop", "obj")
 
 
 def object_nodes(spark, directory):
-    t = triples_from_tables(spark, directory).all()
+    t = triples_from_tables(spark, directory)
     vertices = mf.assign_ids(mf.node_set(t))
     return mf.object_nodes(t, vertices).select(F.col("uri").alias("o"))
 
 
-def _dense(t: DataFrame, start: int = 0) -> DataFrame:
+def _dense(t, start: int = 0) -> DataFrame:
     return mf.assign_dense_ids(mf.graph_nodes(t), start)
 
 
 def encode_edges(spark, directory):
-    t = triples_from_tables(spark, directory).all()
+    t = triples_from_tables(spark, directory)
     return mf.encode_edges(t, _dense(t), distinct=False)
 
 
 def triplet_view(spark, directory):
-    t = triples_from_tables(spark, directory).all()
+    t = triples_from_tables(spark, directory)
     ids = _dense(t)
     heads = mf.vertex_heads(mf.build_vertices(t, ids))
     view = mf.triplet_view(heads, mf.encode_edges(t, ids, distinct=False))
@@ -185,21 +185,21 @@ def semi_join(spark, directory):
 
 
 def property_bag(spark, directory):
-    t = triples_from_tables(spark, directory).all()
+    t = triples_from_tables(spark, directory)
     pairs = F.transform("props", lambda x: F.concat_ws(" ", x["prop"], x["obj"]))
     return mf.property_bag(t).select("s", "part", F.array_join(pairs, " | ").alias("props"))
 
 
 def vertices(spark, directory):
-    t = triples_from_tables(spark, directory).all()
+    t = triples_from_tables(spark, directory)
     return mf.vertex_heads(mf.build_vertices(t, _dense(t)))
 
 
 def vertex_union(spark, directory):
     """Vertices seen as objects (no attributes) united with those seen as subjects."""
-    t = triples_from_tables(spark, directory).all()
+    t = triples_from_tables(spark, directory)
     ids = mf.assign_ids(mf.node_set(t))
-    as_subject = mf.build_vertices(t, ids.join(t.select(F.col("s").alias("uri")), "uri", "left_semi"))
+    as_subject = mf.build_vertices(t, ids.join(t.all().select(F.col("s").alias("uri")), "uri", "left_semi"))
     as_object = mf.object_nodes(t, ids).select(
         "id", "uri", F.lit(0).alias("part"), F.array().cast(as_subject.schema["props"].dataType).alias("props")
     )
@@ -253,16 +253,16 @@ def dedup(spark, directory):
 
 
 def node_set(spark, directory):
-    return mf.node_set(triples_from_tables(spark, directory).all())
+    return mf.node_set(triples_from_tables(spark, directory))
 
 
 def graph_nodes(spark, directory):
-    return mf.graph_nodes(triples_from_tables(spark, directory).all())
+    return mf.graph_nodes(triples_from_tables(spark, directory))
 
 
 def hash_ids(spark, directory):
     """Hash ids checked: nodes, different ids, ids shared by two nodes."""
-    ids = mf.assign_ids(mf.graph_nodes(triples_from_tables(spark, directory).all()))
+    ids = mf.assign_ids(mf.graph_nodes(triples_from_tables(spark, directory)))
     per_id = ids.groupBy("id").agg(F.count("*").alias("k"))
     return per_id.agg(
         F.sum("k").alias("n_nodes"),
@@ -272,7 +272,7 @@ def hash_ids(spark, directory):
 
 
 def dense_ids(spark, directory):
-    return _dense(triples_from_tables(spark, directory).all(), DENSE_START)
+    return _dense(triples_from_tables(spark, directory), DENSE_START)
 
 
 def next_id(spark, directory):
@@ -280,17 +280,17 @@ def next_id(spark, directory):
 
 
 def infer_types(spark, directory):
-    t = triples_from_tables(spark, directory).all()
+    t = triples_from_tables(spark, directory)
     return mf.infer_types(t, mf.class_rule_table(spark, CLASS_RULES))
 
 
 def infer_predicates(spark, directory):
-    t = triples_from_tables(spark, directory).all()
+    t = triples_from_tables(spark, directory)
     return mf.infer_predicates(t, mf.predicate_rule_table(spark, PREDICATE_RULES))
 
 
 def infer(spark, directory):
-    t = triples_from_tables(spark, directory).all()
+    t = triples_from_tables(spark, directory)
     bag = mf.infer(
         t,
         mf.class_rule_table(spark, CLASS_RULES),
@@ -316,7 +316,7 @@ def triple_text(spark, directory):
 
 def vertex_text(spark, directory):
     """Vertex lines written and read back, one row per attribute pair."""
-    t = triples_from_tables(spark, directory).all()
+    t = triples_from_tables(spark, directory)
     path = new_path(spark, "vertex-text")
     mf.write_vertices(mf.build_vertices(t, _dense(t)), path)
     lines = mf.read_vertices(spark, path)
@@ -342,7 +342,7 @@ def edge_table(spark, directory):
 
 def stored_triangle(spark, directory):
     """The flagship query over a stored graph with forward inference."""
-    t = triples_from_tables(spark, directory).all()
+    t = triples_from_tables(spark, directory)
     full = mf.infer(
         t,
         mf.class_rule_table(spark, CLASS_RULES),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_BYTES, text_bytes
-from ..sources.triples import union_all
+from ..sources.triples import frame, union_all
 from .triples import data_triples, object_triples
 
 #: Most attribute pairs in one array row; larger subjects take several rows.
@@ -17,14 +17,14 @@ BAG_SIZE = 1_000_000
 EMPTY_BAG = "array<struct<prop:string,obj:string>>"
 
 
-def property_bag(t: DataFrame, bag_size: int = BAG_SIZE) -> DataFrame:
+def property_bag(triples, bag_size: int = BAG_SIZE) -> DataFrame:
     """``(s, part, props)``: the set of (prop, obj) pairs of every subject, sorted.
 
     Subjects with at most ``bag_size`` attribute triples have the single part 0.
     A larger subject is cut by a hash of the pair into parts of about that size,
     so no task and no row ever holds all attributes of a hot subject.
     """
-    data = data_triples(t)
+    data = data_triples(triples)
     counts = data.groupBy("s").agg(F.count("*").alias("#n")).where(F.col("#n") > bag_size)
     # Integer division, rounded up.
     large = counts.select("s", F.expr(f"(`#n` + {bag_size} - 1) div {bag_size}").alias("#parts"))
@@ -40,23 +40,23 @@ def property_bag(t: DataFrame, bag_size: int = BAG_SIZE) -> DataFrame:
     return cut.groupBy("s", "part").agg(F.sort_array(F.collect_set("pair")).alias("props"))
 
 
-def attach_props(t: DataFrame, vertices: DataFrame) -> DataFrame:
+def attach_props(triples, vertices: DataFrame) -> DataFrame:
     """``(id, uri, prop, obj)``: attribute triples joined with their vertex."""
-    data = data_triples(t).select(
+    data = data_triples(triples).select(
         F.col("s").alias("uri"), F.col("p").alias("prop"), F.col("o").alias("obj")
     )
     return vertices.select("id", "uri").join(data, "uri").select("id", "uri", "prop", "obj")
 
 
-def object_nodes(t: DataFrame, vertices: DataFrame) -> DataFrame:
+def object_nodes(triples, vertices: DataFrame) -> DataFrame:
     """``(id, uri)`` of vertices that occur as an object of any triple."""
-    objects = t.select(F.col("o").alias("uri")).distinct()
+    objects = frame(triples).select(F.col("o").alias("uri")).distinct()
     return vertices.select("id", "uri").join(objects, "uri", "left_semi")
 
 
-def build_vertices(t: DataFrame, ids: DataFrame, bag_size: int = BAG_SIZE) -> DataFrame:
+def build_vertices(triples, ids: DataFrame, bag_size: int = BAG_SIZE) -> DataFrame:
     """``(id, uri, part, props)``: every node of ``ids`` with its attributes, if any."""
-    bags = property_bag(t, bag_size).withColumnRenamed("s", "uri")
+    bags = property_bag(triples, bag_size).withColumnRenamed("s", "uri")
     return ids.join(bags, "uri", "left").select(
         "id",
         "uri",
@@ -79,13 +79,13 @@ def vertex_heads(vertices: DataFrame) -> DataFrame:
     return vertices.groupBy("id", "uri").agg(F.sum(F.size("props")).alias("n_props"))
 
 
-def encode_edges(t: DataFrame, ids: DataFrame, distinct: bool = True) -> DataFrame:
+def encode_edges(triples, ids: DataFrame, distinct: bool = True) -> DataFrame:
     """Object triples as ``(src, dst, pred)`` over node ids.
 
     Both sides of each join are plain shuffles, so adaptive execution can split
     a hub.  ``distinct=False`` saves a shuffle where the triples are a set.
     """
-    edges = object_triples(t).select("s", "p", "o")
+    edges = object_triples(triples).select("s", "p", "o")
     if distinct:
         edges = edges.distinct()
     source = ids.select(F.col("uri").alias("s"), F.col("id").alias("src"))
@@ -93,9 +93,9 @@ def encode_edges(t: DataFrame, ids: DataFrame, distinct: bool = True) -> DataFra
     return edges.join(source, "s").join(target, "o").select("src", "dst", F.col("p").alias("pred"))
 
 
-def encode_edges_hashed(t: DataFrame, distinct: bool = True) -> DataFrame:
+def encode_edges_hashed(triples, distinct: bool = True) -> DataFrame:
     """``encode_edges`` for hash ids: computed in place, without any join."""
-    edges = object_triples(t).select(
+    edges = object_triples(triples).select(
         F.xxhash64("s").alias("src"), F.xxhash64("o").alias("dst"), F.col("p").alias("pred")
     )
     return edges.distinct() if distinct else edges

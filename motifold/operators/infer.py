@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import RDF_TYPE
 from ..session import broadcast_if_small
-from ..sources.triples import union_all
+from ..sources.triples import as_source, frame, union_all
 
 
 def rule_table(spark: SparkSession, pairs, columns: tuple[str, str]) -> DataFrame:
@@ -23,33 +23,33 @@ def predicate_rule_table(spark: SparkSession, pairs) -> DataFrame:
     return rule_table(spark, pairs, ("p", "super"))
 
 
-def infer_types(t: DataFrame, class_rules: DataFrame) -> DataFrame:
+def infer_types(triples, class_rules: DataFrame) -> DataFrame:
     """Derived triples only: ``x type C`` with a rule ``C -> D`` gives ``x type D``."""
     rules = broadcast_if_small(class_rules.select("cls", "super"))
-    typed = t.where(F.col("p") == RDF_TYPE)
+    typed = as_source(triples).scan(RDF_TYPE)
     return typed.join(rules, F.col("o") == F.col("cls")).select(
         "s", "p", F.col("super").alias("o")
     )
 
 
-def infer_predicates(t: DataFrame, predicate_rules: DataFrame) -> DataFrame:
+def infer_predicates(triples, predicate_rules: DataFrame) -> DataFrame:
     """Derived triples only: ``x p y`` with a rule ``p -> q`` gives ``x q y``."""
     rules = broadcast_if_small(predicate_rules.select("p", "super"))
-    return t.join(rules, "p").select("s", F.col("super").alias("p"), "o")
+    return frame(triples).join(rules, "p").select("s", F.col("super").alias("p"), "o")
 
 
 def infer(
-    t: DataFrame,
+    triples,
     class_rules: DataFrame | None = None,
     predicate_rules: DataFrame | None = None,
     distinct: bool = False,
 ) -> DataFrame:
     """The input triples and all derived ones, as a bag unless ``distinct``."""
-    parts = [t.select("s", "p", "o")]
+    parts = [frame(triples)]
     if class_rules is not None:
-        parts.append(infer_types(t, class_rules))
+        parts.append(infer_types(triples, class_rules))
     if predicate_rules is not None:
-        parts.append(infer_predicates(t, predicate_rules))
+        parts.append(infer_predicates(triples, predicate_rules))
     out = union_all(parts)
     return out.distinct() if distinct else out
 

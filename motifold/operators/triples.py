@@ -8,28 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import triple_kind
-from ..sources.triples import as_source, no_triples, union_all
+from ..sources.triples import as_source, frame, no_triples, union_all
 
 
-def classify_triples(t: DataFrame) -> DataFrame:
-    """Add ``kind``: literal, type or object."""
-    return t.withColumn("kind", triple_kind(F.col("p"), F.col("o")))
+def classify_triples(triples) -> DataFrame:
+    """Triples with ``kind``: literal, type or object."""
+    return frame(triples).withColumn("kind", triple_kind(F.col("p"), F.col("o")))
 
 
-def data_triples(t: DataFrame) -> DataFrame:
+def data_triples(triples) -> DataFrame:
     """Attributes: literal and type triples."""
-    return t.where(triple_kind(F.col("p"), F.col("o")) != "object")
+    return frame(triples, "data")
 
 
-def object_triples(t: DataFrame) -> DataFrame:
+def object_triples(triples) -> DataFrame:
     """Graph edges: triples that are neither literal nor type."""
-    return t.where(triple_kind(F.col("p"), F.col("o")) == "object")
+    return frame(triples, "object")
 
 
-def predicate_catalog(t: DataFrame) -> DataFrame:
+def predicate_catalog(triples) -> DataFrame:
     """``(p, kind, n)``: a predicate is data if any of its uses is literal or type."""
     is_data = triple_kind(F.col("p"), F.col("o")) != "object"
-    return t.groupBy("p").agg(
+    return frame(triples).groupBy("p").agg(
         F.when(F.bool_or(is_data), "data").otherwise("object").alias("kind"),
         F.count("*").alias("n"),
     )
@@ -49,20 +49,17 @@ def dedup_triples(t: DataFrame) -> DataFrame:
     return t.dropDuplicates(["s", "p", "o"])
 
 
-def node_set(t: DataFrame) -> DataFrame:
+def node_set(triples) -> DataFrame:
     """Distinct subjects and objects, literals and classes included.
 
-    Each end is reduced on its own first, so a hub is one row per task when the
-    two meet in the shuffle.
+    Repeats merge before the shuffle, so a hub is one row per task.
     """
-    ends = t.select(F.col("s").alias("node")).unionByName(t.select(F.col("o").alias("node")))
-    return ends.distinct()
+    return as_source(triples).ends().distinct()
 
 
-def graph_nodes(t: DataFrame) -> DataFrame:
+def graph_nodes(triples) -> DataFrame:
     """Distinct subjects and objects for the vertex table.
 
     Every subject is a node; an object is one only if its triple is an edge.
     """
-    objects = object_triples(t).select(F.col("o").alias("node"))
-    return t.select(F.col("s").alias("node")).unionByName(objects).distinct()
+    return as_source(triples).ends("object").distinct()

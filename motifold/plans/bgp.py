@@ -454,5 +454,5 @@ def match_stats(triples, patterns: Iterable, root: str) -> DataFrame:
             )
         ).alias("stage", "n")
     )
-    nodes = node_set(source.all()).agg(F.count("*").alias("n"))
+    nodes = node_set(source).agg(F.count("*").alias("n"))
     return union_all([nodes.select(F.lit("nodes").alias("stage"), "n"), counts])

@@ -14,8 +14,7 @@ from dataclasses import dataclass, replace
 from functools import cache
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..functions.terms import RDF_TYPE, is_literal
@@ -24,6 +23,11 @@ from .triples import Predicate, no_triples, union_all
 _INT_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
 
+def sql_text(value: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @dataclass(frozen=True)
 class Term:
     """``prefix + column + suffix``, or the constant ``prefix`` without a column."""
@@ -32,10 +36,11 @@ class Term:
     column: str | None = None
     suffix: str = ""
 
-    def build(self) -> Column:
+    def sql(self) -> str:
+        """The term as a SQL expression over its table."""
         if self.column is None:
-            return F.lit(self.prefix)
-        return F.concat(F.lit(self.prefix), F.col(self.column).cast("string"), F.lit(self.suffix))
+            return sql_text(self.prefix)
+        return f"concat({sql_text(self.prefix)}, `{self.column}`, {sql_text(self.suffix)})"
 
     def key_text(self, term: str) -> str | None:
         """The column text that builds ``term``, or None if this template cannot."""
@@ -58,15 +63,15 @@ class Term:
         return heads[1].startswith(heads[0]) and tails[1].endswith(tails[0])
 
 
-def _key_value(text: str, kind: T.DataType):
-    """Column value whose text form is exactly ``text``, or None."""
+def _key_sql(text: str, kind: T.DataType) -> str | None:
+    """SQL literal of the column value whose text form is exactly ``text``, or None."""
     bits = _INT_BITS.get(type(kind))
     if bits is None:
-        return text
+        return sql_text(text)
     if not re.fullmatch(r"0|-?[1-9][0-9]*", text):
         return None
     value = int(text)
-    return value if -(2 ** (bits - 1)) <= value < 2 ** (bits - 1) else None
+    return text if -(2 ** (bits - 1)) <= value < 2 ** (bits - 1) else None
 
 
 @dataclass(frozen=True)
@@ -85,6 +90,10 @@ class Rule:
     key: bool = False
     only: tuple[str, tuple] | None = None
 
+    @property
+    def is_data(self) -> bool:
+        return self.predicate == RDF_TYPE or is_literal(self.object.prefix)
+
     def may_overlap(self, other: Rule) -> bool:
         return (
             self.predicate == other.predicate
@@ -136,8 +145,47 @@ class TableTriples:
     def scan(self, p: str, s: str | None = None, o: str | None = None) -> DataFrame:
         return self._union([r for r in self.rules if r.predicate == p], s, o)
 
-    def all(self) -> DataFrame:
-        return self._union(self.rules)
+    def all(self, kind: str | None = None) -> DataFrame:
+        """All triples, or only the ``data`` or ``object`` ones.
+
+        Rules on the unique key of a table share one scan of it.
+        """
+        rules = [r for r in self.rules if kind is None or r.is_data == (kind == "data")]
+        if not rules:
+            return no_triples(self.spark)
+        shared: dict[str, list[Rule]] = {}
+        for r in rules:
+            if r.key and r.only is None:
+                shared.setdefault(r.table, []).append(r)
+        alone = [r for r in rules if not (r.key and r.only is None)]
+        frames = [self._rows_of_table(group) for group in shared.values()]
+        frames += [self._rows(r, None, None) for r in alone]
+        df = union_all(frames)
+        overlap = any(a.may_overlap(b) for a, b in combinations(rules, 2))
+        return df.distinct() if overlap else df
+
+    def ends(self, kind: str | None = None) -> DataFrame:
+        """Column ``node``: subjects and objects with few repeats.
+
+        ``kind='object'`` leaves out the objects of attributes.  Every key column
+        is read once and reduced before any string is built.
+        """
+        found: dict[tuple, bool] = {}
+        for r in self.rules:
+            subject = (r.table, r.subject, r.only)
+            found[subject] = found.get(subject, False) or r.key
+            if kind is None or not r.is_data:
+                found.setdefault((r.table, r.object, r.only), False)
+        frames = []
+        for (table, term, only), unique in found.items():
+            df = self._restricted(table, only, [term])
+            if term.column is None:
+                df = df.limit(1).selectExpr(f"{term.sql()} AS node")
+            else:
+                df = df.select(term.column)
+                df = (df if unique else df.distinct()).selectExpr(f"{term.sql()} AS node")
+            frames.append(df)
+        return union_all(frames)
 
     def catalog(self, predicates: Iterable[str]) -> dict[str, Predicate]:
         """Known from the rules alone, no table is read."""
@@ -149,7 +197,7 @@ class TableTriples:
                     a.subject.may_equal(b.subject) for a, b in combinations(rules, 2)
                 )
                 found[p] = Predicate(
-                    is_data=p == RDF_TYPE or any(is_literal(r.object.prefix) for r in rules),
+                    is_data=any(r.is_data for r in rules),
                     functional=apart and all(r.key for r in rules),
                 )
         return found
@@ -163,36 +211,51 @@ class TableTriples:
         overlap = any(a.may_overlap(b) for a, b in combinations(used, 2))
         return df.distinct() if overlap else df
 
+    def _restricted(self, table: str, only: tuple | None, terms: Iterable[Term]) -> DataFrame:
+        """Rows of a table that have all term columns and an allowed value."""
+        df = self._tables[table]()
+        tests = [f"`{t.column}` IS NOT NULL" for t in terms if t.column is not None]
+        if only is not None:
+            column, texts = only
+            kind = df.schema[column].dataType
+            values = [v for t in texts if (v := _key_sql(t, kind)) is not None]
+            tests.append(f"`{column}` IN ({', '.join(values)})" if values else "false")
+        return df.where(" AND ".join(dict.fromkeys(tests))) if tests else df
+
     def _rows(self, rule: Rule, s: str | None, o: str | None) -> DataFrame | None:
-        df = self._tables[rule.table]()
-        columns = []
-        for term, constant in ((rule.subject, s), (rule.object, o)):
-            if constant is not None:
-                text = term.key_text(constant)
-                if text is None:
-                    return None
-                if term.column is not None:
-                    value = _key_value(text, df.schema[term.column].dataType)
-                    if value is None:
-                        return None
-                    df = df.where(F.col(term.column) == F.lit(value))
+        """Triples of one rule with constant ends pushed to key columns."""
+        terms = (rule.subject, rule.object)
+        df = self._restricted(rule.table, rule.only, terms)
+        for term, constant in zip(terms, (s, o), strict=True):
+            if constant is None:
+                continue
+            text = term.key_text(constant)
+            if text is None:
+                return None
             if term.column is not None:
-                df = df.where(F.col(term.column).isNotNull())
-                columns.append(term.column)
-        if rule.only is not None:
-            column, texts = rule.only
-            kind = df.schema[column].dataType
-            values = [v for t in texts if (v := _key_value(t, kind)) is not None]
-            df = df.where(F.col(column).isin(values))
-        df = df.select(*dict.fromkeys(columns))
+                value = _key_sql(text, df.schema[term.column].dataType)
+                if value is None:
+                    return None
+                df = df.where(f"`{term.column}` = {value}")
+        columns = dict.fromkeys(t.column for t in terms if t.column is not None)
+        df = df.select(*columns)
         if not rule.key:
             df = df.distinct()
-        return df.select(
-            rule.subject.build().alias("s"),
-            F.lit(rule.predicate).alias("p"),
-            rule.object.build().alias("o"),
+        return df.selectExpr(
+            f"{rule.subject.sql()} AS s",
+            f"{sql_text(rule.predicate)} AS p",
+            f"{rule.object.sql()} AS o",
         )
 
+    def _rows_of_table(self, rules: list[Rule]) -> DataFrame:
+        """Triples of several rules of one table in one pass over its rows."""
+        triples = ", ".join(
+            f"struct({r.subject.sql()} AS s, {sql_text(r.predicate)} AS p, {r.object.sql()} AS o)"
+            for r in rules
+        )
+        rows = self._tables[rules[0].table]().selectExpr(f"inline(array({triples}))")
+        return rows.where("s IS NOT NULL AND o IS NOT NULL")
+
 
 # --- the order-entry tables -------------------------------------------------
 
@@ -273,11 +336,19 @@ PREDICATE_RULES = (
 )
 
 
+@cache
+def _table_schema(application: str, path: str) -> T.StructType:
+    """Schema of a table, taken from its files once per application."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 def triples_from_tables(spark: SparkSession, directory: str) -> TableTriples:
     """The order-entry tables of ``directory`` as a set of triples."""
 
     def table(name: str) -> Callable[[], DataFrame]:
-        return cache(lambda: spark.read.parquet(f"{directory}/{name}.parquet"))
+        path = f"{directory}/{name}.parquet"
+        application = spark.sparkContext.applicationId
+        return cache(lambda: spark.read.schema(_table_schema(application, path)).parquet(path))
 
     names = ("customer", "supplier", "nation", "region", "part", "orders", "lineitem")
     tables = {name: table(name) for name in names}
@@ -285,6 +356,6 @@ def triples_from_tables(spark: SparkSession, directory: str) -> TableTriples:
     def purchase() -> DataFrame:
         lines = tables["lineitem"]().select("l_orderkey", "l_suppkey")
         orders = tables["orders"]().select("o_orderkey", "o_custkey")
-        return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
 
     return TableTriples(spark, ORDER_ENTRY_RULES, {**tables, "purchase": purchase})

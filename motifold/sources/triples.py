@@ -37,6 +37,11 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def frame(triples, kind: str | None = None) -> DataFrame:
+    """Triples of a DataFrame or source as a DataFrame, restricted to one kind."""
+    return as_source(triples).all(kind)
+
+
 class FrameTriples:
     """Triples held in a DataFrame ``(s, p, o)`` that is already a set."""
 
@@ -53,8 +58,24 @@ class FrameTriples:
             df = df.where(F.col("o") == o)
         return df.select("s", "p", "o")
 
-    def all(self) -> DataFrame:
-        return self.df.select("s", "p", "o")
+    def all(self, kind: str | None = None) -> DataFrame:
+        """All triples, or only the ``data`` or ``object`` ones."""
+        df = self.df.select("s", "p", "o")
+        if kind is None:
+            return df
+        is_object = triple_kind(F.col("p"), F.col("o")) == "object"
+        return df.where(is_object if kind == "object" else ~is_object)
+
+    def ends(self, kind: str | None = None) -> DataFrame:
+        """Column ``node``: subjects and objects in one pass over the triples.
+
+        ``kind='object'`` leaves out the objects of attributes.
+        """
+        both = F.array("s", "o")
+        if kind == "object":
+            is_object = triple_kind(F.col("p"), F.col("o")) == "object"
+            both = F.when(is_object, both).otherwise(F.array("s"))
+        return self.df.select(F.explode(both).alias("node"))
 
     def catalog(self, predicates: Iterable[str]) -> dict[str, Predicate]:
         """Catalog rows of the given predicates: at most one row each."""
