@@ -26,14 +26,18 @@ def has_property_value(triples, p: str, o: str) -> DataFrame:
 
 
 def star_members(
-    triples, constraints: Sequence[Constraint], within: DataFrame | None = None
+    triples,
+    constraints: Sequence[Constraint],
+    within: DataFrame | None = None,
+    variable: str | None = None,
 ) -> DataFrame:
     """Subjects ``s`` that satisfy every ``(p, o)`` constraint.
 
     Two or more constraints take one aggregation by subject with one flag per
     constraint; flags merge before the shuffle, so a subject with very many
     values is a single row per task.  ``within`` is a small broadcast table of
-    candidate subjects; with it only their rows are aggregated at all.
+    candidate subjects; with it only their rows are aggregated at all.  A source
+    prepared for a query gives the subjects in the form of ``variable``.
     """
     source = as_source(triples)
     wanted = list(dict.fromkeys(constraints))
@@ -41,13 +45,12 @@ def star_members(
         raise ValueError("a star filter needs at least one constraint")
     rows = []
     for k, (p, o) in enumerate(wanted):
-        found = source.scan(p, o=None if is_variable(o) else o).select("s")
+        found = source.subjects(p, None if is_variable(o) else o, variable)
         if within is not None:
             found = found.join(within, "s", "left_semi")
+        if len(wanted) == 1:
+            return found.distinct() if is_variable(o) else found
         rows.append(found.select("s", *(F.lit(k == i).alias(f"#{i}") for i in range(len(wanted)))))
-    if len(wanted) == 1:
-        only = rows[0].select("s")
-        return only.distinct() if is_variable(wanted[0][1]) else only
     flags = [F.bool_or(f"#{i}").alias(f"#{i}") for i in range(len(wanted))]
     passed = reduce(lambda a, b: a & b, (F.col(f"#{i}") for i in range(len(wanted))))
     return union_all(rows).groupBy("s").agg(*flags).where(passed).select("s")

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.terms import RDF_TYPE
 from ..session import broadcast_if_small
 from ..sources.triples import as_source, frame, union_all
+from .triples import filter_edges
+
+#: At most this many predicates are named in a scan filter.
+LISTED = 1000
 
 
 def rule_table(spark: SparkSession, pairs, columns: tuple[str, str]) -> DataFrame:
@@ -35,7 +39,10 @@ def infer_types(triples, class_rules: DataFrame) -> DataFrame:
 def infer_predicates(triples, predicate_rules: DataFrame) -> DataFrame:
     """Derived triples only: ``x p y`` with a rule ``p -> q`` gives ``x q y``."""
     rules = broadcast_if_small(predicate_rules.select("p", "super"))
-    return frame(triples).join(rules, "p").select("s", F.col("super").alias("p"), "o")
+    # A short list of predicates restricts the scan itself.
+    names = [r["p"] for r in predicate_rules.select("p").distinct().limit(LISTED + 1).collect()]
+    t = frame(triples) if len(names) > LISTED else filter_edges(triples, names)
+    return t.join(rules, "p").select("s", F.col("super").alias("p"), "o")
 
 
 def infer(

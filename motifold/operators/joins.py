@@ -14,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import is_variable, match_term, pattern_variables, variable_name
-from ..sources.triples import as_source, union_all
+from ..functions.terms import check_pattern
+from ..sources.triples import as_source, pattern_rows, union_all
 
 #: A key is hot when it holds more than one row in this many.  There are fewer
 #: hot keys than this number, whatever the data, so their list can be broadcast.
@@ -32,16 +32,7 @@ def shared_columns(a: DataFrame, b: DataFrame) -> list[str]:
 
 def pattern_scan(triples, pattern) -> DataFrame:
     """All matches of one pattern, one column per variable."""
-    s, p, o = pattern
-    rows = as_source(triples).scan(
-        p, None if is_variable(s) else s, None if is_variable(o) else o
-    )
-    rows = rows.where(match_term(F.col("s"), s) & match_term(F.col("o"), o))
-    if is_variable(s) and s == o:
-        rows = rows.where(F.col("s") == F.col("o"))
-        return rows.select(F.col("s").alias(variable_name(s)))
-    ends = [(F.col(c), t) for c, t in (("s", s), ("o", o)) if is_variable(t)]
-    return rows.select(*(c.alias(variable_name(t)) for c, t in ends))
+    return pattern_rows(as_source(triples), check_pattern(pattern))
 
 
 def natural_join(
@@ -148,16 +139,3 @@ def project_solutions(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     kept = df.select(*map(quoted, variables))
     return kept.distinct() if set(df.columns) - set(variables) else kept
 
-
-__all__ = [
-    "expand_edge",
-    "merge_bindings",
-    "natural_join",
-    "pair_join",
-    "pattern_scan",
-    "pattern_variables",
-    "project_solutions",
-    "salted_join",
-    "semi_join",
-    "union_bindings",
-]

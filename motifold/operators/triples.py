@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import triple_kind
-from ..sources.triples import as_source, frame, no_triples, union_all
+from ..sources.triples import as_source, frame, no_triples
 
 
 def classify_triples(triples) -> DataFrame:
@@ -41,7 +41,7 @@ def filter_edges(triples, predicates: Iterable[str]) -> DataFrame:
     wanted = list(dict.fromkeys(predicates))
     if not wanted:
         return no_triples(source.spark)
-    return union_all(source.scan(p) for p in wanted)
+    return source.scan_any(wanted)
 
 
 def dedup_triples(t: DataFrame) -> DataFrame:

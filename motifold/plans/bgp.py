@@ -8,7 +8,7 @@ their subject; patterns on edges are joined.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +22,11 @@ from ..functions.terms import (
     pattern_variables,
     variable_name,
 )
-from ..operators.filters import is_selective, match_star, star_filter
-from ..operators.joins import natural_join, pair_join, pattern_scan, quoted
+from ..operators.filters import is_selective, star_members
+from ..operators.joins import natural_join, pair_join, quoted, semi_join
 from ..operators.triples import node_set
 from ..session import BROADCAST_BYTES, text_bytes
-from ..sources.triples import Predicate, as_source, union_all
+from ..sources.triples import Predicate, Relation, as_source, union_all
 
 
 @dataclass
@@ -44,8 +44,11 @@ class Query:
         return list(dict.fromkeys([*found, *self.stars]))
 
 
-def prepare(source, patterns: Iterable, bind_data: bool, allow_cross: bool) -> Query:
-    """Split patterns into edges, attribute constraints and existence guards."""
+def prepare(source, patterns: Iterable, bind_data: bool, allow_cross: bool):
+    """Split patterns into edges, attribute constraints and existence guards.
+
+    Returns the source prepared for the query, and the query.
+    """
     wanted = list(dict.fromkeys(check_pattern(p) for p in patterns))
     if not wanted:
         raise ValueError("a query needs at least one pattern")
@@ -65,7 +68,7 @@ def prepare(source, patterns: Iterable, bind_data: bool, allow_cross: bool) -> Q
     _check_names(source.spark, query.variables)
     if not allow_cross:
         _check_connected(query)
-    return query
+    return source.for_query(query), query
 
 
 def _check_names(spark: SparkSession, variables: Sequence[str]) -> None:
@@ -100,109 +103,95 @@ def _check_connected(query: Query) -> None:
         raise ValueError(f"patterns are not connected: {[sorted(g) for g in groups]}")
 
 
-def _join_order(query: Query) -> list[tuple]:
-    """Edges of one component: constants first, then always a connected one.
+def _open_tests(query: Query, done, variable: str) -> list:
+    """Constraints of a variable that no relation has applied yet."""
+    return [c for c in query.stars.get(variable, ()) if (variable, c) not in done]
 
-    A pattern with more bound variables goes first (it only filters), then one
-    that gives each binding a single partner, then the given order.
-    """
 
-    def has_constant(e) -> bool:
-        return len(pattern_variables(e)) < 2 and e[0] != e[2]
+def _selective(query: Query, r: Relation) -> bool:
+    return any(is_selective(c) for v in r.variables for c in query.stars.get(v, ()))
 
-    def has_value_test(e) -> bool:
-        return any(is_selective(c) for v in pattern_variables(e) for c in query.stars.get(v, ()))
 
-    def functional(e) -> bool:
-        return query.catalog.get(e[1], Predicate()).functional
+def _join_order(query: Query, relations: Sequence[Relation]) -> list[Relation]:
+    """Relations of one component: constants first, then always a connected one.
 
-    left = list(query.edges)
-    ordered: list[tuple] = []
+    A relation with more bound variables goes first (it only filters), then one
+    that gives each binding a single partner, then the given order.
+    """
+    left = list(relations)
+    ordered: list[Relation] = []
     bound: set[str] = set()
     while left:
         if not bound:
-            # Many-to-many predicates start: the functional ones then only widen rows.
-            best = min(left, key=lambda e: (not has_constant(e), not has_value_test(e), functional(e)))
+            # Many-to-many relations start: the others then only widen their rows.
+            best = min(
+                left,
+                key=lambda r: (not r.constant, not _selective(query, r), r.determined_by is not None),
+            )
         else:
-            near = [e for e in left if bound & set(pattern_variables(e))]
             best = min(
-                near,
-                key=lambda e: (
-                    len(set(pattern_variables(e)) - bound),
-                    not has_constant(e),
-                    not (functional(e) and is_variable(e[0]) and variable_name(e[0]) in bound),
+                (r for r in left if bound & set(r.variables)),
+                key=lambda r: (
+                    len(set(r.variables) - bound),
+                    not r.constant,
+                    r.determined_by not in bound,
                 ),
             )
         left.remove(best)
         ordered.append(best)
-        bound |= set(pattern_variables(best))
+        bound |= set(best.variables)
     return ordered
 
 
 class _Component:
-    """Binding table of edges connected by variables, built scan by scan."""
+    """Binding table of relations connected by variables."""
 
     def __init__(self, source, query: Query, probe_bytes: int, salts: int):
         self.source = source
         self.query = query
         self.probe_bytes = probe_bytes
         self.salts = salts
-        self.tested: set[str] = set()
+        self.done: set = set()
 
-    def _tests(self, df: DataFrame, small: bool) -> DataFrame:
-        """Apply the constraints of every variable that is new in ``df``."""
+    def _test(self, df: DataFrame, small: bool = False) -> DataFrame:
+        """Apply the open constraints of every variable of ``df``."""
         for v in df.columns:
-            if v in self.query.stars and v not in self.tested:
-                within = None
-                if small:
-                    within = F.broadcast(df.select(quoted(v).alias("s")).distinct())
-                df = star_filter(df, v, self.source, self.query.stars[v], within)
-            self.tested.add(v)
+            constraints = _open_tests(self.query, self.done, v)
+            if not constraints:
+                continue
+            within = None
+            if small:
+                keys = df.select(quoted(v).alias("s"))
+                within = F.broadcast(keys if len(df.columns) == 1 else keys.distinct())
+            members = star_members(self.source, constraints, within, v)
+            df = semi_join(df, members.withColumnRenamed("s", v))
+            self.done |= {(v, c) for c in constraints}
         return df
 
     def _is_small(self, df: DataFrame) -> bool:
         return self.probe_bytes > 0 and text_bytes(df) <= self.probe_bytes
 
-    def bindings(self) -> DataFrame:
-        first, *rest = _join_order(self.query)
-        bound = pattern_scan(self.source, first)
-        constant = len(bound.columns) < 2 and first[0] != first[2]
-        useful = rest or any(v in self.query.stars for v in bound.columns)
-        small = bool(constant and useful) and self._is_small(bound)
-        selective = any(is_selective(c) for v in bound.columns for c in self.query.stars.get(v, ()))
-        bound = self._tests(bound, small)
-        if selective and rest and not small:
+    def bindings(self, relations: Sequence[Relation]) -> DataFrame:
+        for r in relations:
+            self.done |= r.tested
+        first, *rest = _join_order(self.query, relations)
+        bound = first.df
+        tests = any(_open_tests(self.query, self.done, v) for v in first.variables)
+        small = first.constant and bool(rest or tests) and self._is_small(bound)
+        bound = self._test(bound, small)
+        if rest and not small and _selective(self.query, first):
             small = self._is_small(bound)
-        for pattern in rest:
-            scan = pattern_scan(self.source, pattern)
+        for r in rest:
             if small:
-                # The measured start goes to the rows of the next edge, not the reverse.
-                shared = [c for c in bound.columns if c in scan.columns]
-                bound = scan.join(F.broadcast(bound), shared)
+                # The measured start goes to the rows of the next relation, not the reverse.
+                shared = [v for v in bound.columns if v in r.variables]
+                bound = self._test(r.df.join(F.broadcast(bound), shared))
                 small = False
-                bound = self._tests(bound, small)
-            elif set(scan.columns) <= set(bound.columns):
-                bound = natural_join(bound, scan, salts=self.salts)
             else:
-                bound = natural_join(bound, self._tests(scan, False), salts=self.salts)
+                bound = natural_join(bound, self._test(r.df), salts=self.salts)
         return bound
 
 
-def _components(query: Query) -> list[Query]:
-    """The query cut where no variable is shared."""
-    names = [pattern_variables(e) for e in query.edges] + [[v] for v in query.stars]
-    parts = []
-    for group in _groups(names):
-        parts.append(
-            Query(
-                edges=[e for e in query.edges if set(pattern_variables(e)) <= group],
-                stars={v: c for v, c in query.stars.items() if v in group},
-                catalog=query.catalog,
-            )
-        )
-    return parts
-
-
 def _guarded(df: DataFrame, source, guards: Sequence[tuple]) -> DataFrame:
     """Keep ``df`` only if every guard pattern has a match."""
     for s, p, o in guards:
@@ -232,57 +221,54 @@ def match_bgp(
     join is measured first and broadcast up to ``probe_bytes``; 0 turns this
     off.  ``salts > 1`` splits hot keys in every other join.
     """
-    source = as_source(triples)
-    query = prepare(source, patterns, bind_data, allow_cross)
+    source, query = prepare(as_source(triples), patterns, bind_data, allow_cross)
+    relations = source.relations()
     tables = []
-    for part in _components(query):
-        if part.edges:
-            tables.append(_Component(source, part, probe_bytes, salts).bindings())
+    for names in _groups([*(r.variables for r in relations), *([v] for v in query.stars)]):
+        part = [r for r in relations if names & set(r.variables)]
+        if part:
+            tables.append(_Component(source, query, probe_bytes, salts).bindings(part))
         else:
-            ((variable, constraints),) = part.stars.items()
-            tables.append(match_star(source, constraints, variable))
+            (v,) = names
+            members = star_members(source, query.stars[v], variable=v)
+            tables.append(members.withColumnRenamed("s", v))
     df = reduce(pair_join, tables) if tables else _one_row(source.spark)
-    return _guarded(df.select(*map(quoted, query.variables)), source, query.guards)
+    df = source.decode(df.select(*map(quoted, query.variables)), query.variables)
+    return _guarded(df, source.base, query.guards)
 
 
 # --- answers that need no full binding table --------------------------------
 
 
-@dataclass
-class _Relation:
-    """One factor of a query: its variables, its rows and whether rows may repeat."""
-
-    df: DataFrame
-    variables: tuple[str, ...]
-    determined_by: str | None = None  # variable with a single row per value
+_N = "#n"
 
 
-_N = "#n"
+def _counted(df: DataFrame) -> DataFrame:
+    return df.withColumn(_N, F.lit(1).cast("bigint"))
 
 
-def _relations(source, query: Query, counting: bool) -> list[_Relation]:
-    """Every edge scan, with the constraints of a variable on its first scan."""
+def _tested_relations(source, query: Query, counting: bool) -> list[Relation]:
+    """Every relation, with the open constraints of a variable on its first one."""
+    relations = source.relations()
+    done = {t for r in relations for t in r.tested}
     found = []
-    tested: set[str] = set()
-    for edge in query.edges:
-        df = pattern_scan(source, edge)
-        for v in df.columns:
-            if v in query.stars and v not in tested:
-                df = star_filter(df, v, source, query.stars[v])
-            tested.add(v)
-        functional = query.catalog.get(edge[1], Predicate()).functional
-        subject = variable_name(edge[0]) if functional and is_variable(edge[0]) else None
-        found.append(_Relation(df, tuple(df.columns), subject))
+    for r in relations:
+        df = r.df
+        for v in r.variables:
+            constraints = _open_tests(query, done, v)
+            if constraints:
+                members = star_members(source, constraints, variable=v)
+                df = semi_join(df, members.withColumnRenamed("s", v))
+                done |= {(v, c) for c in constraints}
+        found.append(replace(r, df=df))
     for v, constraints in query.stars.items():
-        if v not in tested:
-            found.append(_Relation(match_star(source, constraints, v), (v,)))
-    if counting:
-        for r in found:
-            r.df = r.df.withColumn(_N, F.lit(1).cast("bigint"))
-    return found
+        if not any(v in r.variables for r in relations):
+            members = star_members(source, constraints, variable=v)
+            found.append(Relation(members.withColumnRenamed("s", v), (v,)))
+    return [replace(r, df=_counted(r.df)) for r in found] if counting else found
 
 
-def _shrink(r: _Relation, wanted: set[str], counting: bool) -> _Relation:
+def _shrink(r: Relation, wanted: set[str], counting: bool) -> Relation:
     """Drop variables nobody needs, by summing counts or by distinct."""
     kept = tuple(v for v in r.variables if v in wanted)
     if len(kept) == len(r.variables):
@@ -292,36 +278,31 @@ def _shrink(r: _Relation, wanted: set[str], counting: bool) -> _Relation:
         df = r.df.groupBy(*keys).agg(F.coalesce(F.sum(quoted(_N)), F.lit(0)).alias(_N))
     else:
         df = r.df.select(*keys).distinct() if kept else r.df
-    return _Relation(df, kept)
+    return Relation(df, kept)
 
 
-def _multiply(a: _Relation, b: _Relation) -> _Relation:
-    """Natural join of two counted relations; counts multiply."""
-    other = b.df.withColumnRenamed(_N, "#m")
+def _combine(a: Relation, b: Relation, counting: bool) -> Relation:
+    """Natural join of two relations; counts multiply."""
     shared = [v for v in a.variables if v in b.variables]
-    joined = a.df.join(other, shared)
     variables = tuple(dict.fromkeys((*a.variables, *b.variables)))
-    df = joined.select(*map(quoted, variables), (quoted(_N) * quoted("#m")).alias(_N))
-    return _Relation(df, variables)
-
-
-def _combine(a: _Relation, b: _Relation, counting: bool) -> _Relation:
     if counting:
-        return _multiply(a, b)
-    if set(b.variables) <= set(a.variables):
-        return _Relation(a.df.join(b.df, list(b.variables), "left_semi"), a.variables)
-    df = natural_join(a.df, b.df)
-    return _Relation(df, tuple(df.columns))
+        joined = a.df.join(b.df.withColumnRenamed(_N, "#m"), shared)
+        df = joined.select(*map(quoted, variables), (quoted(_N) * quoted("#m")).alias(_N))
+    elif len(variables) == len(a.variables):
+        df = semi_join(a.df, b.df)
+    else:
+        df = natural_join(a.df, b.df).select(*map(quoted, variables))
+    return Relation(df, variables)
 
 
-def _eliminate(relations: list[_Relation], keep: set[str], counting: bool):
+def _eliminate(relations: list[Relation], keep: set[str], counting: bool):
     """Join relations one by one and drop every variable as soon as it is private.
 
     Returns the remaining relations over ``keep`` (pairwise without a shared
     variable) and the relations left without any variable.
     """
     rels = list(relations)
-    factors: list[_Relation] = []
+    factors: list[Relation] = []
     while True:
         for i, r in enumerate(rels):
             others = {v for j, q in enumerate(rels) if j != i for v in q.variables}
@@ -362,16 +343,28 @@ def project_bgp(
     Same rows as ``project_solutions(match_bgp(...))``, but a variable that is
     not asked for is removed before the next join.
     """
-    source = as_source(triples)
-    query = prepare(source, patterns, bind_data, allow_cross)
+    source, query = prepare(as_source(triples), patterns, bind_data, allow_cross)
     unknown = set(variables) - set(query.variables)
     if unknown:
         raise ValueError(f"unknown variables: {sorted(unknown)}")
-    rels, factors = _eliminate(_relations(source, query, False), set(variables), False)
+    rels, factors = _eliminate(_tested_relations(source, query, False), set(variables), False)
     df = reduce(pair_join, (r.df for r in rels)) if rels else _one_row(source.spark)
     for f in factors:
         df = df.where(f.df.exists())
-    return _guarded(df.select(*map(quoted, variables)), source, query.guards)
+    df = source.decode(df.select(*map(quoted, variables)), variables)
+    return _guarded(df, source.base, query.guards)
+
+
+def _root_counts(source, query: Query, root: str) -> DataFrame:
+    """``(root, #n)`` with the root in the form it has in the prepared source."""
+    if root not in query.variables:
+        raise ValueError(f"unknown variable {root!r}")
+    rels, factors = _eliminate(_tested_relations(source, query, True), {root}, True)
+    df = rels[0].df
+    for f in factors:
+        df = df.withColumn(_N, quoted(_N) * f.df.select(quoted(_N)).scalar())
+    df = df.select(quoted(root), quoted(_N)).where(quoted(_N) > 0)
+    return _guarded(df, source.base, query.guards)
 
 
 def solutions_per_root(
@@ -380,21 +373,18 @@ def solutions_per_root(
     root: str,
     bind_data: bool = False,
     allow_cross: bool = False,
+    count: str = "n",
 ) -> DataFrame:
     """``(root, n)``: number of solutions per value of the root variable.
 
+    ``count`` renames the second column, for a root that is itself called ``n``.
     Counts multiply along the joins, so the solutions of a hub are never listed.
     """
-    source = as_source(triples)
-    query = prepare(source, patterns, bind_data, allow_cross)
-    if root not in query.variables:
-        raise ValueError(f"unknown variable {root!r}")
-    rels, factors = _eliminate(_relations(source, query, True), {root}, True)
-    df = rels[0].df
-    for f in factors:
-        df = df.withColumn(_N, quoted(_N) * f.df.select(quoted(_N)).scalar())
-    df = df.select(quoted(root), quoted(_N).alias("n")).where("n > 0")
-    return _guarded(df, source, query.guards)
+    source, query = prepare(as_source(triples), patterns, bind_data, allow_cross)
+    if count.lower() == root.lower():
+        raise ValueError("choose another name for the count column")
+    counts = source.decode(_root_counts(source, query, root), [root])
+    return counts.withColumnRenamed(_N, count)
 
 
 def count_bgp(
@@ -404,14 +394,15 @@ def count_bgp(
     allow_cross: bool = False,
 ) -> DataFrame:
     """Number of solutions as column ``n``, without listing them where a tree allows it."""
-    source = as_source(triples)
-    query = prepare(source, patterns, bind_data, allow_cross)
-    rels, factors = _eliminate(_relations(source, query, True), set(), True)
+    source, query = prepare(as_source(triples), patterns, bind_data, allow_cross)
+    rels, factors = _eliminate(_tested_relations(source, query, True), set(), True)
     df = source.spark.range(1).select(F.lit(1).cast("bigint").alias("n"))
     for f in (*factors, *rels):
         df = df.select((F.col("n") * f.df.select(quoted(_N)).scalar()).alias("n"))
-    open_guards = _guarded(source.spark.range(1).select(), source, query.guards)
-    return df.select(F.when(open_guards.exists(), F.col("n")).otherwise(F.lit(0)).alias("n"))
+    if not query.guards:
+        return df
+    met = _guarded(source.spark.range(1).select(), source.base, query.guards)
+    return df.select(F.when(met.exists(), F.col("n")).otherwise(F.lit(0)).alias("n"))
 
 
 def count_solutions(df: DataFrame) -> DataFrame:
@@ -427,25 +418,21 @@ def match_stats(triples, patterns: Iterable, root: str) -> DataFrame:
 
     The bindings are joined once, before the constraints of the root.
     """
-    source = as_source(triples)
-    query = prepare(source, patterns, False, False)
-    if root not in query.variables:
-        raise ValueError(f"unknown variable {root!r}")
-    own = query.stars.get(root, [])
-    other = [(f"?{v}", p, o) for v, cs in query.stars.items() if v != root for p, o in cs]
-    open_patterns = [*query.edges, *other, *query.guards]
+    source, query = prepare(as_source(triples), patterns, False, False)
     if not query.edges:
         raise ValueError("match_stats needs an edge pattern")
-    roots = solutions_per_root(source, open_patterns, root)
+    own = query.stars.pop(root, [])
+    open_source = source.base.for_query(query)
+    roots = _root_counts(open_source, query, root)
     passed = F.lit(True)
     if own:
-        members = match_star(source, own, root).withColumn("#own", F.lit(True))
-        roots = roots.join(members, root, "left")
+        members = star_members(source.base, own).withColumnRenamed("s", root)
+        roots = open_source.decode(roots, [root]).join(members.withColumn("#own", F.lit(True)), root, "left")
         passed = quoted("#own").isNotNull()
     counts = roots.agg(
         F.count("*").alias("complete_roots"),
         F.count_if(passed).alias("checked_roots"),
-        F.coalesce(F.sum(F.when(passed, F.col("n"))), F.lit(0)).alias("solutions"),
+        F.coalesce(F.sum(F.when(passed, quoted(_N))), F.lit(0)).alias("solutions"),
     ).select(
         F.explode(
             F.map_from_arrays(
@@ -454,5 +441,5 @@ def match_stats(triples, patterns: Iterable, root: str) -> DataFrame:
             )
         ).alias("stage", "n")
     )
-    nodes = node_set(source).agg(F.count("*").alias("n"))
+    nodes = node_set(source.base).agg(F.count("*").alias("n"))
     return union_all([nodes.select(F.lit("nodes").alias("stage"), "n"), counts])

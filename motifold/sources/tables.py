@@ -21,6 +21,7 @@ from ..functions.terms import RDF_TYPE, is_literal
 from .triples import Predicate, no_triples, union_all
 
 _INT_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+INT_TYPES = tuple(_INT_BITS)
 
 
 def sql_text(value: str) -> str:
@@ -102,6 +103,11 @@ class Rule:
         )
 
 
+def any_overlap(rules: Iterable[Rule]) -> bool:
+    """Whether two of the rules can build one and the same triple."""
+    return any(a.may_overlap(b) for a, b in combinations(rules, 2))
+
+
 class TableTriples:
     """A set of triples defined by rules over tables."""
 
@@ -145,6 +151,11 @@ class TableTriples:
     def scan(self, p: str, s: str | None = None, o: str | None = None) -> DataFrame:
         return self._union([r for r in self.rules if r.predicate == p], s, o)
 
+    def scan_any(self, predicates: Iterable[str]) -> DataFrame:
+        """Triples of several predicates."""
+        wanted = set(predicates)
+        return self._union([r for r in self.rules if r.predicate in wanted])
+
     def all(self, kind: str | None = None) -> DataFrame:
         """All triples, or only the ``data`` or ``object`` ones.
 
@@ -161,8 +172,7 @@ class TableTriples:
         frames = [self._rows_of_table(group) for group in shared.values()]
         frames += [self._rows(r, None, None) for r in alone]
         df = union_all(frames)
-        overlap = any(a.may_overlap(b) for a, b in combinations(rules, 2))
-        return df.distinct() if overlap else df
+        return df.distinct() if any_overlap(rules) else df
 
     def ends(self, kind: str | None = None) -> DataFrame:
         """Column ``node``: subjects and objects with few repeats.
@@ -178,15 +188,26 @@ class TableTriples:
                 found.setdefault((r.table, r.object, r.only), False)
         frames = []
         for (table, term, only), unique in found.items():
-            df = self._restricted(table, only, [term])
+            df = self.restrict(self.rows(table), Rule(table, term, "", term, only=only))
             if term.column is None:
-                df = df.limit(1).selectExpr(f"{term.sql()} AS node")
-            else:
+                df = df.limit(1)
+            elif unique:
                 df = df.select(term.column)
-                df = (df if unique else df.distinct()).selectExpr(f"{term.sql()} AS node")
-            frames.append(df)
+            else:
+                df = df.select(term.column).distinct()
+            frames.append(df.selectExpr(f"{term.sql()} AS node"))
         return union_all(frames)
 
+    def subjects(self, p: str, o: str | None, variable: str | None = None) -> DataFrame:
+        """Column ``s``: subjects with predicate ``p`` and, if given, object ``o``."""
+        return self.scan(p, o=o).select("s")
+
+    def for_query(self, query):
+        """This source prepared for one pattern query."""
+        from .keyed import KeyedTriples
+
+        return KeyedTriples(self, query)
+
     def catalog(self, predicates: Iterable[str]) -> dict[str, Predicate]:
         """Known from the rules alone, no table is read."""
         found = {}
@@ -207,16 +228,36 @@ class TableTriples:
         if not frames:
             return no_triples(self.spark)
         df = union_all(f for _, f in frames)
-        used = [r for r, _ in frames]
-        overlap = any(a.may_overlap(b) for a, b in combinations(used, 2))
-        return df.distinct() if overlap else df
-
-    def _restricted(self, table: str, only: tuple | None, terms: Iterable[Term]) -> DataFrame:
-        """Rows of a table that have all term columns and an allowed value."""
-        df = self._tables[table]()
-        tests = [f"`{t.column}` IS NOT NULL" for t in terms if t.column is not None]
-        if only is not None:
-            column, texts = only
+        return df.distinct() if any_overlap(r for r, _ in frames) else df
+
+    def rows(self, table: str) -> DataFrame:
+        return self._tables[table]()
+
+    def column_type(self, table: str, column: str) -> T.DataType:
+        return self.rows(table).schema[column].dataType
+
+    def restrict(
+        self, df: DataFrame, rule: Rule, s: str | None = None, o: str | None = None
+    ) -> DataFrame | None:
+        """Rows of the rule's table that give a triple with the given constant ends.
+
+        None if the templates cannot build a constant at all.
+        """
+        tests = []
+        for term, constant in ((rule.subject, s), (rule.object, o)):
+            text = None if constant is None else term.key_text(constant)
+            if constant is not None and text is None:
+                return None
+            if term.column is None:
+                continue
+            tests.append(f"`{term.column}` IS NOT NULL")
+            if text is not None:
+                value = _key_sql(text, df.schema[term.column].dataType)
+                if value is None:
+                    return None
+                tests.append(f"`{term.column}` = {value}")
+        if rule.only is not None:
+            column, texts = rule.only
             kind = df.schema[column].dataType
             values = [v for t in texts if (v := _key_sql(t, kind)) is not None]
             tests.append(f"`{column}` IN ({', '.join(values)})" if values else "false")
@@ -224,21 +265,11 @@ class TableTriples:
 
     def _rows(self, rule: Rule, s: str | None, o: str | None) -> DataFrame | None:
         """Triples of one rule with constant ends pushed to key columns."""
-        terms = (rule.subject, rule.object)
-        df = self._restricted(rule.table, rule.only, terms)
-        for term, constant in zip(terms, (s, o), strict=True):
-            if constant is None:
-                continue
-            text = term.key_text(constant)
-            if text is None:
-                return None
-            if term.column is not None:
-                value = _key_sql(text, df.schema[term.column].dataType)
-                if value is None:
-                    return None
-                df = df.where(f"`{term.column}` = {value}")
-        columns = dict.fromkeys(t.column for t in terms if t.column is not None)
-        df = df.select(*columns)
+        df = self.restrict(self.rows(rule.table), rule, s, o)
+        if df is None:
+            return None
+        columns = [t.column for t in (rule.subject, rule.object) if t.column is not None]
+        df = df.select(*dict.fromkeys(columns))
         if not rule.key:
             df = df.distinct()
         return df.selectExpr(
@@ -253,7 +284,7 @@ class TableTriples:
             f"struct({r.subject.sql()} AS s, {sql_text(r.predicate)} AS p, {r.object.sql()} AS o)"
             for r in rules
         )
-        rows = self._tables[rules[0].table]().selectExpr(f"inline(array({triples}))")
+        rows = self.rows(rules[0].table).selectExpr(f"inline(array({triples}))")
         return rows.where("s IS NOT NULL AND o IS NOT NULL")
 
 

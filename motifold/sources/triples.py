@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.terms import triple_kind
+from ..functions.terms import is_variable, match_term, triple_kind, variable_name
 
 TRIPLE_SCHEMA = "s string, p string, o string"
 
@@ -28,6 +28,17 @@ class Predicate:
     functional: bool = False
 
 
+@dataclass(frozen=True)
+class Relation:
+    """Binding table of one or more edge patterns, ready to be joined."""
+
+    df: DataFrame
+    variables: tuple[str, ...]
+    determined_by: str | None = None  # variable with at most one row per value
+    constant: bool = False  # restricted by a constant end
+    tested: frozenset = frozenset()  # (variable, constraint) pairs already applied
+
+
 def no_triples(spark: SparkSession) -> DataFrame:
     """An empty triple table; Spark drops it from the plan."""
     return spark.sql("SELECT '' AS s, '' AS p, '' AS o WHERE false")
@@ -51,12 +62,22 @@ class FrameTriples:
         self._catalog = catalog
 
     def scan(self, p: str, s: str | None = None, o: str | None = None) -> DataFrame:
-        df = self.df.where(F.col("p") == p)
-        if s is not None:
-            df = df.where(F.col("s") == s)
-        if o is not None:
-            df = df.where(F.col("o") == o)
-        return df.select("s", "p", "o")
+        test = F.col("p") == p
+        for column, term in (("s", s), ("o", o)):
+            if term is not None:
+                test = test & match_term(F.col(column), term)
+        return self.df.where(test).select("s", "p", "o")
+
+    def subjects(self, p: str, o: str | None, variable: str | None = None) -> DataFrame:
+        """Column ``s``: subjects with predicate ``p`` and, if given, object ``o``."""
+        return self.scan(p, o=o).select("s")
+
+    def for_query(self, query) -> FrameQuery:
+        return FrameQuery(self, query)
+
+    def scan_any(self, predicates: Iterable[str]) -> DataFrame:
+        """Triples of several predicates in one pass."""
+        return self.df.where(F.col("p").isin(list(predicates))).select("s", "p", "o")
 
     def all(self, kind: str | None = None) -> DataFrame:
         """All triples, or only the ``data`` or ``object`` ones."""
@@ -94,6 +115,44 @@ class FrameTriples:
         return {r["p"]: Predicate(r["is_data"]) for r in rows}
 
 
+class FrameQuery:
+    """A pattern query over a triple table: one scan per edge pattern."""
+
+    def __init__(self, base: FrameTriples, query):
+        self.base = base
+        self.spark = base.spark
+        self.query = query
+        self.subjects = base.subjects
+
+    def relations(self) -> list[Relation]:
+        return [self._relation(e) for e in self.query.edges]
+
+    def _relation(self, pattern) -> Relation:
+        s, p, o = pattern
+        df = pattern_rows(self.base, pattern)
+        known = self.query.catalog.get(p, Predicate())
+        return Relation(
+            df=df,
+            variables=tuple(df.columns),
+            determined_by=variable_name(s) if known.functional and is_variable(s) else None,
+            constant=not (is_variable(s) and is_variable(o)),
+        )
+
+    def decode(self, df: DataFrame, variables) -> DataFrame:
+        return df
+
+
+def pattern_rows(source, pattern) -> DataFrame:
+    """All matches of one pattern, one column per variable."""
+    s, p, o = pattern
+    rows = source.scan(p, None if is_variable(s) else s, None if is_variable(o) else o)
+    if is_variable(s) and s == o:
+        rows = rows.where(F.col("s") == F.col("o"))
+        return rows.select(F.col("s").alias(variable_name(s)))
+    ends = [(F.col(c), t) for c, t in (("s", s), ("o", o)) if is_variable(t)]
+    return rows.select(*(c.alias(variable_name(t)) for c, t in ends))
+
+
 def as_source(triples):
     """Accept a DataFrame or anything with ``scan`` and ``catalog``."""
     return FrameTriples(triples) if isinstance(triples, DataFrame) else triples
