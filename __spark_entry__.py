@@ -151,7 +151,7 @@ def expand_edge_backward(spark, directory):
 def attach_props(spark, directory):
     t = triples_from_tables(spark, directory)
     vertices = mf.assign_ids(mf.node_set(t))
-    return mf.attach_props(t, vertices).select(F.col("uri").alias("s"), "prop", "obj")
+    return mf.attach_props(t, vertices, salts=16).select(F.col("uri").alias("s"), "prop", "obj")
 
 
 def object_nodes(spark, directory):

@@ -62,10 +62,14 @@ def star_filter(
     triples,
     constraints: Sequence[Constraint],
     within: DataFrame | None = None,
+    salts: int = 0,
 ) -> DataFrame:
-    """Rows of ``df`` whose ``subject`` column satisfies every constraint."""
+    """Rows of ``df`` whose ``subject`` column satisfies every constraint.
+
+    ``salts > 1`` splits subjects that hold a large share of the rows of ``df``.
+    """
     members = star_members(triples, constraints, within).withColumnRenamed("s", subject)
-    return semi_join(df, members)
+    return semi_join(df, members, salts)
 
 
 def match_star(triples, constraints: Sequence[Constraint], variable: str = "s") -> DataFrame:
@@ -78,6 +82,16 @@ def count_star(triples, constraints: Sequence[Constraint]) -> DataFrame:
     return star_members(triples, constraints).agg(F.count("*").alias("n"))
 
 
+def is_grouped(constraints: Sequence[Constraint]) -> bool:
+    """Whether ``star_members`` ends in an aggregation by subject.
+
+    Spark joins such a side without a shuffle of its own, and then adaptive
+    execution cannot split a hot key of the other side.
+    """
+    wanted = set(constraints)
+    return len(wanted) > 1 or any(is_variable(o) for _, o in wanted)
+
+
 def is_selective(constraint: Constraint) -> bool:
     """A constraint on a literal value; class memberships are usually broad."""
     p, o = constraint

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import BROADCAST_BYTES, text_bytes
 from ..sources.triples import frame, union_all
+from .joins import natural_join
 from .triples import data_triples, object_triples
 
 #: Most attribute pairs in one array row; larger subjects take several rows.
@@ -40,12 +41,17 @@ def property_bag(triples, bag_size: int = BAG_SIZE) -> DataFrame:
     return cut.groupBy("s", "part").agg(F.sort_array(F.collect_set("pair")).alias("props"))
 
 
-def attach_props(triples, vertices: DataFrame) -> DataFrame:
-    """``(id, uri, prop, obj)``: attribute triples joined with their vertex."""
+def attach_props(triples, vertices: DataFrame, salts: int = 0) -> DataFrame:
+    """``(id, uri, prop, obj)``: attribute triples joined with their vertex.
+
+    ``salts > 1`` splits hot subjects where ``vertices`` is no stored table but
+    comes out of an aggregation by node.
+    """
     data = data_triples(triples).select(
         F.col("s").alias("uri"), F.col("p").alias("prop"), F.col("o").alias("obj")
     )
-    return vertices.select("id", "uri").join(data, "uri").select("id", "uri", "prop", "obj")
+    joined = natural_join(data, vertices.select("id", "uri"), salts=salts)
+    return joined.select("id", "uri", "prop", "obj")
 
 
 def object_nodes(triples, vertices: DataFrame) -> DataFrame:

@@ -21,6 +21,9 @@ from ..sources.triples import as_source, pattern_rows, union_all
 #: hot keys than this number, whatever the data, so their list can be broadcast.
 HOT_KEYS = 1000
 
+#: Tasks over which a hot key is spread.
+SALTS = 16
+
 
 def quoted(name: str):
     return F.col(f"`{name}`")
@@ -48,13 +51,16 @@ def natural_join(
 
 
 def semi_join(a: DataFrame, b: DataFrame, salts: int = 0) -> DataFrame:
-    """Rows of ``a`` with a partner in ``b`` on the shared columns; never multiplies rows."""
+    """Rows of ``a`` with a partner in ``b`` on the shared columns; never multiplies rows.
+
+    With ``salts > 1``, ``b`` must not repeat a key.
+    """
     shared = shared_columns(a, b)
     if not shared:
         raise ValueError(f"no shared variable between {a.columns} and {b.columns}")
     keys = b.select(*map(quoted, shared))
     if salts > 1:
-        return salted_join(a, keys.distinct(), shared, salts, "left_semi")
+        return salted_join(a, keys, shared, salts, "left_semi")
     return a.join(keys, shared, "left_semi")
 
 
@@ -64,7 +70,7 @@ def expand_edge(bindings: DataFrame, triples, pattern, salts: int = 0) -> DataFr
 
 
 def salted_join(
-    a: DataFrame, b: DataFrame, on: Sequence[str], salts: int = 16, how: str = "inner"
+    a: DataFrame, b: DataFrame, on: Sequence[str], salts: int = SALTS, how: str = "inner"
 ) -> DataFrame:
     """Equi-join that spreads the hot keys of ``a`` over ``salts`` tasks.
 

@@ -22,8 +22,8 @@ from ..functions.terms import (
     pattern_variables,
     variable_name,
 )
-from ..operators.filters import is_selective, star_members
-from ..operators.joins import natural_join, pair_join, quoted, semi_join
+from ..operators.filters import is_grouped, is_selective, star_members
+from ..operators.joins import SALTS, natural_join, pair_join, quoted, salted_join, semi_join
 from ..operators.triples import node_set
 from ..session import BROADCAST_BYTES, text_bytes
 from ..sources.triples import Predicate, Relation, as_source, union_all
@@ -153,8 +153,11 @@ class _Component:
         self.salts = salts
         self.done: set = set()
 
-    def _test(self, df: DataFrame, small: bool = False) -> DataFrame:
-        """Apply the open constraints of every variable of ``df``."""
+    def _test(self, df: DataFrame, unique: str | None = None, small: bool = False) -> DataFrame:
+        """Apply the open constraints of every variable of ``df``.
+
+        ``unique`` is a variable whose values do not repeat in ``df``.
+        """
         for v in df.columns:
             constraints = _open_tests(self.query, self.done, v)
             if not constraints:
@@ -164,7 +167,8 @@ class _Component:
                 keys = df.select(quoted(v).alias("s"))
                 within = F.broadcast(keys if len(df.columns) == 1 else keys.distinct())
             members = star_members(self.source, constraints, within, v)
-            df = semi_join(df, members.withColumnRenamed("s", v))
+            salts = self.salts if not small and v != unique and is_grouped(constraints) else 0
+            df = semi_join(df, members.withColumnRenamed("s", v), salts)
             self.done |= {(v, c) for c in constraints}
         return df
 
@@ -178,7 +182,7 @@ class _Component:
         bound = first.df
         tests = any(_open_tests(self.query, self.done, v) for v in first.variables)
         small = first.constant and bool(rest or tests) and self._is_small(bound)
-        bound = self._test(bound, small)
+        bound = self._test(bound, first.determined_by, small)
         if rest and not small and _selective(self.query, first):
             small = self._is_small(bound)
         for r in rest:
@@ -188,7 +192,10 @@ class _Component:
                 bound = self._test(r.df.join(F.broadcast(bound), shared))
                 small = False
             else:
-                bound = natural_join(bound, self._test(r.df), salts=self.salts)
+                # An edge that closes a cycle may come grouped by the join key.
+                closing = r.grouped and set(r.variables) <= set(bound.columns)
+                scan = self._test(r.df, r.determined_by)
+                bound = natural_join(bound, scan, salts=self.salts if closing else 0)
         return bound
 
 
@@ -210,7 +217,7 @@ def match_bgp(
     patterns: Iterable,
     bind_data: bool = False,
     allow_cross: bool = False,
-    salts: int = 0,
+    salts: int = SALTS,
     probe_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Solutions of a pattern query, one string column per edge variable.
@@ -219,7 +226,8 @@ def match_bgp(
     Parts linked by a constant node only give all pairs of their solutions;
     unlinked parts need ``allow_cross``.  The scan with a constant that starts a
     join is measured first and broadcast up to ``probe_bytes``; 0 turns this
-    off.  ``salts > 1`` splits hot keys in every other join.
+    off.  Hot keys are split by adaptive execution, and over ``salts`` tasks in
+    joins where that cannot act (one side grouped by the join key).
     """
     source, query = prepare(as_source(triples), patterns, bind_data, allow_cross)
     relations = source.relations()
@@ -258,7 +266,8 @@ def _tested_relations(source, query: Query, counting: bool) -> list[Relation]:
             constraints = _open_tests(query, done, v)
             if constraints:
                 members = star_members(source, constraints, variable=v)
-                df = semi_join(df, members.withColumnRenamed("s", v))
+                salts = SALTS if v != r.determined_by and is_grouped(constraints) else 0
+                df = semi_join(df, members.withColumnRenamed("s", v), salts)
                 done |= {(v, c) for c in constraints}
         found.append(replace(r, df=df))
     for v, constraints in query.stars.items():
@@ -278,18 +287,24 @@ def _shrink(r: Relation, wanted: set[str], counting: bool) -> Relation:
         df = r.df.groupBy(*keys).agg(F.coalesce(F.sum(quoted(_N)), F.lit(0)).alias(_N))
     else:
         df = r.df.select(*keys).distinct() if kept else r.df
-    return Relation(df, kept)
+    return Relation(df, kept, determined_by=kept[0] if len(kept) == 1 else None, grouped=True)
 
 
 def _combine(a: Relation, b: Relation, counting: bool) -> Relation:
-    """Natural join of two relations; counts multiply."""
+    """Natural join of two relations; counts multiply.
+
+    If ``b`` is grouped by just the join key, hot keys of ``a`` are salted.
+    """
     shared = [v for v in a.variables if v in b.variables]
+    hot = b.grouped and len(shared) == len(b.variables) and a.determined_by not in shared
+    salts = SALTS if hot else 0
     variables = tuple(dict.fromkeys((*a.variables, *b.variables)))
     if counting:
-        joined = a.df.join(b.df.withColumnRenamed(_N, "#m"), shared)
+        other = b.df.withColumnRenamed(_N, "#m")
+        joined = salted_join(a.df, other, shared) if hot else a.df.join(other, shared)
         df = joined.select(*map(quoted, variables), (quoted(_N) * quoted("#m")).alias(_N))
     elif len(variables) == len(a.variables):
-        df = semi_join(a.df, b.df)
+        df = semi_join(a.df, b.df, salts)
     else:
         df = natural_join(a.df, b.df).select(*map(quoted, variables))
     return Relation(df, variables)

@@ -214,6 +214,7 @@ class KeyedTriples:
             determined_by=subject if functional else None,
             constant=constant,
             tested=frozenset((subject, c) for c in absorbed),
+            grouped=not all(r.key for r in used) or any_overlap(used),
         )
 
     def subjects(self, p: str, o: str | None, variable: str | None = None) -> DataFrame:

@@ -37,6 +37,7 @@ class Relation:
     determined_by: str | None = None  # variable with at most one row per value
     constant: bool = False  # restricted by a constant end
     tested: frozenset = frozenset()  # (variable, constraint) pairs already applied
+    grouped: bool = False  # comes out of an aggregation by all its variables
 
 
 def no_triples(spark: SparkSession) -> DataFrame:
