@@ -24,7 +24,9 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 _local_work: dict[str, str] = {}
 
 
-def local_session(name: str, cores: str = "*", partitions: int = 8) -> SparkSession:
+def local_session(
+    name: str, cores: str = "*", partitions: int = 8, settings: dict[str, str] | None = None
+) -> SparkSession:
     """A single-JVM session for tests and the benchmark."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -34,7 +36,7 @@ def local_session(name: str, cores: str = "*", partitions: int = 8) -> SparkSess
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
-    for key, value in RECOMMENDED.items():
+    for key, value in {**RECOMMENDED, **(settings or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
