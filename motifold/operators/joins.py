@@ -81,7 +81,8 @@ def salted_join(
     if how not in ("inner", "left_semi"):
         raise ValueError("how must be 'inner' or 'left_semi'")
     counts = a.groupBy(*map(quoted, on)).agg(F.count("*").alias("#rows"))
-    total = a.agg(F.count("*")).scalar()
+    # The total comes from the counts, so their shuffle serves both.
+    total = counts.agg(F.sum("#rows")).scalar()
     hot = F.broadcast(
         counts.where(quoted("#rows") * HOT_KEYS > total)
         .drop("#rows")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -43,13 +45,15 @@ def assign_dense_ids(nodes: DataFrame, start: int = 0) -> DataFrame:
         F.shiftright("place", _ROW_BITS).alias("range"),
         F.col("place").bitwiseAND((1 << _ROW_BITS) - 1).alias("row"),
     )
-    sizes = placed.groupBy("range").agg(F.count("*").alias("size"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset")
+    # One row per range, whatever the number of nodes.
+    sizes = placed.groupBy("range").agg(F.count("*").alias("size")).orderBy("range").collect()
+    before = accumulate((r["size"] for r in sizes), initial=start)
+    offsets = nodes.sparkSession.createDataFrame(
+        [(r["range"], offset) for r, offset in zip(sizes, before, strict=False)],
+        "range bigint, offset bigint",
     )
     return placed.join(F.broadcast(offsets), "range").select(
-        (F.col("offset") + F.col("row") + F.lit(start)).alias("id"), "uri"
+        (F.col("offset") + F.col("row")).alias("id"), "uri"
     )
 
 

@@ -143,6 +143,20 @@ def _join_order(query: Query, relations: Sequence[Relation]) -> list[Relation]:
     return ordered
 
 
+def _apply_tests(source, df: DataFrame, v: str, constraints, small: bool, salts: int) -> DataFrame:
+    """Rows of ``df`` whose variable ``v`` satisfies the constraints.
+
+    The values of a small ``df`` go to the attribute rows first; hot values of a
+    large one are salted where the attribute side is grouped by subject.
+    """
+    within = None
+    if small:
+        keys = df.select(quoted(v).alias("s"))
+        within = F.broadcast(keys if len(df.columns) == 1 else keys.distinct())
+    members = star_members(source, constraints, within, v).withColumnRenamed("s", v)
+    return semi_join(df, members, salts if not small and is_grouped(constraints) else 0)
+
+
 class _Component:
     """Binding table of relations connected by variables."""
 
@@ -162,13 +176,8 @@ class _Component:
             constraints = _open_tests(self.query, self.done, v)
             if not constraints:
                 continue
-            within = None
-            if small:
-                keys = df.select(quoted(v).alias("s"))
-                within = F.broadcast(keys if len(df.columns) == 1 else keys.distinct())
-            members = star_members(self.source, constraints, within, v)
-            salts = self.salts if not small and v != unique and is_grouped(constraints) else 0
-            df = semi_join(df, members.withColumnRenamed("s", v), salts)
+            salts = 0 if v == unique else self.salts
+            df = _apply_tests(self.source, df, v, constraints, small, salts)
             self.done |= {(v, c) for c in constraints}
         return df
 
@@ -256,25 +265,35 @@ def _counted(df: DataFrame) -> DataFrame:
 
 
 def _tested_relations(source, query: Query, counting: bool) -> list[Relation]:
-    """Every relation, with the open constraints of a variable on its first one."""
+    """Every relation, with the open constraints of a variable on its first one.
+
+    Relations with a constant are measured; small ones are broadcast.
+    """
     relations = source.relations()
     done = {t for r in relations for t in r.tested}
     found = []
     for r in relations:
         df = r.df
+        tests = any(_open_tests(query, done, v) for v in r.variables)
+        small = (
+            r.constant
+            and (tests or len(relations) > 1)
+            and text_bytes(df) <= BROADCAST_BYTES
+        )
         for v in r.variables:
             constraints = _open_tests(query, done, v)
             if constraints:
-                members = star_members(source, constraints, variable=v)
-                salts = SALTS if v != r.determined_by and is_grouped(constraints) else 0
-                df = semi_join(df, members.withColumnRenamed("s", v), salts)
+                unique = v == r.determined_by
+                df = _apply_tests(source, df, v, constraints, small, 0 if unique else SALTS)
                 done |= {(v, c) for c in constraints}
-        found.append(replace(r, df=df))
+        found.append(replace(r, df=df, small=small))
     for v, constraints in query.stars.items():
         if not any(v in r.variables for r in relations):
             members = star_members(source, constraints, variable=v)
             found.append(Relation(members.withColumnRenamed("s", v), (v,)))
-    return [replace(r, df=_counted(r.df)) for r in found] if counting else found
+    if counting:
+        found = [replace(r, df=_counted(r.df)) for r in found]
+    return [replace(r, df=F.broadcast(r.df)) if r.small else r for r in found]
 
 
 def _shrink(r: Relation, wanted: set[str], counting: bool) -> Relation:
@@ -287,7 +306,8 @@ def _shrink(r: Relation, wanted: set[str], counting: bool) -> Relation:
         df = r.df.groupBy(*keys).agg(F.coalesce(F.sum(quoted(_N)), F.lit(0)).alias(_N))
     else:
         df = r.df.select(*keys).distinct() if kept else r.df
-    return Relation(df, kept, determined_by=kept[0] if len(kept) == 1 else None, grouped=True)
+    unique = kept[0] if len(kept) == 1 else None
+    return Relation(df, kept, determined_by=unique, grouped=True, small=r.small)
 
 
 def _combine(a: Relation, b: Relation, counting: bool) -> Relation:
@@ -296,7 +316,8 @@ def _combine(a: Relation, b: Relation, counting: bool) -> Relation:
     If ``b`` is grouped by just the join key, hot keys of ``a`` are salted.
     """
     shared = [v for v in a.variables if v in b.variables]
-    hot = b.grouped and len(shared) == len(b.variables) and a.determined_by not in shared
+    grouped = b.grouped and not b.small and len(shared) == len(b.variables)
+    hot = grouped and not a.small and a.determined_by not in shared
     salts = SALTS if hot else 0
     variables = tuple(dict.fromkeys((*a.variables, *b.variables)))
     if counting:

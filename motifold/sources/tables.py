@@ -109,17 +109,23 @@ def any_overlap(rules: Iterable[Rule]) -> bool:
 
 
 class TableTriples:
-    """A set of triples defined by rules over tables."""
+    """A set of triples defined by rules over tables.
+
+    ``homes`` names, for a column of a join view, the table all its values come
+    from: the values of ``("view", "column")`` are among those of that table.
+    """
 
     def __init__(
         self,
         spark: SparkSession,
         rules: Iterable[Rule],
         tables: Mapping[str, Callable[[], DataFrame]],
+        homes: Mapping[tuple[str, str], str] | None = None,
     ):
         self.spark = spark
         self.rules = list(rules)
         self._tables = tables
+        self._homes = dict(homes or {})
 
     def with_inference(
         self,
@@ -146,7 +152,7 @@ class TableTriples:
             for p, sup in dict.fromkeys(predicate_rules):
                 if rule.predicate == p:
                     more.append(replace(rule, predicate=sup))
-        return TableTriples(self.spark, [*self.rules, *more], self._tables)
+        return TableTriples(self.spark, [*self.rules, *more], self._tables, self._homes)
 
     def scan(self, p: str, s: str | None = None, o: str | None = None) -> DataFrame:
         return self._union([r for r in self.rules if r.predicate == p], s, o)
@@ -188,6 +194,10 @@ class TableTriples:
                 found.setdefault((r.table, r.object, r.only), False)
         frames = []
         for (table, term, only), unique in found.items():
+            # Left out if all its values are those of another entry.
+            home = self._homes.get((table, term.column))
+            if (only and (table, term, None) in found) or (home, term, None) in found:
+                continue
             df = self.restrict(self.rows(table), Rule(table, term, "", term, only=only))
             if term.column is None:
                 df = df.limit(1)
@@ -389,4 +399,9 @@ def triples_from_tables(spark: SparkSession, directory: str) -> TableTriples:
         orders = tables["orders"]().select("o_orderkey", "o_custkey")
         return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
 
-    return TableTriples(spark, ORDER_ENTRY_RULES, {**tables, "purchase": purchase})
+    return TableTriples(
+        spark,
+        ORDER_ENTRY_RULES,
+        {**tables, "purchase": purchase},
+        homes={("purchase", "o_custkey"): "orders", ("purchase", "l_suppkey"): "lineitem"},
+    )

@@ -38,6 +38,7 @@ class Relation:
     constant: bool = False  # restricted by a constant end
     tested: frozenset = frozenset()  # (variable, constraint) pairs already applied
     grouped: bool = False  # comes out of an aggregation by all its variables
+    small: bool = False  # measured, may be broadcast
 
 
 def no_triples(spark: SparkSession) -> DataFrame:
