@@ -275,11 +275,8 @@ def _tested_relations(source, query: Query, counting: bool) -> list[Relation]:
     for r in relations:
         df = r.df
         tests = any(_open_tests(query, done, v) for v in r.variables)
-        small = (
-            r.constant
-            and (tests or len(relations) > 1)
-            and text_bytes(df) <= BROADCAST_BYTES
-        )
+        joined = any(q is not r and set(q.variables) & set(r.variables) for q in relations)
+        small = r.constant and (tests or joined) and text_bytes(df) <= BROADCAST_BYTES
         for v in r.variables:
             constraints = _open_tests(query, done, v)
             if constraints:
