@@ -407,7 +407,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f.__name__: f for f in _OPERATORS}
     found |= {name: _pattern_query(name) for name in PATTERNS}
     found |= {f"count_{name}": _count_query(name) for name in _COUNTED}
-    return found
+    return found | _llm_queries()[0]
+
+
+def _llm_queries() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data operators; none where that subpackage is absent."""
+    try:
+        from motifold.llm import queries as llm
+    except ImportError:
+        return {}, {}
+    return dict(llm.QUERIES), dict(llm.SQL)
 
 
 # --- SQL ----------------------------------------------------------------------
@@ -619,4 +628,4 @@ def oracle_sql() -> dict[str, str]:
     found = _relational_sql() | _triple_set_sql()
     found |= {f"count_{name}": f"SELECT count(*) AS n FROM ({found[name]})" for name in _COUNTED}
     found["stored_triangle"] = found["bgp_triangle"]
-    return found
+    return found | _llm_queries()[1]
