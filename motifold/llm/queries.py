@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motifold.llm import mixing, quality_rules
+from motifold.llm import language_id, mixing, quality_rules, secret_scan
 from motifold.llm.work import documents
 
 
+def _remainder(parts: int):
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def _joined(spans):
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def op4_secret_scans(spark, sf_dir):
+    found = secret_scan.find(documents(spark, sf_dir))
+    base = tuple(r.kind for r in secret_scan.BASE)
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in base],
+        F.sha2(_joined(F.filter("spans", lambda x: x["kind"].isin(*base))), 256).alias("base_sha256"),
+        _joined("spans").alias("spans"),
+    )
+
+
 def op6_quality_rules(spark, sf_dir):
     measured = quality_rules.measure(documents(spark, sf_dir))
     return measured.select(
@@ -16,6 +36,13 @@ def op6_quality_rules(spark, sf_dir):
     )
 
 
+def op7_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = language_id.learn(docs.where(_remainder(5) != 0).select("lang", "text"))
+    narrow = docs.select(F.struct("doc_id", (_remainder(5) == 0).alias("held_out")).alias("id"), "text")
+    return language_id.predict(narrow, model, "id").select("id.*", "lang_pred", "score")
+
+
 def op9_mixing(spark, sf_dir):
     narrow = documents(spark, sf_dir).select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
     return mixing.mix(narrow, F.col("size")).select(
@@ -28,7 +55,7 @@ def op9_mixing(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op4_secret_scans, op6_quality_rules, op7_language_id, op9_mixing)}
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _GAP = r"'[\x20\x09-\x0D]+'"
