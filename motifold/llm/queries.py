@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motifold.llm import language_id, mixing, quality_rules, secret_scan
+from motifold.llm import language_id, mixing, packing, quality_model, quality_rules, secret_scan
 from motifold.llm.work import documents
 
 
@@ -16,6 +16,22 @@ def _joined(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+def op2_quality_model(spark, sf_dir):
+    """Grades: 0 toxic, 1 of low quality, 2 good; kept: more likely good than not."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    grade = F.when(F.col("toxic") == 1, 0).otherwise(1 + F.col("quality"))
+    model = quality_model.fit(docs, labels.select("doc_id", grade.alias("grade")))
+    scored = quality_model.score(docs, model)
+    return scored.select(
+        "doc_id",
+        "expected_grade",
+        F.col("tails")[0].alias("tail_1"),
+        F.col("tails")[1].alias("tail_2"),
+        (F.col("tails")[1] >= 0.5).alias("kept"),
+    )
+
+
 def op4_secret_scans(spark, sf_dir):
     found = secret_scan.find(documents(spark, sf_dir))
     base = tuple(r.kind for r in secret_scan.BASE)
@@ -55,7 +71,24 @@ def op9_mixing(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scans, op6_quality_rules, op7_language_id, op9_mixing)}
+def op10_packing(spark, sf_dir):
+    pieces = packing.pack(documents(spark, sf_dir))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_quality_model,
+        op4_secret_scans,
+        op6_quality_rules,
+        op7_language_id,
+        op9_mixing,
+        op10_packing,
+    )
+}
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _GAP = r"'[\x20\x09-\x0D]+'"
