@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motifold.llm import language_id, mixing, packing, quality_model, quality_rules, secret_scan
+from motifold.llm import language_id, minhash_forest, mixing, packing, quality_model, quality_rules, secret_scan
 from motifold.llm.work import documents
 
 
@@ -59,6 +59,10 @@ def op7_language_id(spark, sf_dir):
     return language_id.predict(narrow, model, "id").select("id.*", "lang_pred", "score")
 
 
+def op8_minhash_forest(spark, sf_dir):
+    return minhash_forest.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_mixing(spark, sf_dir):
     narrow = documents(spark, sf_dir).select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
     return mixing.mix(narrow, F.col("size")).select(
@@ -85,6 +89,7 @@ QUERIES = {
         op4_secret_scans,
         op6_quality_rules,
         op7_language_id,
+        op8_minhash_forest,
         op9_mixing,
         op10_packing,
     )
