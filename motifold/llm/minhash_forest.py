@@ -5,11 +5,12 @@
   prefix of its order.  Its depth adapts: ``DEPTHS[0]`` positions where that leaves few classes, more where a region is
   crowded.  A pair with similarity s shares d positions of one tree with probability s^d; at 0.85 and depths 3,
   4 and 5 all ``TREES`` trees miss it with probability 3e-7, 7e-6 and 8e-5.
-* In a region all members are compared, first by signature.  A region of more than ``BLOCK`` members is cut in blocks
-  and its block pairs go to different tasks, so no task gets more than two blocks and nothing is dropped.
-* Only members with a likely partner send their full sets to the region, where links are confirmed exactly.  Out come the
-  links of a spanning forest of the region, never all pairs.
-* Components of the links give each document the least id it can reach.
+* In a region all members are compared by signature, and a spanning forest of the likely pairs comes out, never all
+  pairs.  The components of the likely pairs of all trees are the groups that links can lie in.
+* Each member of a group sends its full set there once, and links are confirmed exactly; a spanning forest of the links
+  comes out.  Their components give each document the least id it can reach.
+* A region or group of more than ``BLOCK`` members is cut in blocks and its block pairs go to different tasks, so no
+  task gets more than two blocks and nothing is dropped.
 
 Defined cases: a text that is null, empty or white space has no shingles and is linked with nothing; with fewer than five
 words, the words are one shingle; equal texts share a component; long texts are taken whole; rows with a null id
@@ -99,20 +100,25 @@ def _counted(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(sizes, key)
 
 
-def tiles(classes: DataFrame) -> DataFrame:
-    """(tile, rep): what is compared together; a tile has two blocks of a region at most."""
+def regions(classes: DataFrame) -> DataFrame:
+    """(region, members, rep): the regions with two or more classes."""
     found, rows = [], _prefixes(classes)
     for i, depth in enumerate(DEPTHS):
         rows = stage(_counted(rows, f"key_{depth}"), "regions")
         crowded = F.col("members") > CROWDED[i] if i < len(CROWDED) else F.lit(False)
         found.append(rows.where(~crowded).select(F.col(f"key_{depth}").alias("region"), "members", "rep"))
         rows = rows.where(crowded).drop("members")
-    regions = found[0]
+    out = found[0]
     for other in found[1:]:
-        regions = regions.union(other)
+        out = out.union(other)
+    return out
+
+
+def tiles(found: DataFrame) -> DataFrame:
+    """(tile, rep) of ``(region, members, rep)``: what is compared together, two blocks of a region at most."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", "region"), blocks).cast("int")
-    with_tiles = regions.select("region", "rep", blocks.alias("n"), own.alias("own")).select(
+    with_tiles = found.select("region", "rep", blocks.alias("n"), own.alias("own")).select(
         "region", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
     )
     return with_tiles.select(
@@ -139,40 +145,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _likely(sigs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows whose signatures and sizes allow a link and that no earlier tree surely has.
-
-    The tile's own tree is the first in which all rows agree; a pair that agrees to the last depth in another tree is in one
-    tile there too, so each such pair is left to the first of these trees.
-    """
-    n = len(sigs)
-    orders = _orders()
-    own = next((t for t in range(TREES) if (sigs[:, orders[t, : DEPTHS[0]]] == sigs[0, orders[t, : DEPTHS[0]]]).all()), 0)
-    one, two = [], []
-    for i in range(n - 1):
-        rest = sigs[i + 1 :]
-        equal = rest == sigs[i]
-        ok = equal.sum(axis=1) >= LEAST_EQUAL
+def _likely(sigs: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row the later rows whose signatures and sizes allow a link."""
+    for i in range(len(sigs) - 1):
+        ok = (sigs[i + 1 :] == sigs[i]).sum(axis=1) >= LEAST_EQUAL
         low, high = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
-        ok &= 100 * low >= PERCENT * high
-        at = np.flatnonzero(ok)
-        if own and len(at):
-            earlier = equal[at][:, orders[:own]].all(axis=2).any(axis=1)
-            at = at[~earlier]
-        one.append(np.full(len(at), i))
-        two.append(at + i + 1)
-    return (np.concatenate(one), np.concatenate(two)) if one else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _runs(batches):
-        if len(table) < 2:
-            continue
-        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, VALUES)
-        one, two = _likely(sigs, np.asarray(table["n"], np.int64))
-        rows = np.unique(np.concatenate([one, two]))
-        if len(rows):
-            yield from table.select(["tile", "rep"]).take(pa.array(rows)).combine_chunks().to_batches()
+        yield i, np.flatnonzero(ok & (100 * low >= PERCENT * high)) + i + 1
 
 
 def _root(parent: list[int], x: int) -> int:
@@ -182,46 +160,71 @@ def _root(parent: list[int], x: int) -> int:
     return x
 
 
-def linked(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a spanning forest among the pairs whose sets are as similar as asked."""
-    parent = list(range(len(sets)))
+def forest(likely: Iterator[tuple[int, np.ndarray]], rows: int, confirmed=None) -> list[tuple[int, int]]:
+    """A spanning forest of the likely pairs, or of those that ``confirmed`` holds for."""
+    parent = list(range(rows))
     out = []
-    if len(one) > 4 * len(sets):  # crowded: intersections of all pairs as products of 0/1 matrices
-        words, column = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        common = np.zeros((len(sets), len(sets)), np.float32)
-        for start in range(0, len(words), 4096):
-            a, b = np.searchsorted(column, [start, start + 4096])
-            part = np.zeros((len(sets), min(4096, len(words) - start)), np.float32)
-            part[row[a:b], column[a:b] - start] = 1
-            common += part @ part.T
-        both = common[one, two].astype(np.int64)
-    else:
-        both = None
-    sizes = np.array([len(s) for s in sets])
-    for k, (i, j) in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
-        x, y = _root(parent, i), _root(parent, j)
-        if x == y:
-            continue
-        n = int(both[k]) if both is not None else len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if 100 * n >= PERCENT * int(sizes[i] + sizes[j] - n):
-            parent[max(x, y)] = min(x, y)
-            out.append((i, j))
+    for i, others in likely:
+        for j in others.tolist():
+            x, y = _root(parent, i), _root(parent, j)
+            if x != y and (confirmed is None or confirmed(i, j)):
+                parent[max(x, y)] = min(x, y)
+                out.append((i, j))
     return out
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _runs(batches):
-        if len(table) < 2:
-            continue
-        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, VALUES)
-        sets = [np.frombuffer(s, U) for s in table["shingles"].to_pylist()]
-        found = linked(sets, *_likely(sigs, np.array([len(s) for s in sets])))
-        if found:
-            a, b = (table["rep"].combine_chunks().take(pa.array(list(x))) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+def _forest_of(confirm: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches):
+            if len(table) < 2:
+                continue
+            sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, VALUES)
+            sizes = np.asarray(table["n"], np.int64)
+            confirmed = Confirmed([unpacked(s) for s in table["shingles"].to_pylist()]) if confirm else None
+            found = forest(_likely(sigs, sizes), len(table), confirmed)
+            if found:
+                a, b = (table["rep"].combine_chunks().take(pa.array(list(x))) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+    return run
+
+
+class Confirmed:
+    """Exact similarity of two of ``sets``; the common words of one set with all others are counted at once."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = [len(s) for s in sets]
+        ids, column = np.unique(np.concatenate(sets), return_inverse=True)
+        self.columns = np.split(column, np.cumsum(self.sizes)[:-1])
+        order = np.argsort(column, kind="stable")
+        self.rows = np.repeat(np.arange(len(sets)), self.sizes)[order]  # the sets of each word
+        self.bounds = np.searchsorted(column[order], np.arange(len(ids) + 1))
+        self.row, self.common, self.asked = -1, None, 0
+
+    def __call__(self, i: int, j: int) -> bool:
+        if self.row != i:
+            self.row, self.common, self.asked = i, None, 0
+        self.asked += 1
+        if self.common is None and self.asked > 3:
+            mine = self.columns[i]
+            starts, lengths = self.bounds[mine], self.bounds[mine + 1] - self.bounds[mine]
+            at = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+            self.common = np.bincount(self.rows[at], minlength=len(self.sizes))
+        if self.common is not None:
+            n = int(self.common[j])
+        else:
+            n = len(np.intersect1d(self.columns[i], self.columns[j], assume_unique=True))
+        return 100 * n >= PERCENT * (self.sizes[i] + self.sizes[j] - n)
+
+
+def packed(shingles_: np.ndarray) -> bytes:
+    """A sorted set as differences, byte plane by byte plane: an eighth less to shuffle."""
+    return np.ascontiguousarray(np.diff(shingles_, prepend=U(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(U).reshape(-1), dtype=U)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -230,7 +233,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             for first, end, data, offsets in chunks(batch.column(1)):
                 sets = shingles.shingle_sets(data, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    [batch.column(0).slice(first, end - first), pa.array([packed(s) for s in sets], pa.binary())],
                     ["rep", "shingles"],
                 )
 
@@ -249,25 +252,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
     kind = docs.schema[key].dataType.simpleString()
     signed = classes.select("rep", "n", "sig")
-    compared = tiles(classes).join(signed, "rep").select("tile", "rep", "n", "sig")
-    active = stage(
-        compared.repartition("tile")
+    likely = stage(
+        tiles(regions(classes))
+        .join(signed, "rep")
+        .select("tile", "rep", "n", "sig")
+        .repartition("tile")
         .sortWithinPartitions("tile")
-        .mapInArrow(_partners, f"tile long, rep {kind}"),
-        "active",
+        .mapInArrow(_forest_of(confirm=False), f"a {kind}, b {kind}"),
+        "likely",
     )
-    wanted = active.select("rep").distinct()
+    grouped = components(likely).select(F.col("component").alias("region"), F.col("node").alias("rep"))
+    sizes = grouped.groupBy("region").agg(F.count("*").alias("members"))
+    groups = stage(grouped.join(sizes, "region"), "groups")
+    wanted = groups.select("rep")
     texts = docs.select(F.col(key).alias("rep"), "text").join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
-    sets = _sets(texts).join(signed.select("rep", "sig"), "rep")
-    links = (
-        active.join(sets, "rep")
-        .select("tile", "rep", "sig", "shingles")
+    links = stage(
+        tiles(groups)
+        .join(_sets(texts), "rep")
+        .join(signed, "rep")
+        .select("tile", "rep", "n", "sig", "shingles")
         .repartition("tile")
         .sortWithinPartitions("tile")
-        .mapInArrow(_confirm, f"a {kind}, b {kind}")
+        .mapInArrow(_forest_of(confirm=True), f"a {kind}, b {kind}"),
+        "links",
     )
-    found = components(links)
-    of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select(
+    reached = components(links)
+    of_class = classes.join(reached, F.col("rep") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")
     )
     out = printed.join(of_class, "digest", "left")
