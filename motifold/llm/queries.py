@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motifold.llm import language_id, minhash_forest, mixing, packing, quality_model, quality_rules, secret_scan
+from motifold.llm import language_id, lm_score, minhash_forest, mixing, packing, quality_model, quality_rules, secret_scan
 from motifold.llm.work import documents
 
 
@@ -32,6 +32,21 @@ def op2_quality_model(spark, sf_dir):
     )
 
 
+def op3_context_tree(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    scored = lm_score.score(docs, _remainder(7) != 2)
+    return scored.select(
+        "doc_id",
+        (_remainder(7) == 2).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+        "bits_per_byte",
+    )
+
+
 def op4_secret_scans(spark, sf_dir):
     found = secret_scan.find(documents(spark, sf_dir))
     base = tuple(r.kind for r in secret_scan.BASE)
@@ -86,6 +101,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_quality_model,
+        op3_context_tree,
         op4_secret_scans,
         op6_quality_rules,
         op7_language_id,
