@@ -5,10 +5,10 @@
   prefix of its order.  Its depth adapts: ``DEPTHS[0]`` positions where that leaves few classes, more where a region is
   crowded.  A pair with similarity s shares d positions of one tree with probability s^d; at 0.85 and depths 3,
   4 and 5 all ``TREES`` trees miss it with probability 3e-7, 7e-6 and 8e-5.
-* In a region all members are compared by signature, and a spanning forest of the likely pairs comes out, never all
-  pairs.  The components of the likely pairs of all trees are the groups that links can lie in.
-* Each member of a group sends its full set there once, and links are confirmed exactly; a spanning forest of the links
-  comes out.  Their components give each document the least id it can reach.
+* In a region all members are compared by signature, and each member of a component of likely pairs comes out with the
+  component's least member, never all pairs.  The components of the likely pairs of all trees are the groups that links can lie in.
+* Each member of a group sends its full set there once, and links are confirmed exactly; they come out in the same
+  form.  Their components give each document the least id it can reach.
 * A region or group of more than ``BLOCK`` members is cut in blocks and its block pairs go to different tasks, so no
   task gets more than two blocks and nothing is dropped.
 
@@ -160,20 +160,23 @@ def _root(parent: list[int], x: int) -> int:
     return x
 
 
-def forest(likely: Iterator[tuple[int, np.ndarray]], rows: int, confirmed=None) -> list[tuple[int, int]]:
-    """A spanning forest of the likely pairs, or of those that ``confirmed`` holds for."""
-    parent = list(range(rows))
-    out = []
+def stars(likely: Iterator[tuple[int, np.ndarray]], ids: list, confirmed=None) -> list[tuple]:
+    """The components of the likely pairs, or of those that ``confirmed`` holds for, as links of each member with the least
+    id among them: tiles with the same members give the same links."""
+    parent = list(range(len(ids)))
     for i, others in likely:
         for j in others.tolist():
             x, y = _root(parent, i), _root(parent, j)
             if x != y and (confirmed is None or confirmed(i, j)):
                 parent[max(x, y)] = min(x, y)
-                out.append((i, j))
-    return out
+    least: dict = {}
+    roots = [_root(parent, i) for i in range(len(ids))]
+    for root, own in zip(roots, ids, strict=True):
+        least[root] = min(least.get(root, own), own)
+    return [(least[root], own) for root, own in zip(roots, ids, strict=True) if own != least[root]]
 
 
-def _forest_of(confirm: bool):
+def _stars_of(confirm: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches):
             if len(table) < 2:
@@ -181,10 +184,10 @@ def _forest_of(confirm: bool):
             sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, VALUES)
             sizes = np.asarray(table["n"], np.int64)
             confirmed = Confirmed([unpacked(s) for s in table["shingles"].to_pylist()]) if confirm else None
-            found = forest(_likely(sigs, sizes), len(table), confirmed)
+            found = stars(_likely(sigs, sizes), table["rep"].to_pylist(), confirmed)
             if found:
-                a, b = (table["rep"].combine_chunks().take(pa.array(list(x))) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+                kind = table.schema.field("rep").type
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x in zip(*found, strict=True)], ["a", "b"])
 
     return run
 
@@ -258,7 +261,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         .select("tile", "rep", "n", "sig")
         .repartition("tile")
         .sortWithinPartitions("tile")
-        .mapInArrow(_forest_of(confirm=False), f"a {kind}, b {kind}"),
+        .mapInArrow(_stars_of(confirm=False), f"a {kind}, b {kind}"),
         "likely",
     )
     grouped = components(likely).select(F.col("component").alias("region"), F.col("node").alias("rep"))
@@ -273,7 +276,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         .select("tile", "rep", "n", "sig", "shingles")
         .repartition("tile")
         .sortWithinPartitions("tile")
-        .mapInArrow(_forest_of(confirm=True), f"a {kind}, b {kind}"),
+        .mapInArrow(_stars_of(confirm=True), f"a {kind}, b {kind}"),
         "links",
     )
     reached = components(links)
