@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from motifold.llm.tokens import U
+from motifold.llm.tokens import U, inverse
 
 LN2 = float(np.log(2.0))
 #: Depth from which a shard holds whole subtrees.
@@ -95,7 +95,7 @@ class Subtrees:
         for d in range(depth - 1, SHARED - 1, -1):
             longer = self.levels[d + 1]
             shorter = longer.keys >> U(16) << U(8) | longer.keys & U(255)
-            distinct, row = np.unique(shorter, return_inverse=True)
+            distinct, row = inverse(shorter)
             self.up[d + 1] = row
             self.levels[d] = Level(distinct, np.bincount(row, longer.counts, len(distinct)).astype(np.int64))
         for d in range(depth, SHARED - 1, -1):

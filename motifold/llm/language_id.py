@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifold.llm.tokens import U, chunks, per_text, scrambled
+from motifold.llm.tokens import U, chunks, counted, per_text, scrambled
 
 GRAM = 4
 ROWS = 1 << 20
@@ -86,7 +86,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
             for first, end, data, offsets in chunks(batch.column(1)):
                 grams, before = _grams(data, offsets)
                 keys = np.repeat(code[first:end], np.diff(before)) << 32 | grams.astype(np.int64)
-                keys, n = np.unique(keys, return_counts=True)
+                keys, n = counted(keys)
                 yield pa.RecordBatch.from_arrays(
                     [names.take(pa.array(keys >> 32)), pa.array(keys & 0xFFFFFFFF), pa.array(n)],
                     ["lang", "gram", "n"],

@@ -28,14 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifold.llm.context_tree import Subtrees, Top, padded
-from motifold.llm.tokens import U, chunks, per_text, scrambled, word_hashes
+from motifold.llm.tokens import U, chunks, counted, distinct, inverse, per_text, scrambled, word_hashes
 from motifold.llm.work import stage, text_size
 
 DEPTH = 6
 #: Bytes of text counted, or asked for, at a time.
 BATCH = 12 << 20
 #: Bytes of text per shard of the model, and bytes of text that one copy of a shard answers.
-SHARD = 32 << 20
+SHARD = 4 << 20
 ROUND = 1 << 30
 MOST_SHARDS = 4096
 
@@ -73,11 +73,6 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.unique(keys, return_counts=True)
-    return keys, counts.astype(np.int64)
-
-
 def _by_shard(keys: np.ndarray, shards: int, words: bool) -> tuple[np.ndarray, np.ndarray]:
     """An order of sorted keys by shard, sorted within, and the bounds of the shards in it."""
     mixed = keys if words else scrambled(keys >> U(8 * (DEPTH - 1)))
@@ -118,8 +113,8 @@ def _model(train: DataFrame, shards: int, rounds: int) -> DataFrame:
 
         for batch in batches:
             for _, _, keys, _, hashes, _ in _texts(batch.column(0)):
-                grams.append(_counted(keys))
-                words.append(_counted(hashes))
+                grams.append(counted(keys))
+                words.append(counted(hashes))
                 size += len(keys)
                 if size >= BATCH:
                     yield rows()
@@ -202,12 +197,18 @@ def _distinct(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct context keys and word hashes of a batch."""
     grams, words = [], []
     for _, _, keys, _, hashes, _ in _texts(column):
-        grams.append(np.unique(keys))
-        words.append(np.unique(hashes))
-    join = lambda parts: np.unique(np.concatenate(parts)) if parts else np.zeros(0, U)
+        grams.append(distinct(keys))
+        words.append(distinct(hashes))
+    join = lambda parts: distinct(np.concatenate(parts)) if parts else np.zeros(0, U)
     return join(grams), join(words)
 
 
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of ``wanted`` in a table sorted by key; sorted questions are far kinder to caches."""
+    found, at = inverse(wanted)
+    return values[np.searchsorted(keys, found)][at]
+
+
 def _asker(shards: int) -> Callable[[pa.Table], pa.Table]:
     def ask(table: pa.Table) -> pa.Table:
         batch = table["batch"][0].as_py()
@@ -251,7 +252,7 @@ def _answerer(shards: int, top) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return answer
 
 
-def _scorer(shards: int, key: str, tokens: int, distinct: int, texts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _scorer(shards: int, key: str, tokens: int, known_words: int, texts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         column = docs["text"].combine_chunks()
         by_shard = dict(zip(answers["shard"].to_pylist(), answers["answers"].to_pylist(), strict=True))
@@ -267,11 +268,11 @@ def _scorer(shards: int, key: str, tokens: int, distinct: int, texts: int) -> Ca
         n = len(column)
         bits, n_bytes = np.zeros(n), np.zeros(n, np.int64)
         n_words, known, base = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-        unit = math.log10(tokens + distinct + 1)
+        unit = math.log10(tokens + known_words + 1)
         for first, end, keys, before, hashes, words_before in _texts(column):
-            bits[first:end] = per_text(tables[0][1][np.searchsorted(tables[0][0], keys)], before)
+            bits[first:end] = per_text(_looked_up(*tables[0], keys), before)
             n_bytes[first:end] = np.diff(before) - 1
-            seen = tables[1][1][np.searchsorted(tables[1][0], hashes)] if len(hashes) else np.zeros(0, np.int64)
+            seen = _looked_up(*tables[1], hashes)
             n_words[first:end] = np.diff(words_before)
             known[first:end] = per_text((seen > 0).astype(np.int64), words_before)
             base[first:end] = per_text(np.log10(seen + 1.0) - unit, words_before)
@@ -302,7 +303,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFrame:
     learned = docs.where(train)
     texts = learned.count()
     model = stage(_model(learned, shards, rounds), "contexts")
-    words, distinct = _word_totals(model, shards)
+    words, known_words = _word_totals(model, shards)
     top = docs.sparkSession.sparkContext.broadcast(_top(model, shards))
     kind = docs.schema[key].dataType.simpleString()
     dealt = docs.select(
@@ -319,7 +320,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFrame:
         .cogroup(copies.groupBy("shard", "salt"))
         .applyInArrow(_answerer(shards, top), "batch long, shard int, answers binary")
     )
-    scored = _scorer(shards, key, words + texts, distinct + (texts > 0), texts)
+    scored = _scorer(shards, key, words + texts, known_words + (texts > 0), texts)
     return (
         dealt.groupBy("batch")
         .cogroup(answers.groupBy("batch"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifold.llm.tokens import Hasher, U, chunks, per_text, words
+from motifold.llm.tokens import Hasher, U, chunks, distinct, per_text, words
 
 FEATURES = 1 << 18
 SAMPLE = 20_000
@@ -51,7 +51,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         trimmed = trimmed - more
     bucket = (Hasher(data, fold=True).spans(starts, trimmed) & U(FEATURES - 1)).astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
-    distinct = np.unique(text * FEATURES + bucket)
+    present = distinct(text * FEATURES + bucket)
     n = np.maximum(np.diff(before), 1)
 
     def within(mask: np.ndarray) -> np.ndarray:
@@ -68,10 +68,10 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     for s in range(12):
         shares[:, s] = per_text((shape == s).astype(np.int64), before) / n
     shares[:, 12] = per_text((digits > 0).astype(np.int64), before) / n
-    count = np.searchsorted(distinct, np.arange(len(offsets)) * FEATURES)
+    count = np.searchsorted(present, np.arange(len(offsets)) * FEATURES)
     shares[:, 13] = np.diff(count) / n
     shares[:, 14] = np.diff(before) < 20
-    return distinct & FEATURES - 1, count, shares * _SHAPE_SCALE
+    return present & FEATURES - 1, count, shares * _SHAPE_SCALE
 
 
 def _rated_features(rated: DataFrame) -> DataFrame:

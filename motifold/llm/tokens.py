@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text worked on at a time, so that the arrays over them stay small; one text is never cut.
-CHUNK = 4 << 20
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -108,6 +108,34 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.n
     return Hasher(data, fold).spans(starts, ends), before
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a sort: several times faster here than the library's hash table."""
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    keep[1:] = values[1:] != values[:-1]
+    return values[keep]
+
+
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    keep[1:] = values[1:] != values[:-1]
+    first = np.flatnonzero(keep)
+    return values[first], np.diff(np.append(first, len(values)))
+
+
+def inverse(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and, for each value, its place among them."""
+    order = np.argsort(values)
+    ranked = values[order]
+    keep = np.ones(len(values), bool)
+    keep[1:] = ranked[1:] != ranked[:-1]
+    at = np.empty(len(values), np.int64)
+    at[order] = np.cumsum(keep) - 1
+    return ranked[keep], at
+
+
 def per_text(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over the texts whose entries ``before`` delimits."""
     total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
