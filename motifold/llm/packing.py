@@ -58,6 +58,12 @@ def _exact(tokenizer: str) -> Tokenizer:
     return out
 
 
+@lru_cache(maxsize=2)
+def _width(tokenizer: str) -> str:
+    """16 bits for the ids on their way, where the vocabulary fits."""
+    return "<u2" if _exact(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def token_ids(text: str | None, tokenizer: str = TOKENIZER, ranks: str = RANKS) -> list[int]:
     """Ids of a whole text; both libraries give the same, the second takes what the first gives up on."""
     if not text:
@@ -109,7 +115,8 @@ def place(ids: np.ndarray) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, key: str, tokenizer: str, ranks: str) -> DataFrame:
-    """(key, curve, ids): ids end with the separator, as unsigned little-endian numbers of 32 bits."""
+    """(key, curve, ids): ids end with the separator, as unsigned little-endian numbers of ``_width`` bits."""
+    kind_of_id = _width(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +124,7 @@ def tokenized(docs: DataFrame, key: str, tokenizer: str, ranks: str) -> DataFram
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 ids = [
-                    np.array([*token_ids(text, tokenizer, ranks), SEPARATOR], "<u4")
+                    np.array([*token_ids(text, tokenizer, ranks), SEPARATOR], kind_of_id)
                     for text in part.column(1).to_pylist()
                 ]
                 curve = hilbert(np.array([place(x) for x in ids]).T)
@@ -157,6 +164,7 @@ def pack(
 
     ``ids`` holds the piece's token ids as unsigned little-endian numbers of 32 bits.
     """
+    kind_of_id, width = _width(tokenizer), int(_width(tokenizer)[-1])
     ready = stage(tokenized(docs, key, tokenizer, ranks), "tokens")
     along = ready.repartitionByRange("curve", key).sortWithinPartitions("curve", key)
     names = [key, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -165,6 +173,9 @@ def pack(
         sequence, filled = TaskContext.get().partitionId() * RANGE, 0
         waiting: list[tuple] = []  # (document, start, length) of the unfinished sequence
 
+        def wide(ids: bytes) -> bytes:
+            return np.frombuffer(ids, kind_of_id).astype("<u4").tobytes()
+
         def rows(found: list[tuple]) -> pa.RecordBatch:
             kind = pa.array([f[0][0] for f in found], batch_type)
             number = lambda values: pa.array(list(values), pa.int64())
@@ -173,10 +184,10 @@ def pack(
                     kind,
                     number(f[1] for f in found),
                     number(f[2] for f in found),
-                    number(len(f[0][1]) // 4 for f in found),
+                    number(len(f[0][1]) // width for f in found),
                     number(f[3] for f in found),
                     number(f[4] for f in found),
-                    pa.array([f[0][1][4 * f[1] : 4 * (f[1] + f[2])] for f in found], pa.binary()),
+                    pa.array([wide(f[0][1][width * f[1] : width * (f[1] + f[2])]) for f in found], pa.binary()),
                 ],
                 names,
             )
@@ -186,7 +197,7 @@ def pack(
             batch_type = batch.column(0).type
             found = []
             for document in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                start, left = 0, len(document[1]) // 4
+                start, left = 0, len(document[1]) // width
                 while left:
                     take = min(left, capacity - filled)
                     waiting.append((document, start, take))
