@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motifold.llm import language_id, lm_score, minhash_forest, mixing, packing, quality_model, quality_rules, secret_scan
+from motifold.llm import (
+    language_id,
+    lm_score,
+    minhash_forest,
+    mixing,
+    packing,
+    quality_model,
+    quality_rules,
+    repeats,
+    secret_scan,
+)
 from motifold.llm.work import documents
 
 
@@ -16,6 +26,10 @@ def _joined(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+def op1_repeats(spark, sf_dir):
+    return repeats.repeats(documents(spark, sf_dir))
+
+
 def op2_quality_model(spark, sf_dir):
     """Grades: 0 toxic, 1 of low quality, 2 good; kept: more likely good than not."""
     docs = documents(spark, sf_dir)
@@ -100,6 +114,7 @@ def op10_packing(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_repeats,
         op2_quality_model,
         op3_context_tree,
         op4_secret_scans,
