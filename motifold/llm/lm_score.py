@@ -33,7 +33,7 @@ from motifold.llm.work import stage, text_size
 
 DEPTH = 6
 #: Bytes of text counted, or asked for, at a time.
-BATCH = 12 << 20
+BATCH = 6 << 20
 #: Bytes of text per shard of the model, and bytes of text that one copy of a shard answers.
 SHARD = 4 << 20
 ROUND = 1 << 30
