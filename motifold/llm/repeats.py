@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -51,16 +51,16 @@ _ANSWERED = "batch long, shard long, answers binary"
 
 
 class Parsed:
-    """The triggers of a run of texts and the strings that begin in the phrase before each.
+    """The triggers of a run of texts and the strings that begin in the phrase before each: few numbers per text.
 
-    Strings ``low`` to ``high`` (starts, both included) belong to a trigger; ``far`` marks the starts of those without one.
+    Strings ``low`` to ``high`` (starts, both included) belong to a trigger; ``far`` are the starts of those without one.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        self.hasher = Hasher(data)
-        n = len(data)
+        hasher = Hasher(data)
+        self.n = n = len(data)
         places = np.arange(max(n - GRAM + 1, 0))
-        at = places[self.hasher.spans(places, places + GRAM) % U(EVERY) == 0]
+        at = places[hasher.spans(places, places + GRAM) % U(EVERY) == 0]
         text = np.searchsorted(offsets, at, "right") - 1
         inside = at + GRAM <= offsets[text + 1]
         at, text = at[inside], text[inside]
@@ -71,12 +71,12 @@ class Parsed:
         high = np.minimum(at, end - LENGTH)
         held = high >= low
         at, self.low, self.high, end = at[held], low[held], high[held], end[held]
-        self.anchor = self.hasher.spans(at, at + ANCHOR)
-        segment = self.hasher.spans(self.low, np.minimum(at + LENGTH, end))
+        self.anchor = hasher.spans(at, at + ANCHOR)
+        segment = hasher.spans(self.low, np.minimum(at + LENGTH, end))
         self.segment = scrambled(segment + (at - self.low).astype(U) * U(0xA24BAED4963EE407))
         long_enough = np.diff(offsets) >= LENGTH
         starts = self._spread(offsets[:-1][long_enough], offsets[1:][long_enough] - LENGTH, n)
-        self.far = starts & ~self._spread(self.low, self.high, n)
+        self.far = np.flatnonzero(starts & ~self._spread(self.low, self.high, n))
 
     @staticmethod
     def _spread(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
@@ -88,16 +88,11 @@ class Parsed:
 
     def starts(self, chosen: np.ndarray) -> np.ndarray:
         """Starts of the strings of the chosen triggers."""
-        mask = self._spread(self.low[chosen], self.high[chosen], len(self.far))
-        return np.flatnonzero(mask)
+        return np.flatnonzero(self._spread(self.low[chosen], self.high[chosen], self.n))
 
-    def names(self, starts: np.ndarray) -> np.ndarray:
-        return self.hasher.spans(starts, starts + LENGTH)
 
-
-def _parsed(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Parsed]]:
-    for first, end, data, offsets in chunks(column):
-        yield first, end, data, offsets, Parsed(data, offsets)
+def names_of(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return Hasher(data).spans(starts, starts + LENGTH) if len(starts) else np.zeros(0, U)
 
 
 def _found(names: np.ndarray, codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -147,12 +142,11 @@ class _Batch:
     """What a batch knows at each step; recomputed from its texts, whose order does not matter."""
 
     def __init__(self, table: pa.Table, shards: int) -> None:
-        self.column, self.shards = table["text"].combine_chunks(), shards
-        anchors, segments = [np.zeros(0, U)], [np.zeros(0, U)]
-        for _, _, _, _, p in _parsed(self.column):
-            anchors.append(p.anchor)
-            segments.append(p.segment)
-        anchor, segment = np.concatenate(anchors), np.concatenate(segments)
+        column = table["text"].combine_chunks()
+        self.parts = [(data, offsets, Parsed(data, offsets)) for _, _, data, offsets in chunks(column)]
+        none = [np.zeros(0, U)]
+        anchor = np.concatenate([*none, *(p.anchor for _, _, p in self.parts)])
+        segment = np.concatenate([*none, *(p.segment for _, _, p in self.parts)])
         order = np.lexsort((segment, anchor))
         anchor, segment = anchor[order], segment[order]
         new = np.ones(len(anchor), bool)
@@ -167,7 +161,7 @@ class _Batch:
     def border_segments(self, anchor_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct segments whose anchor has others too, and how often each is here."""
         out = [np.zeros(0, U)]
-        for _, _, _, _, p in _parsed(self.column):
+        for _, _, p in self.parts:
             out.append(p.segment[_found(self.anchors, anchor_codes, p.anchor) == 2])
         return counted(np.concatenate(out))
 
@@ -177,7 +171,7 @@ class _Batch:
         chosen = np.zeros(len(p.anchor), bool)
         chosen[at_border] = _found(borders, border_codes, p.segment[at_border]) & 2 > 0
         starts = p.starts(chosen)
-        return distinct(np.concatenate([starts, np.flatnonzero(p.far)]))
+        return distinct(np.concatenate([starts, p.far]))
 
 
 def _ask_anchors(shards: int) -> Callable[[pa.Table], pa.Table]:
@@ -250,8 +244,8 @@ def _ask_strings(shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         borders, _ = b.border_segments(anchor_codes)
         border_codes, _ = _codes(borders, shards, answers)
         out = [np.zeros(0, U)]
-        for _, _, _, _, p in _parsed(b.column):
-            out.append(distinct(p.names(b.loose(p, anchor_codes, borders, border_codes))))
+        for data, _, p in b.parts:
+            out.append(distinct(names_of(data, b.loose(p, anchor_codes, borders, border_codes))))
         names = distinct(np.concatenate(out))
         return _rows(table["batch"][0].as_py(), names, shards, None, kept + border_codes.tobytes())
 
@@ -273,22 +267,18 @@ def _finish(shards: int, key: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
         both = np.frombuffer(kept, np.uint8)
         anchor_codes, border_codes = both[: len(b.anchors)], both[len(b.anchors) :]
         borders, _ = b.border_segments(anchor_codes)
-        loose, local = [], [np.zeros(0, U)]
-        for _, _, _, _, p in _parsed(b.column):
-            names = p.names(b.loose(p, anchor_codes, borders, border_codes))
-            loose.append(names)
-            local.append(names)
-        strings, counts = counted(np.concatenate(local))
+        loose = [b.loose(p, anchor_codes, borders, border_codes) for _, _, p in b.parts]
+        named = [names_of(data, starts) for (data, _, _), starts in zip(b.parts, loose, strict=True)]
+        strings, counts = counted(np.concatenate([np.zeros(0, U), *named]))
         string_codes, _ = _codes(strings, shards, answers)
         again = (string_codes & 1).astype(bool) | (counts > 1)
         here = b.segment_counts > 1
         n_bytes, n_removed, n_spans, digests = [], [], [], []
-        for (_, _, data, offsets, p), names in zip(_parsed(b.column), loose, strict=True):
+        for (data, offsets, p), starts, names in zip(b.parts, loose, named, strict=True):
             codes = _found(b.anchors, anchor_codes, p.anchor)
             whole = (codes == 1) | _found(b.segments, here, p.segment)
             at_border = codes == 2
             whole[at_border] |= (_found(borders, border_codes, p.segment[at_border]) & 1).astype(bool)
-            starts = b.loose(p, anchor_codes, borders, border_codes)
             starts = distinct(np.concatenate([p.starts(whole), starts[_found(strings, again, names)]]))
             gone = covered(starts, len(data))
             first = gone.copy()
