@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from motifold.llm import (
     language_id,
     lm_score,
     minhash_forest,
     mixing,
+    nn_descent,
     packing,
     quality_model,
     quality_rules,
@@ -73,6 +75,11 @@ def op4_secret_scans(spark, sf_dir):
     )
 
 
+def op5_nn_descent(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nn_descent.nearest(vectors, F.col("id") % 20 == 0)
+
+
 def op6_quality_rules(spark, sf_dir):
     measured = quality_rules.measure(documents(spark, sf_dir))
     return measured.select(
@@ -111,6 +118,12 @@ def op10_packing(spark, sf_dir):
     )
 
 
+def pipeline(spark, sf_dir):
+    """The rows of ``corpus_pipeline.run``, with a checksum in place of the ids."""
+    pieces = corpus_pipeline.run(spark, sf_dir)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -118,11 +131,13 @@ QUERIES = {
         op2_quality_model,
         op3_context_tree,
         op4_secret_scans,
+        op5_nn_descent,
         op6_quality_rules,
         op7_language_id,
         op8_minhash_forest,
         op9_mixing,
         op10_packing,
+        pipeline,
     )
 }
 
