@@ -144,9 +144,10 @@ def fit(docs: DataFrame, ratings: DataFrame, levels: int = 3, sample: int = SAMP
     rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not len(table):
+        held = [batch for batch in batches if len(batch)]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         lists = table["words"].combine_chunks()
         before = np.asarray(lists.offsets, np.int64)
         shares = np.frombuffer(b"".join(table["shapes"].to_pylist())).reshape(-1, SHAPES)
