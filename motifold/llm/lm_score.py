@@ -32,31 +32,45 @@ from motifold.llm.tokens import U, chunks, counted, distinct, inverse, per_text,
 from motifold.llm.work import stage, text_size
 
 DEPTH = 6
-#: Bytes of text counted, or asked for, at a time.
+#: Bytes of text asked for at a time, and keys held while counting.
 BATCH = 6 << 20
+HELD = 2_000_000
 #: Bytes of text per shard of the model, and bytes of text that one copy of a shard answers.
 SHARD = 4 << 20
 ROUND = 1 << 30
 MOST_SHARDS = 4096
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The number of bytes that the largest value needs, then the values byte plane by byte plane."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + np.ascontiguousarray(planes.T).tobytes()
+
+
+def _values(data) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    planes = raw[1:].reshape(raw[0], -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : raw[0]] = planes.T
+    return wide.view("<u8").reshape(-1)
+
+
 def packed(keys: np.ndarray) -> bytes:
-    """Sorted numbers as differences, byte plane by byte plane, which a shuffle's compression shrinks well."""
-    return np.ascontiguousarray(np.diff(keys, prepend=U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Sorted numbers as differences, without the bytes that none of them uses."""
+    return _planes(np.diff(keys, prepend=U(0)))
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=U)
+def unpacked(data) -> np.ndarray:
+    return np.cumsum(_values(data), dtype=U)
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
-    return np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return _planes(counts)
 
 
-def unpacked_counts(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
+def unpacked_counts(data) -> np.ndarray:
+    return _values(data).view("<i8")
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,35 +106,37 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
 def _model(train: DataFrame, shards: int, rounds: int) -> DataFrame:
     """(shard, keys, counts): shards 0 to n - 1 hold contexts, n to 2 n - 1 words."""
 
+    def rows(grams: list, words: list) -> pa.RecordBatch:
+        out = []
+        for kind, parts in enumerate((grams, words)):
+            keys, counts = merged(parts)
+            order, bounds = _by_shard(keys, shards, bool(kind))
+            for s in range(shards):
+                at = order[bounds[s] : bounds[s + 1]]
+                if len(at):
+                    out.append((kind * shards + s, packed(keys[at]), packed_counts(counts[at])))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2))],
+            ["shard", "keys", "counts"],
+        )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: list = []
         words: list = []
-        size = 0
-
-        def rows() -> pa.RecordBatch:
-            out = []
-            for kind, parts in enumerate((grams, words)):
-                keys, counts = merged(parts)
-                order, bounds = _by_shard(keys, shards, bool(kind))
-                for s in range(shards):
-                    at = order[bounds[s] : bounds[s + 1]]
-                    if len(at):
-                        out.append((kind * shards + s, packed(keys[at]), packed_counts(counts[at])))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2))],
-                ["shard", "keys", "counts"],
-            )
-
+        held = 0
         for batch in batches:
             for _, _, keys, _, hashes, _ in _texts(batch.column(0)):
                 grams.append(counted(keys))
                 words.append(counted(hashes))
-                size += len(keys)
-                if size >= BATCH:
-                    yield rows()
-                    grams, words, size = [], [], 0
-        if size:
-            yield rows()
+                held += len(grams[-1][0]) + len(words[-1][0])
+                if held >= HELD:
+                    grams, words = [merged(grams)], [merged(words)]
+                    held = len(grams[0][0]) + len(words[0][0])
+                    if held >= HELD // 2:
+                        yield rows(grams, words)
+                        grams, words, held = [], [], 0
+        if grams:
+            yield rows(grams, words)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -134,14 +150,15 @@ def _model(train: DataFrame, shards: int, rounds: int) -> DataFrame:
             )
 
         for batch in batches:
-            for shard, keys, counts in zip(*(batch.column(n).to_pylist() for n in ("shard", "keys", "counts")), strict=True):
+            for i, shard in enumerate(batch.column(0).to_pylist()):
+                keys, counts = (batch.column(c)[i].as_buffer() for c in (1, 2))
                 if last is not None and shard != last:
                     yield row()
                     held, size = [], 0
                 last = shard
                 held.append((unpacked(keys), unpacked_counts(counts)))
                 size += len(held[-1][0])
-                if size > 4_000_000 and len(held) > 1:
+                if size > HELD and len(held) > 1:
                     held = [merged(held)]
                     size = len(held[0][0])
         if held:

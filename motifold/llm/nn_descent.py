@@ -206,7 +206,7 @@ def neighbour_graph(nodes: DataFrame) -> DataFrame:
         graph = stage(
             own.groupBy("block").cogroup(offered.groupBy("to")).applyInArrow(_improve, _GRAPH), "graph"
         )
-        if graph.agg(F.sum("changed").alias("c")).first()["c"] <= CHANGED * total * NEIGHBOURS:
+        if (graph.agg(F.sum("changed").alias("c")).first()["c"] or 0) <= CHANGED * total * NEIGHBOURS:
             break
     return graph
 
