@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifold.llm.work import GAP
+from motifold.llm.work import GAP, stage
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -163,6 +163,9 @@ def verdicts(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns; the rows keep their own columns' names."""
+    """The rows of ``docs`` that pass, with all their columns.  The judged rows are written to the work folder once."""
     inner = docs.select(F.struct("*").alias("_row"), "text")
-    return measure(inner, "_row", rules).where("kept").select("_row.*")
+    # Written before it is filtered: a filter makes Spark derive constraints from the whole chain of
+    # projections, which takes it minutes of planning.
+    judged = stage(measure(inner, "_row", rules).select("_row", "kept"), "judged")
+    return judged.where("kept").select("_row.*")
