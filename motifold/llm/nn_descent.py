@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +32,7 @@ from motifold.llm.work import stage
 
 NEIGHBOURS = 16
 BLOCK = 2048
+RANGES = 256
 ROUNDS = 12
 #: Rounds end when so small a part of the neighbours changed.
 CHANGED = 0.005
@@ -134,36 +134,36 @@ def _lists(who: np.ndarray) -> pa.Array:
     return pa.array([row[row >= 0].tolist() for row in who], pa.list_(pa.int64()))
 
 
-def _first_graph(nodes: DataFrame, order: str) -> DataFrame:
-    """Neighbours within runs of ``BLOCK`` nodes along a projection; the run is the node's block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId() << 32, 0
-        held: list[pa.RecordBatch] = []
-
-        def done(rows: pa.Table) -> pa.RecordBatch:
-            ids = np.asarray(rows["node"], np.int64)
-            own = _matrix(rows["half"].combine_chunks(), "<f2").astype(np.float32)
-            near = _lists(_best(own, ids, ids, own, NEIGHBOURS))
-            block = np.full(len(ids), task + number)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(block), near, pa.array(np.zeros(len(ids), np.int64))],
-                ["node", "block", "near", "changed"],
-            )
+def blocks_along(nodes: DataFrame, total: int, order: str) -> DataFrame:
+    """``nodes`` with their ``block`` of about ``BLOCK`` nodes along a projection.
+
+    At most ``RANGES`` ranges of the projection come from its approximate quantiles, so their number does not
+    depend on partitions; a range with more than a block's nodes is dealt by hash.
+    """
+    wanted = max(1, math.ceil(total / BLOCK))
+    ranges = min(RANGES, wanted)
+    cuts = [i / ranges for i in range(1, ranges)]
+    bounds = nodes.approxQuantile(order, cuts, 0.1 / ranges) if cuts and total else []
+    place = F.lit(0)
+    if bounds:
+        place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order)))
+    parts = math.ceil(wanted / ranges)
+    block = place.cast("long") * parts + F.pmod(F.xxhash64("node"), F.lit(parts))
+    return nodes.select("node", "half", block.alias("block"))
+
+
+def _first(table: pa.Table) -> pa.Table:
+    ids = np.asarray(table["node"], np.int64)
+    own = _matrix(table["half"].combine_chunks(), "<f2").astype(np.float32)
+    near = _lists(_best(own, ids, ids, own, NEIGHBOURS))
+    return pa.table(
+        {"node": table["node"], "block": table["block"], "near": near, "changed": pa.array(np.zeros(len(ids), np.int64))}
+    )
 
-        for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            while len(table) >= 2 * BLOCK:  # what is left over joins the last run
-                yield done(table.slice(0, BLOCK))
-                number += 1
-                table = table.slice(BLOCK)
-            held = table.to_batches()
-        if held and sum(map(len, held)):
-            yield done(pa.Table.from_batches(held))
 
-    along = nodes.select("node", "half", order).repartitionByRange(order, "node").sortWithinPartitions(order, "node")
-    return along.select("node", "half").mapInArrow(run, _GRAPH)
+def _first_graph(nodes: DataFrame, total: int, order: str) -> DataFrame:
+    """Neighbours within the blocks along a projection."""
+    return blocks_along(nodes, total, order).groupBy("block").applyInArrow(_first, _GRAPH)
 
 
 def _improve(own: pa.Table, offered: pa.Table) -> pa.Table:
@@ -187,8 +187,8 @@ def neighbour_graph(nodes: DataFrame) -> DataFrame:
     """(node, block, near, changed), written to the shared work folder."""
     halves = nodes.select("node", "half")
     total = nodes.count()
-    graph = stage(_first_graph(nodes, "one"), "graph")
-    other = stage(_first_graph(nodes, "two").select("node", F.col("near").alias("also")), "graph")
+    graph = stage(_first_graph(nodes, total, "one"), "graph")
+    other = stage(_first_graph(nodes, total, "two").select("node", F.col("near").alias("also")), "graph")
     mixed = graph.join(other, "node").select(
         "node", "block", F.array_distinct(F.concat("near", "also")).alias("near"), "changed"
     )
