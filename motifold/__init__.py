@@ -1,6 +1,17 @@
 """Graph-pattern analytics over triples with Spark DataFrames."""
 
-from .functions.terms import RDF_TYPE, bag_has, is_literal, is_variable, match_term, triple_kind
+from types import ModuleType as _ModuleType
+
+from .functions.terms import (
+    RDF_TYPE,
+    bag_has,
+    is_literal,
+    is_variable,
+    literal,
+    literal_value,
+    match_term,
+    triple_kind,
+)
 from .operators.filters import (
     count_star,
     has_property,
@@ -18,6 +29,7 @@ from .operators.graph import (
     object_nodes,
     property_bag,
     triplet_view,
+    vertex_counts,
     vertex_heads,
 )
 from .operators.infer import (
@@ -58,6 +70,7 @@ from .plans.bgp import (
     project_bgp,
     solutions_per_root,
 )
+from .plans.query_text import parse_query
 from .sources.store import (
     open_store,
     read_edge_table,
@@ -78,4 +91,8 @@ from .sources.text import (
 )
 from .sources.triples import FrameTriples, Predicate
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    name
+    for name, value in list(globals().items())
+    if not name.startswith("_") and not isinstance(value, _ModuleType)
+]

@@ -70,3 +70,51 @@ def pattern_variables(pattern) -> list[str]:
     """Variable column names of a pattern, subject first, without repeats."""
     s, _, o = pattern
     return list(dict.fromkeys(variable_name(t) for t in (s, o) if is_variable(t)))
+
+
+def escape_sql(column: str) -> str:
+    """SQL of a column's text with what a literal must not hold bare written as an escape."""
+    steps = ((r"'\\'", r"'\\\\'"), ("'\"'", "'\\\\\"'"), (r"'\n'", r"'\\n'"), (r"'\r'", r"'\\r'"))
+    out = f"CAST(`{column}` AS STRING)"
+    for raw, escaped in steps:
+        out = f"replace({out}, {raw}, {escaped})"
+    return out
+
+
+_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r"}
+
+
+def unescaped(text: str) -> str | None:
+    """The value of a literal's inner text, or None if this is not how ``escape_sql`` writes it."""
+    out, i = [], 0
+    back = {v: k for k, v in _ESCAPES.items()}
+    while i < len(text):
+        if text[i] in _ESCAPES:
+            pair = text[i : i + 2]
+            if pair not in back:
+                return None
+            out.append(back[pair])
+            i += 2
+        else:
+            out.append(text[i])
+            i += 1
+    return "".join(out)
+
+
+def literal(column: str) -> Column:
+    """A literal term of a column's text; the inverse is ``literal_value``."""
+    return F.expr(f"concat('\"', {escape_sql(column)}, '\"')")
+
+
+def literal_value(term: Column) -> Column:
+    """The text of a literal term: quotes and suffix off, escapes undone."""
+    inner = F.regexp_extract(term, r'(?s)^"(.*)"[^"]*$', 1)
+    # Text between escaped backslashes holds no other backslash than those of escapes.
+    parts = F.split(inner, r"\\\\")
+    plain = F.transform(
+        parts,
+        lambda x: F.replace(
+            F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")), F.lit('\\"'), F.lit('"')
+        ),
+    )
+    return F.array_join(plain, "\\")

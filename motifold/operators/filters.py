@@ -62,14 +62,14 @@ def star_filter(
     triples,
     constraints: Sequence[Constraint],
     within: DataFrame | None = None,
-    salts: int = 0,
+    split_rows: int = 0,
 ) -> DataFrame:
     """Rows of ``df`` whose ``subject`` column satisfies every constraint.
 
-    ``salts > 1`` splits subjects that hold a large share of the rows of ``df``.
+    ``split_rows`` splits subjects that hold a large share of the rows of ``df``.
     """
     members = star_members(triples, constraints, within).withColumnRenamed("s", subject)
-    return semi_join(df, members, salts)
+    return semi_join(df, members, split_rows)
 
 
 def match_star(triples, constraints: Sequence[Constraint], variable: str = "s") -> DataFrame:

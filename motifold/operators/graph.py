@@ -7,50 +7,42 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_BYTES, text_bytes
 from ..sources.triples import frame, union_all
 from .joins import natural_join
-from .triples import data_triples, object_triples
+from .keys import assign_ids
+from .triples import data_triples, graph_nodes, object_triples
 
-#: Most attribute pairs in one array row; larger subjects take several rows.
-BAG_SIZE = 1_000_000
+#: Parts over which every subject's attributes are dealt.
+PARTS = 4
 
 EMPTY_BAG = "array<struct<prop:string,obj:string>>"
 
 
-def property_bag(triples, bag_size: int = BAG_SIZE) -> DataFrame:
+def property_bag(triples, parts: int = PARTS) -> DataFrame:
     """``(s, part, props)``: the set of (prop, obj) pairs of every subject, sorted.
 
-    Subjects with at most ``bag_size`` attribute triples have the single part 0.
-    A larger subject is cut by a hash of the pair into parts of about that size,
-    so no task and no row ever holds all attributes of a hot subject.
+    Every subject's pairs are dealt over ``parts`` rows by a hash of the pair, whatever
+    their number, so a hot subject is spread over that many tasks; give more parts where a
+    subject's attributes do not fit in so few rows.  Parts without pairs have no row.
     """
-    data = data_triples(triples)
-    counts = data.groupBy("s").agg(F.count("*").alias("#n")).where(F.col("#n") > bag_size)
-    # Integer division, rounded up.
-    large = counts.select("s", F.expr(f"(`#n` + {bag_size} - 1) div {bag_size}").alias("#parts"))
-    fits = text_bytes(large) <= BROADCAST_BYTES
-    cut = data.join(F.broadcast(large) if fits else large, "s", "left").select(
+    dealt = data_triples(triples).select(
         "s",
-        F.coalesce(F.pmod(F.xxhash64("p", "o"), F.col("#parts")), F.lit(0)).alias("part"),
+        F.pmod(F.xxhash64("p", "o"), F.lit(parts)).alias("part"),
         F.struct(F.col("p").alias("prop"), F.col("o").alias("obj")).alias("pair"),
     )
-    if not fits:
-        # After a shuffle join by subject the parts of a subject must part ways.
-        cut = cut.repartition("s", "part")
-    return cut.groupBy("s", "part").agg(F.sort_array(F.collect_set("pair")).alias("props"))
+    return dealt.groupBy("s", "part").agg(F.sort_array(F.collect_set("pair")).alias("props"))
 
 
-def attach_props(triples, vertices: DataFrame, salts: int = 0) -> DataFrame:
+def attach_props(triples, vertices: DataFrame, split_rows: int = 0) -> DataFrame:
     """``(id, uri, prop, obj)``: attribute triples joined with their vertex.
 
-    ``salts > 1`` splits hot subjects where ``vertices`` is no stored table but
+    ``split_rows`` splits hot subjects where ``vertices`` is no stored table but
     comes out of an aggregation by node.
     """
     data = data_triples(triples).select(
         F.col("s").alias("uri"), F.col("p").alias("prop"), F.col("o").alias("obj")
     )
-    joined = natural_join(data, vertices.select("id", "uri"), salts=salts)
+    joined = natural_join(data, vertices.select("id", "uri"), split_rows=split_rows)
     return joined.select("id", "uri", "prop", "obj")
 
 
@@ -60,23 +52,43 @@ def object_nodes(triples, vertices: DataFrame) -> DataFrame:
     return vertices.select("id", "uri").join(objects, "uri", "left_semi")
 
 
-def build_vertices(triples, ids: DataFrame, bag_size: int = BAG_SIZE) -> DataFrame:
-    """``(id, uri, part, props)``: every node of ``ids`` with its attributes, if any."""
-    bags = property_bag(triples, bag_size).withColumnRenamed("s", "uri")
-    return ids.join(bags, "uri", "left").select(
-        "id",
-        "uri",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("props", F.array().cast(EMPTY_BAG)).alias("props"),
+def build_vertices(triples, ids: DataFrame, parts: int = PARTS) -> DataFrame:
+    """``(id, uri, part, props)``: every node of ``ids`` with its attributes, if any.
+
+    Nodes with attributes come from an inner join, in which adaptive execution can split a hot
+    subject's parts; the others are added with an empty part 0.
+    """
+    bags = property_bag(triples, parts).withColumnRenamed("s", "uri")
+    full = ids.join(bags, "uri").select("id", "uri", "part", "props")
+    bare = ids.join(bags.select("uri"), "uri", "left_anti").select(
+        "id", "uri", F.lit(0).cast("bigint").alias("part"), F.array().cast(EMPTY_BAG).alias("props")
     )
+    return full.unionByName(bare)
 
 
 def merge_vertices(parts: Sequence[DataFrame]) -> DataFrame:
-    """Union of vertex tables; of several copies of a row the one with most properties."""
-    return (
-        union_all(parts)
-        .groupBy("id", "uri", "part")
-        .agg(F.max_by("props", F.size("props")).alias("props"))
+    """Union of vertex tables; of several copies of a vertex, the one with most properties is kept whole.
+
+    A vertex's copy is all its rows in one of the tables; the earlier table wins a tie.
+    """
+    copies = union_all(
+        [t.select("id", "uri", "part", "props", F.lit(i).alias("#copy")) for i, t in enumerate(parts)]
+    )
+    sizes = copies.groupBy("id", "uri", "#copy").agg(F.sum(F.size("props")).alias("#n"))
+    best = sizes.groupBy("id", "uri").agg(
+        F.max_by("#copy", F.struct("#n", -F.col("#copy"))).alias("#copy")
+    )
+    return copies.join(best, ["id", "uri", "#copy"]).select("id", "uri", "part", "props")
+
+
+def vertex_counts(triples, ids: DataFrame) -> DataFrame:
+    """``(id, uri, n_props)`` of every node, counted on narrow rows; no attribute array is built.
+
+    ``triples`` must be a set, as everywhere.
+    """
+    counts = data_triples(triples).groupBy(F.col("s").alias("uri")).agg(F.count("*").alias("n_props"))
+    return ids.join(counts, "uri", "left").select(
+        "id", "uri", F.coalesce("n_props", F.lit(0).cast("bigint")).alias("n_props")
     )
 
 
@@ -100,7 +112,11 @@ def encode_edges(triples, ids: DataFrame, distinct: bool = True) -> DataFrame:
 
 
 def encode_edges_hashed(triples, distinct: bool = True) -> DataFrame:
-    """``encode_edges`` for hash ids: computed in place, without any join."""
+    """``encode_edges`` for hash ids, computed in place without any join.
+
+    The ids are checked first: two nodes with one hash raise ``ValueError``.
+    """
+    assign_ids(graph_nodes(triples))
     edges = object_triples(triples).select(
         F.xxhash64("s").alias("src"), F.xxhash64("o").alias("dst"), F.col("p").alias("pred")
     )

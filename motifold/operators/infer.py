@@ -6,13 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import RDF_TYPE
-from ..session import broadcast_if_small
-from ..sources.triples import as_source, frame, union_all
+from ..session import BROADCAST_BYTES, broadcast_if_small, text_bytes
+from ..sources.triples import as_source, frame
 from .triples import filter_edges
 
-#: At most this many predicates are named in a scan filter.
-LISTED = 1000
-
 
 def rule_table(spark: SparkSession, pairs, columns: tuple[str, str]) -> DataFrame:
     """Rule pairs as a two-column table."""
@@ -37,27 +34,46 @@ def infer_types(triples, class_rules: DataFrame) -> DataFrame:
 
 
 def infer_predicates(triples, predicate_rules: DataFrame) -> DataFrame:
-    """Derived triples only: ``x p y`` with a rule ``p -> q`` gives ``x q y``."""
-    rules = broadcast_if_small(predicate_rules.select("p", "super"))
-    # A short list of predicates restricts the scan itself.
-    names = [r["p"] for r in predicate_rules.select("p").distinct().limit(LISTED + 1).collect()]
-    t = frame(triples) if len(names) > LISTED else filter_edges(triples, names)
+    """Derived triples only: ``x p y`` with a rule ``p -> q`` gives ``x q y``.
+
+    Rules small enough to broadcast also restrict the scan to their predicates.
+    """
+    rules = predicate_rules.select("p", "super")
+    if text_bytes(rules) <= BROADCAST_BYTES:
+        t = filter_edges(triples, [r["p"] for r in rules.select("p").distinct().collect()])
+        rules = F.broadcast(rules)
+    else:
+        t = frame(triples)
     return t.join(rules, "p").select("s", F.col("super").alias("p"), "o")
 
 
+def _grouped(rules: DataFrame, key: str, name: str) -> DataFrame:
+    """One row per rule head with the array of what it implies."""
+    return broadcast_if_small(rules.groupBy(F.col(key).alias(f"#{key}")).agg(F.collect_set("super").alias(name)))
+
+
 def infer(
     triples,
     class_rules: DataFrame | None = None,
     predicate_rules: DataFrame | None = None,
     distinct: bool = False,
 ) -> DataFrame:
-    """The input triples and all derived ones, as a bag unless ``distinct``."""
-    parts = [frame(triples)]
+    """The input triples and all derived ones, as a bag unless ``distinct``.
+
+    One pass: every triple meets the rules, grouped by their heads, and gives itself and what they imply.
+    """
+    t = frame(triples).select("s", "p", "o")
+    given = [F.array(F.struct("s", "p", "o"))]
     if class_rules is not None:
-        parts.append(infer_types(triples, class_rules))
+        heads = _grouped(class_rules, "cls", "#classes")
+        t = t.join(heads, (F.col("p") == RDF_TYPE) & (F.col("o") == F.col("#cls")), "left")
+        given.append(F.transform("#classes", lambda c: F.struct("s", "p", c.alias("o"))))
     if predicate_rules is not None:
-        parts.append(infer_predicates(triples, predicate_rules))
-    out = union_all(parts)
+        heads = _grouped(predicate_rules.withColumnRenamed("p", "head"), "head", "#predicates")
+        t = t.join(heads, F.col("p") == F.col("#head"), "left")
+        given.append(F.transform("#predicates", lambda q: F.struct("s", q.alias("p"), "o")))
+    none = F.array().cast("array<struct<s:string,p:string,o:string>>")
+    out = t.select(F.inline(F.concat(*(F.coalesce(g, none) for g in given))))
     return out.distinct() if distinct else out
 
 

@@ -17,12 +17,11 @@ from pyspark.sql import functions as F
 from ..functions.terms import check_pattern
 from ..sources.triples import as_source, pattern_rows, union_all
 
-#: A key is hot when it holds more than one row in this many.  There are fewer
-#: hot keys than this number, whatever the data, so their list can be broadcast.
-HOT_KEYS = 1000
+#: Rows of one key that one task should get; a key with more is split.
+SPLIT_ROWS = 1_000_000
 
-#: Tasks over which a hot key is spread.
-SALTS = 16
+#: Rows of either side in one cell of a product.
+CELL_ROWS = 20_000
 
 
 def quoted(name: str):
@@ -39,7 +38,7 @@ def pattern_scan(triples, pattern) -> DataFrame:
 
 
 def natural_join(
-    a: DataFrame, b: DataFrame, allow_cross: bool = False, salts: int = 0
+    a: DataFrame, b: DataFrame, allow_cross: bool = False, split_rows: int = 0
 ) -> DataFrame:
     """Equi-join on all shared columns; without one, all pairs if ``allow_cross``."""
     shared = shared_columns(a, b)
@@ -47,72 +46,87 @@ def natural_join(
         if not allow_cross:
             raise ValueError(f"no shared variable between {a.columns} and {b.columns}")
         return pair_join(a, b)
-    return salted_join(a, b, shared, salts) if salts > 1 else a.join(b, shared)
+    return salted_join(a, b, shared, split_rows) if split_rows else a.join(b, shared)
 
 
-def semi_join(a: DataFrame, b: DataFrame, salts: int = 0) -> DataFrame:
+def semi_join(a: DataFrame, b: DataFrame, split_rows: int = 0) -> DataFrame:
     """Rows of ``a`` with a partner in ``b`` on the shared columns; never multiplies rows.
 
-    With ``salts > 1``, ``b`` must not repeat a key.
+    With ``split_rows``, ``b`` must not repeat a key.
     """
     shared = shared_columns(a, b)
     if not shared:
         raise ValueError(f"no shared variable between {a.columns} and {b.columns}")
     keys = b.select(*map(quoted, shared))
-    if salts > 1:
-        return salted_join(a, keys, shared, salts, "left_semi")
+    if split_rows:
+        return salted_join(a, keys, shared, split_rows, "left_semi")
     return a.join(keys, shared, "left_semi")
 
 
-def expand_edge(bindings: DataFrame, triples, pattern, salts: int = 0) -> DataFrame:
+def expand_edge(bindings: DataFrame, triples, pattern, split_rows: int = 0) -> DataFrame:
     """Extend bindings by one edge, in either direction."""
-    return natural_join(bindings, pattern_scan(triples, pattern), salts=salts)
+    return natural_join(bindings, pattern_scan(triples, pattern), split_rows=split_rows)
 
 
 def salted_join(
-    a: DataFrame, b: DataFrame, on: Sequence[str], salts: int = SALTS, how: str = "inner"
+    a: DataFrame, b: DataFrame, on: Sequence[str], split_rows: int = SPLIT_ROWS, how: str = "inner"
 ) -> DataFrame:
-    """Equi-join that spreads the hot keys of ``a`` over ``salts`` tasks.
+    """Equi-join that splits a key by its own number of rows, on both sides.
 
-    Hot keys are counted exactly; rows of ``a`` with a hot key are divided by a
-    hash of the whole row and the partner rows in ``b`` are repeated once per
-    salt.  All other rows keep salt 0.
+    A key with n rows in ``a`` and m in ``b`` is cut into ceil(n / split_rows) pieces of ``a`` and
+    ceil(m / split_rows) of ``b``; each piece of one side meets each of the other in a task of its own.  The keys that
+    are cut number (rows of both sides) / split_rows at most.
     """
     if how not in ("inner", "left_semi"):
         raise ValueError("how must be 'inner' or 'left_semi'")
-    counts = a.groupBy(*map(quoted, on)).agg(F.count("*").alias("#rows"))
-    # The total comes from the counts, so their shuffle serves both.
-    total = counts.agg(F.sum("#rows")).scalar()
-    hot = F.broadcast(
-        counts.where(quoted("#rows") * HOT_KEYS > total)
-        .drop("#rows")
-        .withColumn("#hot", F.lit(True))
-    )
-    is_hot = quoted("#hot").isNotNull()
-    spread = F.pmod(F.xxhash64(*map(quoted, a.columns)), F.lit(salts)).cast("int")
-    left = a.join(hot, list(on), "left").select(
-        *map(quoted, a.columns), F.when(is_hot, spread).otherwise(0).alias("#salt")
-    )
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = b.join(hot, list(on), "left").select(
-        *map(quoted, b.columns), F.explode(copies).alias("#salt")
-    )
-    return left.join(right, [*on, "#salt"], how).drop("#salt")
+
+    def pieces(df: DataFrame, name: str) -> DataFrame:
+        rows = df.groupBy(*map(quoted, on)).agg(F.count("*").alias("#rows"))
+        cut = F.ceil(quoted("#rows") / F.lit(split_rows)).cast("int")
+        return rows.where(quoted("#rows") > split_rows).select(*map(quoted, on), cut.alias(name))
+
+    # A side of a semi join that does not repeat a key needs no cutting.
+    if how == "inner":
+        hot = pieces(a, "#a").join(pieces(b, "#b"), list(on), "full")
+    else:
+        hot = pieces(a, "#a").withColumn("#b", F.lit(None).cast("int"))
+    one = F.lit(1)
+    hot = hot.select(*map(quoted, on), F.coalesce("#a", one).alias("#a"), F.coalesce("#b", one).alias("#b"))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        columns = list(map(quoted, df.columns))
+        own_cut, other_cut = (F.coalesce(quoted(c), one) for c in (own, other))
+        piece = F.pmod(F.xxhash64(*columns), own_cut).cast("int")
+        return df.join(hot, list(on), "left").select(
+            *columns,
+            piece.alias(own + "piece"),
+            F.explode(F.sequence(F.lit(0), other_cut - 1)).alias(other + "piece"),
+        )
+
+    keys = [*on, "#apiece", "#bpiece"]
+    return dealt(a, "#a", "#b").join(dealt(b, "#b", "#a"), keys, how).drop("#apiece", "#bpiece")
 
 
 def pair_join(a: DataFrame, b: DataFrame) -> DataFrame:
     """All pairs of two binding tables whose answer is a product by definition.
 
-    Rows of ``a`` are dealt out to blocks, ``b`` is repeated once per block, and
-    the two meet in an equi-join on the block number: the work is spread evenly
-    and neither side has to fit in one task.
+    The sides are counted and cut into pieces of about ``CELL_ROWS``; each pair of pieces is a cell, and the two
+    meet in an equi-join on the cell.  A side is repeated once per piece of the other: a small side
+    leaves the large one unrepeated.
     """
-    blocks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = a.withColumn(
-        "#block", F.pmod(F.xxhash64(*map(quoted, a.columns)), F.lit(blocks)).cast("int")
-    )
-    right = b.withColumn("#block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return left.join(right, "#block").drop("#block")
+    cuts = [max(1, -(-df.count() // CELL_ROWS)) for df in (a, b)]
+
+    def dealt(df: DataFrame, own: int, other: int, names: tuple[str, str]) -> DataFrame:
+        piece = F.pmod(F.xxhash64(*map(quoted, df.columns)), F.lit(cuts[own])).cast("int")
+        return df.select(
+            *map(quoted, df.columns),
+            piece.alias(names[0]),
+            F.explode(F.sequence(F.lit(0), F.lit(cuts[other] - 1))).alias(names[1]),
+        )
+
+    left = dealt(a, 0, 1, ("#apiece", "#bpiece"))
+    right = dealt(b, 1, 0, ("#bpiece", "#apiece"))
+    return left.join(right, ["#apiece", "#bpiece"]).drop("#apiece", "#bpiece")
 
 
 def union_bindings(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -122,7 +136,7 @@ def union_bindings(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def merge_bindings(parts: Sequence[DataFrame], salts: int = 0) -> DataFrame:
+def merge_bindings(parts: Sequence[DataFrame], split_rows: int = 0) -> DataFrame:
     """Combine partial results: equal column sets are united, the rest joined.
 
     Each union is reduced to a set before it is joined, so the result is a set.
@@ -137,7 +151,7 @@ def merge_bindings(parts: Sequence[DataFrame], salts: int = 0) -> DataFrame:
         if linked is None:
             raise ValueError("partial results without a shared variable")
         tables.remove(linked)
-        merged = natural_join(merged, linked, salts=salts)
+        merged = natural_join(merged, linked, split_rows=split_rows)
     return merged
 
 

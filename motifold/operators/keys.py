@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -12,13 +13,16 @@ from ..session import stage
 _ROW_BITS = 33  # low bits of monotonically_increasing_id count rows in a partition
 
 
-def assign_ids(nodes: DataFrame) -> DataFrame:
-    """``(id, uri)`` with a hash id: unique, not dense, no shuffle, stable across runs.
+def assign_ids(nodes: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """``(id, uri)`` with a hash id: unique, not dense, stable across runs.
 
-    ``id_collisions`` must be empty; two nodes with one hash are the reason to
-    take ``assign_dense_ids`` for very large node sets.
+    The ids are written once and checked: two nodes with one hash raise ``ValueError``, and
+    ``assign_dense_ids`` is the way for such node sets.
     """
-    return nodes.select(F.xxhash64("node").alias("id"), F.col("node").alias("uri"))
+    ids = stage(nodes.select(hashed(F.col("node")).alias("id"), F.col("node").alias("uri")), "ids")
+    if not id_collisions(ids).isEmpty():
+        raise ValueError("two nodes have one hash id: use assign_dense_ids")
+    return ids
 
 
 def id_collisions(ids: DataFrame) -> DataFrame:

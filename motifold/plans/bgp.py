@@ -23,7 +23,7 @@ from ..functions.terms import (
     variable_name,
 )
 from ..operators.filters import is_grouped, is_selective, star_members
-from ..operators.joins import SALTS, natural_join, pair_join, quoted, salted_join, semi_join
+from ..operators.joins import SPLIT_ROWS, natural_join, pair_join, quoted, salted_join, semi_join
 from ..operators.triples import node_set
 from ..session import BROADCAST_BYTES, text_bytes
 from ..sources.triples import Predicate, Relation, as_source, union_all
@@ -143,28 +143,28 @@ def _join_order(query: Query, relations: Sequence[Relation]) -> list[Relation]:
     return ordered
 
 
-def _apply_tests(source, df: DataFrame, v: str, constraints, small: bool, salts: int) -> DataFrame:
+def _apply_tests(source, df: DataFrame, v: str, constraints, small: bool, split_rows: int) -> DataFrame:
     """Rows of ``df`` whose variable ``v`` satisfies the constraints.
 
     The values of a small ``df`` go to the attribute rows first; hot values of a
-    large one are salted where the attribute side is grouped by subject.
+    large one are split where the attribute side is grouped by subject.
     """
     within = None
     if small:
         keys = df.select(quoted(v).alias("s"))
         within = F.broadcast(keys if len(df.columns) == 1 else keys.distinct())
     members = star_members(source, constraints, within, v).withColumnRenamed("s", v)
-    return semi_join(df, members, salts if not small and is_grouped(constraints) else 0)
+    return semi_join(df, members, split_rows if not small and is_grouped(constraints) else 0)
 
 
 class _Component:
     """Binding table of relations connected by variables."""
 
-    def __init__(self, source, query: Query, probe_bytes: int, salts: int):
+    def __init__(self, source, query: Query, probe_bytes: int, split_rows: int):
         self.source = source
         self.query = query
         self.probe_bytes = probe_bytes
-        self.salts = salts
+        self.split_rows = split_rows
         self.done: set = set()
 
     def _test(self, df: DataFrame, unique: str | None = None, small: bool = False) -> DataFrame:
@@ -176,8 +176,8 @@ class _Component:
             constraints = _open_tests(self.query, self.done, v)
             if not constraints:
                 continue
-            salts = 0 if v == unique else self.salts
-            df = _apply_tests(self.source, df, v, constraints, small, salts)
+            split_rows = 0 if v == unique else self.split_rows
+            df = _apply_tests(self.source, df, v, constraints, small, split_rows)
             self.done |= {(v, c) for c in constraints}
         return df
 
@@ -204,7 +204,7 @@ class _Component:
                 # An edge that closes a cycle may come grouped by the join key.
                 closing = r.grouped and set(r.variables) <= set(bound.columns)
                 scan = self._test(r.df, r.determined_by)
-                bound = natural_join(bound, scan, salts=self.salts if closing else 0)
+                bound = natural_join(bound, scan, split_rows=self.split_rows if closing else 0)
         return bound
 
 
@@ -226,7 +226,7 @@ def match_bgp(
     patterns: Iterable,
     bind_data: bool = False,
     allow_cross: bool = False,
-    salts: int = SALTS,
+    split_rows: int = SPLIT_ROWS,
     probe_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Solutions of a pattern query, one string column per edge variable.
@@ -235,7 +235,7 @@ def match_bgp(
     Parts linked by a constant node only give all pairs of their solutions;
     unlinked parts need ``allow_cross``.  The scan with a constant that starts a
     join is measured first and broadcast up to ``probe_bytes``; 0 turns this
-    off.  Hot keys are split by adaptive execution, and over ``salts`` tasks in
+    off.  Hot keys are split by adaptive execution, and into pieces of ``split_rows`` in
     joins where that cannot act (one side grouped by the join key).
     """
     source, query = prepare(as_source(triples), patterns, bind_data, allow_cross)
@@ -244,7 +244,7 @@ def match_bgp(
     for names in _groups([*(r.variables for r in relations), *([v] for v in query.stars)]):
         part = [r for r in relations if names & set(r.variables)]
         if part:
-            tables.append(_Component(source, query, probe_bytes, salts).bindings(part))
+            tables.append(_Component(source, query, probe_bytes, split_rows).bindings(part))
         else:
             (v,) = names
             members = star_members(source, query.stars[v], variable=v)
@@ -264,10 +264,10 @@ def _counted(df: DataFrame) -> DataFrame:
     return df.withColumn(_N, F.lit(1).cast("bigint"))
 
 
-def _tested_relations(source, query: Query, counting: bool) -> list[Relation]:
+def _tested_relations(source, query: Query, counting: bool, probe_bytes: int) -> list[Relation]:
     """Every relation, with the open constraints of a variable on its first one.
 
-    Relations with a constant are measured; small ones are broadcast.
+    Relations with a constant are measured; those up to ``probe_bytes`` are broadcast, 0 measures none.
     """
     relations = source.relations()
     done = {t for r in relations for t in r.tested}
@@ -276,12 +276,12 @@ def _tested_relations(source, query: Query, counting: bool) -> list[Relation]:
         df = r.df
         tests = any(_open_tests(query, done, v) for v in r.variables)
         joined = any(q is not r and set(q.variables) & set(r.variables) for q in relations)
-        small = r.constant and (tests or joined) and text_bytes(df) <= BROADCAST_BYTES
+        small = r.constant and (tests or joined) and 0 < probe_bytes >= text_bytes(df)
         for v in r.variables:
             constraints = _open_tests(query, done, v)
             if constraints:
                 unique = v == r.determined_by
-                df = _apply_tests(source, df, v, constraints, small, 0 if unique else SALTS)
+                df = _apply_tests(source, df, v, constraints, small, 0 if unique else SPLIT_ROWS)
                 done |= {(v, c) for c in constraints}
         found.append(replace(r, df=df, small=small))
     for v, constraints in query.stars.items():
@@ -315,14 +315,14 @@ def _combine(a: Relation, b: Relation, counting: bool) -> Relation:
     shared = [v for v in a.variables if v in b.variables]
     grouped = b.grouped and not b.small and len(shared) == len(b.variables)
     hot = grouped and not a.small and a.determined_by not in shared
-    salts = SALTS if hot else 0
+    split_rows = SPLIT_ROWS if hot else 0
     variables = tuple(dict.fromkeys((*a.variables, *b.variables)))
     if counting:
         other = b.df.withColumnRenamed(_N, "#m")
         joined = salted_join(a.df, other, shared) if hot else a.df.join(other, shared)
         df = joined.select(*map(quoted, variables), (quoted(_N) * quoted("#m")).alias(_N))
     elif len(variables) == len(a.variables):
-        df = semi_join(a.df, b.df, salts)
+        df = semi_join(a.df, b.df, split_rows)
     else:
         df = natural_join(a.df, b.df).select(*map(quoted, variables))
     return Relation(df, variables)
@@ -370,6 +370,7 @@ def project_bgp(
     variables: Sequence[str],
     bind_data: bool = False,
     allow_cross: bool = False,
+    probe_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Distinct values of ``variables`` over all solutions.
 
@@ -380,7 +381,7 @@ def project_bgp(
     unknown = set(variables) - set(query.variables)
     if unknown:
         raise ValueError(f"unknown variables: {sorted(unknown)}")
-    rels, factors = _eliminate(_tested_relations(source, query, False), set(variables), False)
+    rels, factors = _eliminate(_tested_relations(source, query, False, probe_bytes), set(variables), False)
     df = reduce(pair_join, (r.df for r in rels)) if rels else _one_row(source.spark)
     for f in factors:
         df = df.where(f.df.exists())
@@ -388,11 +389,11 @@ def project_bgp(
     return _guarded(df, source.base, query.guards)
 
 
-def _root_counts(source, query: Query, root: str) -> DataFrame:
+def _root_counts(source, query: Query, root: str, probe_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(root, #n)`` with the root in the form it has in the prepared source."""
     if root not in query.variables:
         raise ValueError(f"unknown variable {root!r}")
-    rels, factors = _eliminate(_tested_relations(source, query, True), {root}, True)
+    rels, factors = _eliminate(_tested_relations(source, query, True, probe_bytes), {root}, True)
     df = rels[0].df
     for f in factors:
         df = df.withColumn(_N, quoted(_N) * f.df.select(quoted(_N)).scalar())
@@ -407,6 +408,7 @@ def solutions_per_root(
     bind_data: bool = False,
     allow_cross: bool = False,
     count: str = "n",
+    probe_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(root, n)``: number of solutions per value of the root variable.
 
@@ -416,7 +418,7 @@ def solutions_per_root(
     source, query = prepare(as_source(triples), patterns, bind_data, allow_cross)
     if count.lower() == root.lower():
         raise ValueError("choose another name for the count column")
-    counts = source.decode(_root_counts(source, query, root), [root])
+    counts = source.decode(_root_counts(source, query, root, probe_bytes), [root])
     return counts.withColumnRenamed(_N, count)
 
 
@@ -425,10 +427,11 @@ def count_bgp(
     patterns: Iterable,
     bind_data: bool = False,
     allow_cross: bool = False,
+    probe_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Number of solutions as column ``n``, without listing them where a tree allows it."""
     source, query = prepare(as_source(triples), patterns, bind_data, allow_cross)
-    rels, factors = _eliminate(_tested_relations(source, query, True), set(), True)
+    rels, factors = _eliminate(_tested_relations(source, query, True, probe_bytes), set(), True)
     df = source.spark.range(1).select(F.lit(1).cast("bigint").alias("n"))
     for f in (*factors, *rels):
         df = df.select((F.col("n") * f.df.select(quoted(_N)).scalar()).alias("n"))

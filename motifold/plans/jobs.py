@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 from ..operators.graph import build_vertices, encode_edges
 from ..operators.infer import infer, lubm_rules
 from ..operators.keys import assign_dense_ids, next_id
 from ..operators.triples import dedup_triples, graph_nodes
-from ..session import new_path, stage
+from ..session import new_path
 from ..sources.store import open_store, write_edge_table, write_store, write_vertex_table
 from ..sources.text import read_triples, write_edges, write_triples, write_vertices
 from ..sources.triples import FrameTriples
@@ -18,14 +18,19 @@ from .bgp import count_bgp, match_bgp
 
 
 def load_graph(
-    spark: SparkSession, source: str, target: str, start: int = 0, text: bool = False
+    spark: SparkSession,
+    source: str,
+    target: str,
+    start: int = 0,
+    text: bool = False,
+    rejects: Observation | None = None,
 ) -> int:
     """Triple text to a stored graph: triples, catalog, vertices, edges.
 
     Returns the first free id, the ``start`` of a following file.  ``text`` also
-    writes the line forms of vertices and edges.
+    writes the line forms of vertices and edges.  ``rejects`` counts the lines left out.
     """
-    write_store(dedup_triples(read_triples(spark, source)), f"{target}/store")
+    write_store(dedup_triples(read_triples(spark, source, rejects=rejects)), f"{target}/store")
     graph = open_store(spark, f"{target}/store")
     ids = assign_dense_ids(graph_nodes(graph), start)
     write_vertex_table(build_vertices(graph, ids), f"{target}/vertices")
@@ -36,22 +41,26 @@ def load_graph(
     return next_id(ids, start).first()["next_id"]
 
 
-def infer_file(spark: SparkSession, source: str, target: str, prefix: str) -> None:
+def infer_file(
+    spark: SparkSession, source: str, target: str, prefix: str, rejects: Observation | None = None
+) -> None:
     """Triple text to triple text with the inferred triples of the university rules, as a bag."""
     classes, predicates = lubm_rules(spark, prefix)
-    write_triples(infer(read_triples(spark, source), classes, predicates), target)
+    write_triples(infer(read_triples(spark, source, rejects=rejects), classes, predicates), target)
 
 
-def open_triples(spark: SparkSession, source: str, prefix: str | None = None) -> FrameTriples:
+def open_triples(
+    spark: SparkSession, source: str, prefix: str | None = None, rejects: Observation | None = None
+) -> FrameTriples:
     """Triple text as a stored set, with university inference under ``prefix`` if given.
 
     The text is parsed once; a query then reads only its predicates.
     """
-    t = read_triples(spark, source)
+    t = read_triples(spark, source, rejects=rejects)
     if prefix is None:
         t = dedup_triples(t)
     else:
-        t = infer(stage(t, "parsed"), *lubm_rules(spark, prefix), distinct=True)
+        t = infer(t, *lubm_rules(spark, prefix), distinct=True)
     path = new_path(spark, "store")
     write_store(t, path)
     return open_store(spark, path)

@@ -37,7 +37,7 @@ def write_store(t: DataFrame, path: str, mode: str = "errorifexists") -> None:
         F.when(F.bool_or("is_data"), "data").otherwise("object").alias("kind"),
         F.sum("n").alias("n"),
         (F.max("n") == 1).alias("functional"),
-    ).coalesce(1).write.mode(mode).parquet(f"{path}/catalog")
+    ).write.mode(mode).parquet(f"{path}/catalog")
 
 
 def _stored_triples(spark: SparkSession, path: str) -> DataFrame:

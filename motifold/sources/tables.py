@@ -17,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..functions.terms import RDF_TYPE, is_literal
+from ..functions.terms import RDF_TYPE, escape_sql, is_literal, unescaped
 from .triples import Predicate, no_triples, union_all
 
 _INT_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
@@ -41,7 +41,8 @@ class Term:
         """The term as a SQL expression over its table."""
         if self.column is None:
             return sql_text(self.prefix)
-        return f"concat({sql_text(self.prefix)}, `{self.column}`, {sql_text(self.suffix)})"
+        value = escape_sql(self.column) if is_literal(self.prefix) else f"`{self.column}`"
+        return f"concat({sql_text(self.prefix)}, {value}, {sql_text(self.suffix)})"
 
     def key_text(self, term: str) -> str | None:
         """The column text that builds ``term``, or None if this template cannot."""
@@ -51,7 +52,8 @@ class Term:
             return None
         if not (term.startswith(self.prefix) and term.endswith(self.suffix)):
             return None
-        return term[len(self.prefix) : len(term) - len(self.suffix)]
+        inner = term[len(self.prefix) : len(term) - len(self.suffix)]
+        return unescaped(inner) if is_literal(self.prefix) else inner
 
     def may_equal(self, other: Term) -> bool:
         """Whether both templates can build one and the same term."""
@@ -64,15 +66,19 @@ class Term:
         return heads[1].startswith(heads[0]) and tails[1].endswith(tails[0])
 
 
-def _key_sql(text: str, kind: T.DataType) -> str | None:
-    """SQL literal of the column value whose text form is exactly ``text``, or None."""
+def _key_test(column: str, text: str, kind: T.DataType) -> str | None:
+    """SQL test for the column values whose printed form is exactly ``text``, or None if there are none.
+
+    Whole numbers and strings compare in their own type and reach the scan; other types compare as they print.
+    """
+    if isinstance(kind, T.StringType):
+        return f"`{column}` = {sql_text(text)}"
     bits = _INT_BITS.get(type(kind))
     if bits is None:
-        return sql_text(text)
+        return f"CAST(`{column}` AS STRING) = {sql_text(text)}"
     if not re.fullmatch(r"0|-?[1-9][0-9]*", text):
         return None
-    value = int(text)
-    return text if -(2 ** (bits - 1)) <= value < 2 ** (bits - 1) else None
+    return f"`{column}` = {text}" if -(2 ** (bits - 1)) <= int(text) < 2 ** (bits - 1) else None
 
 
 @dataclass(frozen=True)
@@ -81,7 +87,7 @@ class Rule:
 
     ``key`` declares the subject column a unique key of the table: the rows are
     then a set already and every subject has one object.  ``only`` keeps rows
-    whose column has one of the given values.
+    that pass all of its tests: the column prints as one of the given texts.
     """
 
     table: str
@@ -89,7 +95,7 @@ class Rule:
     predicate: str
     object: Term
     key: bool = False
-    only: tuple[str, tuple] | None = None
+    only: tuple[tuple[str, tuple], ...] = ()
 
     @property
     def is_data(self) -> bool:
@@ -147,8 +153,8 @@ class TableTriples:
                     found = [t for c in classes if (t := rule.object.key_text(c)) is not None]
                     if not found:
                         continue
-                    only = (rule.object.column, tuple(found)) if rule.object.column else None
-                    more.append(replace(rule, object=Term(sup), only=only))
+                    test = ((rule.object.column, tuple(found)),) if rule.object.column else ()
+                    more.append(replace(rule, object=Term(sup), only=(*rule.only, *test)))
             for p, sup in dict.fromkeys(predicate_rules):
                 if rule.predicate == p:
                     more.append(replace(rule, predicate=sup))
@@ -172,9 +178,9 @@ class TableTriples:
             return no_triples(self.spark)
         shared: dict[str, list[Rule]] = {}
         for r in rules:
-            if r.key and r.only is None:
+            if r.key and not r.only:
                 shared.setdefault(r.table, []).append(r)
-        alone = [r for r in rules if not (r.key and r.only is None)]
+        alone = [r for r in rules if not (r.key and not r.only)]
         frames = [self._rows_of_table(group) for group in shared.values()]
         frames += [self._rows(r, None, None) for r in alone]
         df = union_all(frames)
@@ -184,21 +190,23 @@ class TableTriples:
         """Column ``node``: subjects and objects with few repeats.
 
         ``kind='object'`` leaves out the objects of attributes.  Every key column
-        is read once and reduced before any string is built.
+        is read once, where one of its rules gives a triple (both ends there, all tests passed), and
+        reduced before any string is built.
         """
-        found: dict[tuple, bool] = {}
+        found: dict[tuple, list[Rule]] = {}
         for r in self.rules:
-            subject = (r.table, r.subject, r.only)
-            found[subject] = found.get(subject, False) or r.key
+            found.setdefault((r.table, r.subject), []).append(r)
             if kind is None or not r.is_data:
-                found.setdefault((r.table, r.object, r.only), False)
+                found.setdefault((r.table, r.object), []).append(r)
         frames = []
-        for (table, term, only), unique in found.items():
+        for (table, term), rules in found.items():
             # Left out if all its values are those of another entry.
-            home = self._homes.get((table, term.column))
-            if (only and (table, term, None) in found) or (home, term, None) in found:
+            if (self._homes.get((table, term.column)), term) in found:
                 continue
-            df = self.restrict(self.rows(table), Rule(table, term, "", term, only=only))
+            unique = any(r.key and r.subject == term for r in rules)
+            df = self.rows(table)
+            whole = [" AND ".join(self._tests(df, r)) or "true" for r in rules]
+            df = df.where(" OR ".join(f"({x})" for x in dict.fromkeys(whole)))
             if term.column is None:
                 df = df.limit(1)
             elif unique:
@@ -253,26 +261,28 @@ class TableTriples:
 
         None if the templates cannot build a constant at all.
         """
-        tests = []
+        tests = self._tests(df, rule)
         for term, constant in ((rule.subject, s), (rule.object, o)):
             text = None if constant is None else term.key_text(constant)
             if constant is not None and text is None:
                 return None
-            if term.column is None:
-                continue
-            tests.append(f"`{term.column}` IS NOT NULL")
-            if text is not None:
-                value = _key_sql(text, df.schema[term.column].dataType)
-                if value is None:
+            if term.column is not None and text is not None:
+                test = _key_test(term.column, text, df.schema[term.column].dataType)
+                if test is None:
                     return None
-                tests.append(f"`{term.column}` = {value}")
-        if rule.only is not None:
-            column, texts = rule.only
-            kind = df.schema[column].dataType
-            values = [v for t in texts if (v := _key_sql(t, kind)) is not None]
-            tests.append(f"`{column}` IN ({', '.join(values)})" if values else "false")
+                tests.append(test)
         return df.where(" AND ".join(dict.fromkeys(tests))) if tests else df
 
+    @staticmethod
+    def _tests(df: DataFrame, rule: Rule) -> list[str]:
+        """SQL tests of the rows that give a triple: both ends there, and the rule's own tests."""
+        tests = [f"`{t.column}` IS NOT NULL" for t in (rule.subject, rule.object) if t.column is not None]
+        for column, texts in rule.only:
+            kind = df.schema[column].dataType
+            found = [v for t in texts if (v := _key_test(column, t, kind)) is not None]
+            tests.append(f"({' OR '.join(found)})" if found else "false")
+        return list(dict.fromkeys(tests))
+
     def _rows(self, rule: Rule, s: str | None, o: str | None) -> DataFrame | None:
         """Triples of one rule with constant ends pushed to key columns."""
         df = self.restrict(self.rows(rule.table), rule, s, o)
@@ -377,19 +387,11 @@ PREDICATE_RULES = (
 )
 
 
-@cache
-def _table_schema(application: str, path: str) -> T.StructType:
-    """Schema of a table, taken from its files once per application."""
-    return SparkSession.active().read.parquet(path).schema
-
-
 def triples_from_tables(spark: SparkSession, directory: str) -> TableTriples:
     """The order-entry tables of ``directory`` as a set of triples."""
 
     def table(name: str) -> Callable[[], DataFrame]:
-        path = f"{directory}/{name}.parquet"
-        application = spark.sparkContext.applicationId
-        return cache(lambda: spark.read.schema(_table_schema(application, path)).parquet(path))
+        return cache(lambda: spark.read.parquet(f"{directory}/{name}.parquet"))
 
     names = ("customer", "supplier", "nation", "region", "part", "orders", "lineitem")
     tables = {name: table(name) for name in names}

@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Separators of the text formats.
 PROP_MARK = "##PropObj##"
+#: The separator inside a value of a vertex line.
+_PROP_MARK_ESCAPED = "\\u0023\\u0023PropObj##"
 
 # A quoted literal with its datatype or language tag, an <iri>, or one token.
 _OBJECT = (
     r'^("[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\^\^<[^>\s]*>|\^\^\S+|@[A-Za-z0-9\-]+)?'
-    r"|<[^>\s]*>|\S+)"
+    r'|<[^>\s]*>|[^"\s]\S*)'
 )
 
 
+def _lexical(term: Column) -> Column:
+    """A term as it may stand on a line: line breaks and bare quotes inside a literal become escapes."""
+    inner = F.regexp_extract(term, r'(?s)^"(.*)"[^"]*$', 1)
+    tail = F.regexp_extract(term, r'(?s)^".*"([^"]*)$', 1)
+    plain = F.replace(F.replace(inner, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    plain = F.regexp_replace(plain, r'(?<!\\)((?:\\\\)*)"', r'$1\\"')
+    # A last backslash that would swallow the closing quote.
+    plain = F.regexp_replace(plain, r"(?<!\\)((?:\\\\)*)\\$", r"$1\\\\")
+    safe = F.concat(F.lit('"'), plain, F.lit('"'), tail)
+    return F.when(term.rlike(r'(?s)^".*[\n\r\\"].*"[^"]*$'), safe).otherwise(term)
+
+
 def _parsed_lines(spark: SparkSession, path, literal_mode: str) -> DataFrame:
     """One row per line with s, p, o and ``ok``; the line is split once."""
     if literal_mode not in ("whole", "token"):
@@ -37,14 +51,20 @@ def _parsed_lines(spark: SparkSession, path, literal_mode: str) -> DataFrame:
     )
 
 
-def read_triples(spark: SparkSession, path, literal_mode: str = "whole") -> DataFrame:
+def read_triples(
+    spark: SparkSession, path, literal_mode: str = "whole", rejects: Observation | None = None
+) -> DataFrame:
     """Triple text lines ``s p o .`` as ``(s, p, o)``.
 
     ``literal_mode='whole'`` keeps a literal with blanks in one piece;
     ``'token'`` cuts it at the first blank.  Comments and lines with fewer than
-    three terms are left out; ``rejected_lines`` counts them.
+    three terms, or with a literal that is not closed, are left out; ``rejects`` counts them as ``n`` in the pass that
+    reads the lines, ``rejected_lines`` in one of its own.  Literals keep their escapes: ``literal_value`` undoes them.
     """
-    return _parsed_lines(spark, path, literal_mode).where("ok").select("s", "p", "o")
+    lines = _parsed_lines(spark, path, literal_mode)
+    if rejects is not None:
+        lines = lines.observe(rejects, F.count_if(~F.col("ok") & (F.col("s") != "")).alias("n"))
+    return lines.where("ok").select("s", "p", "o")
 
 
 def rejected_lines(spark: SparkSession, path) -> DataFrame:
@@ -54,8 +74,9 @@ def rejected_lines(spark: SparkSession, path) -> DataFrame:
 
 
 def write_triples(t: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Lines ``s p o .``, one file per partition."""
-    t.select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("value")).write.mode(mode).text(path)
+    """Lines ``s p o .``, one file per partition; see ``_lexical`` for literals."""
+    line = F.concat_ws(" ", "s", "p", _lexical(F.col("o")), F.lit("."))
+    t.select(line.alias("value")).write.mode(mode).text(path)
 
 
 def write_vertices(v: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -63,7 +84,8 @@ def write_vertices(v: DataFrame, path: str, mode: str = "errorifexists") -> None
 
     A vertex split over several parts (see ``property_bag``) gives one line per part.
     """
-    pairs = F.transform("props", lambda x: F.concat(x["prop"], F.lit(PROP_MARK), x["obj"]))
+    value = lambda x: F.replace(_lexical(x["obj"]), F.lit(PROP_MARK), F.lit(_PROP_MARK_ESCAPED))
+    pairs = F.transform("props", lambda x: F.concat(x["prop"], F.lit(PROP_MARK), value(x)))
     head = F.concat_ws(" ", F.col("id").cast("string"), F.trim("uri"))
     v.select(F.concat_ws(" ", head, F.array_join(pairs, " ")).alias("value")).select(
         F.rtrim("value").alias("value")
@@ -76,7 +98,8 @@ def read_vertices(spark: SparkSession, path) -> DataFrame:
     # A blank starts the next pair only if a predicate and the mark follow it.
     pairs = F.split(F.col("rest"), rf" (?=[^\s\"]+{PROP_MARK})")
     pair = F.transform(pairs, lambda x: F.split(x, PROP_MARK, 2))
-    props = F.transform(pair, lambda x: F.struct(x[0].alias("prop"), x[1].alias("obj")))
+    whole = lambda x: F.replace(x, F.lit(_PROP_MARK_ESCAPED), F.lit(PROP_MARK))
+    props = F.transform(pair, lambda x: F.struct(x[0].alias("prop"), whole(x[1]).alias("obj")))
     empty = F.array().cast("array<struct<prop:string,obj:string>>")
     return (
         spark.read.text(path)

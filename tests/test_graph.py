@@ -1,6 +1,7 @@
 """Ids, property bags, vertices, edges."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import motifold as mf
 from motifold.session import stage, work_dir
@@ -49,19 +50,17 @@ def test_node_sets(graph):
     assert {r["node"] for r in mf.graph_nodes(graph).collect()} == expected
 
 
-def test_large_bags_are_cut_and_whole(spark):
+def test_bags_are_dealt_and_whole(spark):
     hot = [("<hub>", "<v>", f'"{i}"') for i in range(1000)]
     rest = [(f"<n{i}>", "<v>", f'"{i % 3}"') for i in range(50)]
     t = spark.createDataFrame(hot + rest + hot[:10], SCHEMA)
-    bags = mf.property_bag(t, bag_size=64).collect()
+    bags = mf.property_bag(t, parts=16).collect()
     hub = [r for r in bags if r["s"] == "<hub>"]
-    assert len(hub) > 8 and max(len(r["props"]) for r in hub) < 200
+    assert len(hub) == 16 and max(len(r["props"]) for r in hub) < 200
     assert sorted(x["obj"] for r in hub for x in r["props"]) == sorted(o for _, _, o in hot)
-    assert {(r["s"], r["part"], len(r["props"])) for r in bags if r["s"] != "<hub>"} == {
-        (s, 0, 1) for s, _, _ in rest
-    }
-    assert len(mf.property_bag(t).collect()) == 51
-    vertices = mf.build_vertices(t, mf.assign_ids(mf.graph_nodes(t)), bag_size=64)
+    assert {(r["s"], len(r["props"])) for r in bags if r["s"] != "<hub>"} == {(s, 1) for s, _, _ in rest}
+    assert len(mf.property_bag(t, parts=1).collect()) == 51
+    vertices = mf.build_vertices(t, mf.assign_ids(mf.graph_nodes(t)), parts=16)
     heads = {r["uri"]: r["n_props"] for r in mf.vertex_heads(vertices).collect()}
     assert heads["<hub>"] == 1000 and heads["<n3>"] == 1
 
@@ -71,6 +70,9 @@ def test_vertices(graph):
     heads = dict(local(mf.vertex_heads(vertices), "uri", "n_props"))
     # type, name, label, two mail addresses; the label that is a node is an edge
     assert heads["s1"] == 4 and heads["s2"] == 3 and heads["u1"] == 1
+    vertices = mf.build_vertices(graph, mf.assign_dense_ids(mf.graph_nodes(graph)), parts=1)
+    counted = dict(local(mf.vertex_counts(graph, vertices.select("id", "uri")), "uri", "n_props"))
+    assert counted == heads
     s1 = [r for r in vertices.collect() if r["uri"].endswith("#s1>")]
     assert [x["obj"] for x in s1[0]["props"] if x["prop"].endswith("#name>")] == ['"Ann"']
     has_name = mf.bag_has(vertices["props"], s1[0]["props"][0]["prop"])
@@ -88,6 +90,31 @@ def test_merge_keeps_the_largest_copy(spark):
     assert merged == {"<a>": 2, "<b>": 1}
 
 
+def test_merge_keeps_one_copy_whole(spark):
+    large = [("<hub>", "<v>", f'"{i}"') for i in range(100)]
+    small = large[:60]
+    nodes = spark.createDataFrame([("<hub>",)], "node string")
+    ids = mf.assign_ids(nodes)
+    for parts in (1, 4, 64):
+        copies = [mf.build_vertices(spark.createDataFrame(t, SCHEMA), ids, parts) for t in (small, large)]
+        merged = mf.merge_vertices(copies).collect()
+        pairs = [x["obj"] for r in merged for x in r["props"]]
+        assert len(pairs) == 100 and len(set(pairs)) == 100
+
+
+def test_attributes_are_read_once(spark, tmp_path, capsys):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("<a>", "<v>", '"1"')], SCHEMA).write.parquet(path)
+    mf.property_bag(spark.read.parquet(path)).explain()
+    assert capsys.readouterr().out.count("FileScan") == 1
+
+
+def test_ids_with_one_hash_are_refused(spark):
+    nodes = spark.createDataFrame([("<a>",), ("<b>",)], "node string")
+    with pytest.raises(ValueError):
+        mf.assign_ids(nodes, lambda c: F.lit(1).cast("bigint"))
+
+
 def test_triplets_and_edges(graph):
     ids = mf.assign_dense_ids(mf.graph_nodes(graph))
     edges = mf.encode_edges(graph, ids)
@@ -97,7 +124,7 @@ def test_triplets_and_edges(graph):
     found = set(local(view, "src_uri", "pred", "dst_uri", "src_n_props", "dst_n_props"))
     assert ("p1", "headOf", "d1", 2, 1) in found
     assert mf.attach_props(graph, ids).count() == mf.data_triples(graph).count()
-    assert mf.attach_props(graph, ids, salts=4).count() == mf.data_triples(graph).count()
+    assert mf.attach_props(graph, ids, split_rows=2).count() == mf.data_triples(graph).count()
     objects = {o for _, _, o in triples()} & {r["uri"] for r in ids.collect()}
     assert {r["uri"] for r in mf.object_nodes(graph, ids).collect()} == objects
 

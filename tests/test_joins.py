@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import motifold as mf
 
 
@@ -24,8 +26,8 @@ def test_salted_join_equals_plain_join(tables):
     left, right = tables
     plain = rows(mf.natural_join(left, right), "k", "a", "b")
     assert len(plain) == 60 * 9 + 90
-    for salts in (2, 16):
-        assert rows(mf.natural_join(left, right, salts=salts), "k", "a", "b") == plain
+    for size in (1, 7, 1000):
+        assert rows(mf.natural_join(left, right, split_rows=size), "k", "a", "b") == plain
     assert rows(mf.salted_join(right, left, ["k"]), "k", "a", "b") == plain
 
 
@@ -33,7 +35,7 @@ def test_salted_semi_join(tables):
     left, right = tables
     keys = right.select("k").distinct()
     plain = rows(mf.semi_join(left, right), "k", "a")
-    assert rows(mf.semi_join(left, keys, salts=8), "k", "a") == plain
+    assert rows(mf.semi_join(left, keys, split_rows=8), "k", "a") == plain
     assert len(plain) == 60 + 90
     with pytest.raises(ValueError):
         mf.salted_join(left, right, ["k"], how="left")
@@ -42,9 +44,35 @@ def test_salted_semi_join(tables):
 def test_hot_keys_are_spread(spark):
     left = spark.createDataFrame([("hub", str(i)) for i in range(500)], "k string, a string")
     right = spark.createDataFrame([("hub", "x")], "k string, b string")
-    joined = mf.salted_join(left, right, ["k"], salts=8)
+    joined = mf.salted_join(left, right, ["k"], split_rows=100)
     assert joined.count() == 500
-    assert "#salt" not in joined.columns
+    assert joined.columns == ["k", "a", "b"]
+
+
+def test_a_key_is_split_by_its_own_rows(spark):
+    """A key with a small share of all rows is split as well, and one hot on both sides on both."""
+    many = spark.range(20_000).selectExpr("concat('k', id) AS k", "cast(id AS string) AS a")
+    hub = spark.range(15).selectExpr("'hub' AS k", "cast(id AS string) AS a")
+    right = spark.range(30).selectExpr("'hub' AS k", "cast(id AS string) AS b")
+    joined = mf.salted_join(many.union(hub), right, ["k"], split_rows=5)
+    assert joined.distinct().count() == joined.count() == 15 * 30
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = mf.salted_join(many.union(hub), right, ["k"], split_rows=5)
+        tasks = spread.groupBy(F.spark_partition_id()).count().count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 3
+
+
+def test_a_product_repeats_only_the_small_side(spark):
+    from motifold.operators import joins
+
+    one = spark.createDataFrame([("x",)], "a string")
+    other = spark.range(50_000).selectExpr("cast(id AS string) AS b")
+    assert joins.pair_join(one, other).count() == 50_000
 
 
 def test_pairs(tables, capsys):

@@ -77,7 +77,7 @@ def test_against_enumeration(spark, seed):
         bind_data=bind_data,
         allow_cross=True,
         probe_bytes=0 if seed % 2 else 1 << 20,
-        salts=4 if seed % 3 else 0,
+        split_rows=2 if seed % 3 else 0,
     )
     assert sorted(df.columns) == names
     rows = [tuple(r[n] for n in names) for r in df.collect()]

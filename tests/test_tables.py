@@ -39,11 +39,15 @@ def inferred(source):
     return source.with_inference(CLASS_RULES, PREDICATE_RULES)
 
 
+#: The training-data operators have tests of their own.
+OWN = sorted(set(entry.queries()) - set(entry._llm_queries()[0]))
+
+
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(OWN) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", OWN)
 def test_query_equals_sql(spark, con, name):
     df = entry.queries()[name](spark, DIRECTORY)
     _, difference = compare(df, con, entry.oracle_sql()[name])
