@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifold.llm.tokens import U, chunks, counted, per_text, scrambled
+from motifold.llm.work import bounded
 
 GRAM = 4
 ROWS = 1 << 20
@@ -92,7 +93,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
                     ["lang", "gram", "n"],
                 )
 
-    cleaned = texts.select("lang", _letters_only(F.col("text")).alias("text"))
+    cleaned = bounded(texts).select("lang", _letters_only(F.col("text")).alias("text"))
     return cleaned.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -169,7 +170,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
                 [key, "lang_pred", "score"],
             )
 
-    cleaned = docs.select(
+    cleaned = bounded(docs).select(
         key,
         _letters_only(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
         F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"),

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from motifold.llm.context_tree import Subtrees, Top, padded
 from motifold.llm.tokens import U, chunks, counted, distinct, inverse, per_text, scrambled, word_hashes
-from motifold.llm.work import stage, text_size
+from motifold.llm.work import bounded, stage, text_size
 
 DEPTH = 6
 #: Bytes of text asked for at a time, and keys held while counting.
@@ -313,7 +313,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFrame:
 
     (key, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte); scores are log10 probabilities.
     """
-    _, size = text_size(docs)
+    _, size = text_size(bounded(docs))
     shards = min(MOST_SHARDS, max(12, math.ceil(size / SHARD)))
     rounds = max(1, math.ceil(size / ROUND))
     n_batches = max(1, math.ceil(size / BATCH))

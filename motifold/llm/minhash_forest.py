@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from motifold.llm import shingles
 from motifold.llm.components import components
 from motifold.llm.tokens import U, chunks, scrambled
-from motifold.llm.work import stage
+from motifold.llm.work import bounded, stage
 
 PERCENT = 85
 VALUES = 64
@@ -246,7 +246,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, kept): kept are those whose id is the least of their component."""
-    printed = stage(prints(docs, key), "prints")
+    printed = stage(prints(bounded(docs), key), "prints")
     classes = stage(
         printed.where("digest IS NOT NULL AND id IS NOT NULL")
         .groupBy("digest")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from motifold.llm.work import stage
+from motifold.llm.work import bounded, stage
 
 CAPACITY = 1024
 SEPARATOR = 0
@@ -165,7 +165,7 @@ def pack(
     ``ids`` holds the piece's token ids as unsigned little-endian numbers of 32 bits.
     """
     kind_of_id, width = _width(tokenizer), int(_width(tokenizer)[-1])
-    ready = stage(tokenized(docs, key, tokenizer, ranks), "tokens")
+    ready = stage(tokenized(bounded(docs), key, tokenizer, ranks), "tokens")
     along = ready.repartitionByRange("curve", key).sortWithinPartitions("curve", key)
     names = [key, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifold.llm.tokens import Hasher, U, chunks, distinct, per_text, words
+from motifold.llm.work import bounded
 
 FEATURES = 1 << 18
 SAMPLE = 20_000
@@ -86,7 +87,7 @@ def _rated_features(rated: DataFrame) -> DataFrame:
                     ["grade", "words", "shapes"],
                 )
 
-    return rated.select("grade", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
+    return bounded(rated).select("grade", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         run, "grade int, words array<int>, shapes binary"
     )
 
@@ -186,6 +187,6 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
+    return bounded(docs).select(key, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         run, f"`{key}` {kind}, expected_grade double, tails array<double>"
     )

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from motifold.llm.lm_score import BATCH, MOST_SHARDS, SHARD, packed, unpacked
 from motifold.llm.tokens import Hasher, U, chunks, counted, distinct, per_text, scrambled
-from motifold.llm.work import text_size
+from motifold.llm.work import bounded, text_size
 
 LENGTH = 400
 GRAM = 16
@@ -310,7 +310,7 @@ def _finish(shards: int, key: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 def repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256): one row per document."""
-    _, size = text_size(docs)
+    _, size = text_size(bounded(docs))
     shards = min(MOST_SHARDS, max(12, math.ceil(size / SHARD)))
     n_batches = max(1, math.ceil(size / BATCH))
     kind = docs.schema[key].dataType.simpleString()

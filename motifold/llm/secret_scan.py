@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from motifold.llm.automaton import Automaton, compile_rules
+from motifold.llm.work import bounded
 
 
 @dataclass(frozen=True)
@@ -133,7 +134,7 @@ def find(docs: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] = RULES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], [key, "spans"])
 
     schema = T.StructType([docs.schema[key], T.StructField("spans", T._parse_datatype_string(SPANS))])
-    return docs.select(key, "text").mapInArrow(run, schema)
+    return bounded(docs).select(key, "text").mapInArrow(run, schema)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -168,4 +169,4 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                     )
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -17,6 +17,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Most rows of a batch between Spark and Python: texts may be long, and the usual ten thousand would not be bounded.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with its session set to batches of ``BATCH_ROWS`` rows where it has larger ones."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def text_size(docs: DataFrame) -> tuple[int, int]:
     """Rows and bytes of text, one aggregate."""
     row = docs.agg(
@@ -25,4 +38,4 @@ def text_size(docs: DataFrame) -> tuple[int, int]:
     return row["n"], row["b"]
 
 
-__all__ = ["GAP", "WORD", "documents", "stage", "text_size"]
+__all__ = ["GAP", "WORD", "bounded", "documents", "stage", "text_size"]
