@@ -167,7 +167,7 @@ def _model(train: DataFrame, shards: int, rounds: int) -> DataFrame:
     schema = "shard int, keys binary, counts binary"
     parts = train.select("text").mapInArrow(count, schema)
     # Two levels: what one task merges stays bounded while the number of batches grows.
-    salted = parts.withColumn("salt", (F.rand(1) * rounds).cast("int"))
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("keys"), F.lit(rounds)).cast("int"))
     once = salted.repartition("shard", "salt").sortWithinPartitions("shard", "salt").select("shard", "keys", "counts")
     return once.mapInArrow(merge, schema).repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, schema)
 
