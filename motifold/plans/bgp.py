@@ -116,17 +116,23 @@ def _join_order(query: Query, relations: Sequence[Relation]) -> list[Relation]:
     """Relations of one component: constants first, then always a connected one.
 
     A relation with more bound variables goes first (it only filters), then one
-    that gives each binding a single partner, then the given order.
+    that gives each binding a single partner, then, where the catalog counts, the smaller one, then the given order.
     """
     left = list(relations)
     ordered: list[Relation] = []
     bound: set[str] = set()
     while left:
         if not bound:
-            # Many-to-many relations start: the others then only widen their rows.
+            # The smallest counted relation starts; without counts a many-to-many one: the others then
+            # only widen its rows.
             best = min(
                 left,
-                key=lambda r: (not r.constant, not _selective(query, r), r.determined_by is not None),
+                key=lambda r: (
+                    not r.constant,
+                    not _selective(query, r),
+                    r.rows or 0,
+                    r.determined_by is not None,
+                ),
             )
         else:
             best = min(
@@ -135,6 +141,7 @@ def _join_order(query: Query, relations: Sequence[Relation]) -> list[Relation]:
                     len(set(r.variables) - bound),
                     not r.constant,
                     r.determined_by not in bound,
+                    r.rows or 0,
                 ),
             )
         left.remove(best)

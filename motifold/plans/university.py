@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.terms import RDF_TYPE
 
-# The individuals the queries ask for.
+# The individuals the queries ask for, and below the patterns of the ten queries.
 UNIVERSITY = "<http://www.University1000.edu>"
 DEPARTMENT = "<http://www.Department0.University1000.edu>"
 COURSE = "<http://www.Department0.University1000.edu/GraduateCourse0>"

@@ -22,10 +22,11 @@ TRIPLE_SCHEMA = "s string, p string, o string"
 
 @dataclass(frozen=True)
 class Predicate:
-    """What is known of a predicate: attribute or edge, and one object per subject or not."""
+    """What is known of a predicate: attribute or edge, one object per subject or not, and its triples, if counted."""
 
     is_data: bool = False
     functional: bool = False
+    n: int | None = None
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,7 @@ class Relation:
     tested: frozenset = frozenset()  # (variable, constraint) pairs already applied
     grouped: bool = False  # comes out of an aggregation by all its variables
     small: bool = False  # measured, may be broadcast
+    rows: int | None = None  # of the predicate, if the catalog counts them
 
 
 def no_triples(spark: SparkSession) -> DataFrame:
@@ -107,7 +109,7 @@ class FrameTriples:
             return {}
         if self._catalog is not None:
             rows = self._catalog.where(F.col("p").isin(wanted)).collect()
-            return {r["p"]: Predicate(r["kind"] == "data", bool(r["functional"])) for r in rows}
+            return {r["p"]: Predicate(r["kind"] == "data", bool(r["functional"]), r["n"]) for r in rows}
         rows = (
             self.df.where(F.col("p").isin(wanted))
             .groupBy("p")
@@ -138,6 +140,7 @@ class FrameQuery:
             variables=tuple(df.columns),
             determined_by=variable_name(s) if known.functional and is_variable(s) else None,
             constant=not (is_variable(s) and is_variable(o)),
+            rows=known.n,
         )
 
     def decode(self, df: DataFrame, variables) -> DataFrame:
