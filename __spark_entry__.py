@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import motifold as mf
 from motifold.plans.order_entry import BOUND, PATTERNS
-from motifold.session import new_path
+from motifold.session import new_path, stage
 from motifold.sources.tables import (
     CLASS_RULES,
     ORDER_STATUSES,
@@ -200,7 +200,8 @@ def vertex_union(spark, directory):
     """Vertices seen as objects (no attributes) united with those seen as subjects."""
     t = triples_from_tables(spark, directory)
     ids = mf.assign_ids(mf.node_set(t))
-    as_subject = mf.build_vertices(t, ids.join(t.all().select(F.col("s").alias("uri")), "uri", "left_semi"))
+    subjects = stage(ids.join(t.all().select(F.col("s").alias("uri")), "uri", "left_semi"), "subjects")
+    as_subject = mf.build_vertices(t, subjects)
     as_object = mf.object_nodes(t, ids).select(
         "id", "uri", F.lit(0).alias("part"), F.array().cast(as_subject.schema["props"].dataType).alias("props")
     )
