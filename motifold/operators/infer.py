@@ -63,22 +63,22 @@ def infer(
     One pass: every triple meets the rules, grouped by their heads, and gives itself and what they imply.
     """
     t = frame(triples).select("s", "p", "o")
-    given, heads_met = [F.array(F.struct("s", "p", "o"))], F.lit(False)
+    given, heads_met = [F.array(F.struct("p", "o"))], F.lit(False)
     if class_rules is not None:
         heads = _grouped(class_rules, "cls", "#classes")
         t = t.join(heads, (F.col("p") == RDF_TYPE) & (F.col("o") == F.col("#cls")), "left")
-        given.append(F.transform("#classes", lambda c: F.struct("s", "p", c.alias("o"))))
+        given.append(F.transform("#classes", lambda c: F.struct("p", c.alias("o"))))
         heads_met = heads_met | F.col("#classes").isNotNull()
     if predicate_rules is not None:
         heads = _grouped(predicate_rules.withColumnRenamed("p", "head"), "head", "#predicates")
         t = t.join(heads, F.col("p") == F.col("#head"), "left")
-        given.append(F.transform("#predicates", lambda q: F.struct("s", q.alias("p"), "o")))
+        given.append(F.transform("#predicates", lambda q: F.struct(q.alias("p"), "o")))
         heads_met = heads_met | F.col("#predicates").isNotNull()
-    none = F.array().cast("array<struct<s:string,p:string,o:string>>")
+    none = F.array().cast("array<struct<p:string,o:string>>")
     # Only triples that meet a rule become arrays; the others pass as they are.
     several = F.when(heads_met, F.concat(*(F.coalesce(g, none) for g in given)))
-    each = t.select("s", "p", "o", F.inline_outer(several).alias("#s", "#p", "#o"))
-    out = each.select(*(F.coalesce(f"#{c}", c).alias(c) for c in ("s", "p", "o")))
+    each = t.select("s", "p", "o", F.inline_outer(several).alias("#p", "#o"))
+    out = each.select("s", *(F.coalesce(f"#{c}", c).alias(c) for c in ("p", "o")))
     return out.distinct() if distinct else out
 
 
