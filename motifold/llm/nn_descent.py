@@ -7,7 +7,8 @@ nodes keep the best.  Rounds end when few neighbours change.  Candidates are joi
 before they travel, so a node that many others point to adds one row per block.
 
 Search.  Queries are dealt into blocks.  Every query has a list of the best nodes seen; a round joins those not yet expanded with
-the graph and scores the new nodes, until no list changes.  It starts from the best of ``PIVOTS`` nodes, a bounded sample.
+the graph, its edges taken in both directions, and scores the new nodes, until no list changes.  It starts from the query's own
+node and that node's neighbours, so that a group without an edge to others is reached, and from the best of ``PIVOTS`` nodes.
 The best nodes are then scored in double precision on the original vectors, and copies are listed by id.
 
 All rows are indexed.  ``recall`` in the tests compares with brute force.
@@ -248,12 +249,13 @@ _STATE = "block long, query long, half binary, best array<long>, close array<flo
 
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
-    """(query, node) of ``queries`` (query, half): the nodes found for each."""
+    """(query, node) of ``queries`` (query, own, half), own being the node with the query's vector: the nodes found for each."""
     halves = nodes.select(F.col("node").alias("other"), "half")
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     empty = F.array().cast("array<long>")
-    state = queries.select(
-        F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"),
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    state = dealt.select(
+        "block",
         "query",
         "half",
         empty.alias("best"),
@@ -262,16 +264,18 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
     )
     pivots = nodes.select(F.col("node").alias("other")).orderBy(F.xxhash64("other")).limit(PIVOTS)
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    # At most ``PIVOTS`` ids.
-    asked = halves.join(F.broadcast(pivots), "other").select(every.alias("to"), "other", F.col("half").alias("given"))
-    links = graph.select(F.col("node").alias("from"), "near")
+    forward = graph.select(F.col("node").alias("from"), F.explode("near").alias("other"))
+    links = stage(forward.union(forward.select("other", "from")).distinct(), "links")
+    own = dealt.select("block", F.col("own").alias("from")).distinct()
+    reached = pivots.select(every.alias("block"), "other").union(own).union(own.join(links, "from").select("block", "other"))
+    asked = reached.distinct().join(halves, "other").select(F.col("block").alias("to"), "other", F.col("half").alias("given"))
     while True:
         widened = state.groupBy("block").cogroup(asked.groupBy("to")).applyInArrow(_widen, _STATE)
         state = stage(widened, "search")
         edge = state.select("block", F.explode("fresh").alias("from")).distinct()
         if edge.isEmpty():
             break
-        reached = edge.join(links, "from").select("block", F.explode("near").alias("other")).distinct()
+        reached = edge.join(links, "from").select("block", "other").distinct()
         asked = reached.join(halves, "other").select(
             F.col("block").alias("to"), "other", F.col("half").alias("given")
         )
@@ -305,8 +309,8 @@ def nearest(
     asked = rows.where(is_query).mapInArrow(raw, "query long, wanted binary").dropDuplicates(["query"])
     asked = stage(asked, "queries")
     # A query's vector is a node's; that node's 16-bit form serves the search.
-    own = asked.join(nodes.select("vec", "half"), F.col("wanted") == F.col("vec")).select("query", "half")
-    found = search(own, nodes, graph)
+    own = asked.join(nodes.select("node", "vec", "half"), F.col("wanted") == F.col("vec"))
+    found = search(stage(own.select("query", F.col("node").alias("own"), "half"), "queries"), nodes, graph)
     scored = (
         found.join(nodes.select("node", "vec", "members"), "node")
         .join(asked, "query")

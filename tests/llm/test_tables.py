@@ -169,6 +169,33 @@ def test_recall_on_the_given_vectors(spark):
     assert np.mean([len(found[q] & {i for _, i in want[q]}) / 20 for q in want]) >= 0.9
 
 
+def recall_in_blocks(spark, values, k=20):
+    """Of ``nearest`` for every twentieth row of ``values``, against all products."""
+    data = [(i, v) for i, v in enumerate(values.tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    found: dict = {}
+    for r in nn_descent.nearest(df, F.col("vec_id") % 20 == 0, k=k).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(values), 20):
+        score = values @ values[q]
+        score[q] = -np.inf
+        hits += len(found[q] & set(np.argpartition(-score, k)[:k].tolist()))
+    return hits / k / len(range(0, len(values), 20))
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.15])
+def test_recall_in_many_separate_groups(spark, spread):
+    """More groups than pivots can meet, each larger than a node's list: no edge leads from one to another."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((1000, 32))
+    values = np.repeat(centres / np.linalg.norm(centres, axis=1)[:, None], 24, axis=0)
+    values = values + spread / 32**0.5 * rng.standard_normal(values.shape)
+    values = values[rng.permutation(len(values))]
+    values /= np.linalg.norm(values, axis=1)[:, None]
+    assert recall_in_blocks(spark, values) >= 0.95
+
+
 def test_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in nn_descent.nearest(few, F.col("id") % 20 == 0).collect())
