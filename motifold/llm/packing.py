@@ -53,9 +53,13 @@ def _fast(ranks: str) -> tiktoken.Encoding:
 
 @lru_cache(maxsize=2)
 def _exact(tokenizer: str) -> Tokenizer:
-    out = Tokenizer.from_file(tokenizer)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(tokenizer)
+
+
+@lru_cache(maxsize=2)
+def _added(tokenizer: str) -> tuple[str, ...]:
+    """Tokens beside the ranks, which only the tokenizers library finds in a text."""
+    return tuple(t.content for t in _exact(tokenizer).get_added_tokens_decoder().values())
 
 
 @lru_cache(maxsize=2)
@@ -65,13 +69,18 @@ def _width(tokenizer: str) -> str:
 
 
 def token_ids(text: str | None, tokenizer: str = TOKENIZER, ranks: str = RANKS) -> list[int]:
-    """Ids of a whole text; both libraries give the same, the second takes what the first gives up on."""
+    """Ids of a whole text, as the tokenizers library gives them.
+
+    The faster library gives the same where no added token is in the text; what it gives up on goes to the other, too.
+    """
     if not text:
         return []
-    try:
-        return _fast(ranks).encode_ordinary(text)
-    except (ValueError, OverflowError, RuntimeError):
-        return _exact(tokenizer).encode(text, add_special_tokens=False).ids
+    if not any(t in text for t in _added(tokenizer)):
+        try:
+            return _fast(ranks).encode_ordinary(text)
+        except (ValueError, OverflowError, RuntimeError):
+            pass
+    return _exact(tokenizer).encode(text, add_special_tokens=False).ids
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:

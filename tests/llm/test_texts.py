@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from motifold.llm import (
     context_tree,
@@ -426,6 +427,21 @@ def test_packing_is_a_partition_of_all_ids(spark, capacity):
     assert packing.pack(no_documents(spark)).count() == 0
 
 
+def test_ids_of_added_tokens_are_the_tokenizers(spark):
+    exact = Tokenizer.from_file(packing.TOKENIZER)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n\n x", "a <|endoftext| > b", "<|endof", "é<|endoftext|>ñ" * 400]
+    texts += [r[1] for r in odd_rows() if r[1]]
+    want = [exact.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [packing.token_ids(t) for t in texts] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(list)
+    for p in sorted(packing.pack(docs).collect(), key=lambda p: p.start):
+        assert p.doc_tokens == len(want[p.doc_id]) + 1
+        got[p.doc_id] += np.frombuffer(p.ids, "<u4").tolist()
+    assert got == {i: [*ids, packing.SEPARATOR] for i, ids in enumerate(want)}
+
+
 def test_hilbert_curve_visits_neighbours():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij")).reshape(3, -1)
     index = packing.hilbert(grid, 3)
