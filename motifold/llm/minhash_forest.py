@@ -1,6 +1,6 @@
 """Near-duplicates with an LSH forest of MinHash signatures, links confirmed on the full shingle sets.
 
-* Equal shingle sets are one class; its least id stands for it from here on.
+* Equal shingle sets are one class; its least id, together with the set's digest, stands for it from here on.
 * ``TREES`` orders of the signature's positions are the trees.  A region of a tree is the set of classes with a common
   prefix of its order.  Its depth adapts: ``DEPTHS[0]`` positions where that leaves few classes, more where a region is
   crowded.  A pair with similarity s shares d positions of one tree with probability s^d; at 0.85 and depths 3,
@@ -13,7 +13,8 @@
   task gets more than two blocks and nothing is dropped.
 
 Defined cases: a text that is null, empty or white space has no shingles and is linked with nothing; with fewer than five
-words, the words are one shingle; equal texts share a component; long texts are taken whole; rows with a null id
+words, the words are one shingle; equal texts share a component; long texts are taken whole; rows of one id with different
+texts are taken each by its own text, and both are kept if it is the least id of both components; rows with a null id
 belong to the component of their equals, if any, and have none otherwise; an empty table gives no rows; other columns of the
 input are not read.
 """
@@ -184,7 +185,8 @@ def _stars_of(confirm: bool):
             sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, VALUES)
             sizes = np.asarray(table["n"], np.int64)
             confirmed = Confirmed([unpacked(s) for s in table["shingles"].to_pylist()]) if confirm else None
-            found = stars(_likely(sigs, sizes), table["rep"].to_pylist(), confirmed)
+            reps = [(r["id"], r["digest"]) for r in table["rep"].to_pylist()]
+            found = stars(_likely(sigs, sizes), reps, confirmed)
             if found:
                 kind = table.schema.field("rep").type
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x in zip(*found, strict=True)], ["a", "b"])
@@ -230,18 +232,19 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(U).reshape(-1), dtype=U)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, key: str) -> DataFrame:
+    """(rep, shingles): rep is the row's id and the digest of its set."""
+    kind = docs.schema[key].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in chunks(batch.column(1)):
                 sets = shingles.shingle_sets(data, offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array([packed(s) for s in sets], pa.binary())],
-                    ["rep", "shingles"],
-                )
+                digests = pa.array([shingles.digest(s) if len(s) else None for s in sets], pa.binary())
+                rep = pa.StructArray.from_arrays([batch.column(0).slice(first, end - first), digests], ["id", "digest"])
+                yield pa.RecordBatch.from_arrays([rep, pa.array([packed(s) for s in sets], pa.binary())], ["rep", "shingles"])
 
-    kind = docs.schema["rep"].dataType.simpleString()
-    return docs.mapInArrow(run, f"rep {kind}, shingles binary")
+    return docs.select(key, "text").mapInArrow(run, f"rep struct<id:{kind},digest:binary>, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -250,14 +253,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     classes = stage(
         printed.where("digest IS NOT NULL AND id IS NOT NULL")
         .groupBy("digest")
-        .agg(F.min("id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig")),
+        .agg(F.min("id").alias("id"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig"))
+        # By id first, so that the least of a component has its least id.
+        .select(F.struct("id", "digest").alias("rep"), "n", "sig"),
         "classes",
     )
-    kind = docs.schema[key].dataType.simpleString()
-    signed = classes.select("rep", "n", "sig")
+    kind = classes.schema["rep"].dataType.simpleString()
     likely = stage(
         tiles(regions(classes))
-        .join(signed, "rep")
+        .join(classes, "rep")
         .select("tile", "rep", "n", "sig")
         .repartition("tile")
         .sortWithinPartitions("tile")
@@ -267,12 +271,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     grouped = components(likely).select(F.col("component").alias("region"), F.col("node").alias("rep"))
     sizes = grouped.groupBy("region").agg(F.count("*").alias("members"))
     groups = stage(grouped.join(sizes, "region"), "groups")
-    wanted = groups.select("rep")
-    texts = docs.select(F.col(key).alias("rep"), "text").join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
+    wanted = groups.select(F.col("rep.id").alias(key))
+    sets = _sets(docs.select(key, "text").join(wanted, key, "left_semi"), key)
     links = stage(
         tiles(groups)
-        .join(_sets(texts), "rep")
-        .join(signed, "rep")
+        .join(sets.where("rep.digest IS NOT NULL").dropDuplicates(["rep"]), "rep")
+        .join(classes, "rep")
         .select("tile", "rep", "n", "sig", "shingles")
         .repartition("tile")
         .sortWithinPartitions("tile")
@@ -281,7 +285,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
     reached = components(links)
     of_class = classes.join(reached, F.col("rep") == F.col("node"), "left").select(
-        "digest", F.coalesce("component", "rep").alias("component_id")
+        "rep.digest", F.coalesce("component", "rep")["id"].alias("component_id")
     )
     out = printed.join(of_class, "digest", "left")
     component = F.coalesce("component_id", "id")

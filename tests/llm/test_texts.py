@@ -27,7 +27,7 @@ from motifold.llm import (
     shingles,
     tokens,
 )
-from tests.llm.fixtures import no_documents, odd_documents, odd_rows
+from tests.llm.fixtures import no_documents, odd_documents, odd_rows, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -138,6 +138,19 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert Counter(r.doc_id for r in kept) == Counter(k for k, _, c in brute_components(rows) if k == c)
 
 
+def test_ids_with_several_texts(spark):
+    """Every text of an id is linked by its own set, whichever comes first."""
+    rows = near_rows(60)
+    for i in range(0, 60, 3):
+        others = prose(1000 + i, 150)
+        rows += [(i, others), (i, None), (500 + i, others.replace(others.split()[70], "changed", 1))]
+    want = Counter((k, n, c, k == c) for k, n, c in brute_components(rows) if n)
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows[::-1] if parts == 7 else rows, "doc_id long, text string").repartition(parts)
+        got = minhash_forest.near_duplicates(docs).where("n_shingles > 0").collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_forest.near_duplicates(no_documents(spark)).count() == 0
 
