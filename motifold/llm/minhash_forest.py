@@ -25,13 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifold.llm import shingles
 from motifold.llm.components import components
 from motifold.llm.tokens import U, chunks, scrambled
-from motifold.llm.work import bounded, stage
+from motifold.llm.work import WORD, bounded, stage
 
 PERCENT = 85
 VALUES = 64
@@ -51,8 +51,12 @@ def _orders() -> np.ndarray:
     return np.column_stack([own, further])[:, : DEPTHS[-1]]
 
 
+def _same() -> Column:
+    return F.unhex(F.md5("text")).alias("same")
+
+
 def prints(docs: DataFrame, key: str) -> DataFrame:
-    """(key, n_shingles, digest, sig); no digest for an empty set."""
+    """(id, same, n_shingles, digest, sig); same is the text's MD5; no digest for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = shingles.permutations(VALUES)
@@ -62,15 +66,17 @@ def prints(docs: DataFrame, key: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, end - first),
+                        batch.column(2).slice(first, end - first),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([shingles.digest(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([shingles.signature(s, a, b).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["id", "n_shingles", "digest", "sig"],
+                    ["id", "same", "n_shingles", "digest", "sig"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"id {kind}, n_shingles long, digest binary, sig binary")
+    narrow = docs.select(key, "text", _same())
+    return narrow.mapInArrow(run, f"id {kind}, same binary, n_shingles long, digest binary, sig binary")
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:
@@ -247,8 +253,8 @@ def _sets(docs: DataFrame, key: str) -> DataFrame:
     return docs.select(key, "text").mapInArrow(run, f"rep struct<id:{kind},digest:binary>, shingles binary")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n_shingles, component_id, kept): kept are those whose id is the least of their component."""
+def _marked(docs: DataFrame, key: str) -> DataFrame:
+    """The rows of ``prints`` with ``rep`` and ``component``, the rep of the component; both null for a set without an id."""
     printed = stage(prints(bounded(docs), key), "prints")
     classes = stage(
         printed.where("digest IS NOT NULL AND id IS NOT NULL")
@@ -285,11 +291,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
     reached = components(links)
     of_class = classes.join(reached, F.col("rep") == F.col("node"), "left").select(
-        "rep.digest", F.coalesce("component", "rep")["id"].alias("component_id")
+        "rep.digest", "rep", F.coalesce("component", "rep").alias("component")
     )
-    out = printed.join(of_class, "digest", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(
+    return printed.join(of_class, "digest", "left")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n_shingles, component_id, kept): kept are those whose id is the least of their component."""
+    component = F.coalesce("component.id", "id")
+    return _marked(docs, key).select(
         F.col("id").alias(key),
         "n_shingles",
         component.alias("component_id"),
@@ -298,6 +308,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents of a component but the one with the least id."""
-    gone = near_duplicates(docs, key).where("NOT kept").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    """One row of ``docs`` for each component, and all rows without shingles.
+
+    It is a row with the least id; of several, one of the least digest, then of the least MD5 of the text, then the least row
+    by its columns in order.  Equal sets of rows that all have null ids leave one row in the same way.
+    """
+    own = F.col("component").isNull() | ((F.col("component") == F.col("rep")) & (F.col("id") == F.col("rep.id")))
+    chosen = _marked(docs, key).where("digest IS NOT NULL").where(own).groupBy("digest").agg(
+        F.min("id").alias("id"), F.min("same").alias("same")
+    )
+    # Null ids are equal inside a struct.
+    row = F.struct(F.col(key).alias("id"), _same()).alias("_row")
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    met = docs.where(worded).select(row, "*").join(chosen.select(F.struct("id", "same").alias("_row")), "_row", "left_semi")
+    first = met.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_first"))
+    return first.select("_first.*").union(docs.where(~worded))

@@ -151,6 +151,17 @@ def test_ids_with_several_texts(spark):
         assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
 
 
+def test_one_row_stays_of_repeated_and_null_ids(spark):
+    one, two, three = prose(1, 100), prose(2, 100), prose(3, 100)
+    rows = [(1, one, "b"), (1, one, "a"), (1, one, "a"), (None, one, "c"), (2, one.upper(), "d")]
+    rows += [(None, two, "f"), (None, two, "e"), (None, two, "e"), (3, three, "g"), (None, three, "h")]
+    rows += [(4, None, "i"), (4, None, "i"), (None, " ", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    kept = Counter((r.doc_id, r.text, r.source) for r in minhash_forest.deduplicated(docs).collect())
+    want = [(1, one, "a"), (None, two, "e"), (3, three, "g"), (4, None, "i"), (4, None, "i"), (None, " ", "j")]
+    assert kept == Counter(want)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_forest.near_duplicates(no_documents(spark)).count() == 0
 
