@@ -34,8 +34,7 @@ from motifold.llm.work import stage
 NEIGHBOURS = 16
 BLOCK = 2048
 RANGES = 256
-ROUNDS = 12
-#: Rounds end when so small a part of the neighbours changed.
+#: Rounds end when so small a part of the neighbours got better.
 CHANGED = 0.005
 PIVOTS = 1024
 BEAM = 96
@@ -138,19 +137,26 @@ def _lists(who: np.ndarray) -> pa.Array:
 def blocks_along(nodes: DataFrame, total: int, order: str) -> DataFrame:
     """``nodes`` with their ``block`` of about ``BLOCK`` nodes along a projection.
 
-    At most ``RANGES`` ranges of the projection come from its approximate quantiles, so their number does not
-    depend on partitions; a range with more than a block's nodes is dealt by hash.
+    Approximate quantiles cut the projection, and each range again until ranges are blocks; a step cuts a range in
+    ``RANGES`` at most, so no sketch and no row of bounds grows with the nodes.
     """
-    wanted = max(1, math.ceil(total / BLOCK))
-    ranges = min(RANGES, wanted)
+    parts = max(1, math.ceil(total / BLOCK))
+    ranges = min(RANGES, parts)
     cuts = [i / ranges for i in range(1, ranges)]
     bounds = nodes.approxQuantile(order, cuts, 0.1 / ranges) if cuts and total else []
-    place = F.lit(0)
-    if bounds:
-        place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order)))
-    parts = math.ceil(wanted / ranges)
-    block = place.cast("long") * parts + F.pmod(F.xxhash64("node"), F.lit(parts))
-    return nodes.select("node", "half", block.alias("block"))
+    above = lambda limits: F.size(F.filter(limits, lambda b: b <= F.col(order))).cast("long")
+    block = above(F.array(*map(F.lit, bounds))) if bounds else F.lit(0).cast("long")
+    placed = nodes.select("node", "half", order, block.alias("block"))
+    parts = math.ceil(parts / ranges)
+    while parts > 1:
+        placed = stage(placed, "ranges")
+        ranges = min(RANGES, parts)
+        cuts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+        limits = placed.groupBy("block").agg(F.percentile_approx(order, cuts, 10 * ranges).alias("limits"))
+        block = F.col("block") * ranges + above("limits")
+        placed = placed.join(limits, "block").select("node", "half", order, block.alias("block"))
+        parts = math.ceil(parts / ranges)
+    return placed.select("node", "half", "block")
 
 
 def _first(table: pa.Table) -> pa.Table:
@@ -167,6 +173,16 @@ def _first_graph(nodes: DataFrame, total: int, order: str) -> DataFrame:
     return blocks_along(nodes, total, order).groupBy("block").applyInArrow(_first, _GRAPH)
 
 
+def _gains(own: np.ndarray, found: np.ndarray, held: list[int], names: np.ndarray, values: np.ndarray) -> int:
+    """How many of ``found`` are new and better than what they replace; ties do not count, so rounds come to an end."""
+    new, gone = np.setdiff1d(found[found >= 0], held), np.setdiff1d(held, found)
+    if not len(new) or not len(gone):
+        return len(new)
+    score = lambda ids: values[np.searchsorted(names, ids)] @ own
+    least = score(gone.astype(np.int64)).min()
+    return max(len(new) - len(gone), int((score(new) > least + 1e-5 * abs(least)).sum()))
+
+
 def _improve(own: pa.Table, offered: pa.Table) -> pa.Table:
     ids = np.asarray(own["node"], np.int64)
     if not len(ids):
@@ -180,7 +196,7 @@ def _improve(own: pa.Table, offered: pa.Table) -> pa.Table:
     names, first = np.unique(names, return_index=True)
     who = _best(mine, ids, names, values[first], NEIGHBOURS)
     before = own["near"].to_pylist()
-    changed = [len(set(row[row >= 0].tolist()) - set(old)) for row, old in zip(who, before, strict=True)]
+    changed = [_gains(x, row, old, names, values[first]) for x, row, old in zip(mine, who, before, strict=True)]
     return pa.table({"node": own["node"], "block": own["block"], "near": _lists(who), "changed": pa.array(changed, pa.int64())})
 
 
@@ -194,7 +210,7 @@ def neighbour_graph(nodes: DataFrame) -> DataFrame:
         "node", "block", F.array_distinct(F.concat("near", "also")).alias("near"), "changed"
     )
     graph = stage(mixed, "graph")
-    for _ in range(ROUNDS):
+    while True:
         near = graph.select("block", "node", F.explode("near").alias("other"))
         blocks = graph.select(F.col("node").alias("other"), F.col("block").alias("theirs"))
         back = near.join(blocks, "other").select(F.col("theirs").alias("block"), F.col("node").alias("other"))
@@ -208,8 +224,7 @@ def neighbour_graph(nodes: DataFrame) -> DataFrame:
             own.groupBy("block").cogroup(offered.groupBy("to")).applyInArrow(_improve, _GRAPH), "graph"
         )
         if (graph.agg(F.sum("changed").alias("c")).first()["c"] or 0) <= CHANGED * total * NEIGHBOURS:
-            break
-    return graph
+            return graph
 
 
 def _widen(own: pa.Table, offered: pa.Table) -> pa.Table:

@@ -196,6 +196,20 @@ def test_recall_in_many_separate_groups(spark, spread):
     assert recall_in_blocks(spark, values) >= 0.95
 
 
+def test_blocks_are_ranges_above_the_switch(spark, monkeypatch):
+    """More blocks than one step cuts: blocks stay ranges of the projection, and neighbours are found."""
+    monkeypatch.setattr(nn_descent, "BLOCK", 128)
+    monkeypatch.setattr(nn_descent, "RANGES", 4)
+    values = clustered(3000)
+    data = [(i, float(v[0]), b"") for i, v in enumerate(values)]
+    nodes = spark.createDataFrame(data, "node long, one double, half binary")
+    blocks = nn_descent.blocks_along(nodes, len(data), "one").join(nodes.select("node", "one"), "node")
+    ends = sorted((r.a, r.b, r.n) for r in blocks.groupBy("block").agg(F.min("one").alias("a"), F.max("one").alias("b"), F.count("*").alias("n")).collect())
+    assert sum(n for _, _, n in ends) == len(data) and max(n for _, _, n in ends) <= 2 * 128
+    assert all(x[1] < y[0] for x, y in zip(ends, ends[1:], strict=False))
+    assert recall_in_blocks(spark, values) >= 0.95
+
+
 def test_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in nn_descent.nearest(few, F.col("id") % 20 == 0).collect())
