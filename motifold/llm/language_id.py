@@ -32,6 +32,8 @@ ROWS = 1 << 20
 HASHES = 3
 #: An n-gram belongs to a language if its share there is this part of its largest share at least.
 NEAR_LARGEST = 0.2
+#: An n-gram of a language needs one occurrence for each begun ``COUNTED`` n-grams of its texts, ``LEAST_COUNT`` at most.
+COUNTED = 100_000
 LEAST_COUNT = 3
 UNKNOWN = "und"
 
@@ -107,10 +109,11 @@ def learn(texts: DataFrame, rows: int = ROWS) -> Model:
         number = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))])
         counts = gram_counts(known)
         totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))
-        shares = counts.join(totals, "lang").select("lang", "gram", "n", (F.col("n") / F.col("all")).alias("share"))
+        shares = counts.join(totals, "lang").select("lang", "gram", "n", "all", (F.col("n") / F.col("all")).alias("share"))
         largest = shares.groupBy("gram").agg(F.max("share").alias("largest"))
+        least = F.least(F.lit(LEAST_COUNT), F.ceil(F.col("all") / COUNTED))
         own = shares.join(largest, "gram").where(
-            (F.col("share") >= NEAR_LARGEST * F.col("largest")) & (F.col("n") >= LEAST_COUNT)
+            (F.col("share") >= NEAR_LARGEST * F.col("largest")) & (F.col("n") >= least)
         )
 
         def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -390,6 +390,14 @@ def test_languages(spark):
     assert language_id.predict(no_documents(spark), model).count() == 0
 
 
+def test_a_rare_language_is_learned(spark):
+    rows = [("aa", prose(i, 200)) for i in range(200)] + [("rr", "qumzivka plojfyx wubkegol zyxcavum")]
+    model = language_id.learn(spark.createDataFrame(rows, "lang string, text string"))
+    asked = [(1, "wubkegol the plojfyx qumzivka"), (2, "zyxcavum plojfyx"), (3, prose(900, 50))]
+    said = language_id.predict(spark.createDataFrame(asked, "doc_id long, text string"), model)
+    assert {r.doc_id: r.lang_pred for r in said.collect()} == {1: "rr", 2: "rr", 3: "aa"}
+
+
 def test_every_learned_gram_is_found(spark):
     """A Bloom filter has no false negatives: a gram's mask has its language."""
     docs = spark.createDataFrame([("aa", "qwertz qwertz qwertz"), ("bb", "asdfgh asdfgh asdfgh")], "lang string, text string")
