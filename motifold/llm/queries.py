@@ -12,12 +12,15 @@ from motifold.llm import (
     mixing,
     nn_descent,
     packing,
+    periodic_runs,
     quality_model,
     quality_rules,
     repeats,
     secret_scan,
+    url_filter,
+    whitening,
 )
-from motifold.llm.work import documents
+from motifold.llm.work import WORD, documents
 
 
 def _remainder(parts: int):
@@ -118,6 +121,53 @@ def op10_packing(spark, sf_dir):
     )
 
 
+def op11_url_filter(spark, sf_dir):
+    judged = url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judged.select(
+        "page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", F.array_join("terms", ",").alias("terms")
+    )
+
+
+def op12_whitening(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = whitening.whiten(vectors, whitening.fit(vectors))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def planted_cycles(text, doc_id):
+    """``text``; for one id in ten its words from a place given by the id on are made to go round in a cycle."""
+    code = F.crc32(doc_id.cast("string"))
+
+    def cycled(words):
+        n = F.size(words).cast("long")
+        g = F.floor(code / 10)
+        a = g % n
+        period = 1 + F.floor((n - a) / (3 + g % 8))
+        at = lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % period).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), at), " "))
+
+    words = F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))  # one element, so that it is found once
+    return F.when(code % 10 == 0, F.transform(words, cycled)[0]).otherwise(text)
+
+
+def op13_periodic_runs(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", planted_cycles(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs.find(docs)
+    best = F.col("strongest")
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 def pipeline(spark, sf_dir):
     """The rows of ``corpus_pipeline.run``, with a checksum in place of the ids."""
     pieces = corpus_pipeline.run(spark, sf_dir)
@@ -137,6 +187,9 @@ QUERIES = {
         op8_minhash_forest,
         op9_mixing,
         op10_packing,
+        op11_url_filter,
+        op12_whitening,
+        op13_periodic_runs,
         pipeline,
     )
 }
@@ -221,3 +274,87 @@ SELECT doc_id, source, size, total AS source_size, target,
 FROM p"""
 
 SQL = {"op6_quality_rules": QUALITY_SQL, "op9_mixing": MIXING_SQL}
+
+_CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_STRICT = ", ".join(f"'{t}'" for t in url_filter.STRICT)
+_SOFT = ", ".join(f"'{t}'" for t in url_filter.SOFT)
+
+
+def _fits_sql(rule: url_filter.Rule) -> str:
+    return (
+        f"(host = '{rule.host}' OR ends_with(host, '.{rule.host}')) AND starts_with(path, '{rule.path}')"
+    )
+
+
+def _rules_sql(value: str) -> str:
+    rules = sorted(url_filter.RULES, key=lambda r: (-len(r.name), -len(r.host)))
+    return "CASE " + " ".join(f"WHEN {_fits_sql(r)} THEN '{getattr(r, value)}'" for r in rules) + " END"
+
+
+URL_SQL = rf"""
+WITH u AS (
+  SELECT page_id, coalesce(url, '') AS url,
+    CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (
+  SELECT page_id, url, translate(raw, {_CAPITALS}) AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+  FROM h),
+w AS (
+  SELECT *, string_split_regex(translate(url, {_CAPITALS}), '[^a-z\x{{80}}-\x{{10FFFF}}]+') AS words FROM p),
+c AS (
+  SELECT *, len(list_filter(words, lambda x: x IN ({_STRICT})))::BIGINT AS strict_hits,
+    len(list_filter(words, lambda x: x IN ({_SOFT})))::BIGINT AS soft_hits,
+    list_filter([{_STRICT}, {_SOFT}], lambda x: list_contains(words, x)) AS found
+  FROM w)
+SELECT page_id, host, path, {_rules_sql("name")} AS rule,
+  coalesce({_rules_sql("verdict")},
+    CASE WHEN strict_hits > 0 OR len(found) >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+  strict_hits, soft_hits, array_to_string(found, ',') AS terms
+FROM c"""
+
+# The checksum of a text's bytes, bit by bit: each digit is followed by eight steps of the polynomial.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+    string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+_REPEATS, _LEAST = periodic_runs.REPEATS, periodic_runs.LEAST_WORDS
+
+RUNS_SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, {_CRC32} AS h, regexp_extract_all(coalesce(text, ''), {_WORD}) AS given FROM documents),
+g AS MATERIALIZED (
+  SELECT doc_id, h, given, len(given) AS n, h // 10 % greatest(len(given), 1) AS a FROM d),
+t AS MATERIALIZED (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: given[1 + CASE WHEN i < a THEN i
+      ELSE a + (i - a) % (1 + (n - a) // (3 + h // 10 % 8)) END])
+    ELSE given END AS words
+  FROM g),
+w AS MATERIALIZED (SELECT doc_id, n, unnest(words) AS word, unnest(range(n)) AS i FROM t),
+m AS (
+  SELECT x.doc_id, x.i, x.i - y.i AS q
+  FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i < x.i AND (x.i - y.i) * {_REPEATS} <= x.n),
+s AS (
+  SELECT doc_id, q, min(i) - q AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m)
+  GROUP BY doc_id, q, island HAVING count(*) + q >= greatest({_LEAST}, {_REPEATS} * q)),
+r AS MATERIALIZED (
+  SELECT doc_id, start::BIGINT AS start, length::BIGINT AS length, min(q)::BIGINT AS period FROM s GROUP BY ALL),
+e AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM r GROUP BY doc_id),
+b AS (
+  SELECT * FROM r
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept
+  FROM w WHERE NOT EXISTS (
+    SELECT 1 FROM r WHERE r.doc_id = w.doc_id AND i >= start + period AND i < start + length)
+  GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start, length, period,
+  1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce(kept, '')) AS collapsed_sha256, n AS n_words
+FROM t LEFT JOIN e USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+SQL |= {"op11_url_filter": URL_SQL, "op13_periodic_runs": RUNS_SQL}

@@ -14,6 +14,7 @@ import corpus_pipeline
 from motifold.llm import components, mixing, nn_descent, packing, queries, quality_rules
 from motifold.llm.work import documents, stage
 from tests.llm.fixtures import no_documents, odd_documents, odd_rows
+from tests.llm.test_added import URLS
 from tests.llm.test_texts import WORD, brute_components, brute_secrets
 from tests.oracle import compare
 
@@ -24,13 +25,17 @@ SMALL = "/root/testdata/sf0.001"
 def odd_dir(spark, shared_folder):
     path = os.path.join(str(shared_folder), "odd")
     odd_documents(spark).where("doc_id IS NOT NULL AND doc_id <> 100").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    urls = list(enumerate(URLS))
+    spark.createDataFrame(urls, "page_id long, url string").coalesce(1).write.parquet(f"{path}/pages.parquet")
     return path
 
 
 def connection(path):
     con = duckdb.connect()
-    file = f"{path}/documents.parquet"
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{file if os.path.isfile(file) else file + '/*.parquet'}')")
+    for table in ("documents", "pages"):
+        file = f"{path}/{table}.parquet"
+        files = file if os.path.isfile(file) else f"{file}/*.parquet"
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{files}')")
     return con
 
 
@@ -43,7 +48,7 @@ def test_query_equals_its_sql(spark, odd_dir, name, where):
 
 
 def test_every_operator_is_registered():
-    assert {name.split("_")[0] for name in queries.QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 11))}
+    assert {name.split("_")[0] for name in queries.QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 14))}
 
 
 # --- mixing ------------------------------------------------------------------------------------
