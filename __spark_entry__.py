@@ -342,7 +342,69 @@ def edge_table(spark, directory):
     return edges.where(F.col("pred").isin(pred("partOf"), pred("residesIn")))
 
 
-_stores: dict[tuple[str, str], str] = {}
+#: Deliveries of orders and of lines by date: each begins before the one before it ends.
+_DELIVERIES = (("1900-01-01", "1998-01-01"), ("1997-01-01", "2000-01-01"), ("1999-01-01", "2999-01-01"))
+
+
+def _delivery(spark, directory, number) -> TableTriples:
+    """All tables, but only the orders and lines of one delivery; the last takes those without a date."""
+    first, end = _DELIVERIES[number]
+    last = number == len(_DELIVERIES) - 1
+
+    def dated(column: str) -> str:
+        return f"{column} >= '{first}' AND {column} < '{end}'" + (f" OR {column} IS NULL" if last else "")
+
+    return triples_from_tables(spark, directory, {"orders": dated("o_orderdate"), "lineitem": dated("l_shipdate")})
+
+
+def continued_ids(spark, directory):
+    """Ids of three deliveries, one after the other; a node keeps the id of the first that has it."""
+    path = new_path(spark, "ids")
+    for number in range(len(_DELIVERIES)):
+        mf.append_ids(mf.graph_nodes(_delivery(spark, directory, number)), path, DENSE_START)
+    return mf.open_ids(spark, path)
+
+
+def extended_ids(spark, directory):
+    """The nodes that all tables add to those of the customers and suppliers, numbered on after them."""
+    t = triples_from_tables(spark, directory)
+    partners = mf.filter_edges(t, [pred("residesIn"), pred("basedIn")])
+    existing = stage(mf.assign_dense_ids(mf.graph_nodes(partners)), "partners")
+    return mf.extend_ids(existing, mf.graph_nodes(t))
+
+
+_stores: dict[tuple[str, ...], str] = {}
+
+
+def _appended(spark, directory, compacted: bool = False):
+    """The inferred graph again, delivered in three overlapping parts, each added to the store."""
+    known = (spark.sparkContext.applicationId, directory, "appended")
+    if known not in _stores:
+        path = new_path(spark, "grown")
+        for number in range(len(_DELIVERIES)):
+            rules = mf.class_rule_table(spark, CLASS_RULES), mf.predicate_rule_table(spark, PREDICATE_RULES)
+            mf.append_store(mf.infer(_delivery(spark, directory, number), *rules), path)
+        _stores[known] = path
+    if compacted:
+        mf.compact_store(spark, _stores[known], first=2)
+    return _stores[known]
+
+
+def appended_catalog(spark, directory):
+    return mf.store_catalog(spark, _appended(spark, directory))
+
+
+def appended_triangle(spark, directory):
+    return mf.match_bgp(mf.open_store(spark, _appended(spark, directory)), PATTERNS["bgp_triangle"])
+
+
+def appended_snowflake(spark, directory):
+    return mf.match_bgp(mf.open_store(spark, _appended(spark, directory)), PATTERNS["bgp_snowflake"])
+
+
+def compacted_path3(spark, directory):
+    """The two later batches made one."""
+    return mf.match_bgp(mf.open_store(spark, _appended(spark, directory, True)), PATTERNS["bgp_path3"])
 
 
 def _stored(spark, directory):
@@ -436,6 +498,12 @@ _OPERATORS = (
     edge_text,
     edge_table,
     mapped_chain,
+    continued_ids,
+    extended_ids,
+    appended_catalog,
+    appended_triangle,
+    appended_snowflake,
+    compacted_path3,
 )
 _COUNTED = ("bgp_path3", "bgp_const_hub", "bgp_triangle", "bgp_snowflake", "bgp_shared_const")
 
@@ -523,6 +591,33 @@ def _map_cte() -> str:
 """
 
 
+def _continued_sql() -> str:
+    """A node's delivery is the first with an order or line that has it; the other tables are in all of them."""
+    always = [
+        ("customer", _n("customer", "c_custkey")),
+        ("customer", _n("nation", "c_nationkey")),
+        ("supplier", _n("supplier", "s_suppkey")),
+        ("supplier", _n("nation", "s_nationkey")),
+        ("nation", _n("nation", "n_nationkey")),
+        ("nation", _n("region", "n_regionkey")),
+        ("region", _n("region", "r_regionkey")),
+        ("part", _n("part", "p_partkey")),
+    ]
+    dated = [
+        ("orders", _n("order", "o_orderkey"), "o_orderdate"),
+        ("orders", _n("customer", "o_custkey"), "o_orderdate"),
+        ("lineitem", _n("order", "l_orderkey"), "l_shipdate"),
+        ("lineitem", _n("part", "l_partkey"), "l_shipdate"),
+        ("lineitem", _n("supplier", "l_suppkey"), "l_shipdate"),
+        ("lineitem JOIN orders ON l_orderkey = o_orderkey", _n("customer", "o_custkey"), "l_shipdate"),
+    ]
+    parts = [f"SELECT {node_} AS node, 0 AS d FROM {table}" for table, node_ in always]
+    ends = " ".join(f"WHEN {{0}} < TIMESTAMP '{end}' THEN {k}" for k, (_, end) in enumerate(_DELIVERIES))
+    parts += [f"SELECT {node_}, CASE {ends.format(date)} ELSE 2 END FROM {table}" for table, node_, date in dated]
+    firsts = f"SELECT node, min(d) AS d FROM ({' UNION ALL '.join(parts)}) WHERE node IS NOT NULL GROUP BY node"
+    return f"SELECT row_number() OVER (ORDER BY d, node) - 1 + {DENSE_START} AS id, node AS uri FROM ({firsts})"
+
+
 def _values(rows) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
 
@@ -666,6 +761,18 @@ def _triple_set_sql() -> dict[str, str]:
         f"UNION ALL SELECT 'solutions', count(*) {_TRIANGLE_FROM} AND {_CUSTOMER_TYPED}",
     }
     cte = _map_cte()
+    inferred["appended_catalog"] = (
+        "SELECT p, CASE WHEN bool_or(o LIKE '\"%' OR p = " + _TYPE + ") THEN 'data' ELSE 'object' END AS kind, "
+        "CAST(sum(n) AS BIGINT) AS n, max(n) = 1 AS functional FROM (SELECT p, s, max(o) AS o, count(*) AS n "
+        "FROM (SELECT DISTINCT s, p, o FROM f) GROUP BY p, s) GROUP BY p"
+    )
+    body["extended_ids"] = (
+        "SELECT row_number() OVER (ORDER BY node) - 1 + (SELECT count(*) FROM q) AS id, node AS uri "
+        "FROM (SELECT node FROM g EXCEPT SELECT node FROM q)"
+    )
+    homes = f"p IN ({_p('residesIn')}, {_p('basedIn')})"
+    partners = f", q AS (SELECT s AS node FROM m WHERE {homes} UNION SELECT o FROM m WHERE {homes}) "
+    body["extended_ids"] = partners + body["extended_ids"]
     return {k: cte + q for k, q in body.items()} | {k: cte + rules + q for k, q in inferred.items()}
 
 
@@ -675,4 +782,10 @@ def oracle_sql() -> dict[str, str]:
     pairs = f"SELECT sum(n) AS n FROM ({found['bgp_shared_const']})"
     found["count_bgp_shared_const"] = f"SELECT CAST(coalesce(n, 0) AS BIGINT) AS n FROM ({pairs})"
     found |= {f"stored_{name}": found[f"bgp_{name}"] for name in _STORED}
+    found |= {
+        "appended_triangle": found["bgp_triangle"],
+        "appended_snowflake": found["bgp_snowflake"],
+        "compacted_path3": found["bgp_path3"],
+        "continued_ids": _continued_sql(),
+    }
     return found | _llm_queries()[1]

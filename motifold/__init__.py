@@ -51,7 +51,7 @@ from .operators.joins import (
     semi_join,
     union_bindings,
 )
-from .operators.keys import assign_dense_ids, assign_ids, id_collisions, next_id
+from .operators.keys import assign_dense_ids, assign_ids, extend_ids, id_collisions, known_ids, next_id
 from .operators.triples import (
     classify_triples,
     data_triples,
@@ -71,10 +71,15 @@ from .plans.bgp import (
     solutions_per_root,
 )
 from .plans.query_text import parse_query
+from .sources.dictionary import append_ids, next_free_id, open_ids
 from .sources.store import (
+    append_store,
+    compact_store,
     open_store,
     read_edge_table,
     read_vertex_table,
+    store_batches,
+    store_catalog,
     write_edge_table,
     write_store,
     write_vertex_table,

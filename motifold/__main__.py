@@ -20,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     load.add_argument("source")
     load.add_argument("target")
     load.add_argument("--start", type=int, default=0, help="first node id")
+    load.add_argument("--append", action="store_true", help="add to the graph that is there")
     load.add_argument("--text", action="store_true", help="also write vertex and edge lines")
     inf = jobs.add_parser("infer", help="add inferred triples to triple text")
     inf.add_argument("source")
@@ -45,7 +46,8 @@ def main(arguments: list[str] | None = None) -> None:
     spark = builder.getOrCreate()
     rejects = Observation("rejected lines")
     if args.job == "load":
-        print("NEXT ID", load_graph(spark, args.source, args.target, args.start, args.text, rejects))
+        free = load_graph(spark, args.source, args.target, args.start, args.text, rejects, args.append)
+        print("NEXT ID", free)
     elif args.job == "infer":
         infer_file(spark, args.source, args.target, args.prefix, rejects)
     else:

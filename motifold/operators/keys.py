@@ -61,6 +61,27 @@ def assign_dense_ids(nodes: DataFrame, start: int = 0) -> DataFrame:
     )
 
 
+def known_ids(existing: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(id, uri)`` of the nodes (column ``uri``) that ``existing`` already has.
+
+    A semi join from the large side: at most as many rows as ``nodes`` has leave it, and Spark can broadcast a
+    small node table or send its bloom filter to the scan.
+    """
+    return existing.join(nodes.select("uri"), "uri", "left_semi").select("id", "uri")
+
+
+def extend_ids(existing: DataFrame, nodes: DataFrame, start: int = 0) -> DataFrame:
+    """``(id, uri)`` of the nodes that ``existing`` does not have, numbered on after its highest id.
+
+    The ids of ``existing`` are left as they are, so its rows and these together are the ids of both inputs.
+    ``start`` counts where ``existing`` is empty.
+    """
+    wanted = stage(nodes.select(F.col("node").alias("uri")).distinct(), "nodes")
+    fresh = wanted.join(known_ids(existing, wanted), "uri", "left_anti")
+    first = next_id(existing, start).first()["next_id"]
+    return assign_dense_ids(fresh.select(F.col("uri").alias("node")), first)
+
+
 def next_id(vertices: DataFrame, start: int = 0) -> DataFrame:
     """First free id after ``vertices`` as column ``next_id``; ``start`` if there are none."""
     return vertices.agg(F.coalesce(F.max("id") + 1, F.lit(start)).alias("next_id"))

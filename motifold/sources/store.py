@@ -1,52 +1,198 @@
-"""A graph stored as Parquet: triples by predicate, the catalog, vertices and edges."""
+"""A graph stored as Parquet: triples by batch and predicate, the catalog, vertices and edges.
+
+A store is a sequence of batches of new triples, ``triples/batch=N/p=...``, each with a catalog, ``catalog/batch=N``,
+of one row per predicate.  The catalog of a batch is written last, as one file, and a batch without a catalog is not read:
+an append is seen whole or not at all, and one that failed is simply made again.  Catalogs merge: triples add up,
+since batches do not overlap; a predicate is data if any batch says so and functional if all do.  A
+compacted batch names the first batch that it stands for.  One writer at a time; readers need no lock.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..functions.terms import triple_kind
-from .triples import FrameTriples
+from ..session import stage
+from .triples import FrameTriples, union_all
+
+_CATALOG = "p string, kind string, n bigint, functional boolean, since int"
 
 
-def write_store(t: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write a set of triples, partitioned by predicate, and its catalog.
+def write_store(t: DataFrame, path: str) -> None:
+    """Write a set of triples as the first batch of a new store, with its catalog.
 
     Rows are range-partitioned by (p, s, o): a predicate or subject that holds a
     large share of the rows is cut into many ranges, a rare predicate gets few
     files, and row groups carry narrow subject ranges.  Objects get a Parquet
     bloom filter for lookups from the other end.
     """
+    _write_batch(t.select("s", "p", "o"), path, 0, "errorifexists")
+    _write_catalog(_batch_catalog(t.sparkSession, path, 0, ()), path, 0, 0)
+
+
+def _write_batch(t: DataFrame, path: str, number: int, mode: str) -> None:
     (
-        t.select("s", "p", "o")
-        .repartitionByRange("p", "s", "o")
+        t.repartitionByRange("p", "s", "o")
         .sortWithinPartitions("p", "s", "o")
         .write.mode(mode)
         .option("parquet.bloom.filter.enabled#o", "true")
         .partitionBy("p")
-        .parquet(f"{path}/triples")
+        .parquet(f"{path}/triples/batch={number}")
     )
-    stored = _stored_triples(t.sparkSession, path)
-    # The catalog has one row per predicate; duplicates per subject are found on
-    # the pre-aggregated (p, s) counts.
-    per_subject = stored.groupBy("p", "s").agg(
+
+
+def _batch_rows(spark: SparkSession, path: str, number: int) -> DataFrame:
+    return spark.read.schema("s string, o string, p string").parquet(f"{path}/triples/batch={number}")
+
+
+def _batch_catalog(spark: SparkSession, path: str, number: int, broken: Iterable[str]) -> DataFrame:
+    """One row per predicate of a batch; ``broken`` ones are functional in it, but not together with earlier batches.
+
+    Duplicates per subject are found on the pre-aggregated (p, s) counts.
+    """
+    per_subject = _batch_rows(spark, path, number).groupBy("p", "s").agg(
         F.count("*").alias("n"),
         F.bool_or(triple_kind(F.col("p"), F.col("o")) != "object").alias("is_data"),
     )
-    per_subject.groupBy("p").agg(
+    return per_subject.groupBy("p").agg(
         F.when(F.bool_or("is_data"), "data").otherwise("object").alias("kind"),
         F.sum("n").alias("n"),
-        (F.max("n") == 1).alias("functional"),
-    ).write.mode(mode).parquet(f"{path}/catalog")
+        ((F.max("n") == 1) & ~F.col("p").isin(list(broken))).alias("functional"),
+    )
+
+
+def _write_catalog(catalog: DataFrame, path: str, number: int, since: int) -> None:
+    """The mark of a complete batch: one small file, so that it appears at once."""
+    one = catalog.select("p", "kind", "n", "functional", F.lit(since).alias("since")).coalesce(1)
+    one.write.mode("overwrite").parquet(f"{path}/catalog/batch={number}")
+
+
+def _all_catalogs(spark: SparkSession, path: str) -> DataFrame:
+    schema = f"{_CATALOG}, batch int"
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/catalog")
+    except AnalysisException:  # a store without a complete batch
+        return spark.createDataFrame([], schema)
+
+
+def _catalogs(spark: SparkSession, path: str) -> DataFrame:
+    """Catalog rows of the complete batches that no compacted batch stands for."""
+    rows = _all_catalogs(spark, path)
+    heads = rows.select("batch", "since").distinct().collect()  # one row per batch
+    covered = {b["batch"] for b in heads for c in heads if c["since"] <= b["batch"] < c["batch"]}
+    return rows.where(~F.col("batch").isin(sorted(covered)))
+
+
+def store_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches that make up the store now, oldest first."""
+    return sorted(r["batch"] for r in _catalogs(spark, path).select("batch").distinct().collect())
+
+
+def _next_batch(spark: SparkSession, path: str) -> int:
+    return (_all_catalogs(spark, path).agg(F.max("batch").alias("b")).first()["b"] or 0) + 1
+
+
+def store_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """``(p, kind, n, functional)``: the merged catalogs, one row per predicate."""
+    return _catalogs(spark, path).groupBy("p").agg(
+        F.when(F.bool_or(F.col("kind") == "data"), "data").otherwise("object").alias("kind"),
+        F.sum("n").alias("n"),
+        F.bool_and("functional").alias("functional"),
+    )
 
 
-def _stored_triples(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("s string, o string, p string").parquet(f"{path}/triples")
+def _stored_triples(spark: SparkSession, path: str, batches: list[int]) -> DataFrame:
+    rows = spark.read.schema("s string, o string, batch int, p string").parquet(f"{path}/triples")
+    return rows.where(F.col("batch").isin(batches)).select("s", "o", "p")
 
 
 def open_store(spark: SparkSession, path: str) -> FrameTriples:
-    """The stored triples as a pattern source with its catalog."""
-    return FrameTriples(_stored_triples(spark, path), spark.read.parquet(f"{path}/catalog"))
+    """The stored triples as a pattern source with its catalog; batches and predicates are partitions of the scan."""
+    return FrameTriples(_stored_triples(spark, path, store_batches(spark, path)), store_catalog(spark, path))
+
+
+@dataclass(frozen=True)
+class Batch:
+    """Triples written, but not part of the store until ``commit_append``."""
+
+    path: str
+    number: int
+    triples: DataFrame
+    broken: tuple[str, ...]
+
+
+def begin_append(t: DataFrame, path: str) -> Batch:
+    """Write what ``t`` adds to a store; ``t`` may repeat triples and hold known ones.
+
+    Only partitions of predicates that occur in ``t`` are read.  Known triples are found from the stored side, by a semi
+    join with the new ones, so that at most as many rows as ``t`` has come out of the store.  A predicate that was functional
+    meets by subject instead: its one stored triple per subject tells both whether a triple is known and
+    whether the subject now has two.
+    """
+    spark = t.sparkSession
+    new = stage(t.select("s", "p", "o").dropDuplicates(["s", "p", "o"]), "append")
+    batches = store_batches(spark, path)
+    touched = [r["p"] for r in new.select("p").distinct().collect()]  # one row per predicate
+    known = store_catalog(spark, path).where(F.col("p").isin(touched)).select("p", "functional").collect()
+    single = [r["p"] for r in known if r["functional"]]
+    several = [r["p"] for r in known if not r["functional"]]
+
+    def met(predicates: list[str], keys: list[str]) -> DataFrame:
+        own = F.col("p").isin(predicates)
+        stored = _stored_triples(spark, path, batches).where(own)
+        return stored.join(new.where(own).select(*keys), keys, "left_semi").select("s", "p", "o")
+
+    keyed = [(single, ["p", "s"]), (several, ["p", "s", "o"])]
+    parts = [met(predicates, keys) for predicates, keys in keyed if predicates]
+    number = _next_batch(spark, path)
+    fresh, broken = new, ()
+    if parts:
+        held = stage(union_all(parts), "held")
+        fresh = new.join(held, ["s", "p", "o"], "left_anti")
+    _write_batch(fresh, path, number, "overwrite")
+    rows = _batch_rows(spark, path, number)
+    if single:
+        clash = rows.where(F.col("p").isin(single)).join(held.select("p", "s"), ["p", "s"], "left_semi")
+        broken = tuple(r["p"] for r in clash.select("p").distinct().collect())
+    return Batch(path, number, rows.select("s", "p", "o"), broken)
+
+
+def commit_append(spark: SparkSession, batch: Batch) -> int:
+    """Make a batch part of its store; gives the number of its triples."""
+    _write_catalog(_batch_catalog(spark, batch.path, batch.number, batch.broken), batch.path, batch.number, batch.number)
+    own = spark.read.schema(_CATALOG).parquet(f"{batch.path}/catalog/batch={batch.number}")
+    return own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
+def append_store(t: DataFrame, path: str) -> int:
+    """Add triples to a store and give the number of those that were not yet there."""
+    return commit_append(t.sparkSession, begin_append(t, path))
+
+
+def compact_store(spark: SparkSession, path: str, first: int = 0) -> None:
+    """Write the batches from ``first`` on as one; a ``first`` above 0 leaves a large old batch as it is.
+
+    The catalog of the new batch is the merged one of the old, so nothing is counted again.  Files of the old batches stay, for
+    readers that opened the store before.
+    """
+    batches = [b for b in store_batches(spark, path) if b >= first]
+    if len(batches) < 2:
+        return
+    number = _next_batch(spark, path)
+    rows = _stored_triples(spark, path, batches)
+    _write_batch(rows.select("s", "p", "o"), path, number, "overwrite")
+    own = _catalogs(spark, path).where(F.col("batch").isin(batches))
+    merged = own.groupBy("p").agg(
+        F.when(F.bool_or(F.col("kind") == "data"), "data").otherwise("object").alias("kind"),
+        F.sum("n").alias("n"),
+        F.bool_and("functional").alias("functional"),
+    )
+    _write_catalog(merged, path, number, min(batches))
 
 
 def write_vertex_table(v: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -64,9 +210,14 @@ def write_edge_table(e: DataFrame, path: str, mode: str = "errorifexists") -> No
     )
 
 
-def read_vertex_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_vertex_table(spark: SparkSession, path: str, batches: list[int] | None = None) -> DataFrame:
+    """Vertices; of a table written in batches, all or those of ``batches``."""
+    rows = spark.read.parquet(path)
+    return (rows if batches is None else rows.where(F.col("batch").isin(batches))).drop("batch")
 
 
-def read_edge_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("src bigint, dst bigint, pred string").parquet(path)
+def read_edge_table(spark: SparkSession, path: str, batches: list[int] | None = None) -> DataFrame:
+    """Edges; of a table written in batches, all or those of ``batches``."""
+    batch = "" if batches is None else "batch int, "
+    rows = spark.read.schema(f"src bigint, dst bigint, {batch}pred string").parquet(path)
+    return (rows if batches is None else rows.where(F.col("batch").isin(batches))).select("src", "dst", "pred")
