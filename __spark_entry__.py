@@ -453,6 +453,31 @@ def mapped_chain(spark, directory):
     return t.with_inference(first).with_inference(second).scan(mf.RDF_TYPE, o=cls("Target"))
 
 
+#: Customers and suppliers that trade, parts they supply, orders of these parts by the same customers.
+_FOUR_CYCLE = [
+    ("?c", pred("boughtFrom"), "?s"),
+    ("?s", pred("supplies"), "?p"),
+    ("?o", pred("contains"), "?p"),
+    ("?o", pred("placedBy"), "?c"),
+]
+
+
+def grid_triangle(spark, directory):
+    return mf.match_bgp_grid(_inferred(spark, directory), PATTERNS["bgp_triangle"])
+
+
+def grid_four_cycle(spark, directory):
+    return mf.match_bgp_grid(triples_from_tables(spark, directory), _FOUR_CYCLE)
+
+
+def reduced_path3(spark, directory):
+    return mf.match_bgp_reduced(_inferred(spark, directory), PATTERNS["bgp_path3"])
+
+
+def reduced_snowflake(spark, directory):
+    return mf.match_bgp_reduced(_inferred(spark, directory), PATTERNS["bgp_snowflake"])
+
+
 _OPERATORS = (
     map_triples,
     classify,
@@ -504,6 +529,10 @@ _OPERATORS = (
     appended_triangle,
     appended_snowflake,
     compacted_path3,
+    grid_triangle,
+    grid_four_cycle,
+    reduced_path3,
+    reduced_snowflake,
 )
 _COUNTED = ("bgp_path3", "bgp_const_hub", "bgp_triangle", "bgp_snowflake", "bgp_shared_const")
 
@@ -643,6 +672,14 @@ _ORDER_PARTS = f"""SELECT DISTINCT {_ORD} AS o, {_n('customer', 'o_custkey')} AS
  FROM orders JOIN lineitem ON l_orderkey = o_orderkey"""
 
 
+_FOUR_CYCLE_SQL = f"""WITH l AS (
+  SELECT DISTINCT l_orderkey AS o, o_custkey AS c, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ b AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ t AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem)
+SELECT {_n('customer', 'l.c')} AS c, {_n('supplier', 'b.s')} AS s, {_n('part', 'l.p')} AS p, {_n('order', 'l.o')} AS o
+FROM l JOIN b ON b.c = l.c JOIN t ON t.s = b.s AND t.p = l.p"""
+
+
 def _relational_sql() -> dict[str, str]:
     star_cols = f"{_l('o_orderpriority')} AS y1, {_l('l_returnflag')} AS y2"
     star_from = (
@@ -787,5 +824,9 @@ def oracle_sql() -> dict[str, str]:
         "appended_snowflake": found["bgp_snowflake"],
         "compacted_path3": found["bgp_path3"],
         "continued_ids": _continued_sql(),
+        "grid_triangle": found["bgp_triangle"],
+        "grid_four_cycle": _FOUR_CYCLE_SQL,
+        "reduced_path3": found["bgp_path3"],
+        "reduced_snowflake": found["bgp_snowflake"],
     }
     return found | _llm_queries()[1]

@@ -32,6 +32,7 @@ from .operators.graph import (
     vertex_counts,
     vertex_heads,
 )
+from .operators.grid import Grid, choose_grid, grid_join
 from .operators.infer import (
     class_rule_table,
     infer,
@@ -71,6 +72,7 @@ from .plans.bgp import (
     solutions_per_root,
 )
 from .plans.query_text import parse_query
+from .plans.rounds import join_tree, match_bgp_grid, match_bgp_reduced, reduced_relations
 from .sources.dictionary import append_ids, next_free_id, open_ids
 from .sources.store import (
     append_store,

@@ -1,0 +1,154 @@
+"""Joins on a grid and semi-join reduction, against binary joins and brute force."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+import motifold as mf
+from motifold.operators.grid import bind_all, fitted_grid, fullest_cells
+from motifold.plans.bgp import _tested_relations, prepare
+from motifold.plans.order_entry import PATTERNS
+from motifold.sources.tables import CLASS_RULES, PREDICATE_RULES
+from tests.tiny import pattern, triples
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def brute(relations, order):
+    """Solutions by trying every value of every variable."""
+    values = {v: set() for v in order}
+    for names, given in relations:
+        for row in given:
+            for v, x in zip(names, row):
+                values[v].add(x)
+    out = []
+    for combined in itertools.product(*(sorted(values[v]) for v in order)):
+        bound = dict(zip(order, combined))
+        if all(tuple(bound[v] for v in names) in given for names, given in relations):
+            out.append(combined)
+    return sorted(out)
+
+
+SHAPES = [
+    [("a", "b"), ("b", "c"), ("a", "c")],
+    [("a", "b"), ("b", "c"), ("c", "d"), ("a", "d")],
+    [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")],
+    [("a", "b", "c"), ("b", "c", "d"), ("a", "d")],
+    [("a", "b"), ("a", "b"), ("b",)],
+    [("a", "b"), ("b", "a"), ("a", "c"), ("b", "c")],
+]
+
+
+@pytest.mark.parametrize("shape", range(len(SHAPES)))
+def test_cell_joins_equal_brute_force(shape):
+    rng = random.Random(shape)
+    for _ in range(60):
+        size = rng.randint(1, 6)
+        relations = [
+            (list(names), {tuple(rng.randrange(size) for _ in names) for _ in range(rng.randint(1, 14))}) for names in SHAPES[shape]
+        ]
+        order = sorted({v for names, _ in relations for v in names}, key=lambda v: rng.random())
+        tables = [(names, [np.array(c) for c in zip(*sorted(given))]) for names, given in relations]
+        got = [row for piece in bind_all(tables, order, size) for row in zip(*(c.tolist() for c in piece))]
+        assert sorted(got) == brute(relations, order)
+
+
+def test_a_hub_costs_no_pairs():
+    """3000 rows into a hub and 3000 out of it: nine million pairs, of which the third relation confirms three."""
+    n = 3000
+    spokes = np.arange(n)
+    into, out = (["a", "b"], [spokes, np.full(n, n)]), (["b", "c"], [np.full(n, n), spokes])
+    third = (["c", "a"], [np.array([1, 2, 3]), np.array([7, 8, 9])])
+    for order in itertools.permutations("abc"):
+        steps = []
+        found = sum(len(p[0]) for p in bind_all([into, out, third], list(order), n + 1, steps))
+        assert found == 3 and sum(steps) < 4 * n
+
+
+def test_grid_join_on_many_cells(spark):
+    rng = random.Random(4)
+    given = [(names, {tuple(rng.randrange(30) for _ in names) for _ in range(300)}) for names in SHAPES[1]]
+    frames = [spark.createDataFrame(sorted(g), [f"{v}" for v in names]) for names, g in given]
+    want = sorted((a, b, c, d) for a, b in given[0][1] for b2, c in given[1][1] if b == b2 for c2, d in given[2][1] if c == c2 and (a, d) in given[3][1])
+    for cell_rows in (10**6, 100):
+        assert rows(mf.grid_join(frames, cell_rows=cell_rows).select(*"abcd")) == want
+    odd = mf.Grid({"a": 3, "b": 1, "c": 5, "d": 2})
+    assert rows(mf.grid_join(frames, grid=odd).select(*"abcd")) == want
+    assert mf.grid_join([frames[0], frames[1].limit(0)]).count() == 0
+    assert rows(mf.grid_join(frames[:1])) == rows(frames[0])
+
+
+def test_types_and_nulls(spark):
+    a = spark.createDataFrame([(1, "x"), (None, "x"), (2, None)], "k int, v string")
+    b = spark.createDataFrame([(1, 5), (None, 6), (2, 7)], "k bigint, w int")
+    assert rows(mf.grid_join([a, b]).select("k", "v", "w")) == [(1, "x", 5)]
+    with pytest.raises(ValueError):
+        mf.grid_join([a, b.selectExpr("cast(k as string) as k", "w")])
+
+
+def test_shares_send_few_rows():
+    triangle = [(("a", "b"), 1000), (("b", "c"), 1000), (("a", "c"), 1000)]
+    assert sorted(mf.choose_grid(triangle, 64).shares.values()) == [4, 4, 4]
+    small = [(("a", "b"), 10**6), (("b", "c"), 10), (("c", "a"), 10**6)]
+    assert mf.choose_grid(small, 16).shares == {"a": 16, "b": 1, "c": 1}
+    assert mf.choose_grid(triangle, 1 << 12).cells == 1 << 12
+
+
+def test_a_hub_is_spread_over_the_other_axes(spark):
+    hub = spark.createDataFrame([(0, i) for i in range(4000)] + [(i, i) for i in range(1, 4000)], "a long, b long")
+    other = spark.createDataFrame([(i, i + 1) for i in range(8000)], "b long, c long")
+    close = spark.createDataFrame([(i + 1, i % 3) for i in range(8000)], "c long, a long")
+    relations = [hub, other, close]
+    grid = fitted_grid(relations, [7999, 8000, 8000], cell_rows=300)
+    assert max(fullest_cells(relations, grid)) <= 1200
+    want = rows(hub.join(other, "b").join(close, ["c", "a"]).select("a", "b", "c"))
+    assert rows(mf.grid_join(relations, grid=grid).select("a", "b", "c")) == want
+
+
+def test_grid_and_reduced_answers_equal_match_bgp(spark):
+    tiny = mf.dedup_triples(spark.createDataFrame(triples(), "s string, p string, o string"))
+    cyclic = [pattern("?x", "takesCourse", "?y"), pattern("?x", "advisor", "?p"), pattern("?p", "teacherOf", "?y")]
+    path = [pattern("?x", "advisor", "?p"), pattern("?p", "teacherOf", "?c"), pattern("?x", "type", "GraduateStudent")]
+    star = [pattern("?x", "name", "?n"), pattern("?x", "memberOf", "?d")]
+    fixed = [pattern("s1", "takesCourse", "?y"), pattern("?x", "takesCourse", "?y"), pattern("s1", "likes", "p1")]
+    for bind in (False, True):
+        for patterns in (cyclic, path, star, fixed):
+            want = rows(mf.match_bgp(tiny, patterns, bind))
+            assert rows(mf.match_bgp_grid(tiny, patterns, bind, cell_rows=3)) == want
+            if patterns is not cyclic:
+                assert rows(mf.match_bgp_reduced(tiny, patterns, bind)) == want
+    with pytest.raises(ValueError):
+        mf.match_bgp_reduced(tiny, cyclic)
+    with pytest.raises(ValueError):
+        mf.match_bgp_grid(tiny, [pattern("?x", "advisor", "?p"), pattern("?c", "takesCourse", "?d")])
+
+
+def test_join_trees():
+    tree = mf.join_tree([("o", "c"), ("o", "p"), ("c", "n"), ("n", "r")], root=1)
+    assert [(e.child, e.parent, e.shared) for e in tree] == [(3, 2, ("n",)), (2, 0, ("c",)), (0, 1, ("o",))]
+    assert mf.join_tree([("a",)]) == []
+    with pytest.raises(ValueError):
+        mf.join_tree([("a", "b"), ("b", "c"), ("c", "a")])
+
+
+@pytest.mark.parametrize("name", ["bgp_path3", "bgp_snowflake", "bgp_const_hub"])
+def test_reduction_leaves_only_rows_of_solutions(spark, name):
+    source = mf.triples_from_tables(spark, SMALL).with_inference(CLASS_RULES, PREDICATE_RULES)
+    prepared, query = prepare(source, PATTERNS[name], False, False)
+    relations = _tested_relations(prepared, query, False, 0)
+    answer = mf.match_bgp(source, PATTERNS[name]).cache()
+    reduced, edges = mf.reduced_relations(relations)
+    assert len(edges) == len(relations) - 1
+    before = sum(r.df.count() for r in relations)
+    after = 0
+    for r in reduced:
+        got = rows(prepared.decode(r.df, r.variables).select(*r.variables))
+        assert got == rows(answer.select(*r.variables).distinct())
+        after += len(got)
+    assert after < before
