@@ -382,8 +382,8 @@ def _appended(spark, directory, compacted: bool = False):
     if known not in _stores:
         path = new_path(spark, "grown")
         for number in range(len(_DELIVERIES)):
-            rules = mf.class_rule_table(spark, CLASS_RULES), mf.predicate_rule_table(spark, PREDICATE_RULES)
-            mf.append_store(mf.infer(_delivery(spark, directory, number), *rules), path)
+            inferred = _delivery(spark, directory, number).with_inference(CLASS_RULES, PREDICATE_RULES)
+            mf.append_store(inferred.all(), path, distinct=False)
         _stores[known] = path
     if compacted:
         mf.compact_store(spark, _stores[known], first=2)
@@ -453,6 +453,52 @@ def mapped_chain(spark, directory):
     return t.with_inference(first).with_inference(second).scan(mf.RDF_TYPE, o=cls("Target"))
 
 
+_bitmap_tables: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def _bitmaps(spark, directory) -> tuple[DataFrame, DataFrame]:
+    """Bitmaps of the attributes of the stored graph, and the node ids; written once per application."""
+    known = (spark.sparkContext.applicationId, directory)
+    if known not in _bitmap_tables:
+        t = _stored(spark, directory)
+        ids, bits = new_path(spark, "ids"), new_path(spark, "bitmaps")
+        own = mf.append_ids(mf.graph_nodes(t), ids)
+        listed = mf.listable_predicates(t)
+        data = [r["p"] for r in mf.predicate_catalog(t).where("kind = 'data'").select("p").collect()]
+        mf.write_bitmaps(mf.predicate_bitmaps(t, own, listed, data), bits)
+        _bitmap_tables[known] = ids, bits
+    ids, bits = _bitmap_tables[known]
+    return mf.open_bitmaps(spark, bits), mf.open_ids(spark, ids)
+
+
+_STAR = [(pred("returnflag"), '"R"'), (pred("returnflag"), '"A"'), (pred("priority"), "?any")]
+
+
+def bitmap_count_star(spark, directory):
+    constraints = [(p, o) for _, p, o in PATTERNS["bgp_data_only"]]
+    return mf.count_star_bitmaps(_bitmaps(spark, directory)[0], constraints)
+
+
+def bitmap_star_filter(spark, directory):
+    """The orders of ``star_filter``: ids from bitmaps, names from the dictionary."""
+    bitmaps, ids = _bitmaps(spark, directory)
+    found = mf.bitmap_ids(mf.star_bitmap(bitmaps, _STAR))
+    return ids.join(found, "id", "left_semi").select(F.col("uri").alias("o"))
+
+
+def characteristic_sets(spark, directory):
+    sets = mf.characteristic_sets(triples_from_tables(spark, directory))
+    return sets.select(
+        F.array_join("predicates", " ").alias("predicates"), "n_subjects", F.array_join("n_triples", " ").alias("n_triples")
+    )
+
+
+def sets_count_star(spark, directory):
+    """Orders with a priority and lines, from the table of sets alone."""
+    sets = stage(mf.characteristic_sets(triples_from_tables(spark, directory)), "sets")
+    return mf.count_star_sets(sets, [pred("priority"), pred("returnflag"), pred("contains")])
+
+
 #: Customers and suppliers that trade, parts they supply, orders of these parts by the same customers.
 _FOUR_CYCLE = [
     ("?c", pred("boughtFrom"), "?s"),
@@ -533,6 +579,10 @@ _OPERATORS = (
     grid_four_cycle,
     reduced_path3,
     reduced_snowflake,
+    bitmap_count_star,
+    bitmap_star_filter,
+    characteristic_sets,
+    sets_count_star,
 )
 _COUNTED = ("bgp_path3", "bgp_const_hub", "bgp_triangle", "bgp_snowflake", "bgp_shared_const")
 
@@ -807,6 +857,12 @@ def _triple_set_sql() -> dict[str, str]:
         "SELECT row_number() OVER (ORDER BY node) - 1 + (SELECT count(*) FROM q) AS id, node AS uri "
         "FROM (SELECT node FROM g EXCEPT SELECT node FROM q)"
     )
+    body["characteristic_sets"] = (
+        "SELECT ps AS predicates, count(*) AS n_subjects, array_to_string(list_transform(range(1, len(any_value(ns)) + 1), "
+        "lambda i: CAST(list_sum(list_transform(list(ns), lambda x: x[i])) AS BIGINT)), ' ') AS n_triples FROM "
+        "(SELECT s, string_agg(p, ' ' ORDER BY p) AS ps, list(n ORDER BY p) AS ns FROM "
+        "(SELECT s, p, count(*) AS n FROM m GROUP BY s, p) GROUP BY s) GROUP BY ps"
+    )
     homes = f"p IN ({_p('residesIn')}, {_p('basedIn')})"
     partners = f", q AS (SELECT s AS node FROM m WHERE {homes} UNION SELECT o FROM m WHERE {homes}) "
     body["extended_ids"] = partners + body["extended_ids"]
@@ -824,6 +880,10 @@ def oracle_sql() -> dict[str, str]:
         "appended_snowflake": found["bgp_snowflake"],
         "compacted_path3": found["bgp_path3"],
         "continued_ids": _continued_sql(),
+        "bitmap_count_star": found["count_star"],
+        "bitmap_star_filter": found["star_filter"],
+        "sets_count_star": "SELECT count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) "
+        "AND o_orderpriority IS NOT NULL",
         "grid_triangle": found["bgp_triangle"],
         "grid_four_cycle": _FOUR_CYCLE_SQL,
         "reduced_path3": found["bgp_path3"],

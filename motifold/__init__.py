@@ -12,6 +12,15 @@ from .functions.terms import (
     match_term,
     triple_kind,
 )
+from .operators.bitmaps import (
+    bitmap_ids,
+    count_star_bitmaps,
+    filter_by_bitmap,
+    listable_predicates,
+    predicate_bitmaps,
+    star_bitmap,
+)
+from .operators.charsets import characteristic_sets, count_star_sets, star_rows
 from .operators.filters import (
     count_star,
     has_property,
@@ -77,12 +86,16 @@ from .sources.dictionary import append_ids, next_free_id, open_ids
 from .sources.store import (
     append_store,
     compact_store,
+    open_bitmaps,
     open_store,
     read_edge_table,
     read_vertex_table,
     store_batches,
     store_catalog,
+    stored_sets,
+    write_bitmaps,
     write_edge_table,
+    write_sets,
     write_store,
     write_vertex_table,
 )

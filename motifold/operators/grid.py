@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from itertools import combinations_with_replacement
+from itertools import combinations_with_replacement, permutations
 from math import prod
 
 import numpy as np
@@ -232,6 +232,42 @@ def _common_types(relations: Sequence[DataFrame]) -> dict[str, T.DataType]:
     return found
 
 
+def variable_order(tables: Sequence[tuple[list[str], list[np.ndarray]]]) -> list[str]:
+    """The order of the variables with the fewest expected bindings along the way.
+
+    A variable's values per binding are estimated by the relation with the fewest rows per distinct value of its bound
+    variables; every other relation that holds the variable and a bound one keeps its share of them.
+    """
+    distinct = [dict(zip(names, (len(np.unique(c)) for c in columns), strict=True)) for names, columns in tables]
+    rows = [len(columns[0]) for _, columns in tables]
+    variables = list(dict.fromkeys(v for names, _ in tables for v in names))
+    domain = {v: max(d[v] for d in distinct if v in d) for v in variables}
+
+    def per_binding(bound: Sequence[str], v: str) -> float:
+        fans = []
+        for (names, _), own, n in zip(tables, distinct, rows, strict=True):
+            if v in names:
+                known = [own[b] for b in names if b in bound]
+                fans.append((max(1.0, n / min(n, prod(known))) if known else own[v], bool(known)))
+        least = min(range(len(fans)), key=lambda k: fans[k][0])
+        kept = prod(min(1.0, fan / domain[v]) for k, (fan, met) in enumerate(fans) if k != least and met)
+        return fans[least][0] * kept
+
+    def cost(order: Sequence[str]) -> float:
+        total, bindings = 0.0, 1.0
+        for k, v in enumerate(order):
+            bindings *= per_binding(order[:k], v)
+            total += bindings
+        return total
+
+    if len(variables) <= 5:
+        return list(min(permutations(variables), key=cost))
+    order: list[str] = []
+    while len(order) < len(variables):  # one after the other, where all orders are too many
+        order.append(min((v for v in variables if v not in order), key=lambda v: cost([*order, v])))
+    return order
+
+
 def grid_join(
     relations: Sequence[DataFrame],
     sizes: Sequence[int] | None = None,
@@ -260,8 +296,6 @@ def grid_join(
         ]
         sent.append(df.select(F.explode(_cells(grid, df.columns)).alias("cell"), F.lit(number).alias("relation"), *values))
     columns = [df.columns for df in relations]
-    # Variables that most relations use come first: their values meet early.
-    order = sorted(variables, key=lambda v: (-sum(v in c for c in columns), variables.index(v)))
 
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -278,6 +312,7 @@ def grid_join(
                 return
             tables.append((own, [numbers[v][rows] for v in own]))
         width = max(map(len, values.values()))
+        order = variable_order(tables)
         for bound in bind_all(tables, order, width):
             found = dict(zip(order, bound, strict=True))
             yield pa.RecordBatch.from_arrays([values[v].take(pa.array(found[v])) for v in variables], variables)

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.terms import triple_kind
+from ..operators.charsets import characteristic_sets
 from ..session import stage
 from .triples import FrameTriples, union_all
 
+_SETS = "predicates array<string>, n_subjects bigint, n_triples array<bigint>"
 _CATALOG = "p string, kind string, n bigint, functional boolean, since int"
 
 
@@ -112,8 +114,42 @@ def _stored_triples(spark: SparkSession, path: str, batches: list[int]) -> DataF
 
 
 def open_store(spark: SparkSession, path: str) -> FrameTriples:
-    """The stored triples as a pattern source with its catalog; batches and predicates are partitions of the scan."""
-    return FrameTriples(_stored_triples(spark, path, store_batches(spark, path)), store_catalog(spark, path))
+    """The stored triples as a pattern source with its catalog; batches and predicates are partitions of the scan.
+
+    Characteristic sets are used if they were written for the batches that the store has now.
+    """
+    batches = store_batches(spark, path)
+    sets = stored_sets(spark, path, batches)
+    return FrameTriples(_stored_triples(spark, path, batches), store_catalog(spark, path), sets)
+
+
+def write_sets(spark: SparkSession, path: str) -> None:
+    """Write the characteristic sets of a store.  An append changes the sets of known subjects: write them again after it."""
+    batches = store_batches(spark, path)
+    name = "-".join(map(str, batches))
+    characteristic_sets(_stored_triples(spark, path, batches)).coalesce(1).write.mode("overwrite").parquet(f"{path}/sets/{name}")
+
+
+def stored_sets(spark: SparkSession, path: str, batches: list[int] | None = None) -> DataFrame | None:
+    """The characteristic sets of the store as it is now, or None if none were written for its batches."""
+    name = "-".join(map(str, store_batches(spark, path) if batches is None else batches))
+    try:
+        return spark.read.schema(_SETS).parquet(f"{path}/sets/{name}")
+    except AnalysisException:
+        return None
+
+
+def write_bitmaps(bitmaps: DataFrame, path: str, mode: str = "append") -> None:
+    """Add bitmaps to a table partitioned by predicate; those of one bucket from several batches are OR-ed by its readers.
+
+    Rows are range-partitioned by (p, o, bucket), so a predicate of all nodes is cut into many files.
+    """
+    rows = bitmaps.select("o", "bucket", "bits", "p").repartitionByRange("p", "o", "bucket")
+    rows.sortWithinPartitions("p", "o", "bucket").write.mode(mode).partitionBy("p").parquet(path)
+
+
+def open_bitmaps(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("o string, bucket bigint, bits binary, p string").parquet(path)
 
 
 @dataclass(frozen=True)
@@ -126,8 +162,10 @@ class Batch:
     broken: tuple[str, ...]
 
 
-def begin_append(t: DataFrame, path: str) -> Batch:
-    """Write what ``t`` adds to a store; ``t`` may repeat triples and hold known ones.
+def begin_append(t: DataFrame, path: str, distinct: bool = True) -> Batch:
+    """Write what ``t`` adds to a store; ``t`` may hold known triples.
+
+    ``distinct=False`` saves a shuffle where ``t`` repeats none.
 
     Only partitions of predicates that occur in ``t`` are read.  Known triples are found from the stored side, by a semi
     join with the new ones, so that at most as many rows as ``t`` has come out of the store.  A predicate that was functional
@@ -135,7 +173,8 @@ def begin_append(t: DataFrame, path: str) -> Batch:
     whether the subject now has two.
     """
     spark = t.sparkSession
-    new = stage(t.select("s", "p", "o").dropDuplicates(["s", "p", "o"]), "append")
+    t = t.select("s", "p", "o")
+    new = stage(t.dropDuplicates(["s", "p", "o"]) if distinct else t, "append")
     batches = store_batches(spark, path)
     touched = [r["p"] for r in new.select("p").distinct().collect()]  # one row per predicate
     known = store_catalog(spark, path).where(F.col("p").isin(touched)).select("p", "functional").collect()
@@ -169,9 +208,9 @@ def commit_append(spark: SparkSession, batch: Batch) -> int:
     return own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
 
-def append_store(t: DataFrame, path: str) -> int:
+def append_store(t: DataFrame, path: str, distinct: bool = True) -> int:
     """Add triples to a store and give the number of those that were not yet there."""
-    return commit_append(t.sparkSession, begin_append(t, path))
+    return commit_append(t.sparkSession, begin_append(t, path, distinct))
 
 
 def compact_store(spark: SparkSession, path: str, first: int = 0) -> None:

@@ -60,10 +60,12 @@ def frame(triples, kind: str | None = None) -> DataFrame:
 class FrameTriples:
     """Triples held in a DataFrame ``(s, p, o)`` that is already a set."""
 
-    def __init__(self, df: DataFrame, catalog: DataFrame | None = None):
+    def __init__(self, df: DataFrame, catalog: DataFrame | None = None, sets: DataFrame | None = None):
+        """``sets``, the characteristic sets of the triples, makes the sizes of relations exact."""
         self.spark = df.sparkSession
         self.df = df
         self._catalog = catalog
+        self.sets = sets
 
     def scan(self, p: str, s: str | None = None, o: str | None = None) -> DataFrame:
         test = F.col("p") == p
@@ -127,6 +129,28 @@ class FrameQuery:
         self.spark = base.spark
         self.query = query
         self.subjects = base.subjects
+        self._required = self._subject_predicates() if base.sets is not None else {}
+
+    def _subject_predicates(self) -> dict[str, set[str]]:
+        """The predicates that the query asks of each subject variable."""
+        found: dict[str, set[str]] = {}
+        for s, p, _ in self.query.edges:
+            if is_variable(s):
+                found.setdefault(variable_name(s), set()).add(p)
+        for v, constraints in self.query.stars.items():
+            found.setdefault(v, set()).update(p for p, _ in constraints)
+        return found
+
+    def _rows(self, s: str, p: str, known: Predicate) -> int | None:
+        """Triples of ``p`` by the catalog; with characteristic sets only those whose subject has all that the query asks."""
+        others = self._required.get(variable_name(s), set()) - {p} if is_variable(s) else set()
+        if not others:
+            return known.n
+        sets = self.base.sets
+        held = [F.array_contains("predicates", q) for q in (p, *sorted(others))]
+        n = F.element_at("n_triples", F.array_position("predicates", F.lit(p)).cast("int"))
+        kept = sets.where(reduce(lambda a, b: a & b, held))
+        return kept.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first()["n"]
 
     def relations(self) -> list[Relation]:
         return [self._relation(e) for e in self.query.edges]
@@ -140,7 +164,7 @@ class FrameQuery:
             variables=tuple(df.columns),
             determined_by=variable_name(s) if known.functional and is_variable(s) else None,
             constant=not (is_variable(s) and is_variable(o)),
-            rows=known.n,
+            rows=self._rows(s, p, known),
         )
 
     def decode(self, df: DataFrame, variables) -> DataFrame:
