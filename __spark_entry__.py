@@ -453,6 +453,35 @@ def mapped_chain(spark, directory):
     return t.with_inference(first).with_inference(second).scan(mf.RDF_TYPE, o=cls("Target"))
 
 
+#: Rules as a modeller writes them, one step each; the last two go round in a circle.
+_DIRECT_CLASSES = (
+    *((node("seg", v), cls("Customer")) for v in SEGMENTS),
+    *((node("ostatus", v), cls("Order")) for v in ORDER_STATUSES),
+    (cls("Customer"), cls("Partner")),
+    (cls("Supplier"), cls("Partner")),
+    (cls("Partner"), cls("Agent")),
+    (cls("Agent"), cls("Thing")),
+    (cls("Order"), cls("Record")),
+    (cls("Record"), cls("Thing")),
+    (cls("Thing"), cls("Entity")),
+    (cls("Entity"), cls("Thing")),
+)
+_DIRECT_PREDICATES = (
+    (pred("residesIn"), pred("locatedIn")),
+    (pred("basedIn"), pred("locatedIn")),
+    (pred("locatedIn"), pred("relatedTo")),
+    (pred("partOf"), pred("relatedTo")),
+)
+
+
+def infer_closed(spark, directory):
+    """What follows from direct rules by any chain of them: the rules are closed first, the data read once."""
+    classes = mf.close_rules(mf.class_rule_table(spark, _DIRECT_CLASSES))
+    predicates = mf.close_rules(mf.predicate_rule_table(spark, _DIRECT_PREDICATES))
+    all_ = mf.infer(triples_from_tables(spark, directory), classes, predicates)
+    return all_.groupBy("p", F.when(F.col("p") == mf.RDF_TYPE, F.col("o")).alias("class")).agg(F.count("*").alias("n"))
+
+
 _bitmap_tables: dict[tuple[str, str], tuple[str, str]] = {}
 
 
@@ -583,6 +612,7 @@ _OPERATORS = (
     bitmap_star_filter,
     characteristic_sets,
     sets_count_star,
+    infer_closed,
 )
 _COUNTED = ("bgp_path3", "bgp_const_hub", "bgp_triangle", "bgp_snowflake", "bgp_shared_const")
 
@@ -848,6 +878,17 @@ def _triple_set_sql() -> dict[str, str]:
         f"UNION ALL SELECT 'solutions', count(*) {_TRIANGLE_FROM} AND {_CUSTOMER_TYPED}",
     }
     cte = _map_cte()
+    closed = (
+        "WITH RECURSIVE dc AS (SELECT * FROM (VALUES " + _values(_DIRECT_CLASSES) + ") AS dc(a, b)), "
+        "dp AS (SELECT * FROM (VALUES " + _values(_DIRECT_PREDICATES) + ") AS dp(a, b)), "
+        "cc AS (SELECT a, b FROM dc UNION SELECT cc.a, dc.b FROM cc JOIN dc ON cc.b = dc.a), "
+        "cp AS (SELECT a, b FROM dp UNION SELECT cp.a, dp.b FROM cp JOIN dp ON cp.b = dp.a), "
+    )
+    closed_body = (
+        f"SELECT p, CASE WHEN p = {_TYPE} THEN o END AS class, count(*) AS n FROM (SELECT s, p, o FROM m UNION ALL "
+        f"SELECT s, p, b FROM m JOIN cc ON o = a WHERE p = {_TYPE} AND a <> b UNION ALL "
+        "SELECT s, b, o FROM m JOIN cp ON p = a WHERE a <> b) GROUP BY ALL"
+    )
     inferred["appended_catalog"] = (
         "SELECT p, CASE WHEN bool_or(o LIKE '\"%' OR p = " + _TYPE + ") THEN 'data' ELSE 'object' END AS kind, "
         "CAST(sum(n) AS BIGINT) AS n, max(n) = 1 AS functional FROM (SELECT p, s, max(o) AS o, count(*) AS n "
@@ -866,7 +907,8 @@ def _triple_set_sql() -> dict[str, str]:
     homes = f"p IN ({_p('residesIn')}, {_p('basedIn')})"
     partners = f", q AS (SELECT s AS node FROM m WHERE {homes} UNION SELECT o FROM m WHERE {homes}) "
     body["extended_ids"] = partners + body["extended_ids"]
-    return {k: cte + q for k, q in body.items()} | {k: cte + rules + q for k, q in inferred.items()}
+    found = {k: cte + q for k, q in body.items()} | {k: cte + rules + q for k, q in inferred.items()}
+    return found | {"infer_closed": closed + cte.removeprefix("WITH ") + closed_body}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -44,6 +44,7 @@ from .operators.graph import (
 from .operators.grid import Grid, choose_grid, grid_join
 from .operators.infer import (
     class_rule_table,
+    close_rules,
     infer,
     infer_predicates,
     infer_types,

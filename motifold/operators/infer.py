@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import RDF_TYPE
-from ..session import BROADCAST_BYTES, broadcast_if_small, text_bytes
+from ..session import broadcast_if_small, stage
 from ..sources.triples import as_source, frame
 from .triples import filter_edges
 
+#: Rule heads that may stand in the filter of a scan.
+LISTED_HEADS = 1000
+
 
 def rule_table(spark: SparkSession, pairs, columns: tuple[str, str]) -> DataFrame:
     """Rule pairs as a two-column table."""
@@ -36,17 +39,34 @@ def infer_types(triples, class_rules: DataFrame) -> DataFrame:
 def infer_predicates(triples, predicate_rules: DataFrame) -> DataFrame:
     """Derived triples only: ``x p y`` with a rule ``p -> q`` gives ``x q y``.
 
-    Rules small enough to broadcast also restrict the scan to their predicates.
+    The heads of up to ``LISTED_HEADS`` predicates also restrict the scan; more only meet in the join.
     """
-    rules = predicate_rules.select("p", "super")
-    if text_bytes(rules) <= BROADCAST_BYTES:
-        t = filter_edges(triples, [r["p"] for r in rules.select("p").distinct().collect()])
-        rules = F.broadcast(rules)
-    else:
-        t = frame(triples)
+    rules = broadcast_if_small(predicate_rules.select("p", "super"))
+    heads = [r["p"] for r in predicate_rules.select("p").distinct().limit(LISTED_HEADS + 1).collect()]
+    t = filter_edges(triples, heads) if len(heads) <= LISTED_HEADS else frame(triples)
     return t.join(rules, "p").select("s", F.col("super").alias("p"), "o")
 
 
+def close_rules(rules: DataFrame) -> DataFrame:
+    """All pairs that follow from a two-column rule table by chains of rules; itself implied by itself is left out.
+
+    A fixpoint over the rules alone: every round joins the pairs found last with the rules and keeps what is new, until nothing is.
+    Pairs of a cycle repeat and so end it.  Each round's pairs are written, so a round reads its predecessor and not
+    the chain of all before.  The data are read once, by ``infer`` with the closed table.
+    """
+    head, implied = rules.columns
+    names = [F.col(f"`{head}`").alias("head"), F.col(f"`{implied}`").alias("implied")]
+    given = stage(rules.select(*names).where("head <> implied").distinct(), "rules")
+    known = latest = given
+    while True:
+        step = given.select(F.col("head").alias("implied"), F.col("implied").alias("next"))
+        longer = latest.join(step, "implied").select("head", F.col("next").alias("implied")).where("head <> implied")
+        latest = stage(longer.distinct().join(known, ["head", "implied"], "left_anti"), "rules")
+        if latest.isEmpty():
+            return known.select(F.col("head").alias(head), F.col("implied").alias(implied))
+        known = stage(known.unionByName(latest), "rules")
+
+
 def _grouped(rules: DataFrame, key: str, name: str) -> DataFrame:
     """One row per rule head with the array of what it implies."""
     return broadcast_if_small(rules.groupBy(F.col(key).alias(f"#{key}")).agg(F.collect_set("super").alias(name)))
