@@ -1,17 +1,19 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, queries by greedy graph search.
 
-Graph.  Nodes are the distinct vectors; copies of a vector share a node, which keeps the smallest of their ids.  Two
-orders by random projections give a first graph and put the nodes in blocks.  A round joins the neighbours of a block's
-nodes (in both directions) with their neighbours; the distinct candidates of a block come together once, and the block's
-nodes keep the best.  Rounds end when few neighbours change.  Candidates are joined as (block, node) pairs, made distinct
-before they travel, so a node that many others point to adds one row per block.
+Graph.  Nodes are the distinct vectors; copies of a vector share a node, which keeps the smallest of their ids.  ``ORDERS`` sorted orders, each
+by the sides of random planes through the mean, cut the nodes into short blocks of nodes on the same side of many planes, whose members
+are each other's first neighbours (``ORDERS * BLOCK`` scored pairs per node at most, as products of matrices).  A round then joins locally: the
+list of a node holds its neighbours and a bounded sample of the nodes that have it as theirs; all pairs of a list with a new member are scored
+once, and both ends take the best.  A node so meets the neighbours of its neighbours and nothing else: a round scores at most
+``(NEIGHBOURS + REVERSE)^2`` pairs per node, however many nodes there are.  Rounds end when few neighbours change.  A node that many others
+point to receives from the sampled ones only, so no list and no group grows with the table.
 
-Search.  Queries are dealt into blocks.  Every query has a list of the best nodes seen; a round joins those not yet expanded with
-the graph, its edges taken in both directions, and scores the new nodes, until no list changes.  It starts from the query's own
-node and that node's neighbours, so that a group without an edge to others is reached, and from the best of ``PIVOTS`` nodes.
-The best nodes are then scored in double precision on the original vectors, and copies are listed by id.
+Search.  Every query has its own list of the best nodes seen.  A round takes the neighbours, in both directions, of the nodes in the list that were not
+expanded yet, scores them and keeps the best, until nothing in the list is left to expand.  It starts from the query's own node, as every
+query's vector is one.  The best nodes are then scored in double precision on the original vectors, and copies are listed by id.
 
-All rows are indexed.  ``recall`` in the tests compares with brute force.
+Vectors travel as 16-bit unit vectors with their length in double precision, so a long vector costs the others no precision.
+All rows are indexed.  Tests measure recall against brute force and count the scored pairs.
 
 Defined cases: vectors that are null, of another length than most, zero, or with null or non-finite components take no part, nor
 do rows without an id; copies are separate results, ties go to the smaller id; a query does not find its own id; with fewer
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +34,25 @@ from pyspark.sql.window import Window
 
 from motifold.llm.work import stage
 
-NEIGHBOURS = 16
+NEIGHBOURS = 32
+#: Nodes sampled of those that have a node as their neighbour.
+REVERSE = 32
+#: Best others that a member of a list is offered by that list.
+OFFERED = 8
 BLOCK = 2048
+#: Orders of the nodes for their first neighbours, and the planes of an order; a last projection orders what no plane parts.
+ORDERS = 12
+PLANES = 30
 RANGES = 256
 #: Rounds end when so small a part of the neighbours got better.
 CHANGED = 0.005
-PIVOTS = 1024
 BEAM = 96
-QUERY_BLOCK = 512
-#: Candidates scored at a time.
-PART = 4096
+#: Rows of a block scored at a time.
+PART = 512
+#: Nodes, or queries, that one group of a step holds.
+GROUP = 512
 
-_GRAPH = "node long, block long, near array<long>, changed long"
+_GRAPH = "node long, near array<long>, close array<double>, fresh array<boolean>, changed long, scored long"
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -60,9 +70,37 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(data), kind).reshape(len(data), -1) if data else np.zeros((0, 1), kind)
 
 
+def _unit_vectors(full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and lengths; a length beyond the greatest double is that."""
+    largest = np.abs(full).max(axis=1, keepdims=True)
+    unit = full / largest
+    length = np.linalg.norm(unit, axis=1, keepdims=True)
+    with np.errstate(over="ignore"):
+        norm = np.minimum(length * largest, np.finfo(np.float64).max)[:, 0]
+    return unit / length, norm
+
+
+def _mean_unit(rows: DataFrame) -> np.ndarray:
+    """The mean of the unit vectors: one row per dimension comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(0), 0
+        for batch in batches:
+            if len(batch):
+                full = np.asarray(batch.column(0).flatten(), np.float64).reshape(len(batch), -1)
+                total = _unit_vectors(full)[0].sum(axis=0) + (total if n else 0.0)
+                n += len(batch)
+        where = pa.array(np.arange(len(total)))
+        yield pa.RecordBatch.from_arrays([where, pa.array(total), pa.array(np.full(len(total), n))], ["i", "total", "n"])
+
+    sums = rows.select("vec").mapInArrow(run, "i long, total double, n long").groupBy("i")
+    found = sums.agg((F.sum("total") / F.sum("n")).alias("m")).orderBy("i").collect()
+    return np.array([r["m"] for r in found])
+
+
 def node_table(rows: DataFrame, copies: int) -> DataFrame:
-    """(node, vec, half, one, two, members): node is the least id with this vector, members the least ``copies``;
-    half is the vector in 16 bits, one and two are its places in two random orders."""
+    """(node, vec, half, norm, o0, o1, ..., members): node is the least id with this vector, members the least ``copies``;
+    half is the unit vector in 16 bits, norm its length, o0 and on are its places in the random orders."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,58 +120,38 @@ def node_table(rows: DataFrame, copies: int) -> DataFrame:
             if not len(batch):
                 continue
             full = _matrix(batch.column("vec"), "<f8")
-            lines = np.random.default_rng(11).standard_normal((full.shape[1], 2))
-            at = full @ lines
-            half = (full / batch.column("scale")[0].as_py()).astype(np.float16)
+            unit, norm = _unit_vectors(full)
+            rng = np.random.default_rng(11)
+            places = []
+            for _ in orders:
+                side = (unit - mean) @ rng.standard_normal((full.shape[1], PLANES + 1)) / full.shape[1] ** 0.5
+                code = (side[:, :PLANES] > 0) @ (2.0 ** np.arange(PLANES - 1, -1, -1))
+                places.append(code + (np.tanh(side[:, PLANES]) + 1) / 2)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("node"),
                     batch.column("vec"),
-                    pa.array([x.tobytes() for x in half], pa.binary()),
-                    pa.array(at[:, 0]),
-                    pa.array(at[:, 1]),
+                    pa.array([x.tobytes() for x in unit.astype(np.float16)], pa.binary()),
+                    pa.array(norm),
+                    *map(pa.array, places),
                     batch.column("members"),
                 ],
-                ["node", "vec", "half", "one", "two", "members"],
+                ["node", "vec", "half", "norm", *orders, "members"],
             )
 
+    orders = [f"o{i}" for i in range(ORDERS)]
+    mean = _mean_unit(rows)
     gathered = rows.mapInArrow(gather, "vec binary, members array<long>")
     merged = gathered.groupBy("vec").agg(
         F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("members")))), 1, copies).alias("members")
     )
-    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    scale = rows.agg(F.sqrt(F.max(square)).alias("s")).first()["s"] or 1.0
-    named = merged.select(F.col("members")[0].alias("node"), "vec", "members", F.lit(scale).alias("scale"))
+    named = merged.select(F.col("members")[0].alias("node"), "vec", "members")
     return named.mapInArrow(
-        ready, "node long, vec binary, half binary, one double, two double, members array<long>"
+        ready,
+        "node long, vec binary, half binary, norm double, " + "".join(f"{o} double, " for o in orders) + "members array<long>",
     )
 
 
-def _best(
-    own: np.ndarray, ids: np.ndarray, names: np.ndarray, values: np.ndarray, keep: int
-) -> np.ndarray:
-    """For each row of ``own`` the ids of the ``keep`` nearest of ``values``, nearest first, -1 for none; never itself."""
-    top = np.full((len(own), keep), -np.inf, np.float32)
-    who = np.full((len(own), keep), -1, np.int64)
-    for a in range(0, len(values), PART):
-        part, part_names = values[a : a + PART], names[a : a + PART]
-        near = own @ part.T
-        near[ids[:, None] == part_names[None, :]] = -np.inf
-        if len(part) > keep:
-            at = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-        else:
-            at = np.broadcast_to(np.arange(len(part)), near.shape)
-        both = np.concatenate([top, np.take_along_axis(near, at, 1)], axis=1)
-        both_who = np.concatenate([who, part_names[at]], axis=1)
-        order = np.argsort(-both, axis=1, kind="stable")[:, :keep]
-        top, who = np.take_along_axis(both, order, 1), np.take_along_axis(both_who, order, 1)
-    return np.where(np.isfinite(top), who, -1)
-
-
-def _lists(who: np.ndarray) -> pa.Array:
-    return pa.array([row[row >= 0].tolist() for row in who], pa.list_(pa.int64()))
-
-
 def blocks_along(nodes: DataFrame, total: int, order: str) -> DataFrame:
     """``nodes`` with their ``block`` of about ``BLOCK`` nodes along a projection.
 
@@ -146,7 +164,7 @@ def blocks_along(nodes: DataFrame, total: int, order: str) -> DataFrame:
     bounds = nodes.approxQuantile(order, cuts, 0.1 / ranges) if cuts and total else []
     above = lambda limits: F.size(F.filter(limits, lambda b: b <= F.col(order))).cast("long")
     block = above(F.array(*map(F.lit, bounds))) if bounds else F.lit(0).cast("long")
-    placed = nodes.select("node", "half", order, block.alias("block"))
+    placed = nodes.select("node", "half", "norm", order, block.alias("block"))
     parts = math.ceil(parts / ranges)
     while parts > 1:
         placed = stage(placed, "ranges")
@@ -154,147 +172,257 @@ def blocks_along(nodes: DataFrame, total: int, order: str) -> DataFrame:
         cuts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
         limits = placed.groupBy("block").agg(F.percentile_approx(order, cuts, 10 * ranges).alias("limits"))
         block = F.col("block") * ranges + above("limits")
-        placed = placed.join(limits, "block").select("node", "half", order, block.alias("block"))
+        placed = placed.join(limits, "block").select("node", "half", "norm", order, block.alias("block"))
         parts = math.ceil(parts / ranges)
-    return placed.select("node", "half", "block")
+    return placed.select("node", "half", "norm", "block")
+
+
+def _units(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return _matrix(column, "<f2").astype(np.float32)
+
+
+def _list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Lists of the given lengths from values laid end to end."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def _kept(
+    owner: np.ndarray, ids: np.ndarray, close: np.ndarray, flag: np.ndarray, keep: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per owner the ``keep`` nearest different ids, nearest first; of equal ids the first given counts."""
+    order = np.lexsort((np.arange(len(ids)), ids, owner))
+    owner, ids, close, flag = owner[order], ids[order], close[order], flag[order]
+    first = np.ones(len(ids), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (ids[1:] != ids[:-1])
+    owner, ids, close, flag = owner[first], ids[first], close[first], flag[first]
+    order = np.lexsort((ids, -close, owner))
+    owner, ids, close, flag = owner[order], ids[order], close[order], flag[order]
+    start = np.searchsorted(owner, owner, "left")
+    top = np.arange(len(owner)) - start < keep
+    return owner[top], ids[top], close[top], flag[top]
 
 
 def _first(table: pa.Table) -> pa.Table:
     ids = np.asarray(table["node"], np.int64)
-    own = _matrix(table["half"].combine_chunks(), "<f2").astype(np.float32)
-    near = _lists(_best(own, ids, ids, own, NEIGHBOURS))
+    unit, norm = _units(table["half"]), np.asarray(table["norm"], np.float64)
+    near, close = [], []
+    for a in range(0, len(ids), PART):
+        score = (unit[a : a + PART] @ unit.T) * norm
+        score[np.arange(len(score)), np.arange(a, a + len(score))] = -np.inf
+        kept = min(NEIGHBOURS, len(ids) - 1)
+        top = np.argpartition(-score, kept - 1, axis=1)[:, :kept] if kept else np.zeros((len(score), 0), np.int64)
+        near.append(ids[top])
+        close.append(np.take_along_axis(score, top, 1))
+    counts = np.full(len(ids), min(NEIGHBOURS, len(ids) - 1))
+    size = int(counts.sum())
     return pa.table(
-        {"node": table["node"], "block": table["block"], "near": near, "changed": pa.array(np.zeros(len(ids), np.int64))}
+        {
+            "node": table["node"],
+            "near": _list_array(np.concatenate(near).reshape(-1), counts, pa.int64()),
+            "close": _list_array(np.concatenate(close).reshape(-1), counts, pa.float64()),
+            "fresh": _list_array(np.ones(size, bool), counts, pa.bool_()),
+            "changed": pa.array(np.zeros(len(ids), np.int64)),
+            "scored": pa.array(np.full(len(ids), len(ids) - 1)),
+        }
     )
 
 
 def _first_graph(nodes: DataFrame, total: int, order: str) -> DataFrame:
-    """Neighbours within the blocks along a projection."""
+    """Neighbours within the blocks along an order."""
     return blocks_along(nodes, total, order).groupBy("block").applyInArrow(_first, _GRAPH)
 
 
-def _gains(own: np.ndarray, found: np.ndarray, held: list[int], names: np.ndarray, values: np.ndarray) -> int:
-    """How many of ``found`` are new and better than what they replace; ties do not count, so rounds come to an end."""
-    new, gone = np.setdiff1d(found[found >= 0], held), np.setdiff1d(held, found)
-    if not len(new) or not len(gone):
-        return len(new)
-    score = lambda ids: values[np.searchsorted(names, ids)] @ own
-    least = score(gone.astype(np.int64)).min()
-    return max(len(new) - len(gone), int((score(new) > least + 1e-5 * abs(least)).sum()))
+_OFFER = "to long, ids array<long>, score array<double>, pairs long"
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    """The local joins of a group of lists: for every member that receives, its best new partners in the list."""
+    lists, member = np.asarray(table["node"], np.int64), np.asarray(table["other"], np.int64)
+    fresh, takes = np.asarray(table["fresh"]).astype(bool), np.asarray(table["takes"]).astype(bool)
+    unit, norm = _units(table["half"]), np.asarray(table["norm"], np.float64)
+    # A member that is there twice counts once: new or receiving if one of the two rows is.
+    order = np.lexsort((member, lists))
+    lists, member, fresh, takes, unit, norm = (x[order] for x in (lists, member, fresh, takes, unit, norm))
+    head = np.ones(len(lists), bool)
+    head[1:] = (lists[1:] != lists[:-1]) | (member[1:] != member[:-1])
+    begin = np.flatnonzero(head)
+    fresh, takes = np.logical_or.reduceat(fresh, begin), np.logical_or.reduceat(takes, begin)
+    lists, member, unit, norm = lists[head], member[head], unit[head], norm[head]
+    _, start, size = np.unique(lists, return_index=True, return_counts=True)
+    to, ids, score, counts, pairs = [], [], [], [], []
+    width = int(size.max())
+    step = max(1, (1 << 22) // (width * max(width, unit.shape[1])))
+    for a in range(0, len(start), step):
+        # Lists side by side, the short ones filled up with a member that never counts.
+        at = start[a : a + step, None] + np.arange(width)
+        real = np.arange(width) < size[a : a + step, None]
+        at = np.where(real, at, 0)
+        block = unit[at]
+        close = np.matmul(block, block.transpose(0, 2, 1)) * norm[at][:, None, :]
+        able = (fresh[at][:, :, None] | fresh[at][:, None, :]) & real[:, None, :] & (real & takes[at])[:, :, None]
+        able &= ~np.eye(width, dtype=bool)
+        close = np.where(able, close, -np.inf)
+        wide = min(OFFERED, width)
+        top = np.argpartition(-close, wide - 1, axis=2)[:, :, :wide]
+        best = np.take_along_axis(close, top, 2)
+        good = np.isfinite(best)
+        rows = good.any(axis=2)
+        to.append(member[at][rows])
+        who = np.take_along_axis(np.broadcast_to(member[at][:, None, :], close.shape), top, 2)
+        ids.append(who[rows][good[rows]])
+        score.append(best[rows][good[rows]])
+        counts.append(good[rows].sum(axis=1))
+        pairs.append(able.sum(axis=2)[rows])
+    counts = np.concatenate(counts)
+    return pa.table(
+        {
+            "to": pa.array(np.concatenate(to)),
+            "ids": _list_array(np.concatenate(ids), counts, pa.int64()),
+            "score": _list_array(np.concatenate(score).astype(np.float64), counts, pa.float64()),
+            "pairs": pa.array(np.concatenate(pairs).astype(np.int64)),
+        }
+    )
+
+
+def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    column = table[name].combine_chunks()
+    flat = column.flatten()
+    return flat.to_numpy(zero_copy_only=False), np.asarray(column.value_lengths(), np.int64)
 
 
 def _improve(own: pa.Table, offered: pa.Table) -> pa.Table:
-    ids = np.asarray(own["node"], np.int64)
-    if not len(ids):
-        return pa.table({"node": [], "block": [], "near": [], "changed": []}, pa.schema(
-            [("node", pa.int64()), ("block", pa.int64()), ("near", pa.list_(pa.int64())), ("changed", pa.int64())]
-        ))
-    mine = _matrix(own["half"].combine_chunks(), "<f2").astype(np.float32)
-    names = np.concatenate([ids, np.asarray(offered["other"], np.int64)])
-    halves = _matrix(offered["given"].combine_chunks(), "<f2") if len(offered) else np.zeros((0, mine.shape[1]), np.float16)
-    values = np.concatenate([mine, halves.astype(np.float32)])
-    names, first = np.unique(names, return_index=True)
-    who = _best(mine, ids, names, values[first], NEIGHBOURS)
-    before = own["near"].to_pylist()
-    changed = [_gains(x, row, old, names, values[first]) for x, row, old in zip(mine, who, before, strict=True)]
-    return pa.table({"node": own["node"], "block": own["block"], "near": _lists(who), "changed": pa.array(changed, pa.int64())})
+    """A group of nodes with the best of their neighbours and of what the lists offered."""
+    node = np.asarray(own["node"], np.int64)
+    order = np.argsort(node)
+    near, size = _lists(own, "near")
+    close, _ = _lists(own, "close")
+    place = np.repeat(np.arange(len(node)), size)
+    scored = np.asarray(own["scored"], np.int64).copy()
+    to = order[np.searchsorted(node[order], np.asarray(offered["to"], np.int64))] if len(offered) else np.zeros(0, np.int64)
+    ids, counts = _lists(offered, "ids")
+    score, _ = _lists(offered, "score")
+    np.add.at(scored, to, np.asarray(offered["pairs"], np.int64))
+    owner, who, value, new = _kept(
+        np.concatenate([place, np.repeat(to, counts)]),
+        np.concatenate([near, ids]).astype(np.int64),
+        np.concatenate([close, score]).astype(np.float64),
+        np.concatenate([np.zeros(len(near), bool), np.ones(len(ids), bool)]),
+        NEIGHBOURS,
+    )
+    counts = np.bincount(owner, minlength=len(node))
+    return pa.table(
+        {
+            "node": own["node"],
+            "near": _list_array(who, counts, pa.int64()),
+            "close": _list_array(value, counts, pa.float64()),
+            "fresh": _list_array(new, counts, pa.bool_()),
+            "changed": pa.array(np.bincount(owner, new, len(node)).astype(np.int64)),
+            "scored": pa.array(scored),
+        }
+    )
+
+
+def _group(column: str, total: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(max(1, math.ceil(total / GROUP))))
+
+
+def _sampled(edges: DataFrame) -> DataFrame:
+    """At most ``REVERSE`` of the edges to one node.  Spark limits a node's rows in every task before they travel."""
+    rank = F.row_number().over(Window.partitionBy("other").orderBy(F.xxhash64("node", "other"), "node"))
+    return edges.withColumn("rank", rank).where(F.col("rank") <= REVERSE).drop("rank")
 
 
 def neighbour_graph(nodes: DataFrame) -> DataFrame:
-    """(node, block, near, changed), written to the shared work folder."""
-    halves = nodes.select("node", "half")
+    """(node, near, close, fresh, changed, scored), written to the shared work folder."""
+    halves = nodes.select(F.col("node").alias("other"), "half", "norm")
     total = nodes.count()
-    graph = stage(_first_graph(nodes, total, "one"), "graph")
-    other = stage(_first_graph(nodes, total, "two").select("node", F.col("near").alias("also")), "graph")
-    mixed = graph.join(other, "node").select(
-        "node", "block", F.array_distinct(F.concat("near", "also")).alias("near"), "changed"
+    graphs = [stage(_first_graph(nodes, total, f"o{i}"), "graph") for i in range(ORDERS)]
+    group = _group("node", total).alias("group")
+    other = reduce(DataFrame.union, graphs[1:]).select(
+        F.col("node").alias("to"), F.col("near").alias("ids"), F.col("close").alias("score"), F.col("scored").alias("pairs")
     )
-    graph = stage(mixed, "graph")
+    to_group = _group("to", total).alias("group")
+    merged = graphs[0].select("*", group).groupBy("group").cogroup(other.select("*", to_group).groupBy("group"))
+    graph = stage(merged.applyInArrow(_improve, _GRAPH), "graph")
+    graph = graph.withColumn("fresh", F.transform("near", lambda _: F.lit(True)))
     while True:
-        near = graph.select("block", "node", F.explode("near").alias("other"))
-        blocks = graph.select(F.col("node").alias("other"), F.col("block").alias("theirs"))
-        back = near.join(blocks, "other").select(F.col("theirs").alias("block"), F.col("node").alias("other"))
-        one = near.select("block", "other").union(back).distinct()
-        links = graph.select(F.col("node").alias("other"), "near")
-        two = one.join(links, "other").select("block", F.explode("near").alias("other"))
-        given = one.union(two).distinct().join(halves.withColumnRenamed("node", "other"), "other")
-        offered = given.select(F.col("block").alias("to"), "other", F.col("half").alias("given"))
-        own = graph.join(halves, "node").select("node", "block", "near", "half")
-        graph = stage(
-            own.groupBy("block").cogroup(offered.groupBy("to")).applyInArrow(_improve, _GRAPH), "graph"
+        edges = graph.select("node", F.explode(F.arrays_zip("near", "fresh")).alias("x")).select(
+            "node", F.col("x.near").alias("other"), F.col("x.fresh").alias("fresh")
+        )
+        sample = stage(_sampled(edges), "sample")
+        # A node's list: its neighbours, which receive if they sampled it, and its own sample, which does.
+        asked = edges.join(sample.select("node", "other", F.lit(True).alias("s")), ["node", "other"], "left").select(
+            "node", "other", "fresh", F.coalesce("s", F.lit(False)).alias("takes")
         )
+        back = sample.select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh", F.lit(True).alias("takes"))
+        members = asked.unionByName(back).join(halves, "other").select("*", group)
+        offered = members.groupBy("group").applyInArrow(_joined, _OFFER)
+        own = graph.select("*", group).groupBy("group")
+        graph = stage(own.cogroup(offered.select("*", to_group).groupBy("group")).applyInArrow(_improve, _GRAPH), "graph")
         if (graph.agg(F.sum("changed").alias("c")).first()["c"] or 0) <= CHANGED * total * NEIGHBOURS:
             return graph
 
 
+_STATE = "query long, half binary, best array<long>, close array<double>, open array<boolean>"
+
+
 def _widen(own: pa.Table, offered: pa.Table) -> pa.Table:
-    """Puts the offered nodes in the lists of a block's queries; ``fresh`` are those new in a list."""
-    mine = _matrix(own["half"].combine_chunks(), "<f2").astype(np.float32)
-    names = np.asarray(offered["other"], np.int64)
-    values = _matrix(offered["given"].combine_chunks(), "<f2").astype(np.float32) if len(offered) else mine[:0]
-    none = np.full(len(mine), -1)
-    who = _best(mine, none, names, values, BEAM)
-    best, fresh = [], []
-    scores = {}
-    if len(names):
-        order = np.argsort(names)
-        scores = (names[order], values[order])
-    for row, (found, held, close) in enumerate(zip(who, own["best"].to_pylist(), own["close"].to_pylist(), strict=True)):
-        new = np.setdiff1d(found[found >= 0], np.array(held, np.int64))
-        at = np.searchsorted(scores[0], new) if len(new) else new
-        near = scores[1][at] @ mine[row] if len(new) else np.zeros(0, np.float32)
-        ids = np.concatenate([np.array(held, np.int64), new])
-        all_close = np.concatenate([np.array(close, np.float32), near])
-        order = np.lexsort((ids, -all_close))[:BEAM]
-        best.append((ids[order].tolist(), all_close[order].tolist()))
-        fresh.append(np.intersect1d(ids[order], new).tolist())
+    """Puts the offered nodes in the lists of their queries; ``open`` are those new in a list, to be expanded."""
+    query = np.asarray(own["query"], np.int64)
+    order = np.argsort(query)
+    held, size = _lists(own, "best")
+    close, _ = _lists(own, "close")
+    asked = np.asarray(offered["to"], np.int64)
+    to = order[np.searchsorted(query[order], asked)] if len(asked) else np.zeros(0, np.int64)
+    given = np.asarray(offered["other"], np.int64)
+    score = np.zeros(len(to))
+    mine = _units(own["half"])
+    if len(to):
+        theirs = _units(offered["given"])
+        score = np.einsum("ij,ij->i", mine[to], theirs).astype(np.float64) * np.asarray(offered["norm"], np.float64)
+    owner, who, value, new = _kept(
+        np.concatenate([np.repeat(np.arange(len(query)), size), to]),
+        np.concatenate([held, given]).astype(np.int64),
+        np.concatenate([close, score]).astype(np.float64),
+        np.concatenate([np.zeros(len(held), bool), np.ones(len(given), bool)]),
+        BEAM,
+    )
+    counts = np.bincount(owner, minlength=len(query))
     return pa.table(
         {
-            "block": own["block"],
             "query": own["query"],
             "half": own["half"],
-            "best": pa.array([b for b, _ in best], pa.list_(pa.int64())),
-            "close": pa.array([c for _, c in best], pa.list_(pa.float32())),
-            "fresh": pa.array(fresh, pa.list_(pa.int64())),
+            "best": _list_array(who, counts, pa.int64()),
+            "close": _list_array(value, counts, pa.float64()),
+            "open": _list_array(new, counts, pa.bool_()),
         }
     )
 
 
-_STATE = "block long, query long, half binary, best array<long>, close array<float>, fresh array<long>"
-
-
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
     """(query, node) of ``queries`` (query, own, half), own being the node with the query's vector: the nodes found for each."""
-    halves = nodes.select(F.col("node").alias("other"), "half")
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    empty = F.array().cast("array<long>")
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    state = dealt.select(
-        "block",
-        "query",
-        "half",
-        empty.alias("best"),
-        F.array().cast("array<float>").alias("close"),
-        empty.alias("fresh"),
-    )
-    pivots = nodes.select(F.col("node").alias("other")).orderBy(F.xxhash64("other")).limit(PIVOTS)
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    forward = graph.select(F.col("node").alias("from"), F.explode("near").alias("other"))
-    links = stage(forward.union(forward.select("other", "from")).distinct(), "links")
-    own = dealt.select("block", F.col("own").alias("from")).distinct()
-    reached = pivots.select(every.alias("block"), "other").union(own).union(own.join(links, "from").select("block", "other"))
-    asked = reached.distinct().join(halves, "other").select(F.col("block").alias("to"), "other", F.col("half").alias("given"))
+    halves = nodes.select(F.col("node").alias("other"), "half", "norm")
+    total = queries.count()
+    group = _group("query", total).alias("group")
+    edges = graph.select("node", F.explode("near").alias("other"))
+    back = _sampled(edges).select(F.col("other").alias("node"), F.col("node").alias("other"))
+    links = stage(edges.union(back).distinct().select(F.col("node").alias("from"), "other"), "links")
+    none = [F.array().cast(f"array<{kind}>").alias(name) for name, kind in (("best", "long"), ("close", "double"), ("open", "boolean"))]
+    state = queries.select("query", "half", *none)
+    found = queries.select("query", F.col("own").alias("other"))
     while True:
-        widened = state.groupBy("block").cogroup(asked.groupBy("to")).applyInArrow(_widen, _STATE)
-        state = stage(widened, "search")
-        edge = state.select("block", F.explode("fresh").alias("from")).distinct()
+        offered = found.join(halves, "other").select(
+            F.col("query").alias("to"), "other", F.col("half").alias("given"), "norm"
+        ).withColumn("into", _group("to", total))
+        own = state.select("*", group).groupBy("group")
+        state = stage(own.cogroup(offered.groupBy("into")).applyInArrow(_widen, _STATE), "search")
+        at = F.explode(F.filter(F.arrays_zip("best", "open"), lambda x: x["open"])).alias("x")
+        edge = state.select("query", at).select("query", F.col("x.best").alias("from"))
         if edge.isEmpty():
-            break
-        reached = edge.join(links, "from").select("block", "other").distinct()
-        asked = reached.join(halves, "other").select(
-            F.col("block").alias("to"), "other", F.col("half").alias("given")
-        )
-    return state.select("query", F.explode("best").alias("node"))
+            return state.select("query", F.explode("best").alias("node"))
+        found = edge.join(links, "from").select("query", "other").distinct()
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

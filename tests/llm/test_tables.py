@@ -139,7 +139,7 @@ def brute_nearest(rows, queries_, k):
 
 def test_nearest_with_copies_and_useless_vectors(spark, monkeypatch):
     monkeypatch.setattr(nn_descent, "BLOCK", 128)
-    monkeypatch.setattr(nn_descent, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(nn_descent, "GROUP", 16)
     values = clustered(900)
     values[300:420] = values[300]  # more copies than are asked for
     rows = {i: v.tolist() for i, v in enumerate(values)}
@@ -201,13 +201,34 @@ def test_recall_in_many_separate_groups(spark, spread):
     assert recall_in_blocks(spark, values) >= 0.95
 
 
+@pytest.mark.parametrize("length", [1e6, 1e9, 1e200])
+def test_a_long_vector_costs_the_others_nothing(spark, length):
+    values = clustered(2000)
+    values[7] *= length
+    assert recall_in_blocks(spark, values) >= 0.95
+
+
+def test_scored_pairs_do_not_grow_with_the_table(spark, monkeypatch):
+    """Per node no more than the blocks and the lists of all rounds; the same for a table four times as large."""
+    monkeypatch.setattr(nn_descent, "BLOCK", 128)
+    per_node = []
+    for n in (1500, 6000):
+        values = np.random.default_rng(5).standard_normal((n, 16))
+        table = spark.createDataFrame([(i, v) for i, v in enumerate(values.tolist())], "vec_id long, embedding array<double>")
+        nodes = stage(nn_descent.node_table(nn_descent.usable(table, "vec_id", "embedding"), 21), "nodes")
+        counts = nn_descent.neighbour_graph(nodes).agg(F.avg("scored").alias("m"), F.max(F.size("near")).alias("k")).first()
+        assert counts["k"] == nn_descent.NEIGHBOURS
+        per_node.append(counts["m"])
+    assert per_node[1] < 1.5 * per_node[0]
+
+
 def test_blocks_are_ranges_above_the_switch(spark, monkeypatch):
     """More blocks than one step cuts: blocks stay ranges of the projection, and neighbours are found."""
     monkeypatch.setattr(nn_descent, "BLOCK", 128)
     monkeypatch.setattr(nn_descent, "RANGES", 4)
     values = clustered(3000)
-    data = [(i, float(v[0]), b"") for i, v in enumerate(values)]
-    nodes = spark.createDataFrame(data, "node long, one double, half binary")
+    data = [(i, float(v[0]), b"", 1.0) for i, v in enumerate(values)]
+    nodes = spark.createDataFrame(data, "node long, one double, half binary, norm double")
     blocks = nn_descent.blocks_along(nodes, len(data), "one").join(nodes.select("node", "one"), "node")
     ends = sorted((r.a, r.b, r.n) for r in blocks.groupBy("block").agg(F.min("one").alias("a"), F.max("one").alias("b"), F.count("*").alias("n")).collect())
     assert sum(n for _, _, n in ends) == len(data) and max(n for _, _, n in ends) <= 2 * 128
