@@ -528,6 +528,32 @@ def sets_count_star(spark, directory):
     return mf.count_star_sets(sets, [pred("priority"), pred("returnflag"), pred("contains")])
 
 
+def _adjacency(spark, directory) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges of three predicates, their neighbour arrays in short chunks, and the node ids."""
+    t = _inferred(spark, directory)
+    edges = mf.filter_edges(t, [pred("boughtFrom"), pred("locatedIn"), pred("contains")])
+    ids = mf.append_ids(mf.graph_nodes(edges), new_path(spark, "ids"))
+    coded = stage(mf.encode_edges(edges, ids, distinct=False), "edges")
+    path = new_path(spark, "adjacency")
+    mf.write_adjacency(mf.adjacency(coded, chunk=64), path)
+    return coded, mf.open_adjacency(spark, path), ids
+
+
+def _named(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Ids of all columns as uris."""
+    for c in df.columns:
+        df = df.join(ids.select(F.col("id").alias(c), F.col("uri").alias("#uri")), c).withColumn(c, F.col("#uri")).drop("#uri")
+    return df
+
+
+def adjacency_triangle(spark, directory):
+    """Customers and suppliers that trade and have a place in common, by intersecting their places."""
+    edges, rows, ids = _adjacency(spark, directory)
+    trade = edges.where(F.col("pred") == pred("boughtFrom")).select(F.col("src").alias("c"), F.col("dst").alias("s"))
+    found = mf.close_edges(trade, rows, ("c", pred("locatedIn")), ("s", pred("locatedIn")), "n")
+    return _named(found, ids).select("c", "s", "n")
+
+
 #: Customers and suppliers that trade, parts they supply, orders of these parts by the same customers.
 _FOUR_CYCLE = [
     ("?c", pred("boughtFrom"), "?s"),
@@ -613,6 +639,7 @@ _OPERATORS = (
     characteristic_sets,
     sets_count_star,
     infer_closed,
+    adjacency_triangle,
 )
 _COUNTED = ("bgp_path3", "bgp_const_hub", "bgp_triangle", "bgp_snowflake", "bgp_shared_const")
 
@@ -922,6 +949,7 @@ def oracle_sql() -> dict[str, str]:
         "appended_snowflake": found["bgp_snowflake"],
         "compacted_path3": found["bgp_path3"],
         "continued_ids": _continued_sql(),
+        "adjacency_triangle": f"SELECT {_CUST} AS c, {_SUPP} AS s, {_C_NAT} AS n {_TRIANGLE_FROM}",
         "bitmap_count_star": found["count_star"],
         "bitmap_star_filter": found["star_filter"],
         "sets_count_star": "SELECT count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) "

@@ -12,6 +12,7 @@ from .functions.terms import (
     match_term,
     triple_kind,
 )
+from .operators.adjacency import adjacency, close_edges, expand_adjacency, open_adjacency, write_adjacency
 from .operators.bitmaps import (
     bitmap_ids,
     count_star_bitmaps,
