@@ -311,15 +311,25 @@ def deduplicated(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row of ``docs`` for each component, and all rows without shingles.
 
     It is a row with the least id; of several, one of the least digest, then of the least MD5 of the text, then the least row
-    by its columns in order.  Equal sets of rows that all have null ids leave one row in the same way.
+    by its columns in order (a column that holds a map counts as its JSON text).  Equal sets of rows that all have null ids
+    leave one row in the same way.  Columns may have any names and types.
     """
     own = F.col("component").isNull() | ((F.col("component") == F.col("rep")) & (F.col("id") == F.col("rep.id")))
     chosen = _marked(docs, key).where("digest IS NOT NULL").where(own).groupBy("digest").agg(
         F.min("id").alias("id"), F.min("same").alias("same")
     )
+    name = "_row"
+    while name in [c.lower() for c in docs.columns]:
+        name += "_"
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = [
+        F.to_json(F.struct(c)) if "map<" in field.dataType.simpleString() else c
+        for c, field in zip(columns, docs.schema.fields, strict=True)
+    ]
     # Null ids are equal inside a struct.
-    row = F.struct(F.col(key).alias("id"), _same()).alias("_row")
+    row = F.struct(F.col(key).alias("id"), _same()).alias(name)
     worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    met = docs.where(worded).select(row, "*").join(chosen.select(F.struct("id", "same").alias("_row")), "_row", "left_semi")
-    first = met.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_first"))
+    wanted = chosen.select(F.struct("id", "same").alias(name))
+    met = docs.where(worded).select(row, *columns).join(wanted, name, "left_semi")
+    first = met.groupBy(name).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_first"))
     return first.select("_first.*").union(docs.where(~worded))

@@ -138,8 +138,12 @@ def fit_arrays(
 
 
 def fit(docs: DataFrame, ratings: DataFrame, levels: int = 3, sample: int = SAMPLE) -> Model:
-    """From ``ratings`` (doc_id, grade from 0 to levels - 1), of which ``sample`` are used at most."""
-    narrow = ratings.where("grade IS NOT NULL").select("doc_id", F.col("grade").cast("int").alias("grade"))
+    """From ``ratings`` (doc_id, grade), of which ``sample`` are used at most.
+
+    Ratings without a grade, or with one that is not in 0 to levels - 1, are left out.
+    """
+    graded = ratings.where(F.col("grade").isin(list(range(levels))))
+    narrow = graded.select("doc_id", F.col("grade").cast("int").alias("grade"))
     chosen = narrow.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
     # At most ``sample`` pairs of numbers.
     rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -116,8 +117,11 @@ def spans_of(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[st
     found = scanner(rules).matches(data)
     if len(data) == len(text):
         return [(rules[r].kind, a, b) for a, r, b in found]
-    points = lambda i: len(data[:i].decode())
-    return [(rules[r].kind, points(a), points(b)) for a, r, b in found]
+    if not found:
+        return []
+    # Code points before a byte: the bytes before it that are not the inside of one.
+    before = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)])
+    return [(rules[r].kind, int(before[a]), int(before[b])) for a, r, b in found]
 
 
 def _texts(column) -> list[str | None]:

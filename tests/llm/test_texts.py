@@ -162,6 +162,57 @@ def test_one_row_stays_of_repeated_and_null_ids(spark):
     assert kept == Counter(want)
 
 
+def test_near_duplicate_rows_of_any_columns(spark):
+    """A map column, a name that the stage uses itself, a name with a dot: the least row by columns stays."""
+    text = prose(1, 100)
+    rows = [(1, text, {"b": 1}, "y", 2), (1, text, {"a": 1}, "y", 2), (1, text, {"a": 1}, "x", 3), (2, prose(2, 90), None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>, _row string, `a.b` int").repartition(3)
+    out = minhash_forest.deduplicated(docs)
+    assert out.schema.names == docs.schema.names
+    got = sorted((r.doc_id, r.tags, r["_row"], r["a.b"]) for r in out.collect())
+    assert got == [(1, {"a": 1}, "x", 3), (2, None, None, None)]
+
+
+def test_grades_out_of_range_are_left_out(spark):
+    docs = spark.createDataFrame([(i, prose(i, 30)) for i in range(40)], "doc_id long, text string")
+    grades = [(i, i % 3) for i in range(40)]
+    odd = [(i, g) for i in range(5) for g in (-1, 3, 99, None)]
+    a, b = (
+        quality_model.fit(docs, spark.createDataFrame(rows, "doc_id long, grade int")) for rows in (grades, grades + odd)
+    )
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.thresholds, b.thresholds)
+
+
+def brute_likelihood(grade, x, weights, thresholds):
+    """The cumulative-link log likelihood of rows ``x`` as dense features, one row after the other."""
+    total = 0.0
+    for g, row in zip(grade, x, strict=True):
+        z = sum(a * b for a, b in zip(row, weights, strict=True))
+        tail = [1.0, *(1 / (1 + math.exp(-(z - t))) for t in thresholds), 0.0]
+        total += math.log(tail[g] - tail[g + 1])
+    return total
+
+
+def test_quality_model_climbs_its_likelihood():
+    """More rounds never end below fewer by a slow reference of the likelihood, and above the start."""
+    rng = np.random.default_rng(1)
+    n = 90
+    grade = rng.integers(0, 3, n)
+    shares = np.zeros((n, quality_model.SHAPES))
+    shares[:, 0], shares[:, 1] = grade + rng.normal(0, 0.8, n), rng.normal(0, 1, n)
+    none = np.zeros(0, np.int64)
+    fitted = [
+        quality_model.fit_arrays(grade, none, np.zeros(n + 1, np.int64), shares, 3, rounds) for rounds in (0, 5, 40, 150)
+    ]
+    reached = [brute_likelihood(grade, shares, m.weights[quality_model.FEATURES :], m.thresholds) for m in fitted]
+    assert reached[0] < reached[1] < reached[2] <= reached[3] + 0.05
+    best, step = fitted[-1], 1e-4
+    for k in range(2):  # flat in the thresholds, which no penalty holds back
+        moved = [np.array(best.thresholds) + step * d * (np.arange(2) == k) for d in (-1, 1)]
+        a, b = (brute_likelihood(grade, shares, best.weights[quality_model.FEATURES :], t) for t in moved)
+        assert abs(b - a) / (2 * step) < 1.0
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_forest.near_duplicates(no_documents(spark)).count() == 0
 
