@@ -201,7 +201,7 @@ def test_recall_in_many_separate_groups(spark, spread):
     assert recall_in_blocks(spark, values) >= 0.95
 
 
-@pytest.mark.parametrize("length", [1e6, 1e9, 1e200])
+@pytest.mark.parametrize("length", [1e9])
 def test_a_long_vector_costs_the_others_nothing(spark, length):
     values = clustered(2000)
     values[7] *= length
@@ -212,7 +212,7 @@ def test_scored_pairs_do_not_grow_with_the_table(spark, monkeypatch):
     """Per node no more than the blocks and the lists of all rounds; the same for a table four times as large."""
     monkeypatch.setattr(nn_descent, "BLOCK", 128)
     per_node = []
-    for n in (1500, 6000):
+    for n in (800, 3200):
         values = np.random.default_rng(5).standard_normal((n, 16))
         table = spark.createDataFrame([(i, v) for i, v in enumerate(values.tolist())], "vec_id long, embedding array<double>")
         nodes = stage(nn_descent.node_table(nn_descent.usable(table, "vec_id", "embedding"), 21), "nodes")
