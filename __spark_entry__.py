@@ -563,6 +563,42 @@ _FOUR_CYCLE = [
 ]
 
 
+def _located_ids(spark, t) -> DataFrame:
+    path = new_path(spark, "located-ids")
+    mf.write_ids(_dense(t), path)
+    return mf.open_bucketed(spark, path)
+
+
+def _located(spark, directory) -> mf.Located:
+    """Nodes, edges from both ends and attributes in buckets by node, written once per application and opened."""
+    known = (spark.sparkContext.applicationId, directory, "located")
+    if known not in _stores:
+        t = triples_from_tables(spark, directory)
+        ids = _located_ids(spark, t)
+        heads = stage(mf.vertex_counts(t, ids), "heads")
+        edges = stage(mf.encode_located(t, ids, distinct=False), "edges")
+        props = stage(mf.coded_props(t, ids), "props")
+        path = new_path(spark, "located")
+        mf.write_located(heads, edges, props, path)
+        _stores[known] = path
+    return mf.open_located(spark, _stores[known])
+
+
+def located_edges(spark, directory):
+    """Edges encoded with a dictionary in buckets by uri."""
+    t = triples_from_tables(spark, directory)
+    return mf.encode_located(t, _located_ids(spark, t), distinct=False)
+
+
+def located_view(spark, directory):
+    view = mf.located_view(_located(spark, directory))
+    return view.select("src_uri", "pred", "dst_uri", "src_n_props", "dst_n_props")
+
+
+def located_props(spark, directory):
+    return mf.located_props(_located(spark, directory)).select(F.col("uri").alias("s"), "prop", "obj")
+
+
 def grid_triangle(spark, directory):
     return mf.match_bgp_grid(_inferred(spark, directory), PATTERNS["bgp_triangle"])
 
@@ -640,6 +676,9 @@ _OPERATORS = (
     sets_count_star,
     infer_closed,
     adjacency_triangle,
+    located_edges,
+    located_view,
+    located_props,
 )
 _COUNTED = ("bgp_path3", "bgp_const_hub", "bgp_triangle", "bgp_snowflake", "bgp_shared_const")
 
@@ -954,6 +993,9 @@ def oracle_sql() -> dict[str, str]:
         "bitmap_star_filter": found["star_filter"],
         "sets_count_star": "SELECT count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) "
         "AND o_orderpriority IS NOT NULL",
+        "located_edges": found["encode_edges"],
+        "located_view": found["triplet_view"],
+        "located_props": found["attach_props"],
         "grid_triangle": found["bgp_triangle"],
         "grid_four_cycle": _FOUR_CYCLE_SQL,
         "reduced_path3": found["bgp_path3"],

@@ -85,6 +85,20 @@ from .plans.bgp import (
 from .plans.query_text import parse_query
 from .plans.rounds import join_tree, match_bgp_grid, match_bgp_reduced, reduced_relations
 from .sources.dictionary import append_ids, next_free_id, open_ids
+from .sources.located import (
+    Located,
+    coded_props,
+    encode_located,
+    located_props,
+    located_sources,
+    located_targets,
+    located_view,
+    open_bucketed,
+    open_located,
+    write_bucketed,
+    write_ids,
+    write_located,
+)
 from .sources.store import (
     append_store,
     compact_store,
