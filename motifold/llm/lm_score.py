@@ -5,10 +5,13 @@ text at a time; the sorted keys and counts travel as packed arrays to shards by
 hash), which merge them.  What is gathered grows with the distinct contexts and words of the corpus; texts
 never travel for it, and a hot context is one key per task's batch.
 
-Scoring.  Documents are dealt into batches by the hash of their id.  A batch asks the shards for the code lengths of its
+Scoring.  Documents are dealt into batches by the hash of their id and text.  A batch asks the shards for the code lengths of its
 distinct contexts, the shards answer from the merged counts (``context_tree``), and the batch sums them per
-document.  The shuffle of the texts is used twice, for asking and for summing.  Shards answer a bounded number of batches
-at a time: each shard's counts are repeated for every ``ROUND`` bytes of text.
+document.  The shuffle of the texts is used twice, for asking and for summing.  A shard that is asked much has copies, each for
+some of the batches, but no more than its questions pay for: a copy of k counts stands for at least ``TURN`` and 4 k
+occurrences, so that all copies together are at most the model and a quarter of the text's bytes in number.
+
+A-Z are lower-cased before anything is counted or scored, in contexts as in words.
 
 Depths 0 and 1 of the trees (at most 65,536 nodes) are summed over the shards and broadcast.
 
@@ -35,11 +38,16 @@ DEPTH = 6
 #: Bytes of text asked for at a time, and keys held while counting.
 BATCH = 6 << 20
 HELD = 2_000_000
-#: Bytes of text per shard of the model, and bytes of text that one copy of a shard answers.
+#: Bytes of text per shard of the model, bytes of text in one part of its first merge, and occurrences that one copy of
+#: a shard answers.
 SHARD = 4 << 20
 ROUND = 1 << 30
+TURN = 32_000_000
 MOST_SHARDS = 4096
 
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[ord("A") : ord("Z") + 1] += ord("a") - ord("A")
+
 
 def _planes(values: np.ndarray) -> bytes:
     """The number of bytes that the largest value needs, then the values byte plane by byte plane."""
@@ -98,8 +106,9 @@ def _by_shard(keys: np.ndarray, shards: int, words: bool) -> tuple[np.ndarray, n
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per chunk: first and last row, keys of contexts, their bounds, hashes of words, their bounds."""
     for first, end, data, offsets in chunks(column):
+        data = _FOLDED[data]
         keys, before, _ = padded(data, offsets, DEPTH)
-        hashes, words_before = word_hashes(data, offsets, fold=True)
+        hashes, words_before = word_hashes(data, offsets, fold=False)
         yield first, end, keys, before, hashes, words_before
 
 
@@ -193,21 +202,23 @@ def _top(model: DataFrame, shards: int) -> Top:
     return Top(*(np.asarray(sums[c]) for c in ("at", "zeros", "ones", "below")))
 
 
-def _word_totals(model: DataFrame, shards: int) -> tuple[int, int]:
-    """(words, distinct words) counted."""
+def _sizes(model: DataFrame) -> list[tuple[int, int, int]]:
+    """(shard, occurrences, distinct keys) of each shard; at most 2 ``MOST_SHARDS`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [unpacked_counts(x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([len(c) for c in counts], pa.int64())],
-                ["n", "v"],
-            )
+            counts = [unpacked_counts(x) for x in batch.column(1).to_pylist()]
+            sums = (pa.array([int(f(c)) for c in counts], pa.int64()) for f in (np.sum, len))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sums], ["shard", "n", "v"])
 
-    row = model.where(F.col("shard") >= shards).select("counts").mapInArrow(run, "n long, v long").agg(
-        F.sum("n").alias("n"), F.sum("v").alias("v")
-    ).first()
-    return row["n"] or 0, row["v"] or 0
+    rows = model.select("shard", "counts").mapInArrow(run, "shard int, n long, v long").collect()
+    return [(r["shard"], r["n"], r["v"]) for r in rows]
+
+
+def copies_of(sizes: list[tuple[int, int, int]], share: float) -> list[tuple[int, int]]:
+    """(shard, copies) of the shards that have several; questions are ``share`` times what was learned from."""
+    wanted = ((s, math.ceil(n * share / max(TURN, 4 * v))) for s, n, v in sizes)
+    return [(s, c) for s, c in wanted if c > 1]
 
 
 def _distinct(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -318,23 +329,31 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFrame:
     rounds = max(1, math.ceil(size / ROUND))
     n_batches = max(1, math.ceil(size / BATCH))
     learned = docs.where(train)
-    texts = learned.count()
+    texts, learned_size = text_size(learned)
     model = stage(_model(learned, shards, rounds), "contexts")
-    words, known_words = _word_totals(model, shards)
-    top = docs.sparkSession.sparkContext.broadcast(_top(model, shards))
+    sizes = _sizes(model)
+    words, known_words = (sum(x[i] for x in sizes if x[0] >= shards) for i in (1, 2))
+    spark = docs.sparkSession
+    top = spark.sparkContext.broadcast(_top(model, shards))
     kind = docs.schema[key].dataType.simpleString()
     dealt = docs.select(
-        F.pmod(F.xxhash64(key), F.lit(n_batches)).alias("batch"), key, F.coalesce("text", F.lit("")).alias("text")
+        F.pmod(F.xxhash64(key, "text"), F.lit(n_batches)).alias("batch"),
+        key,
+        F.coalesce("text", F.lit("")).alias("text"),
     )
-    salt = F.pmod("batch", F.lit(rounds)).cast("int").alias("salt")
     asked = dealt.groupBy("batch").applyInArrow(_asker(shards), "batch long, shard int, keys binary")
-    asked = asked.select("batch", "shard", salt, "keys")
-    copies = model.select(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("salt"), "keys", "counts"
+    several = copies_of(sizes, (size + 1) / (learned_size + 1))
+    copied = F.broadcast(spark.createDataFrame(several, "shard int, copies int"))
+    copies = F.coalesce("copies", F.lit(1))
+    asked = asked.join(copied, "shard", "left").select(
+        "batch", "shard", F.pmod("batch", copies).cast("int").alias("salt"), "keys"
+    )
+    known = model.join(copied, "shard", "left").select(
+        "shard", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"), "keys", "counts"
     )
     answers = (
         asked.groupBy("shard", "salt")
-        .cogroup(copies.groupBy("shard", "salt"))
+        .cogroup(known.groupBy("shard", "salt"))
         .applyInArrow(_answerer(shards, top), "batch long, shard int, answers binary")
     )
     scored = _scorer(shards, key, words + texts, known_words + (texts > 0), texts)

@@ -325,6 +325,7 @@ def test_scores(spark, monkeypatch):
         monkeypatch.setattr(lm_score, "BATCH", batch)
         monkeypatch.setattr(lm_score, "SHARD", shard)
         monkeypatch.setattr(lm_score, "ROUND", turn)
+        monkeypatch.setattr(lm_score, "TURN", turn // 50)
         docs = odd_documents(spark).where("doc_id IS NOT NULL AND doc_id <> 100")
         got = by_id(lm_score.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 != 2))
         assert len(got) == len(rows)
@@ -340,6 +341,27 @@ def test_scores(spark, monkeypatch):
     assert lm_score.score(no_documents(spark), F.lit(True)).count() == 0
 
 
+def test_copies_of_the_model_are_paid_for_by_questions(monkeypatch):
+    monkeypatch.setattr(lm_score, "TURN", 100)
+    few = [(0, 50, 40), (1, 100, 2), (2, 1_000, 900)]
+    assert lm_score.copies_of(few, 1.0) == []
+    for times in (10, 1_000, 100_000):  # the same contexts met more and more often
+        sizes = [(0, 500 * times, 40), (1, 3_000 * times, 700), (2, 90 * times, 90)]
+        copies = dict(lm_score.copies_of(sizes, 1.5))
+        assert copies
+        assert sum((copies.get(s, 1) - 1) * v for s, _, v in sizes) <= 1.5 * sum(n for _, n, _ in sizes) / 4
+        assert all(1.5 * n <= copies.get(s, 1) * max(100, 4 * v) for s, n, v in sizes)
+
+
+def test_scores_of_capitals_and_of_null_ids(spark):
+    low = [(1, "the cat sat on the mat"), (8, "a dog sat"), (None, "the dog"), (None, "a cat"), (None, None)]
+    docs = [spark.createDataFrame([(i, t and f(t)) for i, t in low], "doc_id long, text string") for f in (str, str.upper)]
+    got = [sorted(((r.doc_id or 0, r.n_tokens, r.n_known, r.score) for r in lm_score.score(d, F.lit(True)).collect())) for d in docs]
+    assert len(got[0]) == 5
+    for a, b in zip(*got, strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-9
+
+
 # --- secrets ----------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
