@@ -118,23 +118,15 @@ def _join_order(query: Query, relations: Sequence[Relation]) -> list[Relation]:
     A relation with more bound variables goes first (it only filters), then one
     that gives each binding a single partner, then, where the catalog counts, the smaller one, then the given order.
     """
-    left = list(relations)
-    ordered: list[Relation] = []
-    bound: set[str] = set()
-    while left:
-        if not bound:
-            # The smallest counted relation starts; without counts a many-to-many one: the others then
-            # only widen its rows.
-            best = min(
-                left,
-                key=lambda r: (
-                    not r.constant,
-                    not _selective(query, r),
-                    r.rows or 0,
-                    r.determined_by is not None,
-                ),
-            )
-        else:
+    def following(best: Relation) -> list[Relation]:
+        """All relations in their order after the start ``best``."""
+        left, ordered, bound = list(relations), [], set()
+        while True:
+            left.remove(best)
+            ordered.append(best)
+            bound |= set(best.variables)
+            if not left:
+                return ordered
             best = min(
                 (r for r in left if bound & set(r.variables)),
                 key=lambda r: (
@@ -144,10 +136,29 @@ def _join_order(query: Query, relations: Sequence[Relation]) -> list[Relation]:
                     r.rows or 0,
                 ),
             )
-        left.remove(best)
-        ordered.append(best)
-        bound |= set(best.variables)
-    return ordered
+
+    def fans(ordered: Sequence[Relation]) -> int:
+        """Steps that may give a binding many partners: a functional relation met at its hub multiplies both sides."""
+        bound: set[str] = set()
+        n = 0
+        for r in ordered:
+            n += bool(bound) and not set(r.variables) <= bound and r.determined_by not in bound
+            bound |= set(r.variables)
+        return n
+
+    # A many-to-many relation starts where the others then only widen its rows: no step has more rows than it.  Of
+    # starts with as few fans the smallest counted one, without counts one that is not functional.
+    orders = [following(r) for r in relations]
+    return min(
+        orders,
+        key=lambda order: (
+            not order[0].constant,
+            not _selective(query, order[0]),
+            fans(order),
+            order[0].rows or 0,
+            order[0].determined_by is not None,
+        ),
+    )
 
 
 def _apply_tests(source, df: DataFrame, v: str, constraints, small: bool, split_rows: int) -> DataFrame:
