@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from ..sources.triples import union_all
 
 #: Rows of all relations that a cell should hold, and the most it may hold before the grid grows.
-CELL_ROWS = 200_000
-FULL_CELL_ROWS = 4 * CELL_ROWS
+CELL_ROWS = 800_000
+FULL_CELL_ROWS = 2 * CELL_ROWS
 #: The grid is not cut further than this; what then is over full is one value on every axis.
 MOST_CELLS = 1 << 22
 #: Bindings extended at a time.
@@ -95,10 +95,14 @@ def _sums(a: Column, b: Column) -> Column:
 
 
 def fullest_cells(relations: Sequence[DataFrame], grid: Grid) -> list[int]:
-    """Rows in the fullest cell of each relation, from counts per cell that merge before the shuffle."""
+    """Rows in the fullest cell of each relation, from counts that merge before the shuffle.
+
+    All cells on a relation's free axes hold the same of its rows, so each row counts once, by its own axes.
+    """
     out = []
     for df in relations:
-        per_cell = df.select(F.explode(_cells(grid, df.columns)).alias("cell")).groupBy("cell").count()
+        own = Grid({v: share for v, share in grid.shares.items() if v in df.columns})
+        per_cell = df.select(F.explode(_cells(own, df.columns)).alias("cell")).groupBy("cell").count()
         out.append(per_cell.agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"])
     return out
 

@@ -27,19 +27,45 @@ def _answer(source, query, tables: Sequence[DataFrame]) -> DataFrame:
     return _guarded(df, source.base, query.guards)
 
 
+def _folded(relations: Sequence[Relation]) -> list[Relation]:
+    """Relations of a longer cycle with lookups done first: each saves the grid an axis.
+
+    A relation with one row per value of a variable, which only one other relation holds besides, adds no rows to that one
+    when they are joined.  Three relations are left for the grid.
+    """
+    left = list(relations)
+
+    def lookup() -> tuple[Relation, Relation] | None:
+        for r in left:
+            users = [q for q in left if q is not r and r.determined_by in q.variables]
+            if r.determined_by is not None and len(users) == 1:
+                return users[0], r
+        return None
+
+    while len(left) > 3 and (found := lookup()):
+        wide, r = found
+        shared = [v for v in r.variables if v in wide.variables]
+        variables = tuple(dict.fromkeys((*wide.variables, *r.variables)))
+        # What determined all of the wide relation still does.
+        df = wide.df.join(r.df, shared).select(*map(quoted, variables))
+        left = [q for q in left if q is not wide and q is not r]
+        left.append(Relation(df, variables, determined_by=wide.determined_by))
+    return left
+
+
 def match_bgp_grid(
     triples, patterns: Iterable, bind_data: bool = False, allow_cross: bool = False, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """The solutions of ``match_bgp`` by one shuffle of all relations to a grid of cells.
 
     Meant for cyclic patterns: two of their relations may have far more pairs than the cycle has solutions, and no pair is made here
-    that the other relations do not confirm.  The relations, with the tests of their variables applied, are written once; their
+    that the other relations do not confirm.  Of more than three relations, lookups are joined first (see ``_folded``).  The relations, with the tests of their variables applied, are written once; their
     sizes and the fullest cells are read from there.
     """
     source, query = prepare(as_source(triples), patterns, bind_data, allow_cross)
     relations = _tested_relations(source, query, False, 0)
     tables = []
-    for part in _relation_groups(relations):
+    for part in map(_folded, _relation_groups(relations)):
         staged = [stage(r.df, "relation") for r in part] if len(part) > 1 else [part[0].df]
         tables.append(grid_join(staged, cell_rows=cell_rows))
     return _answer(source, query, tables)
