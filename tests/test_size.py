@@ -1,6 +1,8 @@
 """Steps whose cost must not grow faster than the input."""
 
+import motifold as mf
 from motifold.plans.bgp import Query, _join_order
+from motifold.sources import store
 from motifold.sources.triples import Relation
 
 
@@ -15,3 +17,26 @@ def test_the_join_starts_where_no_hub_multiplies_its_rows(spark):
     assert [r.rows for r in _join_order(Query(), path[::-1])] == [900, 90]
     only = Relation(none, ("s", "n"), "s", constant=True, rows=100)
     assert _join_order(Query(), [trade, homes[0], only])[0] is only
+
+
+def test_repeats_meet_in_their_range(spark, tmp_path):
+    bag = spark.createDataFrame([(f"s{i % 50}", "<p>", f"o{i % 7}") for i in range(1000)], "s string, p string, o string")
+    path = str(tmp_path / "bag")
+    store.write_store(bag, path, distinct=True, rows=1000)
+    assert mf.open_store(spark, path).all().count() == 350
+    assert [tuple(r) for r in mf.store_catalog(spark, path).collect()] == [("<p>", "object", 350, False)]
+
+
+def test_a_large_append_meets_the_store_once(spark, tmp_path, monkeypatch):
+    """The joins for large inputs add and flag what those for small inputs do."""
+    found = []
+    for most in (store.SMALL_ROWS, 0):
+        monkeypatch.setattr(store, "SMALL_ROWS", most)
+        path = str(tmp_path / f"grown-{most}")
+        for batch in ([("a", "p", "x"), ("b", "p", "x"), ("a", "q", "x"), ("a", "q", "y"), ("a", "r", "x")],
+                      [("a", "p", "x"), ("b", "p", "y"), ("a", "q", "x"), ("a", "q", "z"), ("b", "r", "y"), ("c", "t", "x")]):
+            mf.append_store(spark.createDataFrame(batch, "s string, p string, o string"), path)
+        found.append((sorted(mf.open_store(spark, path).all().collect()), sorted(mf.store_catalog(spark, path).collect())))
+    assert found[0] == found[1]
+    assert {r["p"]: (r["n"], r["functional"]) for r in found[0][1]} == {
+        "p": (3, False), "q": (3, False), "r": (2, True), "t": (1, True)}
