@@ -10,6 +10,9 @@ PROP_MARK = "##PropObj##"
 #: The separator inside a value of a vertex line.
 _PROP_MARK_ESCAPED = "\\u0023\\u0023PropObj##"
 
+#: Lines of one compressed file, which one task reads.
+FILE_LINES = 2_000_000
+
 # A quoted literal with its datatype or language tag, an <iri>, or one token.
 _OBJECT = (
     r'^("[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\^\^<[^>\s]*>|\^\^\S+|@[A-Za-z0-9\-]+)?'
@@ -73,10 +76,15 @@ def rejected_lines(spark: SparkSession, path) -> DataFrame:
     return lines.where(~F.col("ok") & (F.col("s") != "")).agg(F.count("*").alias("n"))
 
 
-def write_triples(t: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Lines ``s p o .``, one file per partition; see ``_lexical`` for literals."""
+def _write_lines(lines: DataFrame, path: str, mode: str, compression: str) -> None:
+    writer = lines.write.mode(mode).option("compression", compression)
+    writer.option("maxRecordsPerFile", FILE_LINES).text(path)
+
+
+def write_triples(t: DataFrame, path: str, mode: str = "errorifexists", compression: str = "gzip") -> None:
+    """Lines ``s p o .``, compressed, in files of bounded length; see ``_lexical`` for literals."""
     line = F.concat_ws(" ", "s", "p", _lexical(F.col("o")), F.lit("."))
-    t.select(line.alias("value")).write.mode(mode).text(path)
+    _write_lines(t.select(line.alias("value")), path, mode, compression)
 
 
 def write_vertices(v: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -112,10 +120,10 @@ def read_vertices(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def write_edges(e: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Lines ``src dst pred``."""
+def write_edges(e: DataFrame, path: str, mode: str = "errorifexists", compression: str = "gzip") -> None:
+    """Lines ``src dst pred``, compressed, in files of bounded length."""
     line = F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), "pred")
-    e.select(line.alias("value")).write.mode(mode).text(path)
+    _write_lines(e.select(line.alias("value")), path, mode, compression)
 
 
 def read_edges(spark: SparkSession, path) -> DataFrame:
