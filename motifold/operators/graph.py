@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import TableTriples
 from ..sources.triples import frame, union_all
 from .joins import natural_join
 from .keys import assign_ids
@@ -101,8 +102,11 @@ def encode_edges(triples, ids: DataFrame, distinct: bool = True) -> DataFrame:
     """Object triples as ``(src, dst, pred)`` over node ids.
 
     Both sides of each join are plain shuffles, so adaptive execution can split
-    a hub.  ``distinct=False`` saves a shuffle where the triples are a set.
+    a hub.  ``distinct=False`` saves a shuffle where the triples are a set.  Tables as triples are
+    a set and meet the ids by their key columns.
     """
+    if isinstance(triples, TableTriples):
+        return triples.coded_edges(ids)
     edges = object_triples(triples).select("s", "p", "o")
     if distinct:
         edges = edges.distinct()

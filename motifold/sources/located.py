@@ -19,8 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.triples import data_triples, object_triples
+from ..operators.triples import data_triples, graph_nodes, object_triples
 from ..session import stage
+from .tables import TableTriples
 
 #: Rows of a bucket, and rows of one node's piece.
 BUCKET_ROWS = 4_000_000
@@ -91,7 +92,13 @@ def encode_located(triples, ids: DataFrame, distinct: bool = True, split_rows: i
 
     Triples of a hot node take its id from a broadcast and go to the join under a key of their own, which spreads
     them.  Triples with an end that has no id are left out, as in ``encode_edges``.
+
+    Of tables as triples only the nodes, one row each and so without hot ones, go to the dictionary; the edges
+    then meet the ids found there by their key columns.
     """
+    if isinstance(triples, TableTriples):
+        nodes = graph_nodes(triples).withColumnRenamed("node", "uri")
+        return triples.coded_edges(stage(nodes.join(ids, "uri").select("id", "uri"), "known-ids"))
     edges = object_triples(triples).select("s", "p", "o")
     if distinct:
         edges = edges.distinct()
@@ -100,8 +107,8 @@ def encode_located(triples, ids: DataFrame, distinct: bool = True, split_rows: i
     for end, name in (("s", "src"), ("o", "dst")):
         known = hot.where(F.col("end") == end).select(F.col("node").alias(end), F.col("id").alias("#hot"))
         edges = edges.join(F.broadcast(known), end, "left")
-        # No node begins with '#'.
-        own = F.concat(F.lit("#"), F.xxhash64("p", "s", "o"))
+        # No node begins with '#'.  Of the first join only the id is carried to the second.
+        own = F.concat(F.lit("#"), F.xxhash64("p", "s" if name == "src" else "src", "o"))
         key = F.when(F.col("#hot").isNotNull(), own).otherwise(F.col(end))
         found = ids.select(F.col("uri").alias("#key"), F.col("id").alias("#id"))
         edges = edges.withColumn("#key", key).join(found, "#key", "left")

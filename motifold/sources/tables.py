@@ -15,9 +15,11 @@ from functools import cache
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.terms import RDF_TYPE, escape_sql, is_literal, unescaped
+from ..session import BROADCAST_BYTES
 from .triples import Predicate, no_triples, union_all
 
 _INT_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
@@ -55,6 +57,18 @@ class Term:
         inner = term[len(self.prefix) : len(term) - len(self.suffix)]
         return unescaped(inner) if is_literal(self.prefix) else inner
 
+    def test(self, column: str) -> str:
+        """SQL test of the terms in ``column`` that this template can build."""
+        if self.column is None:
+            return f"`{column}` = {sql_text(self.prefix)}"
+        ends = f"startswith(`{column}`, {sql_text(self.prefix)}) AND endswith(`{column}`, {sql_text(self.suffix)})"
+        return f"{ends} AND length(`{column}`) >= {len(self.prefix) + len(self.suffix)}"
+
+    def key_sql(self, column: str) -> str:
+        """The column text that builds a term that passes ``test``; node templates only, a literal's text may be escaped."""
+        size = f"length(`{column}`) - {len(self.prefix) + len(self.suffix)}"
+        return f"substring(`{column}`, {len(self.prefix) + 1}, {size})"
+
     def may_equal(self, other: Term) -> bool:
         """Whether both templates can build one and the same term."""
         if self.column is None:
@@ -216,6 +230,62 @@ class TableTriples:
             frames.append(df.selectExpr(f"{term.sql()} AS node"))
         return union_all(frames)
 
+    def restricted(self, predicates: Iterable[str]) -> TableTriples:
+        """The triples of some predicates as a source of their own."""
+        wanted = set(predicates)
+        return TableTriples(self.spark, [r for r in self.rules if r.predicate in wanted], self._tables, self._homes)
+
+    def coded_edges(self, ids: DataFrame) -> DataFrame:
+        """Object triples as ``(src, dst, pred)`` over ``ids`` ``(id, uri)``, a table that is read several times.
+
+        Rows meet the ids by their key columns, so no term of a triple is built or moved.  Ids of a template that measure
+        little are broadcast; the other joins are plain shuffles of both sides, in which adaptive execution can split a
+        hub.  Repeated rows merge where the last join has brought them together.
+        """
+        rules = [r for r in self.rules if not r.is_data]
+        if not rules:
+            none = no_triples(self.spark)
+            return none.select(F.lit(0).cast("bigint").alias("src"), F.lit(0).cast("bigint").alias("dst"), F.col("p").alias("pred"))
+        templates = list(dict.fromkeys(t for r in rules for t in (r.subject, r.object)))
+        # One row: the size of the ids of every template.
+        size = F.octet_length("uri") + F.octet_length(F.col("id").cast("string")) + 16
+        sums = [F.sum(F.when(F.expr(t.test("uri")), size)).alias(str(i)) for i, t in enumerate(templates)]
+        found = ids.agg(*sums).first()
+        small = {t for i, t in enumerate(templates) if (found[i] or 0) <= BROADCAST_BYTES}
+        df = union_all(self._coded(r, ids, small) for r in rules)
+        return df.distinct() if any_overlap(rules) else df
+
+    def _coded(self, rule: Rule, ids: DataFrame, small: set[Term]) -> DataFrame:
+        df = self.restrict(self.rows(rule.table), rule)
+        ends = [(rule.subject, "src"), (rule.object, "dst")]
+        columns = list(dict.fromkeys(t.column for t, _ in ends if t.column is not None))
+        df = df.select(*(F.col(f"`{c}`").alias(f"#{c}") for c in columns))
+        last = []
+        for term, name in sorted(ends, key=lambda e: e[0] not in small):  # narrow joins first
+            own = ids.where(term.test("uri"))
+            if term.column is None:
+                df = df.crossJoin(F.broadcast(own.select(F.col("id").alias(name))))
+                continue
+            key = f"#{term.column}"
+            own = own.select(F.col("id").alias(name), F.expr(term.key_sql("uri")).alias("#text"))
+            kind = df.schema[key].dataType
+            if isinstance(kind, INT_TYPES):
+                # Keys are compared as they print: '007' is no key 7.
+                value = F.expr(f"try_cast(`#text` AS {kind.simpleString()})")
+                own = own.select(name, "#text", value.alias("#key")).where(F.col("#key").cast("string") == F.col("#text"))
+            else:
+                own = own.select(name, F.col("#text").alias("#key"))
+                df = df.withColumn(key, F.col(f"`{key}`").cast("string"))
+            own = own.select(name, "#key")
+            if term in small:
+                own = F.broadcast(own)
+            else:
+                last = [key]
+            df = df.join(own, F.col(f"`{key}`") == F.col("#key")).drop("#key")
+        if not rule.key:
+            df = df.select("src", "dst", *(f"`{c}`" for c in last)).distinct()
+        return df.select("src", "dst", F.lit(rule.predicate).alias("pred"))
+
     def subjects(self, p: str, o: str | None, variable: str | None = None) -> DataFrame:
         """Column ``s``: subjects with predicate ``p`` and, if given, object ``o``."""
         return self.scan(p, o=o).select("s")
