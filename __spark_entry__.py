@@ -200,7 +200,7 @@ def vertex_union(spark, directory):
     """Vertices seen as objects (no attributes) united with those seen as subjects."""
     t = triples_from_tables(spark, directory)
     ids = mf.assign_ids(mf.node_set(t))
-    subjects = stage(ids.join(t.all().select(F.col("s").alias("uri")), "uri", "left_semi"), "subjects")
+    subjects = stage(ids.join(mf.subject_nodes(t).withColumnRenamed("node", "uri"), "uri", "left_semi"), "subjects")
     as_subject = mf.build_vertices(t, subjects)
     as_object = mf.object_nodes(t, ids).select(
         "id", "uri", F.lit(0).alias("part"), F.array().cast(as_subject.schema["props"].dataType).alias("props")

@@ -73,6 +73,7 @@ from .operators.triples import (
     node_set,
     object_triples,
     predicate_catalog,
+    subject_nodes,
 )
 from .plans.bgp import (
     count_bgp,

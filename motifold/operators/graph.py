@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import TableTriples
-from ..sources.triples import frame, union_all
+from ..sources.triples import as_source, union_all
 from .joins import natural_join
 from .keys import assign_ids
 from .triples import data_triples, graph_nodes, object_triples
@@ -49,7 +49,7 @@ def attach_props(triples, vertices: DataFrame, split_rows: int = 0) -> DataFrame
 
 def object_nodes(triples, vertices: DataFrame) -> DataFrame:
     """``(id, uri)`` of vertices that occur as an object of any triple."""
-    objects = frame(triples).select(F.col("o").alias("uri")).distinct()
+    objects = as_source(triples).ends(sides="o").distinct().withColumnRenamed("node", "uri")
     return vertices.select("id", "uri").join(objects, "uri", "left_semi")
 
 

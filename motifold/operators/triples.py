@@ -63,3 +63,8 @@ def graph_nodes(triples) -> DataFrame:
     Every subject is a node; an object is one only if its triple is an edge.
     """
     return as_source(triples).ends("object").distinct()
+
+
+def subject_nodes(triples) -> DataFrame:
+    """Distinct subjects of all triples."""
+    return as_source(triples).ends(sides="s").distinct()

@@ -200,17 +200,18 @@ class TableTriples:
         df = union_all(frames)
         return df.distinct() if any_overlap(rules) else df
 
-    def ends(self, kind: str | None = None) -> DataFrame:
+    def ends(self, kind: str | None = None, sides: str = "so") -> DataFrame:
         """Column ``node``: subjects and objects with few repeats.
 
-        ``kind='object'`` leaves out the objects of attributes.  Every key column
+        ``kind='object'`` leaves out the objects of attributes, ``sides`` the subjects or the objects.  Every key column
         is read once, where one of its rules gives a triple (both ends there, all tests passed), and
         reduced before any string is built.
         """
         found: dict[tuple, list[Rule]] = {}
         for r in self.rules:
-            found.setdefault((r.table, r.subject), []).append(r)
-            if kind is None or not r.is_data:
+            if "s" in sides:
+                found.setdefault((r.table, r.subject), []).append(r)
+            if "o" in sides and (kind is None or not r.is_data):
                 found.setdefault((r.table, r.object), []).append(r)
         frames = []
         for (table, term), rules in found.items():

@@ -93,15 +93,15 @@ class FrameTriples:
         is_object = triple_kind(F.col("p"), F.col("o")) == "object"
         return df.where(is_object if kind == "object" else ~is_object)
 
-    def ends(self, kind: str | None = None) -> DataFrame:
+    def ends(self, kind: str | None = None, sides: str = "so") -> DataFrame:
         """Column ``node``: subjects and objects in one pass over the triples.
 
-        ``kind='object'`` leaves out the objects of attributes.
+        ``kind='object'`` leaves out the objects of attributes, ``sides`` the subjects or the objects.
         """
-        both = F.array("s", "o")
-        if kind == "object":
+        both = F.array(*sides)
+        if kind == "object" and "o" in sides:
             is_object = triple_kind(F.col("p"), F.col("o")) == "object"
-            both = F.when(is_object, both).otherwise(F.array("s"))
+            both = F.when(is_object, both).otherwise(F.array(*sides.replace("o", "")).cast("array<string>"))
         return self.df.select(F.explode(both).alias("node"))
 
     def catalog(self, predicates: Iterable[str]) -> dict[str, Predicate]:

@@ -82,3 +82,16 @@ def test_the_second_join_of_located_triples_carries_no_term_of_the_first(spark,
     assert rows(coded) == rows(mf.encode_edges(graph, mf.open_bucketed(spark, path)))
     plan = coded._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"xxhash64\(p#\d+, src#", plan) and coded.where(F.col("src").isNull()).isEmpty()
+
+
+def test_one_side_of_tables_is_read_by_key(spark, tables):
+    plain = tables.all().cache()
+    assert rows(mf.subject_nodes(tables)) == rows(plain.select("s").distinct()) == rows(mf.subject_nodes(plain))
+    vertices = stage(mf.assign_ids(mf.node_set(plain)), "ids")
+    want = rows(vertices.join(plain.select(F.col("o").alias("uri")), "uri", "left_semi").select("id", "uri"))
+    found = mf.object_nodes(tables, vertices)
+    assert rows(found.select("id", "uri")) == want == rows(mf.object_nodes(plain, vertices).select("id", "uri"))
+    edges = plain.where("p <> '<text>'")
+    assert rows(mf.FrameTriples(plain).ends("object", "o").distinct()) == rows(edges.select("o").distinct())
+    # A column's pairs with other columns are not made first.
+    assert not any("s#" in x and "o#" in x for x in shuffles(found))
