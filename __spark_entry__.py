@@ -530,7 +530,7 @@ def sets_count_star(spark, directory):
 def _adjacency(spark, directory) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Edges of three predicates, their neighbour arrays in short chunks, and the node ids."""
     t = _inferred(spark, directory)
-    edges = mf.filter_edges(t, [pred("boughtFrom"), pred("locatedIn"), pred("contains")])
+    edges = mf.filter_edges(t, [pred("boughtFrom"), pred("locatedIn"), pred("contains")], keep_source=True)
     ids = mf.append_ids(mf.graph_nodes(edges), new_path(spark, "ids"))
     coded = stage(mf.encode_edges(edges, ids, distinct=False), "edges")
     path = new_path(spark, "adjacency")

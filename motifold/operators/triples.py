@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import triple_kind
+from ..sources.tables import TableTriples
 from ..sources.triples import as_source, frame, no_triples
 
 
@@ -35,10 +36,15 @@ def predicate_catalog(triples) -> DataFrame:
     )
 
 
-def filter_edges(triples, predicates: Iterable[str]) -> DataFrame:
-    """Triples whose predicate is in the list; none for an empty list."""
+def filter_edges(triples, predicates: Iterable[str], keep_source: bool = False):
+    """Triples whose predicate is in the list; none for an empty list.
+
+    ``keep_source`` gives tables as triples back as such, restricted, for steps that work on their key columns.
+    """
     source = as_source(triples)
     wanted = list(dict.fromkeys(predicates))
+    if keep_source and isinstance(source, TableTriples):
+        return source.restricted(wanted)
     if not wanted:
         return no_triples(source.spark)
     return source.scan_any(wanted)

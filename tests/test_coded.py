@@ -95,3 +95,12 @@ def test_one_side_of_tables_is_read_by_key(spark, tables):
     assert rows(mf.FrameTriples(plain).ends("object", "o").distinct()) == rows(edges.select("o").distinct())
     # A column's pairs with other columns are not made first.
     assert not any("s#" in x and "o#" in x for x in shuffles(found))
+
+
+def test_filtered_tables_stay_tables(spark, tables):
+    kept = mf.filter_edges(tables, ["<cb>", "<in>"], keep_source=True)
+    assert isinstance(kept, TableTriples)
+    assert rows(kept.all()) == rows(mf.filter_edges(tables, ["<cb>", "<in>"])) != []
+    assert mf.filter_edges(tables, [], keep_source=True).all().isEmpty()
+    plain = tables.all()
+    assert rows(mf.filter_edges(plain, ["<cb>"], keep_source=True)) == rows(plain.where("p = '<cb>'"))
