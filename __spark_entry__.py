@@ -575,7 +575,7 @@ def _located(spark, directory) -> mf.Located:
         t = triples_from_tables(spark, directory)
         ids = _located_ids(spark, t)
         heads = stage(mf.vertex_counts(t, ids), "heads")
-        edges = stage(mf.encode_located(t, ids, distinct=False), "edges")
+        edges = stage(mf.encode_located(t, ids, distinct=False).sortWithinPartitions("src", "dst"), "edges")
         props = stage(mf.coded_props(t, ids), "props")
         path = new_path(spark, "located")
         mf.write_located(heads, edges, props, path)

@@ -50,7 +50,7 @@ def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int) -> N
     # The name stands for this folder alone: an entry of an unfinished write is forgotten, its files are overwritten.
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     dealt = df.repartition(buckets, *(F.col(k) for k in keys))
-    writer = dealt.write.mode("overwrite").format("parquet").option("path", f"{path}/rows")
+    writer = dealt.write.mode("overwrite").format("parquet").option("path", f"{path}/rows").option("compression", "zstd")
     writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
     # The schema without "not null", which Parquet does not keep.
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -139,7 +139,8 @@ def write_located(
 ) -> None:
     """Nodes ``(id, uri, n_props)``, edges ``(src, dst, pred)`` and attributes ``(id, prop, obj)`` in buckets by node.
 
-    The inputs are read several times: give tables, not queries.
+    The inputs are read several times: give tables, not queries.  Edges that lie sorted by source take less to
+    move by source.
     """
     spark = edges.sparkSession
     if buckets is None:

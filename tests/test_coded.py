@@ -104,3 +104,13 @@ def test_filtered_tables_stay_tables(spark, tables):
     assert mf.filter_edges(tables, [], keep_source=True).all().isEmpty()
     plain = tables.all()
     assert rows(mf.filter_edges(plain, ["<cb>"], keep_source=True)) == rows(plain.where("p = '<cb>'"))
+
+
+def test_work_tables_are_written_compressed(spark, tmp_path):
+    """The files of stages and bucketed tables, which are written once and read a few times."""
+    df = spark.range(500).select("id", F.concat(F.lit("<urn:ex:n:"), "id", F.lit(">")).alias("uri"))
+    staged = stage(df, "some")
+    mf.write_ids(df, str(tmp_path / "ids"))
+    files = [*staged.inputFiles(), *mf.open_bucketed(spark, str(tmp_path / "ids")).inputFiles()]
+    assert files and all(".zstd." in f for f in files)
+    assert rows(staged) == rows(df) == rows(mf.open_bucketed(spark, str(tmp_path / "ids")))
