@@ -1,7 +1,10 @@
 """Steps whose cost must not grow faster than the input."""
 
+from pyspark.sql import functions as F
+
 import motifold as mf
 from motifold.plans.bgp import Query, _join_order
+from motifold.session import stage
 from motifold.sources import store
 from motifold.sources.triples import Relation
 
@@ -40,3 +43,36 @@ def test_a_large_append_meets_the_store_once(spark, tmp_path, monkeypatch):
     assert found[0] == found[1]
     assert {r["p"]: (r["n"], r["functional"]) for r in found[0][1]} == {
         "p": (3, False), "q": (3, False), "r": (2, True), "t": (1, True)}
+
+
+def test_the_catalog_of_a_batch_shuffles_only_ends(spark, tmp_path):
+    """Two triples of a subject count wherever they lie: in one Arrow batch, at the ends of two, in two files."""
+    several = {"odd": [i // 2 for i in range(40)], "even": [(i + 1) // 2 for i in range(40)], "last": [*range(39), 38]}
+    given = [(f"s{n:03}", p, f"o{i}") for p, found in several.items() for i, n in enumerate(found)]
+    given += [(f"s{i:03}", "one", f'"{i}"') for i in range(40)] + [("s000", "rare", "o")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        for number, rows in enumerate((None, 40 * store.RANGE_ROWS)):
+            path = str(tmp_path / f"s{number}")
+            mf.write_store(spark.createDataFrame(given, "s string, p string, o string"), path, rows=rows)
+            found = {r["p"]: (r["kind"], r["n"], r["functional"]) for r in mf.store_catalog(spark, path).collect()}
+            assert found == {**{p: ("object", 40, False) for p in several}, "one": ("data", 40, True), "rare": ("object", 1, True)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    flagged = store._batch_rows(spark, path, 0).select("p", "s", F.lit(False).alias("is_data"))
+    assert store._subject_ends(flagged.coalesce(1)).count() < len(given) / 2
+
+
+def test_bitmaps_meet_ids_in_ranges(spark, capsys):
+    """Neither a join by subject nor bitmaps of scattered ids; a subject of many objects is one row where it meets its id."""
+    given = [("n0001", "many", f'"{i}"') for i in range(3000)] + [(f"n{i:04}", "flag", f'"{i % 2}"') for i in range(0, 2000, 2)]
+    t = spark.createDataFrame(given, "s string, p string, o string")
+    bits = mf.predicate_bitmaps(t, stage(mf.assign_dense_ids(mf.graph_nodes(t)), "ids"), ["flag"])
+    bits.explain()
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and "rangepartitioning(s" in plan
+    counts = bits.select("p", "o", F.bitmap_count("bits").alias("n")).collect()
+    assert sorted(map(tuple, counts), key=str) == sorted(
+        [("many", None, 1), ("flag", None, 1000), ("flag", '"0"', 1000)], key=str)
+    missing = mf.predicate_bitmaps(t, spark.createDataFrame([(5, "n0002")], "id bigint, uri string"), ["flag"])
+    assert {(r["p"], r["o"], bytes(r["bits"])[0]) for r in missing.collect()} == {("flag", None, 32), ("flag", '"0"', 32)}
