@@ -6,6 +6,7 @@ import motifold as mf
 from motifold.plans.bgp import Query, _join_order
 from motifold.session import stage
 from motifold.sources import store
+from motifold.sources.tables import Rule, TableTriples, Term
 from motifold.sources.triples import Relation
 
 
@@ -76,3 +77,13 @@ def test_bitmaps_meet_ids_in_ranges(spark, capsys):
         [("many", None, 1), ("flag", None, 1000), ("flag", '"0"', 1000)], key=str)
     missing = mf.predicate_bitmaps(t, spark.createDataFrame([(5, "n0002")], "id bigint, uri string"), ["flag"])
     assert {(r["p"], r["o"], bytes(r["bits"])[0]) for r in missing.collect()} == {("flag", None, 32), ("flag", '"0"', 32)}
+
+
+def test_a_bag_of_triples_is_not_shuffled(spark, capsys):
+    rows = spark.createDataFrame([(i % 3, i % 2) for i in range(6000)], "a int, b int").coalesce(1)
+    source = TableTriples(spark, [Rule("t", Term("<a", "a", ">"), "<p>", Term("<b", "b", ">"))], {"t": lambda: rows})
+    bag = source.bag()
+    bag.explain()
+    assert "Exchange hash" not in capsys.readouterr().out
+    assert sorted(bag.distinct().collect()) == sorted(source.all().collect())
+    assert bag.count() <= 6 * 6000 // 1000
