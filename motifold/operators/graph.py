@@ -137,6 +137,6 @@ def triplet_view(heads: DataFrame, edges: DataFrame) -> DataFrame:
             F.col("n_props").alias(f"{side}_n_props"),
         )
 
-    return edges.join(end("src", "src"), "src").join(end("dst", "dst"), "dst").select(
+    return edges.join(end("dst", "dst"), "dst").join(end("src", "src"), "src").select(
         "src", "src_uri", "src_n_props", "pred", "dst", "dst_uri", "dst_n_props"
     )

@@ -15,7 +15,7 @@ from functools import cache
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -305,8 +305,13 @@ class TableTriples:
             else:
                 last = [key]
             df = df.join(own, F.col(f"`{key}`") == F.col("#key")).drop("#key")
-        if not rule.key:
-            df = df.select("src", "dst", *(f"`{c}`" for c in last)).distinct()
+        if not rule.key and last:
+            # One sort of the rows that the join has brought together, where an aggregation would keep two tables of them.
+            same = Window.partitionBy(*(f"`{c}`" for c in last), "src", "dst").orderBy("src", "dst")
+            df = df.select("src", "dst", *(f"`{c}`" for c in last))
+            df = df.withColumn("#k", F.row_number().over(same)).where(F.col("#k") == 1)
+        elif not rule.key:
+            df = df.select("src", "dst").distinct()
         return df.select("src", "dst", F.lit(rule.predicate).alias("pred"))
 
     def subjects(self, p: str, o: str | None, variable: str | None = None) -> DataFrame:

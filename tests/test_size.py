@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import motifold as mf
 from motifold.plans.bgp import Query, _join_order
 from motifold.session import stage
-from motifold.sources import store
+from motifold.sources import store, tables
 from motifold.sources.tables import Rule, TableTriples, Term
 from motifold.sources.triples import Relation
 
@@ -87,3 +87,20 @@ def test_a_bag_of_triples_is_not_shuffled(spark, capsys):
     assert "Exchange hash" not in capsys.readouterr().out
     assert sorted(bag.distinct().collect()) == sorted(source.all().collect())
     assert bag.count() <= 6 * 6000 // 1000
+
+
+def test_edges_of_tables_merge_in_one_sort(spark, capsys, monkeypatch):
+    """Repeated edges merge without an aggregation's tables; the view meets the targets first."""
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", -1)
+    rows = spark.createDataFrame([(i % 30, i % 7) for i in range(2000)], "a int, b int")
+    source = TableTriples(spark, [Rule("t", Term("<a", "a", ">"), "<p>", Term("<b", "b", ">"))], {"t": lambda: rows})
+    ids = stage(mf.assign_dense_ids(mf.graph_nodes(source)), "ids")
+    edges = mf.encode_edges(source, ids)
+    edges.explain()
+    assert "HashAggregate" not in capsys.readouterr().out
+    view = mf.triplet_view(ids.withColumn("n_props", F.lit(0)), edges)
+    view.explain()
+    plan = capsys.readouterr().out
+    assert plan.index("Join [src#") < plan.index("Join [dst#")
+    assert sorted(view.select("src_uri", "dst_uri").collect()) == sorted(source.all().select("s", "o").collect())
+    assert view.count() == 210
