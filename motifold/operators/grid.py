@@ -20,6 +20,8 @@ from math import prod
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,8 @@ CELL_ROWS = 800_000
 FULL_CELL_ROWS = 2 * CELL_ROWS
 #: The grid is not cut further than this; what then is over full is one value on every axis.
 MOST_CELLS = 1 << 22
+#: Rows that are packed together on their way to the cells.
+PACK_ROWS = 1_000_000
 #: Bindings extended at a time.
 STEP_ROWS = 1 << 20
 
@@ -73,19 +77,24 @@ def choose_grid(sizes: Sequence[tuple[Sequence[str], int]], cells: int, least: d
     return grid
 
 
-def _cells(grid: Grid, variables: Sequence[str]) -> Column:
-    """The cells of a row: fixed on its own axes, all parts of the others."""
-    fixed, free, step = F.lit(0).cast("bigint"), [], 1
+def _fixed(grid: Grid, variables: Sequence[str]) -> Column:
+    """Where a row lies on its own axes, as the number of its cell at the start of all others."""
+    fixed, step = F.lit(0).cast("bigint"), 1
     for v, share in grid.shares.items():
         if v in variables:
             fixed = fixed + F.pmod(F.xxhash64(F.lit(v), F.col(f"`{v}`")), F.lit(share)) * step
-        elif share > 1:
-            free.append((share, step))
         step *= share
-    cells = F.array(fixed)
-    for share, step in free:
-        shifts = F.sequence(F.lit(0).cast("bigint"), F.lit((share - 1) * step).cast("bigint"), F.lit(step).cast("bigint"))
-        cells = _sums(cells, shifts)
+    return fixed
+
+
+def _copied(grid: Grid, variables: Sequence[str]) -> Column:
+    """The cells of column ``fixed``: all parts of the axes that are not its own."""
+    cells, step = F.array("fixed"), 1
+    for v, share in grid.shares.items():
+        if v not in variables and share > 1:
+            shifts = F.sequence(F.lit(0).cast("bigint"), F.lit((share - 1) * step).cast("bigint"), F.lit(step).cast("bigint"))
+            cells = _sums(cells, shifts)
+        step *= share
     return cells
 
 
@@ -102,7 +111,7 @@ def fullest_cells(relations: Sequence[DataFrame], grid: Grid) -> list[int]:
     out = []
     for df in relations:
         own = Grid({v: share for v, share in grid.shares.items() if v in df.columns})
-        per_cell = df.select(F.explode(_cells(own, df.columns)).alias("cell")).groupBy("cell").count()
+        per_cell = df.select(_fixed(own, df.columns).alias("cell")).groupBy("cell").count()
         out.append(per_cell.agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"])
     return out
 
@@ -129,30 +138,62 @@ def fitted_grid(relations: Sequence[DataFrame], sizes: Sequence[int], cell_rows:
     return grid
 
 
-class _Index:
-    """Rows of a relation as a sorted table of value numbers, looked up by a prefix of its columns."""
+class _Trie:
+    """Rows of a relation as a trie over its columns: a level's nodes are the distinct prefixes of that length, in order.
 
-    def __init__(self, columns: list[np.ndarray], width: int) -> None:
-        order = np.lexsort(columns[::-1])
-        self.columns = [c[order] for c in columns]
-        self.width = width
+    ``values`` holds the last value of each node, ``starts`` where the children of a node of the level above begin, and ``codes``
+    node above and value as one number, sorted.
+    """
 
-    def ranges(self, values: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """First row and row after the last with the given prefix, for each of the bindings."""
-        low = np.zeros(len(values[0]) if values else 1, np.int64)
-        high = np.full(len(low), len(self.columns[0]) if self.columns else 0, np.int64)
-        group = np.zeros(len(self.columns[0]), np.int64)
-        own = np.zeros(len(low), np.int64)
-        for depth, value in enumerate(values):
-            codes = group * self.width + self.columns[depth]
-            wanted = own * self.width + value
-            low, high = np.searchsorted(codes, wanted, "left"), np.searchsorted(codes, wanted, "right")
-            change = np.ones(len(codes), bool)
-            change[1:] = codes[1:] != codes[:-1]
-            group = np.cumsum(change) - 1
-            found = high > low
-            own = np.where(found, group[np.minimum(low, len(group) - 1)], -2) if len(group) else np.full(len(low), -2)
-        return low, high
+    def __init__(self, columns: Sequence[np.ndarray], width: int) -> None:
+        rows = _distinct_rows(columns, width)
+        n = len(rows[0])
+        self.width = width
+        self.values, self.starts, self.codes = [], [], []
+        first = np.zeros(min(n, 1), np.int64)  # rows where the nodes of a level begin
+        change = np.zeros(n, bool)
+        change[:1] = True
+        for column in rows:
+            change[1:] |= column[1:] != column[:-1]
+            nodes = np.flatnonzero(change)
+            self.starts.append(np.append(np.searchsorted(nodes, first), len(nodes)))
+            above = np.repeat(np.arange(len(first)), np.diff(self.starts[-1]))
+            self.values.append(column[nodes])
+            self.codes.append(above * width + column[nodes])
+            first = nodes
+        # The first level is looked up without a search.
+        self.top = np.full(width, -1, np.int64)
+        if n:
+            self.top[self.values[0]] = np.arange(len(self.values[0]))
+
+    def children(self, depth: int, nodes: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """First child and number of children of the nodes of each of ``n`` bindings; None is the root."""
+        starts = self.starts[depth]
+        if nodes is None:
+            return np.zeros(n, np.int64), np.full(n, starts[-1], np.int64)
+        return starts[nodes], starts[nodes + 1] - starts[nodes]
+
+    def child(self, depth: int, nodes: np.ndarray | None, value: np.ndarray) -> np.ndarray:
+        """The child with a value, or -1."""
+        if nodes is None:
+            return self.top[value]
+        codes, wanted = self.codes[depth], nodes * self.width + value
+        at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+        return np.where(codes[at] == wanted, at, -1)
+
+
+def _distinct_rows(columns: Sequence[np.ndarray], width: int) -> list[np.ndarray]:
+    """Columns of the distinct rows, sorted; value numbers are below ``width``."""
+    if width ** len(columns) < 1 << 62:
+        codes = reduce(lambda code, column: code * width + column, columns)
+        codes = np.unique(codes)
+        out = []
+        for _ in columns[1:]:
+            codes, column = np.divmod(codes, width)
+            out.append(column)
+        return [codes, *out[::-1]]
+    own = np.unique(np.stack(columns, axis=1), axis=0)
+    return [own[:, k] for k in range(own.shape[1])]
 
 
 def bind_all(
@@ -166,31 +207,26 @@ def bind_all(
     ``tables`` gives each relation's variables and its columns of value numbers below ``width``.  The numbers of extended
     bindings are added to ``steps``.
     """
-    indexes = []
+    names, tries = [], []
     for variables, columns in tables:
         by_order = sorted(range(len(variables)), key=lambda i: order.index(variables[i]))
-        # Repeats would multiply solutions.
-        own = np.unique(np.stack([columns[i] for i in by_order], axis=1), axis=0)
-        indexes.append(([variables[i] for i in by_order], _Index([own[:, k] for k in range(own.shape[1])], width)))
+        names.append([variables[i] for i in by_order])
+        tries.append(_Trie([columns[i].astype(np.int64, copy=False) for i in by_order], width))
+    if any(not len(t.codes[0]) for t in tries):
+        return
 
-    def extend(bound: list[np.ndarray], depth: int) -> Iterator[list[np.ndarray]]:
+    def extend(bound: list[np.ndarray], nodes: list[np.ndarray | None], n: int, depth: int) -> Iterator[list[np.ndarray]]:
+        """Extend ``n`` bindings, of which ``nodes`` says where they are in each trie."""
         if depth == len(order):
             yield bound
             return
-        variable = order[depth]
-        users = [(names, index) for names, index in indexes if variable in names]
-        n = len(bound[0]) if bound else 1
-        lows, counts = [], []
-        for names, index in users:
-            prefix = [bound[order.index(v)] for v in names[: names.index(variable)]]
-            low, high = index.ranges(prefix)
-            if not prefix:
-                low, high = np.full(n, low[0]), np.full(n, high[0])
-            lows.append(low)
-            counts.append(high - low)
-        counts, lows = np.array(counts), np.array(lows)
-        chosen = counts.argmin(axis=0)
-        least = counts.min(axis=0)
+        users = [(k, names[k].index(order[depth])) for k in range(len(tries)) if order[depth] in names[k]]
+        held = [tries[k].children(level, nodes[k], n) for k, level in users]
+        if len(users) == 1:
+            chosen, least = None, held[0][1]
+        else:
+            counts = np.array([c for _, c in held])
+            chosen, least = counts.argmin(axis=0), counts.min(axis=0)
         ends = np.cumsum(least)
         start = 0
         while start < n:
@@ -200,25 +236,27 @@ def bind_all(
             if steps is not None:
                 steps.append(len(rows))
             place = np.arange(len(rows)) - np.repeat(ends[start:end] - least[start:end] - before, least[start:end])
+            start = end
             value = np.empty(len(rows), np.int64)
-            for k, (names, index) in enumerate(users):
-                mine = chosen[rows] == k
-                value[mine] = index.columns[names.index(variable)][lows[k][rows[mine]] + place[mine]]
-            # A relation with later variables repeats a value: once is enough.
-            again = np.zeros(len(rows), bool)
-            again[1:] = (rows[1:] == rows[:-1]) & (value[1:] == value[:-1])
-            keep = ~again
-            rows, value = rows[keep], value[keep]
-            for names, index in users:
-                at = names.index(variable)
-                low, high = index.ranges([*(bound[order.index(v)][rows] for v in names[:at]), value])
-                keep = high > low
-                rows, value = rows[keep], value[keep]
+            for i, (k, level) in enumerate(users):
+                mine = slice(None) if chosen is None else np.flatnonzero(chosen[rows] == i)
+                value[mine] = tries[k].values[level][held[i][0][rows[mine]] + place[mine]]
+            reached = {}
+            for i, (k, level) in enumerate(users):
+                if chosen is None:
+                    reached[k] = held[i][0][rows] + place
+                    continue
+                found = tries[k].child(level, None if nodes[k] is None else nodes[k][rows], value)
+                keep = np.flatnonzero(found >= 0)
+                if len(keep) < len(rows):
+                    rows, value, found = rows[keep], value[keep], found[keep]
+                    reached = {q: r[keep] for q, r in reached.items()}
+                reached[k] = found
             if len(rows):
-                yield from extend([*(b[rows] for b in bound), value], depth + 1)
-            start = end
+                after = [reached[k] if k in reached else None if at is None else at[rows] for k, at in enumerate(nodes)]
+                yield from extend([*(b[rows] for b in bound), value], after, len(rows), depth + 1)
 
-    yield from extend([], 0)
+    yield from extend([], [None] * len(tries), 1, 0)
 
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -236,13 +274,13 @@ def _common_types(relations: Sequence[DataFrame]) -> dict[str, T.DataType]:
     return found
 
 
-def variable_order(tables: Sequence[tuple[list[str], list[np.ndarray]]]) -> list[str]:
+def variable_order(tables: Sequence[tuple[list[str], list[np.ndarray]]], width: int) -> list[str]:
     """The order of the variables with the fewest expected bindings along the way.
 
     A variable's values per binding are estimated by the relation with the fewest rows per distinct value of its bound
     variables; every other relation that holds the variable and a bound one keeps its share of them.
     """
-    distinct = [dict(zip(names, (len(np.unique(c)) for c in columns), strict=True)) for names, columns in tables]
+    distinct = [{v: np.count_nonzero(np.bincount(c, minlength=width)) for v, c in zip(*own, strict=True)} for own in tables]
     rows = [len(columns[0]) for _, columns in tables]
     variables = list(dict.fromkeys(v for names, _ in tables for v in names))
     domain = {v: max(d[v] for d in distinct if v in d) for v in variables}
@@ -291,35 +329,77 @@ def grid_join(
     ]
     if grid is None:
         grid = fitted_grid(relations, sizes or [df.count() for df in relations], cell_rows)
-    names = [f"v{i}" for i in range(len(variables))]
-    sent = []
-    for number, df in enumerate(relations):
-        values = [
-            (F.col(f"`{v}`") if v in df.columns else F.lit(None).cast(types[v])).alias(name)
-            for v, name in zip(variables, names, strict=True)
-        ]
-        sent.append(df.select(F.explode(_cells(grid, df.columns)).alias("cell"), F.lit(number).alias("relation"), *values))
+    blocks = union_all(
+        _packed(df, grid).select(F.explode(_copied(grid, df.columns)).alias("cell"), F.lit(number).alias("relation"), "block")
+        for number, df in enumerate(relations)
+    )
     columns = [df.columns for df in relations]
 
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        relation = table.column("relation").to_numpy()
-        numbers, values = {}, {}
-        for v, name in zip(variables, names, strict=True):
-            coded = table.column(name).combine_chunks().dictionary_encode()
-            numbers[v] = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            values[v] = coded.dictionary
-        tables = []
-        for k, own in enumerate(columns):
-            rows = relation == k
-            if not rows.any():
-                return
-            tables.append((own, [numbers[v][rows] for v in own]))
+        held: list[list[pa.Table]] = [[] for _ in columns]
+        for batch in batches:
+            for number, block in zip(batch.column("relation").to_pylist(), batch.column("block"), strict=True):
+                held[number].append(pq.ParquetFile(pa.BufferReader(block.as_buffer())).read(use_threads=False))
+        if not all(held):
+            return
+        rows = [pa.concat_tables(own) for own in held]
+        numbers, values = [{} for _ in columns], {}
+        for v in variables:
+            users = [k for k, own in enumerate(columns) if v in own]
+            every = pa.chunked_array([c for k in users for c in rows[k].column(v).chunks]).combine_chunks().dictionary_encode()
+            coded, start = every.indices.to_numpy(zero_copy_only=False).astype(np.int64), 0
+            for k in users:
+                numbers[k][v] = coded[start : start + rows[k].num_rows]
+                start += rows[k].num_rows
+            values[v] = every.dictionary
+        tables = [(own, [numbers[k][v] for v in own]) for k, own in enumerate(columns)]
         width = max(map(len, values.values()))
-        order = variable_order(tables)
+        order = variable_order(tables, width)
         for bound in bind_all(tables, order, width):
             found = dict(zip(order, bound, strict=True))
             yield pa.RecordBatch.from_arrays([values[v].take(pa.array(found[v])) for v in variables], variables)
 
     schema = T.StructType([T.StructField(v, types[v]) for v in variables])
-    return union_all(sent).groupBy("cell").applyInArrow(cell, schema)
+    # Blocks are small for the work that they stand for: adaptive execution, which goes by bytes, would merge cells into few tasks.
+    spark = blocks.sparkSession
+    tasks = min(grid.cells, max(4 * spark.sparkContext.defaultParallelism, grid.cells // 8))
+    return blocks.repartition(tasks, "cell").groupBy("cell").applyInArrow(cell, schema)
+
+
+def _packed(df: DataFrame, grid: Grid) -> DataFrame:
+    """``(fixed, block)``: rows of one part of a relation's own axes, sorted and packed, as they go to every cell of the part.
+
+    Rows are packed where they are read; a block holds what ``PACK_ROWS`` of them have of its part.
+    """
+    names = df.columns
+    whole = [f.name for f in df.schema.fields if isinstance(f.dataType, _WHOLE)]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACK_ROWS:
+                yield from blocks(held)
+                held, n = [], 0
+        if n:
+            yield from blocks(held)
+
+    def blocks(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in ("#fixed", *names)]))
+        fixed, rows = table.column("#fixed").to_numpy(), table.select(names)
+        cuts = [0, *(np.flatnonzero(fixed[1:] != fixed[:-1]) + 1).tolist(), len(fixed)]
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            sink = pa.BufferOutputStream()
+            pq.write_table(
+                rows.slice(start, stop - start),
+                sink,
+                compression="zstd",
+                use_dictionary=[c for c in names if c not in whole],
+                column_encoding={c: "DELTA_BINARY_PACKED" for c in whole},
+                write_statistics=False,
+            )
+            yield pa.RecordBatch.from_arrays([pa.array([fixed[start]]), pa.array([sink.getvalue().to_pybytes()])], ["fixed", "block"])
+
+    return df.withColumn("#fixed", _fixed(grid, names)).mapInArrow(packed, "fixed bigint, block binary")
