@@ -22,6 +22,10 @@ _OBJECT = (
 
 def _lexical(term: Column) -> Column:
     """A term as it may stand on a line: line breaks and bare quotes inside a literal become escapes."""
+    # Most literals are plain, which is seen without a pattern: none of these, and no third quote.
+    special = F.contains(term, F.lit("\n")) | F.contains(term, F.lit("\r")) | F.contains(term, F.lit("\\"))
+    quote = F.lit('"')
+    third = F.position(quote, term, F.position(quote, term, F.lit(2)) + 1) > 0
     inner = F.regexp_extract(term, r'(?s)^"(.*)"[^"]*$', 1)
     tail = F.regexp_extract(term, r'(?s)^".*"([^"]*)$', 1)
     plain = F.replace(F.replace(inner, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
@@ -29,28 +33,53 @@ def _lexical(term: Column) -> Column:
     # A last backslash that would swallow the closing quote.
     plain = F.regexp_replace(plain, r"(?<!\\)((?:\\\\)*)\\$", r"$1\\\\")
     safe = F.concat(F.lit('"'), plain, F.lit('"'), tail)
-    return F.when(term.rlike(r'(?s)^".*[\n\r\\"].*"[^"]*$'), safe).otherwise(term)
+    odd = term.startswith('"') & (special | third) & term.rlike(r'(?s)^".*[\n\r\\"].*"[^"]*$')
+    return F.when(odd, safe).otherwise(term)
+
+
+def _object(rest: Column) -> Column:
+    """What ``_OBJECT`` finds where ``rest`` begins; a blank is its only white space.  Only odd literals need the pattern."""
+    token = F.substring_index(rest, " ", 1)
+    end, quote = F.position(F.lit(">"), token), F.position(F.lit('"'), rest, F.lit(2))
+    after = F.substr(rest, quote + 1, F.lit(1))
+    plain = (quote > 0) & ~F.contains(rest, F.lit("\\")) & ~after.isin("^", "@")
+    return (
+        F.when(rest.startswith("<"), F.when(end > 0, F.substr(token, F.lit(1), end)).otherwise(token))
+        .when(rest.startswith('"'), F.when(plain, F.substr(rest, F.lit(1), quote)).otherwise(F.regexp_extract(rest, _OBJECT, 1)))
+        .otherwise(token)
+    )
 
 
 def _parsed_lines(spark: SparkSession, path, literal_mode: str) -> DataFrame:
-    """One row per line with s, p, o and ``ok``; the line is split once."""
+    """One row per line with s, p, o and ``ok``.  Lines cut by single blanks, nearly all, are cut without a pattern."""
     if literal_mode not in ("whole", "token"):
         raise ValueError("literal_mode must be 'whole' or 'token'")
-    line = F.trim("value", F.lit(" \t\r"))
-    rest = F.col("part")[2]
-    o = F.regexp_extract(rest, _OBJECT if literal_mode == "whole" else r"^(\S+)", 1)
-    return (
+    whole = literal_mode == "whole"
+    line = F.col("line")
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\x0b"))
+    # Every step is a projection of its own, so that none is computed twice.
+    cut = (
         spark.read.text(path)
-        .select(F.split(line, r"\s+", 3).alias("part"))
-        .select(
-            F.col("part")[0].alias("s"),
-            F.get("part", F.lit(1)).alias("p"),
-            F.when(F.size("part") == 3, o).alias("o"),
-        )
-        .withColumn(
-            "ok",
-            F.col("o").isNotNull() & ~F.col("s").startswith("#") & ~F.col("o").isin("", "."),
-        )
+        .select(F.trim("value", F.lit(" \t\r")).alias("line"))
+        .withColumn("s", F.substring_index("line", " ", 1))
+        .withColumn("rest", F.expr("substring(line, length(s) + 2)"))
+        .withColumn("p", F.substring_index("rest", " ", 1))
+        .withColumn("rest", F.expr("substring(rest, length(p) + 2)"))
+        .withColumn("plain", ~odd & (F.col("p") != "") & (F.col("rest") != "") & ~F.col("rest").startswith(" "))
+        .withColumn("part", F.when(~F.col("plain"), F.split("line", r"\s+", 3)))
+    )
+    rest = F.get("part", F.lit(2))
+    by_pattern = F.when(F.size("part") == 3, F.regexp_extract(rest, _OBJECT if whole else r"^(\S+)", 1))
+    by_blanks = _object(F.col("rest")) if whole else F.substring_index("rest", " ", 1)
+    found = F.struct(
+        F.when(F.col("plain"), F.col("s")).otherwise(F.get("part", F.lit(0))).alias("s"),
+        F.when(F.col("plain"), F.col("p")).otherwise(F.get("part", F.lit(1))).alias("p"),
+        F.when(F.col("plain"), by_blanks).otherwise(by_pattern).alias("o"),
+    )
+    # A generator keeps later tests above it; below, they would cut the line again.
+    return cut.select(F.inline(F.array(found))).withColumn(
+        "ok",
+        F.col("o").isNotNull() & ~F.col("s").startswith("#") & ~F.col("o").isin("", "."),
     )
 
 
