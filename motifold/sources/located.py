@@ -93,12 +93,15 @@ def encode_located(triples, ids: DataFrame, distinct: bool = True, split_rows: i
     Triples of a hot node take its id from a broadcast and go to the join under a key of their own, which spreads
     them.  Triples with an end that has no id are left out, as in ``encode_edges``.
 
-    Of tables as triples only the nodes, one row each and so without hot ones, go to the dictionary; the edges
-    then meet the ids found there by their key columns.
+    Edges of tables as triples meet the ids by their key columns.  A dictionary of more nodes than the tables can have is
+    first cut to their nodes, one row each and so without hot ones; one of other size is met as it is.
     """
     if isinstance(triples, TableTriples):
-        nodes = graph_nodes(triples).withColumnRenamed("node", "uri")
-        return triples.coded_edges(stage(nodes.join(ids, "uri").select("id", "uri"), "known-ids"))
+        # Two ends a triple.
+        if ids.count() > 2 * triples.most_rows():
+            nodes = graph_nodes(triples).withColumnRenamed("node", "uri")
+            ids = stage(nodes.join(ids, "uri").select("id", "uri"), "known-ids")
+        return triples.coded_edges(ids)
     edges = object_triples(triples).select("s", "p", "o")
     if distinct:
         edges = edges.distinct()
